@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import simhash
+from tessera.llm import decontaminate, simhash
 
 QUERIES = {
     "op2_simhash": simhash.query,
+    "op4_decontaminate": decontaminate.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": decontaminate.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
