@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, simhash
+from tessera.llm import decontaminate, pii, simhash
 
 QUERIES = {
     "op2_simhash": simhash.query,
+    "op3_pii": pii.query,
     "op4_decontaminate": decontaminate.query,
 }
 ORACLE_SQL: dict[str, str] = {
