@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, packing, pii, simhash
+from tessera.llm import decontaminate, packing, pii, quality, simhash
 
 QUERIES = {
     "op2_simhash": simhash.query,
     "op3_pii": pii.query,
     "op4_decontaminate": decontaminate.query,
+    "op6_quality": quality.query,
     "op10_packing": packing.query,
 }
 ORACLE_SQL: dict[str, str] = {
