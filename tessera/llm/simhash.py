@@ -217,10 +217,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with one document of each group: the one whose id is the component's.
 
-    Rows that share the surviving id are told apart by their text; of fully equal rows one stays.
-    A component whose ids are all null keeps one row.
+    Of several rows with that id one stays. A row with a null id can't be named as another's
+    copy, so all of those stay. The one join on ``doc_id`` also serves the removal of repeated ids.
     """
     columns = docs.columns
-    found = near_duplicates(docs, **params).where("id <=> component_id").select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*columns)
+    first = near_duplicates(docs, **params).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
+    return kept.unionByName(docs.where("doc_id is null"))
