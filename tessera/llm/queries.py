@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, packing, pii, quality, simhash
+from tessera.llm import decontaminate, embeddings, packing, pii, quality, sharding, simhash, urls
 
 QUERIES = {
     "op2_simhash": simhash.query,
     "op3_pii": pii.query,
     "op4_decontaminate": decontaminate.query,
     "op6_quality": quality.query,
+    "op7_urls": urls.query,
+    "op8_sharding": sharding.query,
+    "op9_embeddings": embeddings.query,
     "op10_packing": packing.query,
 }
 ORACLE_SQL: dict[str, str] = {
