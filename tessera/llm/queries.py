@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, embeddings, packing, pii, quality, sharding, simhash, urls
+from tessera.llm import decontaminate, embeddings, html, language, packing, pii, quality, sharding, simhash, urls
 
 QUERIES = {
+    "op1_html": html.query,
     "op2_simhash": simhash.query,
     "op3_pii": pii.query,
     "op4_decontaminate": decontaminate.query,
+    "op5_language": language.query,
     "op6_quality": quality.query,
     "op7_urls": urls.query,
     "op8_sharding": sharding.query,
