@@ -29,10 +29,10 @@ def dose(assessed: DataFrame, edges: DataFrame) -> DataFrame:
         _zero(F.max(F.when(of == "destroyed", vf))).alias("dose_max"),
         total("partial").alias("f_partial"),
         total("no_damage").alias("f_none"),
-        _zero(F.sum(F.when(of.isNotNull(), vf))).alias("f_total"),
-        F.count_distinct("d.emitter").alias("neighbors"),
-        F.count_distinct(F.when(of.isNotNull(), F.col("d.emitter"))).alias("known_neighbors"),
-        F.count(F.when(of == "destroyed", F.lit(1))).alias("n_destroyed"),
+        _zero(F.sum(vf)).alias("f_total"),
+        F.count("d.emitter").alias("neighbors"),
+        F.count("s.node").alias("known_neighbors"),
+        F.count_distinct(F.when(of == "destroyed", F.col("d.emitter"))).alias("n_destroyed"),
     )
     flags = {"exposed": (F.col("dose_sum") > 0).cast("int"), "log_dose": F.when(F.col("dose_sum") > 0, F.log("dose_sum"))}
     return out.withColumns(flags)
@@ -41,14 +41,22 @@ def dose(assessed: DataFrame, edges: DataFrame) -> DataFrame:
 def dose_by_source(assessed: DataFrame, id_map: DataFrame, edges: DataFrame) -> DataFrame:
     """Dose in the reverse weight convention, on a source id that several nodes may share.
 
-    ``assessed`` is known by ``source_id``; ``id_map`` is ``(node, source_id)`` and is not unique.
-    Every match is kept; no group comparison is made.
+    ``assessed`` is known by ``source_id``; ``id_map`` is ``(node, source_id)``. Neither side is
+    unique and every match is kept, on the receiver's and on the emitter's side; groups are not compared.
     """
-    matched = assessed.join(id_map.where("source_id is not null").select("source_id", F.col("node").alias("graph_id")), "source_id")
-    affected = matched.where("is_destroyed = 1").select(F.col("graph_id").alias("emitter")).distinct()
-    own = symmetrised_reverse(edges).join(affected, "emitter").groupBy("receiver").agg(F.sum("vf").alias("s"), F.max("vf").alias("m"), F.count("*").alias("n"))
-    met = matched.join(own, matched["graph_id"] == own["receiver"], "left")
-    return met.select("graph_id", "source_id", "is_destroyed", _zero(F.col("s")).alias("dose_sum"), _zero(F.col("m")).alias("dose_max"), F.coalesce("n", F.lit(0)).alias("n_destroyed"))
+    ids = id_map.where("source_id is not null").select("source_id", F.col("node").alias("graph_id"))
+    matched = assessed.join(ids, "source_id").select("graph_id", "source_id", "is_destroyed")
+    r, e, d = matched.alias("r"), matched.alias("e"), symmetrised_reverse(edges).alias("d")
+    met = r.join(d, F.col("r.graph_id") == F.col("d.receiver"), "left").join(e, F.col("d.emitter") == F.col("e.graph_id"), "left")
+    hit = F.col("e.is_destroyed") == 1
+    own = met.groupBy(F.col("r.graph_id").alias("graph_id")).agg(
+        F.count("d.emitter").alias("neighbors"),
+        F.count("e.graph_id").alias("known_neighbors"),
+        F.count_if(hit).alias("n_destroyed"),
+        _zero(F.sum(F.when(hit, F.col("d.vf")).otherwise(0.0))).alias("dose_sum"),
+        _zero(F.max(F.when(hit, F.col("d.vf")).otherwise(0.0))).alias("dose_max"),
+    )
+    return matched.join(own, "graph_id", "left")
 
 
 def timed_edges(nodes: DataFrame, edges: DataFrame, window: float) -> DataFrame:
