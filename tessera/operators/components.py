@@ -1,4 +1,8 @@
-"""Connected components of an edge list, with alternating star contraction.
+"""Connected components and spanning forests of an edge list.
+
+Each task first reduces its own edges to a spanning forest, a bounded chunk at a time, which
+drops no connection. What is left of a small graph is finished in one task of bounded size; a
+larger one goes through alternating star contraction:
 
 Every round replaces the edge list by one that hangs each node below a smaller neighbour;
 it ends when every node hangs directly below the smallest id that it can reach. A round is
@@ -8,11 +12,84 @@ number of rounds grows with the logarithm of the largest component.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import durable
 
+#: Edges that one task may finish, some 20 MB; beyond it the rounds run.
+SMALL = 250_000
+#: Edges that a task reduces at once.
+CHUNK = 500_000
+
+
+class Union:
+    """Disjoint sets of any ids; the root of a set is its least id."""
+
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def find(self, x):
+        up = self.up
+        root = x
+        while (above := up.get(root, root)) != root:
+            root = above
+        while x != root:
+            up[x], x = root, up.get(x, x)
+        return root
+
+    def join(self, a, b) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        self.up.setdefault(min(a, b), min(a, b))
+        return True
+
+
+def _forests(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of each chunk of edges, of the heaviest ones if there is a third column."""
+
+    def reduced(rows: list[tuple]) -> pa.RecordBatch:
+        if len(names) > 2:
+            rows.sort(key=lambda r: (-r[2], r[0], r[1]))
+        sets = Union()
+        kept = [r for r in rows if sets.join(r[0], r[1])]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], t) for i, t in enumerate(types)], names)
+
+    rows: list[tuple] = []
+    names, types = [], []
+    for batch in batches:
+        names, types = batch.schema.names, batch.schema.types
+        rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        if len(rows) >= chunk:
+            yield reduced(rows)
+            rows = []
+    if rows:
+        yield reduced(rows)
+
+
+def reduce_to_forest(edges: DataFrame) -> DataFrame:
+    """Edges that connect the same nodes, with at most one spanning forest for each chunk of a task.
+
+    A third column holds weights; then every edge of the maximum spanning forest is kept.
+    """
+    return edges.mapInArrow(_forests, edges.schema)
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets, kind = Union(), None
+    for batch in batches:
+        kind = batch.schema.types[0]
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sets.join(a, b)
+    if kind is not None:
+        nodes = list(sets.up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([sets.find(n) for n in nodes], kind)], ["node", "component"])
+
 
 def _downward(edges: DataFrame) -> DataFrame:
     """Distinct edges (hi, lo) with hi > lo; self loops and nulls go."""
@@ -38,7 +115,7 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def star_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL, max_rounds: int = 60) -> DataFrame:
     """Nodes of non-trivial components with the least node id of each.
 
     Takes an edge list with the orderable id columns ``a`` and ``b`` and returns
@@ -46,7 +123,12 @@ def star_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: in
     smallest id reachable from it. Repeated edges, self loops, both orientations and edges
     with a null end are allowed; they change nothing. An empty list gives an empty result.
     """
-    now = durable(_downward(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))))
+    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    reduced = durable(reduce_to_forest(pairs))
+    if reduced.count() <= small:
+        kind = reduced.schema["a"].dataType.simpleString()
+        return durable(reduced.coalesce(1).mapInArrow(_finish, f"node {kind}, component {kind}"))
+    now = durable(_downward(reduced))
     state = _state(now)
     for _ in range(max_rounds):
         if not state[0]:

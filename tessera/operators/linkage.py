@@ -6,10 +6,11 @@ active sets are nested. The weight is computed once; a threshold is then a filte
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.components import connected_components
+from tessera.operators.components import SMALL, Union, connected_components, reduce_to_forest, star_components
 from tessera.operators.edges import incidence, ranked_incidence, strongest_incident
 from tessera.session import durable
 
@@ -69,36 +70,64 @@ def states(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return connected_components(nodes, links, "node", "i", "j")
 
 
-def maximum_spanning_forest(weights: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``(i, j, w)``: a spanning forest of the heaviest edges, by Boruvka rounds in Spark.
+def maximum_spanning_forest(weights: DataFrame, small: int = SMALL, max_rounds: int = 40) -> DataFrame:
+    """``(i, j, w)``: a spanning forest of the heaviest edges.
 
-    Each round every component picks its heaviest outgoing edge (ties by the pair), the picks
-    join the forest and components are merged. The forest gives the components at every threshold.
+    Tasks reduce their own edges first. A small rest is finished in one bounded task; a larger one
+    by Boruvka rounds: every component picks its heaviest outgoing edge (ties by the pair), the
+    picks join the forest and components are merged.
     """
-    from tessera.operators.components import star_components
-
-    live = durable(weights.select("i", "j", "w", F.col("i").alias("ci"), F.col("j").alias("cj")).where("i <> j"))
-    forest = None
+    reduced = durable(reduce_to_forest(weights.select("i", "j", F.col("w").cast("double").alias("w")).where("i <> j and w is not null")))
+    if reduced.count() <= small:
+        return durable(reduce_to_forest(reduced.coalesce(1)))
+    live = reduced.select("i", "j", "w", F.col("i").alias("ci"), F.col("j").alias("cj"))
+    forest = reduced.limit(0)
     for _ in range(max_rounds):
         if live.isEmpty():
             break
         order = F.struct("w", (-F.col("i")).alias("a"), (-F.col("j")).alias("b"))
         sides = live.select(F.explode(F.array("ci", "cj")).alias("c"), order.alias("o"))
         picks = sides.groupBy("c").agg(F.max("o").alias("o")).select(F.col("o.w").alias("w"), (-F.col("o.a")).alias("i"), (-F.col("o.b")).alias("j")).distinct()
-        picks = durable(picks.join(live.select("i", "j", "ci", "cj"), ["i", "j"]))
-        forest = picks.select("i", "j", "w") if forest is None else durable(forest.unionByName(picks.select("i", "j", "w")))
-        merged = star_components(picks, "ci", "cj")
+        picks = durable(picks.join(live.select("i", "j", "ci", "cj").distinct(), ["i", "j"]))
+        forest = durable(forest.unionByName(picks.select("i", "j", "w")))
+        merged = star_components(picks, "ci", "cj", small)
         for c in ("ci", "cj"):
             live = live.join(merged.withColumnsRenamed({"node": c, "component": f"{c}_new"}), c, "left").withColumn(c, F.coalesce(f"{c}_new", c)).drop(f"{c}_new")
         live = durable(live.where("ci <> cj"))
-    return weights.select("i", "j", "w").limit(0) if forest is None else forest
+    return forest
+
+
+def _labels_at(thresholds: list[float]):
+    steps = sorted(thresholds, reverse=True)
+
+    def per_task(batches):
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: -r[2])
+        sets, at = Union(), 0
+        for t in steps:
+            while at < len(rows) and rows[at][2] >= t:
+                sets.join(rows[at][0], rows[at][1])
+                at += 1
+            nodes = list(sets.up)
+            yield pa.RecordBatch.from_arrays([pa.array([t] * len(nodes), pa.float64()), pa.array(nodes, pa.int64()), pa.array([sets.find(n) for n in nodes], pa.int64())], ["threshold", "node", "component"])
 
+    return per_task
 
-def sweep(nodes: DataFrame, weights: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Component of every node at each threshold, from one maximum spanning forest."""
-    forest = durable(maximum_spanning_forest(weights))
+
+def sweep(nodes: DataFrame, weights: DataFrame, thresholds: list[float], small: int = SMALL) -> DataFrame:
+    """``(node, component_id, component_size, threshold)`` at each threshold, from one spanning forest.
+
+    A small forest is passed once, from heavy to light, in one bounded task; a larger one is
+    labelled anew for each of the stated thresholds.
+    """
+    forest = durable(maximum_spanning_forest(weights, small))
+    if forest.count() <= small:
+        labels = durable(forest.coalesce(1).mapInArrow(_labels_at([float(t) for t in thresholds]), "threshold double, node bigint, component bigint"))
+        steps = F.broadcast(nodes.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double"))
+        met = nodes.select("node").join(steps).join(labels, ["threshold", "node"], "left").withColumn("component_id", F.coalesce("component", "node"))
+        sizes = met.groupBy("threshold", "component_id").agg(F.count("*").alias("component_size"))
+        return met.join(sizes, ["threshold", "component_id"]).select("node", "component_id", "component_size", "threshold")
     parts = None
-    for t in thresholds:  # a stated, short list
+    for t in thresholds:
         own = states(nodes.select("node"), forest.where(F.col("w") >= t)).withColumn("threshold", F.lit(float(t)))
         parts = own if parts is None else parts.unionByName(own)
     return parts
