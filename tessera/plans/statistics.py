@@ -1 +1,733 @@
-"""To come."""
+"""Curves, regressions, matching, nulls and bootstraps over the fixture.
+
+Samples are reduced in Spark first. Per-group fits run as grouped pandas functions and draws are
+spread over tasks; single regressions take the sample of assessed nodes as arrays.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions import curves as C
+from tessera.functions import models as M
+from tessera.operators import binning as B
+from tessera.operators import exposure as X
+from tessera.operators import linkage as L
+from tessera.operators import summaries as S
+from tessera.plans.base import query
+from tessera.plans.relational import _r, _timed
+
+#: Rows of a sample that models take as arrays on the driver; a larger one is an error, never cut.
+MOST_ROWS = 2_000_000
+DRAWS = 40
+
+
+def arrays(df: DataFrame) -> dict[str, np.ndarray]:
+    n = df.count()
+    if n > MOST_ROWS:
+        raise ValueError(f"{n} rows are too many for a model on the driver")
+    table = df.toPandas()
+    return {c: table[c].to_numpy() for c in table.columns}
+
+
+def frame(spark, rows: list[dict], schema: str) -> DataFrame:
+    names = [x.split()[0] for x in schema.split(",")]
+    cast = lambda v: None if isinstance(v, float) and np.isnan(v) else v.item() if isinstance(v, np.generic) else v
+    return spark.createDataFrame([tuple(cast(r[c]) for c in names) for r in rows], schema)
+
+
+def sample(c) -> DataFrame:
+    """Assessed nodes with their exposure, sorted by node when collected."""
+    d = X.dose(c.assessed, c.edges).select("node", "dose_sum", "dose_max", "f_total", "exposed", "log_dose")
+    block = F.concat_ws(":", "grp", F.floor(F.col("x") / 1000).cast("string"), F.floor(F.col("y") / 1000).cast("string"))
+    return c.assessed.join(d, "node").withColumn("block", block)
+
+
+def model_arrays(c) -> dict[str, np.ndarray]:
+    rows = sample(c).where("exposed = 1 and green is not null and year_built is not null and defended is not null")
+    return arrays(rows.select("node", "grp", "block", "kind", "log_dose", "dose_sum", "green", F.col("year_built").cast("double").alias("year"), "defended", "is_destroyed", "any_damage", "f_total").orderBy("node"))
+
+
+def with_pooled(df: DataFrame) -> DataFrame:
+    """Rows of every group and again of all together, as one more group."""
+    return df.withColumn("grp", F.explode(F.array("grp", F.lit("POOLED"))))
+
+
+def draws(c, n: int, per_draw: Callable[[np.random.Generator], dict], schema: str, seed: int = 0) -> DataFrame:
+    """One row for each draw that succeeds, spread over tasks; a draw's numbers hang on its index only."""
+
+    def run(parts):
+        for part in parts:
+            rows = []
+            for k in part["id"]:
+                try:
+                    rows.append({"draw": int(k)} | per_draw(np.random.default_rng([seed, int(k)])))
+                except (RuntimeError, ValueError, np.linalg.LinAlgError):
+                    continue
+            yield pd.DataFrame(rows, columns=["draw", *[x.split()[0] for x in schema.split(", ")]])
+
+    return c.spark.range(0, n, 1, max(1, min(n, 16))).mapInPandas(run, f"draw bigint, {schema}")
+
+
+def interval(df: DataFrame, value: str, n: int) -> DataFrame:
+    """2.5 % and 97.5 % points; an error if fewer than max(20, 80 %) of the draws are there."""
+    out = df.agg(F.count(value).alias("draws"), F.percentile(value, 0.025).alias("lo"), F.percentile(value, 0.975).alias("hi"))
+    if out.first()["draws"] < max(20, int(0.8 * n)):
+        raise RuntimeError("too few draws converged")
+    return out
+
+
+def blocks_of(blocks: np.ndarray) -> list[np.ndarray]:
+    _, index = np.unique(blocks, return_inverse=True)
+    return np.split(np.argsort(index, kind="stable"), np.cumsum(np.bincount(index))[:-1])
+
+
+def resampled(rng: np.random.Generator, rows: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([rows[i] for i in rng.integers(0, len(rows), len(rows))])
+
+
+# Fits.
+_FIT = "grp string, n bigint, p_min double, p_max double, k double, hill double, asymmetry double, f50 double, p50 double, brier double, log_loss double, at_bound boolean"
+
+
+def _fit(part: pd.DataFrame) -> pd.DataFrame:
+    part = part.sort_values("node")
+    x, y = part["dose_sum"].to_numpy(float), part["is_destroyed"].to_numpy(float)
+    fit = C.fit_curve(x, y)
+    _, low, high = C.start_and_bounds(x, y)
+    try:
+        f50 = fit.midpoint(x.min() / 10, x.max() * 10)
+    except ValueError:
+        f50 = None
+    p50 = fit.exposure_at(0.5) if fit.p_min < 0.5 < fit.p_max else None
+    brier, loss = C.scores(fit, x, y)
+    edge = bool(np.any(np.isclose(fit, low)) or np.any(np.isclose(fit, high)))
+    return pd.DataFrame([[part["grp"].iloc[0], len(x), *fit, f50, p50, brier, loss, edge]], columns=[x.split()[0] for x in _FIT.split(", ")])
+
+
+def fits(c) -> DataFrame:
+    return with_pooled(sample(c).where("exposed = 1").select("node", "grp", "dose_sum", "is_destroyed")).groupBy("grp").applyInPandas(_fit, _FIT)
+
+
+def _pooled_curve(c) -> C.Curve:
+    r = fits(c).where("grp = 'POOLED'").first()
+    return C.Curve(r["p_min"], r["p_max"], r["k"], r["hill"], r["asymmetry"])
+
+
+query("m01_curve_fit", lambda c: fits(c).where("grp <> 'POOLED'").select("grp", "n", "p_min", "p_max", "k", "hill", "asymmetry"))
+query("m02_fits_and_scores", lambda c: fits(c))
+
+
+def exposure_at(p, p_min, p_max, k, hill, asymmetry):
+    """Column form of the inverse curve; null outside the asymptotes."""
+    ratio = F.pow((p_max - p_min) / F.when((p > p_min) & (p < p_max), p - p_min), 1 / asymmetry) - 1
+    return k / F.pow(ratio, 1 / hill)
+
+
+query(
+    "m03_inverse_curve",
+    lambda c: c.spark.range(1, 10).select((F.col("id") / 10).alias("p")).select("p", _r(exposure_at(F.col("p"), F.lit(0.05), F.lit(0.95), F.lit(0.2), F.lit(1.5), F.lit(0.8))).alias("x")),
+    "SELECT i / 10.0 AS p, round(CASE WHEN i / 10.0 > 0.05 AND i / 10.0 < 0.95 THEN 0.2 / (((0.9) / (i / 10.0 - 0.05)) ** (1 / 0.8) - 1) ** (1 / 1.5) END, 6) AS x FROM range(1, 10) t(i)",
+)
+
+
+def _thresholds(c):
+    fit = _pooled_curve(c)
+    inside = [p for p in (0.25, 0.5, 0.75) if fit.p_min < p < fit.p_max]
+    return frame(c.spark, [{"p": p, "threshold": fit.exposure_at(p)} for p in inside], "p double, threshold double")
+
+
+query("m04_threshold_table", _thresholds)
+
+
+def _f50_draws(c, n: int = DRAWS) -> DataFrame:
+    a = arrays(sample(c).where("exposed = 1").select("node", "grp", "block", "dose_sum", "is_destroyed").orderBy("node"))
+    groups = {g: np.flatnonzero(a["grp"] == g) for g in ("A", "B")}
+    rows = {g: [own[i] for i in blocks_of(a["block"][own])] for g, own in groups.items()}
+
+    def one(rng):
+        out = {}
+        for g in ("A", "B"):
+            at = resampled(rng, rows[g])
+            x = a["dose_sum"][at]
+            out[g] = C.fit_curve(x, a["is_destroyed"][at]).midpoint(x.min() / 10, x.max() * 10)
+        return {"a": out["A"], "b": out["B"], "ratio": out["B"] / out["A"]}
+
+    return draws(c, n, one, "a double, b double, ratio double")
+
+
+query("m05_block_bootstrap", lambda c: _f50_draws(c).agg(F.count("*").alias("converged"), F.percentile("ratio", 0.025).alias("lo"), F.percentile("ratio", 0.975).alias("hi")))
+
+
+def _peak(c):
+    rows = with_pooled(sample(c).where("exposed = 1").select("node", "grp", "dose_sum", "is_destroyed", "any_damage"))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node")
+        gap, at = C.peak_difference(C.fit_curve(part["dose_sum"], part["any_damage"]), C.fit_curve(part["dose_sum"], part["is_destroyed"]))
+        return pd.DataFrame([[part["grp"].iloc[0], gap, at]], columns=["grp", "peak", "exposure"])
+
+    return rows.groupBy("grp").applyInPandas(one, "grp string, peak double, exposure double")
+
+
+query("m06_partial_peak", _peak)
+
+
+def _binned(c) -> DataFrame:
+    rows = B.quantile_bins(sample(c).where("exposed = 1").withColumn("lx", F.log("price")), "lx", 18)
+    return rows.groupBy("is_destroyed", "bin").agg(F.avg("lx").alias("lx"), F.avg("log_dose").alias("ly"), F.count("*").alias("n"))
+
+
+def _smooth(c):
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        x, y = C.lowess(part["lx"], part["ly"], 0.42)
+        return pd.DataFrame({"is_destroyed": part["is_destroyed"].iloc[0], "x": np.exp(x), "y": np.exp(y)})
+
+    return _binned(c).groupBy("is_destroyed").applyInPandas(one, "is_destroyed int, x double, y double")
+
+
+query("m07_lowess", _smooth)
+
+
+def _calibration(c) -> DataFrame:
+    rows = sample(c).where("exposed = 1").select(F.log("price").alias("lx"), F.col("log_dose").alias("ly"))
+    return rows.agg(F.regr_slope("ly", "lx").alias("slope"), F.regr_intercept("ly", "lx").alias("intercept"))
+
+
+def _equivalent(c):
+    # Exposure falls as distance grows, so interval ends swap.
+    cal = F.broadcast(_calibration(c))
+    back = lambda f: F.exp((F.log(f) - F.col("intercept")) / F.col("slope"))
+    return fits(c).select("grp", "f50").where("f50 is not null").join(cal).select("grp", back(F.col("f50")).alias("distance"), back(F.col("f50") * 1.1).alias("lo"), back(F.col("f50") * 0.9).alias("hi"))
+
+
+query("m08_distance_equivalence", _equivalent)
+
+
+def _inverse_bins(c):
+    a = arrays(_binned(c).groupBy("bin").agg(F.avg("lx").alias("lx"), F.avg("ly").alias("ly")).orderBy("lx"))
+    levels = np.quantile(a["ly"], [0.3, 0.5, 0.7])
+    return frame(c.spark, [{"level": v, "x": x} for v, x in zip(levels, C.inverse_of_bins(a["lx"], a["ly"], levels), strict=True)], "level double, x double")
+
+
+query("m09_monotone_inverse", _inverse_bins)
+
+
+def _joint(c, n: int = DRAWS):
+    a = arrays(sample(c).where("exposed = 1").select("node", "block", F.log("price").alias("lx"), "log_dose", "dose_sum", "is_destroyed").orderBy("node"))
+    rows = blocks_of(a["block"])
+
+    def one(rng):
+        at = resampled(rng, rows)
+        slope, intercept = np.polyfit(a["lx"][at], a["log_dose"][at], 1)
+        x = a["dose_sum"][at]
+        f50 = C.fit_curve(x, a["is_destroyed"][at]).midpoint(x.min() / 10, x.max() * 10)
+        return {"distance": float(np.exp((np.log(f50) - intercept) / slope))}
+
+    return draws(c, n, one, "distance double").agg(F.count("*").alias("converged"), F.percentile("distance", [0.025, 0.5, 0.975]).alias("q"))
+
+
+query("m10_joint_bootstrap", _joint)
+
+
+# Regressions.
+def _design(a: dict, outcome: str = "is_destroyed", interaction: bool = False):
+    levels = sorted(set(a["kind"].tolist()))
+    numeric = {"log_dose": a["log_dose"], "green": a["green"], "decade": (a["year"] - np.median(a["year"])) / 10}
+    names, x = M.design(numeric, {"kind": (a["kind"], levels), "grp": (a["grp"], ["A", "B"])}, [("log_dose", "kind")] if interaction else None)
+    return names, x, a[outcome].astype(float)
+
+
+def _logit(a: dict, outcome: str = "is_destroyed", interaction: bool = False) -> M.Fit:
+    names, x, y = _design(a, outcome, interaction)
+    return M.logit(x, y, names, a["block"])
+
+
+_TERMS = "term string, coef double, se double, z double, p double, lo double, hi double, odds_ratio double"
+query("m11_clustered_logit", lambda c: frame(c.spark, _logit(model_arrays(c)).table(), _TERMS))
+
+
+def _tables(c):
+    a = model_arrays(c)
+    fit = _logit(a)
+    stat, p = fit.wald([n for n in fit.names if n.startswith("kind")])
+    return frame(c.spark, [fit.fit_statistics() | {"wald": stat, "wald_p": p}], "n bigint, loglik double, aic double, mcfadden double, wald double, wald_p double")
+
+
+query("m12_model_tables", _tables)
+
+
+def _tolerance(c):
+    fit = _logit(model_arrays(c))
+    return frame(c.spark, [{"term": t} | M.tolerance_ratio(fit, t, "log_dose") for t in fit.names if t not in ("const", "log_dose")], "term string, ratio double, lo double, hi double, p double")
+
+
+query("m13_tolerance_ratio", _tolerance)
+
+
+def _stacked(c):
+    """Both stages in one model, with every coefficient allowed to differ by stage."""
+    a = model_arrays(c)
+    hurt = a["any_damage"] == 1
+    names, x, _ = _design(a)
+    stage = np.r_[np.zeros(len(x)), np.ones(hurt.sum())]
+    rows = np.r_[x, x[hurt]]
+    y = np.r_[a["any_damage"], a["is_destroyed"][hurt]].astype(float)
+    fit = M.logit(np.c_[rows, rows * stage[:, None]], y, [*names, *[f"stage:{n}" for n in names]], np.r_[a["block"], a["block"][hurt]])
+    return frame(c.spark, fit.table(), _TERMS)
+
+
+query("m14_stage_interaction", _stacked)
+
+
+def _margins(c):
+    a = model_arrays(c)
+    names, x, _ = _design(a)
+    fit = _logit(a)
+    level = next(n for n in names if n.startswith("kind"))
+    on, off = x.copy(), x.copy()
+    on[:, names.index(level)], off[:, names.index(level)] = 1, 0
+    gap = M.margins_by_draws(fit, on, 200) - M.margins_by_draws(fit, off, 200)
+    return frame(c.spark, [{"term": level, "mean": gap.mean(), "lo": np.quantile(gap, 0.025), "hi": np.quantile(gap, 0.975), "share_positive": (gap > 0).mean()}], "term string, mean double, lo double, hi double, share_positive double")
+
+
+query("m15_predictive_margins", _margins)
+
+
+def _effects(c):
+    a = model_arrays(c)
+    names, x, _ = _design(a)
+    fit, rows = _logit(a), []
+    for n in names[1:]:
+        low, high = x.copy(), x.copy()
+        if set(np.unique(x[:, names.index(n)]).tolist()) <= {0.0, 1.0}:
+            low[:, names.index(n)], high[:, names.index(n)] = 0, 1
+        else:
+            high[:, names.index(n)] += x[:, names.index(n)].std()
+        effect, se = M.marginal_effect(fit, low, high)
+        rows.append({"term": n, "effect": effect, "se": se, "p": M.normal_two_sided(effect / se)})
+    return frame(c.spark, rows, "term string, effect double, se double, p double")
+
+
+query("m16_marginal_effects", _effects)
+
+
+def _slopes(c):
+    fit = _logit(model_arrays(c), interaction=True)
+    rows = []
+    for n in [k for k in fit.names if k.startswith("kind[")]:
+        slope, se = fit.combination({"log_dose": 1.0, f"log_dose:{n}": 1.0})
+        rows.append({"level": n, "slope": slope, "se": se})
+    return frame(c.spark, rows, "level string, slope double, se double")
+
+
+query("m17_exposure_slopes", _slopes)
+
+
+def _mediation(c):
+    a = model_arrays(c)
+    keep = ["const", "decade"]
+    names, x, y = _design(a)
+    out = M.mediation(x[:, [names.index(k) for k in keep]], keep, y, "decade", a["log_dose"], a["block"])
+    if not np.isclose(out["loglik_total"], out["loglik_direct"]) or not np.isclose(out["total"], out["direct"] + out["indirect"], atol=1e-6):
+        raise AssertionError("the decomposition does not add up")
+    return frame(c.spark, [out], "total double, direct double, indirect double")
+
+
+query("m18_mediation", _mediation)
+
+
+def _stage_bootstrap(c, n: int = DRAWS):
+    a = model_arrays(c)
+    rows = blocks_of(a["block"])
+
+    def ratio(at):
+        part = {k: v[at] for k, v in a.items()}
+        fit = _logit(part)
+        return M.tolerance_ratio(fit, "green", "log_dose")["ratio"]
+
+    found = draws(c, n, lambda rng: {"log_ratio": float(np.log(ratio(resampled(rng, rows))))}, "log_ratio double")
+    side = F.least(F.avg((F.col("log_ratio") <= 0).cast("int")), F.avg((F.col("log_ratio") >= 0).cast("int")))
+    return found.agg(F.count("*").alias("converged"), F.percentile("log_ratio", 0.025).alias("lo"), F.percentile("log_ratio", 0.975).alias("hi"), F.least(F.lit(1.0), F.greatest(2 * side, 1 / F.count("*"))).alias("p"))
+
+
+query("m19_cluster_bootstrap", _stage_bootstrap)
+
+
+def _cells(c) -> DataFrame:
+    """Weights that give each group the other group's cell shares, from counts alone."""
+    rows = c.assessed.where("year_built is not null").withColumn("cell", F.concat_ws("|", "kind", B.cut(F.col("year_built"), [1992, 2009], ["old", "middle", "new"])))
+    counts = rows.groupBy("cell").agg(F.count_if(F.col("grp") == "A").alias("a"), F.count_if(F.col("grp") == "B").alias("b"))
+    total = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    share = counts.join(F.broadcast(total)).select("cell", (F.col("a") / F.col("ta")).alias("a"), (F.col("b") / F.col("tb")).alias("b"))
+    both = share.select("cell", F.explode(F.array(F.struct(F.lit("A").alias("grp"), F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.lit("B").alias("grp"), F.col("b").alias("own"), F.col("a").alias("other")))).alias("e"))
+    return both.where("e.own > 0").select("cell", "e.grp", F.least(F.lit(10.0), F.col("e.other") / F.col("e.own")).alias("weight"))
+
+
+query(
+    "m20_cell_weights",
+    lambda c: _cells(c).select("cell", "grp", _r(F.col("weight")).alias("weight")),
+    """SELECT cell, grp, round(least(10.0, other / own), 6) AS weight FROM (SELECT cell, unnest(['A', 'B']) AS grp, unnest([a / ta, b / tb]) AS own, unnest([b / tb, a / ta]) AS other FROM (
+  SELECT concat(kind, '|', CASE WHEN year_built < 1992 THEN 'old' WHEN year_built < 2009 THEN 'middle' ELSE 'new' END) AS cell, count(*) FILTER (WHERE grp = 'A') AS a, count(*) FILTER (WHERE grp = 'B') AS b FROM assessed WHERE year_built IS NOT NULL GROUP BY 1),
+  (SELECT count(*) FILTER (WHERE grp = 'A') AS ta, count(*) FILTER (WHERE grp = 'B') AS tb FROM assessed WHERE year_built IS NOT NULL)) WHERE own > 0""",
+)
+
+
+def swap_factor(a: dict, cell: np.ndarray) -> tuple[float, float]:
+    """Raw ratio of the groups' midpoints and the symmetric factor of swapping cell shares."""
+    own, swapped = {}, {}
+    for g, h in (("A", "B"), ("B", "A")):
+        i, j = a["grp"] == g, a["grp"] == h
+        x, y = a["dose_sum"][i], a["is_destroyed"][i]
+        bracket = (x.min() / 10, x.max() * 10)
+        own[g] = C.fit_curve(x, y).midpoint(*bracket)
+        swapped[g] = C.fit_curve(x, y, M.reweighting(cell[i], cell[j])).midpoint(*bracket)
+    return own["B"] / own["A"], float(np.sqrt(swapped["A"] / own["A"] * own["B"] / swapped["B"]))
+
+
+def _ladder(c):
+    a = model_arrays(c)
+    third = np.digitize(a["green"], np.quantile(a["green"], [1 / 3, 2 / 3]))
+    age = np.digitize(a["year"], [1992, 2009])
+    join = lambda *k: np.array(["|".join(map(str, t)) for t in zip(*(v.tolist() for v in k), strict=True)])
+    rows = []
+    for name, cell in (("materials", join(a["kind"], age)), ("vegetation", join(third)), ("full", join(a["kind"], age, third))):
+        try:
+            raw, factor = swap_factor(a, cell)
+        except ValueError:
+            raw = factor = float("nan")
+        rows.append({"step": name, "raw": raw, "factor": factor, "residual": raw / factor})
+    return frame(c.spark, rows, "step string, raw double, factor double, residual double")
+
+
+query("m21_standardisation", _ladder)
+
+
+# Matching and effects.
+COVARIATES = ["green", "year", "f_total", "log_dose"]
+
+
+def _matched(a: dict, caliper: float = 0.2):
+    p = M.propensity(a, COVARIATES, a["defended"].astype(float), a["grp"])
+    score = np.log(p / (1 - p))
+    return p, M.greedy_caliper_match(score, a["defended"], a["grp"], caliper * score.std(ddof=1))
+
+
+def _pairs(c):
+    a = model_arrays(c)
+    _, pairs = _matched(a)
+    return frame(c.spark, [{"pair": k, "treated": a["node"][t], "control": a["node"][u]} for k, (t, u) in enumerate(pairs)], "pair bigint, treated bigint, control bigint")
+
+
+query("m22_caliper_match", _pairs)
+query("j16_propensity_neighbors", lambda c: _pairs(c).agg(F.count("*").alias("pairs"), F.count_distinct("control").alias("controls")))
+
+
+def _side_arrays(c, threshold: float = 0.0):
+    side = X.directional(_timed(c)).select("node", "up_share", "down", "up", "down_escalation", "up_escalation")
+    rows = sample(c).where("exposed = 1 and green is not null and year_built is not null and defended is not null").join(side, "node").where((F.col("up_share") >= threshold) & F.col("down").isNotNull() & F.col("up").isNotNull())
+    return arrays(rows.select("node", "grp", "block", "kind", "log_dose", "dose_sum", "green", F.col("year_built").cast("double").alias("year"), "defended", "is_destroyed", "any_damage", "f_total", "x", "y", "up_share", "down", "up", "down_escalation", "up_escalation").orderBy("node"))
+
+
+def _rematched(c, threshold: float = 0.4):
+    a = _side_arrays(c, threshold)
+    return a, _matched(a)[1]
+
+
+query("m23_rematched", lambda c: frame(c.spark, [{"eligible": len((r := _rematched(c))[0]["node"]), "pairs": len(r[1])}], "eligible bigint, pairs bigint"))
+
+
+def _direct(c, n: int = DRAWS):
+    a = model_arrays(c)
+    _, pairs = _matched(a)
+    rows = np.array(pairs).ravel()
+    y, t, g = 1 - a["is_destroyed"][rows].astype(float), a["defended"][rows].astype(float), a["grp"][rows]
+    strata = [np.flatnonzero(g == k) for k in sorted(set(g.tolist()))]
+
+    def one(rng):
+        at = np.concatenate([rng.choice(s, len(s)) for s in strata])
+        return {"d": float(y[at][t[at] == 1].mean() - y[at][t[at] == 0].mean())}
+
+    band = interval(draws(c, n, one, "d double"), "d", n).first()
+    fit = M.ols(np.c_[np.ones(len(y)), t], y, ["const", "defended"], np.repeat(np.arange(len(pairs)), 2))
+    return frame(c.spark, [{"pairs": len(pairs), "difference_pp": 100 * (y[t == 1].mean() - y[t == 0].mean()), "lo": 100 * band["lo"], "hi": 100 * band["hi"], "p": M.normal_two_sided(fit.beta[1] / fit.se[1])}], "pairs bigint, difference_pp double, lo double, hi double, p double")
+
+
+query("m24_stratified_bootstrap", lambda c: _direct(c).select("difference_pp", "lo", "hi"))
+query("m25_direct_effect", _direct)
+
+
+def _pair_differences(a: dict, pairs, down: str = "down", up: str = "up"):
+    """Complete pairs' differences in survival and neighbour outcomes, with their group."""
+    t, u = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
+    whole = ~(np.isnan(a[down][t].astype(float)) | np.isnan(a[down][u].astype(float)) | np.isnan(a[up][t].astype(float)) | np.isnan(a[up][u].astype(float)))
+    t, u = t[whole], u[whole]
+    gap = lambda k: a[k][t].astype(float) - a[k][u].astype(float)
+    return np.stack([-gap("is_destroyed"), gap(down), gap(up)], axis=1), a["grp"][t]
+
+
+def _ratio(d: np.ndarray, g: np.ndarray) -> dict:
+    groups = sorted(set(g.tolist()))
+    w = np.array([(g == k).mean() for k in groups])
+    first, down, up = w @ np.array([d[g == k].mean(axis=0) for k in groups])
+    return {"first_stage": first, "down_contrast": down, "up_placebo": up, "directional_contrast": down - up, "local_ratio": (down - up) / first if first else float("nan")}
+
+
+_EFFECT = "first_stage double, down_contrast double, up_placebo double, directional_contrast double, local_ratio double"
+
+
+def _pair_bootstrap(c, n: int = DRAWS):
+    d, g = _pair_differences(*_rematched(c))
+    own = [np.flatnonzero(g == k) for k in sorted(set(g.tolist()))]
+
+    def one(rng):
+        at = np.concatenate([rng.choice(s, len(s)) for s in own])
+        return {k: float(v) for k, v in _ratio(d[at], g[at]).items()}
+
+    found = draws(c, n, one, _EFFECT)
+    return found.unpivot(["draw"], [x.split()[0] for x in _EFFECT.split(", ")], "quantity", "value").groupBy("quantity").agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"))
+
+
+query("m27_pair_bootstrap", _pair_bootstrap)
+
+
+def _spillover(c):
+    a, pairs = _rematched(c)
+    d, g = _pair_differences(a, pairs)
+    rows = np.array(pairs).ravel()
+    t, y = a["defended"][rows].astype(float), 1 - a["is_destroyed"][rows].astype(float)
+    fit = M.ols(np.c_[np.ones(len(y)), t], y, ["const", "defended"], robust=True)
+    out = [{"sample": "pooled", "pairs": len(g), "first_stage_f": float((fit.beta[1] / fit.se[1]) ** 2)} | _ratio(d, g)]
+    out += [{"sample": k, "pairs": int((g == k).sum()), "first_stage_f": float("nan")} | _ratio(d[g == k], g[g == k]) for k in sorted(set(g.tolist()))]
+    return frame(c.spark, out, f"sample string, pairs bigint, first_stage_f double, {_EFFECT}")
+
+
+query("m28_spillover", _spillover)
+
+
+def _stages(c):
+    a, pairs = _rematched(c)
+    rows = []
+    for name, down, up in (("destruction", "down", "up"), ("given damage", "down_escalation", "up_escalation")):
+        d, g = _pair_differences(a, pairs, down, up)
+        if len(g):
+            rows.append({"outcome": name, "pairs": len(g)} | _ratio(d, g))
+    return frame(c.spark, rows, f"outcome string, pairs bigint, {_EFFECT}")
+
+
+query("m29_stage_table", _stages)
+
+
+def _mechanism(c):
+    a = _side_arrays(c)
+    z = lambda v: (v - v.mean()) / v.std(ddof=1)
+    names, x = M.design({k: z(a[k].astype(float)) for k in ("up_share", "f_total", "green")}, {"grp": (a["grp"], ["A", "B"])})
+    rows = []
+    for outcome in ("is_destroyed", "any_damage"):
+        fit = M.logit(x, a[outcome].astype(float), names, a["block"])
+        for n in names[1:4]:
+            high = x.copy()
+            high[:, names.index(n)] += 1
+            effect, se = M.marginal_effect(fit, x, high)
+            rows.append({"outcome": outcome, "term": n, "effect_per_sd": effect, "se": se})
+    return frame(c.spark, rows, "outcome string, term string, effect_per_sd double, se double")
+
+
+query("m30_mechanism", _mechanism)
+
+
+def _isolation(c, n: int = DRAWS, apart: float = 150.0):
+    a, pairs = _rematched(c)
+    t = np.array([p[0] for p in pairs], int)
+    treated = np.flatnonzero(a["defended"] == 1)
+    near = np.array([np.sort(np.hypot(a["x"][treated] - a["x"][i], a["y"][treated] - a["y"][i]))[1] for i in t])
+    d, g = _pair_differences(a, pairs)
+    block = a["block"][t][: len(d)]
+    rows = blocks_of(block)
+    found = draws(c, n, lambda rng: {"v": float(_ratio(d[(k := resampled(rng, rows))], g[k])["directional_contrast"])}, "v double").agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi")).first()
+    lone = near[: len(d)] > apart
+    return frame(c.spark, [{"lo": found["lo"], "hi": found["hi"], "isolated_pairs": int(lone.sum()), "isolated": d[lone, 1].mean() - d[lone, 2].mean() if lone.any() else float("nan"), "clustered": d[~lone, 1].mean() - d[~lone, 2].mean() if (~lone).any() else float("nan")}], "lo double, hi double, isolated_pairs bigint, isolated double, clustered double")
+
+
+query("m31_isolation_split", _isolation)
+
+
+def _grid(c):
+    """Directional contrast over windows and radii of the time join: one plan for the whole grid."""
+    timed = X.timed_edges(c.assessed.select("node", "grp", "arrival", "defended", "is_destroyed", "any_damage"), c.edges, 4.0)
+    grid = F.broadcast(c.spark.createDataFrame([(w, s) for w in (1.0, 2.0, 4.0) for s in (0.0, 0.05)], "band double, least double"))
+    met = timed.join(grid, (F.abs("dt") <= F.col("band")) & (F.col("vf") >= F.col("least"))).where("defended = 0")
+    own = met.groupBy("band", "least", "node").agg(F.avg(F.when(F.col("dt") > 0, F.col("is_destroyed"))).alias("down"), F.avg(F.when(F.col("dt") < 0, F.col("is_destroyed"))).alias("up"))
+    return own.groupBy("band", "least").agg(F.count("*").alias("n"), _r(F.avg("down"), 4).alias("down"), _r(F.avg("up"), 4).alias("up"))
+
+
+_GRID = "SELECT band, least, count(*) AS n, round(avg(down), 4) AS down, round(avg(up), 4) AS up FROM (SELECT band, least, node, avg(is_destroyed) FILTER (WHERE dt > 0) AS down, avg(is_destroyed) FILTER (WHERE dt < 0) AS up FROM (SELECT f.node, d.vf, s.arrival - f.arrival AS dt, s.is_destroyed FROM directed d JOIN assessed f ON f.node = d.receiver JOIN assessed s ON s.node = d.emitter AND s.grp = f.grp WHERE s.defended = 0 AND s.arrival <> f.arrival), (SELECT unnest([1.0, 2.0, 4.0]) AS band), (SELECT unnest([0.0, 0.05]) AS least) WHERE abs(dt) <= band AND vf >= least GROUP BY 1, 2, 3) GROUP BY 1, 2"
+query("m32_sensitivity_grid", _grid, _GRID)
+query("d15_arrival_clocks", lambda c: _grid(c).where("least = 0").select("band", "n"), f"SELECT band, n FROM ({_GRID}) WHERE least = 0")
+
+
+# Nulls.
+def _class_table(c) -> DataFrame:
+    rows = c.assessed.select("grp", "is_destroyed", F.col("size").alias("component_size"), F.lit(True).alias("assessed"))
+    return B.size_classes(rows).groupBy("grp", "size_class").agg(F.count("*").alias("n"), F.sum("is_destroyed").alias("k"))
+
+
+def _shuffle(c, n: int = 999):
+    table = _class_table(c).orderBy("grp", "size_class").toPandas()  # a few classes for each group
+    rows, pooled = [], 0
+    for g, own in table.groupby("grp"):
+        members, hit = own["n"].to_numpy(int), own["k"].to_numpy(int)
+        null = M.shuffle_null(members, hit.sum(), n, seed=1) / members
+        seen = hit / members
+        rows.append({"grp": g, "difference": seen[-1] - seen[0], "p": M.one_sided_p(null[:, -1] - null[:, 0], seen[-1] - seen[0]), "null_lo": np.quantile(null[:, -1], 0.025), "null_hi": np.quantile(null[:, -1], 0.975)})
+        pooled = pooled + M.shuffle_null(members, hit.sum(), n, seed=1)
+    both = table.groupby("size_class")[["n", "k"]].sum()
+    share, null = both["k"].to_numpy() / both["n"].to_numpy(), pooled / both["n"].to_numpy()
+    rows.append({"grp": "POOLED", "difference": share[-1] - share[0], "p": M.one_sided_p(null[:, -1] - null[:, 0], share[-1] - share[0]), "null_lo": np.quantile(null[:, -1], 0.025), "null_hi": np.quantile(null[:, -1], 0.975)})
+    return frame(c.spark, rows, "grp string, difference double, p double, null_lo double, null_hi double")
+
+
+query("m33_class_shuffle", _shuffle)
+
+
+def _doubling(c):
+    rows = c.assessed.select("grp", "is_destroyed", F.col("size"), B.doubling_bin(F.col("size")).alias("bin"))
+    out = S.with_pooled(rows, "grp", ["bin"], [F.count("*").alias("assessed"), F.sum("is_destroyed").alias("destroyed"), F.exp(F.avg(F.log("size"))).alias("position")])
+    lo, hi = S.wilson(F.col("destroyed").cast("double"), F.col("assessed").cast("double"))
+    return out.select("grp", "bin", "assessed", "destroyed", _r(F.col("position")).alias("position"), _r(lo).alias("lo"), _r(hi).alias("hi"))
+
+
+query(
+    "m34_doubling_bins",
+    _doubling,
+    """SELECT grp, bin, assessed, destroyed, round(position, 6) AS position, round(least((p + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) - h, p), 6) AS lo, round(greatest((p + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) + h, p), 6) AS hi FROM (
+  SELECT *, 1.959963984540054 * sqrt(p * (1 - p) / n + 3.841458820694124 / (4.0 * n * n)) / (1 + 3.841458820694124 / n) AS h FROM (
+    SELECT CASE WHEN grouping(b.grp) = 1 THEN 'POOLED' ELSE b.grp END AS grp, bin, count(*) AS assessed, CAST(sum(is_destroyed) AS BIGINT) AS destroyed, exp(avg(ln(size))) AS position, avg(is_destroyed) AS p, CAST(count(*) AS DOUBLE) AS n
+    FROM (SELECT *, CAST(CASE WHEN size > 1 THEN ceil(log2(size)) ELSE 0 END AS INTEGER) AS bin FROM assessed) b GROUP BY GROUPING SETS ((b.grp, bin), (bin))))""",
+)
+
+
+def _shared_fate(c, n: int = 49):
+    """Entropy within components at each cutoff, against shuffles of the outcome within groups."""
+    cutoffs = [0.06, 0.07, 0.08, 0.09, 0.1]
+    swept = L.sweep(c.nodes, L.eeat_weights(c.bonds), cutoffs).join(c.assessed.select("node", "grp", "is_destroyed"), "node")
+    rows = arrays(swept.select("threshold", "component_id", "node", "grp", "is_destroyed").orderBy("threshold", "node"))
+    seen = {t: np.flatnonzero(rows["threshold"] == t) for t in cutoffs}
+    first = seen[cutoffs[0]]
+    outcome, strata = rows["is_destroyed"][first].astype(float), [np.flatnonzero(rows["grp"][first] == g) for g in ("A", "B")]
+    labels = {t: rows["component_id"][i] for t, i in seen.items()}
+
+    def one(rng):
+        y = outcome.copy()
+        for s in strata:
+            y[s] = rng.permutation(y[s])
+        return {f"e{k}": M.entropy_by_label(labels[t], y) for k, t in enumerate(cutoffs)}
+
+    names = [f"e{k}" for k in range(len(cutoffs))]
+    null = draws(c, n, one, ", ".join(f"{k} double" for k in names)).agg(*[F.percentile(k, [0.025, 0.5, 0.975]).alias(k) for k in names]).first()
+    return frame(c.spark, [{"cutoff": t, "entropy": M.entropy_by_label(labels[t], outcome), "null_lo": null[k][0], "null_mid": null[k][1], "null_hi": null[k][2]} for k, t in zip(names, cutoffs, strict=True)], "cutoff double, entropy double, null_lo double, null_mid double, null_hi double")
+
+
+query("m35_shared_fate", _shared_fate)
+
+
+def _rescaled(c):
+    fit = _pooled_curve(c)
+    mid = (fit.p_min + fit.p_max) / 2
+    new = fit.scaled_to(mid, 0.25)
+    return frame(c.spark, [{"k": fit.k, "k_scaled": new.k, "reached": new.exposure_at(mid)}], "k double, k_scaled double, reached double")
+
+
+query("m36_rescaled_curve", _rescaled)
+query("m37_mean_threshold", lambda c: fits(c).where("f50 is not null").agg(F.avg("f50").alias("threshold"), F.count("*").alias("n")))
+
+
+def _bands(c):
+    a = model_arrays(c)
+    names, x, _ = _design(a)
+    grid = np.linspace(a["log_dose"].min(), a["log_dose"].max(), 80)
+    rows = np.tile(x.mean(axis=0), (80, 1))
+    rows[:, names.index("log_dose")] = grid
+    band = M.curve_band(_logit(a), rows)
+    return frame(c.spark, [{"log_dose": g, "p": b[0], "lo": b[1], "hi": b[2]} for g, b in zip(grid, band, strict=True)], "log_dose double, p double, lo double, hi double")
+
+
+query("m38_probability_bands", _bands)
+
+
+def _with_without(c):
+    a = model_arrays(c)
+    names, x, y = _design(a)
+    without = [i for i, n in enumerate(names) if n != "log_dose"]
+    full, part = M.logit(x, y, names, a["block"]), M.logit(x[:, without], y, [names[i] for i in without], a["block"])
+    line = M.ols(np.c_[np.ones(len(y)), a["green"]], a["log_dose"], ["const", "green"], a["block"])
+    return frame(c.spark, [{"odds_with": float(np.exp(full.beta[full.at("green")])), "odds_without": float(np.exp(part.beta[part.at("green")])), "slope": line.beta[1], "slope_se": line.se[1]}], "odds_with double, odds_without double, slope double, slope_se double")
+
+
+query("m39_with_and_without_exposure", _with_without)
+
+
+def _rendered(c):
+    a = model_arrays(c)
+    rows = [{"term": r["term"], "model": m, "text": f"{r['coef']:.2f}{M.stars(r['p'])} ({100 * (np.exp(r['coef'] * np.log(1.1)) - 1):.0f}%)"} for m in ("is_destroyed", "any_damage") for r in _logit(a, m).table()]
+    return frame(c.spark, rows, "term string, model string, text string").groupBy("term").pivot("model", ["is_destroyed", "any_damage"]).agg(F.first("text"))
+
+
+query("m40_regression_table", _rendered)
+
+
+# Composite samples.
+def construction_samples(rows: DataFrame) -> dict[str, DataFrame]:
+    """Nested populations: exposed, not defended, of known class, complete."""
+    exposed = rows.where("exposed = 1")
+    plain = exposed.where(~F.coalesce(F.col("defended") == 1, F.lit(False)))
+    known = plain.where(~S.unknown_value(F.col("eaves")))
+    return {"exposed": exposed, "undefended": plain, "known": known, "complete": known.na.drop(subset=["green", "year_built"])}
+
+
+def _samples(c):
+    out = None
+    for name, df in construction_samples(sample(c)).items():
+        one = df.agg(F.lit(name).alias("sample"), F.count("*").alias("n"), F.sum("is_destroyed").alias("destroyed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_EXPOSED = "(SELECT a.* FROM assessed a WHERE node IN (SELECT r.node FROM assessed r JOIN directed d ON d.receiver = r.node JOIN assessed s ON s.node = d.emitter AND s.grp = r.grp WHERE s.is_destroyed = 1 AND d.vf > 0))"
+_PLAIN = "coalesce(defended, 0) <> 1"
+_KNOWN = f"{_PLAIN} AND NOT (eaves IS NULL OR lower(trim(eaves)) IN ('', 'unknown', 'nan', 'none'))"
+query(
+    "d07_construction_samples",
+    _samples,
+    " UNION ALL ".join(f"SELECT '{n}' AS sample, count(*) AS n, CAST(sum(is_destroyed) AS BIGINT) AS destroyed FROM {_EXPOSED} WHERE {w}" for n, w in (("exposed", "true"), ("undefended", _PLAIN), ("known", _KNOWN), ("complete", f"{_KNOWN} AND green IS NOT NULL AND year_built IS NOT NULL"))),
+)
+query(
+    "d03_nearest_and_exposure",
+    lambda c: sample(c).where("exposed = 1").agg(_r(F.corr(F.log("price"), F.col("log_dose")), 4).alias("r"), F.count("*").alias("n")),
+)
+query(
+    "d06_timed_edges",
+    lambda c: _timed(c).groupBy("grp").agg(F.count("*").alias("n"), _r(F.avg("dt"), 4).alias("mean_dt")),
+    "SELECT f.grp, count(*) AS n, round(avg(s.arrival - f.arrival), 4) AS mean_dt FROM directed d JOIN assessed f ON f.node = d.receiver JOIN assessed s ON s.node = d.emitter AND s.grp = f.grp WHERE abs(s.arrival - f.arrival) <= 3 AND s.arrival <> f.arrival GROUP BY 1",
+)
+
+
+def _depth(c):
+    """Share of affected neighbours by distance to the perimeter, in quantile bins."""
+    from tessera.operators import joins as J
+
+    sides = ((500, 500, 6000, 500), (6000, 500, 6000, 6000), (6000, 6000, 500, 6000), (500, 6000, 500, 500))
+    depth = F.least(*[J.segment_distance(F.col("x"), F.col("y"), *[F.lit(float(v)) for v in s]) for s in sides])
+    rows = c.assessed.where("x between 500 and 6000 and y between 500 and 6000").withColumn("depth", depth)
+    points = rows.select(F.col("node").alias("id"), "x", "y")
+    near = J.within_distance(points, points, 800.0).where("a <> b").join(c.assessed.select(F.col("node").alias("b"), "is_destroyed"), "b").groupBy(F.col("a").alias("node")).agg(F.avg("is_destroyed").alias("share"))
+    binned = B.quantile_bins(rows.select("node", "depth").join(near, "node"), "depth", 5)
+    return binned.groupBy("bin").agg(F.count("*").alias("n"), _r(F.avg("depth"), 4).alias("depth"), _r(F.avg("share"), 4).alias("share"))
+
+
+query("d10_depth_profile", _depth)
