@@ -1 +1 @@
-"""See the README for what this part holds."""
+"""Curves and models on NumPy arrays, for use in grouped pandas functions and on small samples."""

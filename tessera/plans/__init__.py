@@ -1 +1 @@
-"""See the README for what this part holds."""
+"""Queries over the test tables and their SQL."""

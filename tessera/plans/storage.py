@@ -1 +1,123 @@
-"""To come."""
+"""Scans, sinks and caches over the test tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tessera.operators import linkage as L
+from tessera.plans.base import query
+from tessera.plans.graph import TAU, _EEAT
+from tessera.session import checkpoint_folder
+from tessera.sources import readers as R
+from tessera.sources import sinks as K
+
+
+def _path(c, *names: str) -> list[str]:
+    return [f"{c.dir}/{n}.parquet" for n in names]
+
+
+def _folder(c) -> str:
+    return f"{checkpoint_folder(c.spark)}/{uuid.uuid4().hex}"
+
+
+query("s01_scan", lambda c: R.parquet(c.spark, *_path(c, "lineitem")).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q")), "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1, 2", raw=True)
+query("s02_file_list", lambda c: R.parquet(c.spark, *_path(c, "nation", "nation")).groupBy("n_regionkey").agg(F.count("*").alias("n")), "SELECT n_regionkey, count(*) AS n FROM (SELECT * FROM nation UNION ALL SELECT * FROM nation) GROUP BY 1", raw=True)
+query("s03_union_by_name", lambda c: R.parquet(c.spark, *_path(c, "nation", "region"), merge=True).select("n_nationkey", "n_name", "r_regionkey", "r_name"), "SELECT n_nationkey, n_name, NULL::INTEGER AS r_regionkey, NULL AS r_name FROM nation UNION ALL SELECT NULL, NULL, r_regionkey, r_name FROM region", raw=True)
+query("s04_columns", lambda c: R.parquet(c.spark, *_path(c, "orders"), columns=["o_orderkey", "o_totalprice"]), "SELECT o_orderkey, o_totalprice FROM orders", raw=True)
+query("s05_row_filter", lambda c: R.parquet(c.spark, *_path(c, "part")).where(F.col("p_partkey").isin(3, 5, 8, 999999)).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (3, 5, 8, 999999)", raw=True)
+query("s06_box", lambda c: R.parquet(c.spark, *_path(c, "lineitem")).where(R.in_box("l_quantity", "l_discount", 5, 0.02, 10, 0.04)).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 5 AND 10 AND l_discount BETWEEN 0.02 AND 0.04", raw=True)
+query("s12_frame_as_table", lambda c: c.spark.sql("SELECT grp, count(*) AS n FROM {nodes} GROUP BY grp", nodes=c.nodes), "SELECT grp, count(*) AS n FROM nodes GROUP BY grp")
+query("s13_parameters", lambda c: c.spark.sql("SELECT node FROM {nodes} WHERE x BETWEEN :lo AND :hi", args={"lo": 100.0, "hi": 900.0}, nodes=c.nodes), "SELECT node FROM nodes WHERE x BETWEEN 100 AND 900")
+query("s16_schema", lambda c: c.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in c.table("part").schema], "name string, type string"), "SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS name, unnest(['bigint', 'string', 'string', 'string', 'int', 'double']) AS type", raw=True)
+
+
+def _point(c):
+    row = R.lookup(c.nodes.select("source_id", F.col("node").cast("string").alias("text"), "node"), "42", "source_id", "text")
+    return c.spark.createDataFrame([(row["node"],)], "node bigint")
+
+
+query("s17_point_lookup", _point, "SELECT node FROM nodes WHERE node = 42")
+
+
+def _round_trip(c):
+    path = _folder(c)
+    K.write_atomic(c.bonds.where("f >= 0.06"), path)
+    return c.spark.read.parquet(path).select("i", "j")
+
+
+query("k01_parquet_round_trip", _round_trip, "SELECT i, j FROM bonds WHERE f >= 0.06")
+
+
+def _csv(c):
+    path = _folder(c)
+    c.nodes.select("node", "grp", "size").write.option("header", True).csv(path)
+    return R.csv(c.spark, path, "node bigint, grp string, size int")
+
+
+query("k03_csv_round_trip", _csv, "SELECT node, grp, size FROM nodes")
+query("s10_csv_scan", lambda c: _csv(c).groupBy("grp").agg(F.sum("size").alias("s")), "SELECT grp, CAST(sum(size) AS BIGINT) AS s FROM nodes GROUP BY grp")
+
+
+def _manifest(c):
+    path = f"{_folder(c)}/manifest.json"
+    K.write_text(c.spark, path, '{\n"model": "m", "tile_count": 3,\n"config": {"max_distance_m": 100.0, "tile_size_m": 500}}')
+    return R.manifest(c.spark, path).select("model", "tile_count", F.col("config.max_distance_m").alias("reach"))
+
+
+query("s11_manifest", _manifest, "SELECT 'm' AS model, CAST(3 AS BIGINT) AS tile_count, CAST(100.0 AS DOUBLE) AS reach", raw=True)
+
+
+def _bundle(c):
+    """Nodes, components and summary, cached by their parameters; the second call reads them back."""
+
+    def build():
+        state = L.states(c.nodes, L.active(L.eeat_weights(c.bonds), TAU)).select("node", "component_id", "component_size")
+        parts = state.groupBy("component_id").agg(F.count("*").alias("size"))
+        return {"nodes": state, "components": parts, "summary": parts.agg(F.count("*").alias("components"), F.max("size").alias("largest"))}
+
+    path, asked = _folder(c), {"method": "eeat", "threshold": TAU, "source": K.source_signature(c.spark, f"{c.dir}/lineitem.parquet")}
+    K.cached(c.spark, path, asked, build)
+
+    def never():
+        raise AssertionError("the cache was not used")
+
+    return K.cached(c.spark, path, asked | {"threshold": TAU + 1e-17}, never)["summary"]
+
+
+query("k05_parameter_cache", _bundle, "SELECT count(DISTINCT component_id) AS components, max(component_size) AS largest FROM state", _EEAT)
+query("k06_bundle", lambda c: _bundle(c).select("components"), "SELECT count(DISTINCT component_id) AS components FROM state", _EEAT)
+
+
+def _view(c):
+    c.nodes.where("grp = 'A'").createOrReplaceTempView("tessera_session_nodes")
+    return c.spark.sql("SELECT count(*) AS n FROM tessera_session_nodes")
+
+
+query("k07_session_table", _view, "SELECT count(*) AS n FROM nodes WHERE grp = 'A'")
+
+
+def _inventory(c):
+    path = _folder(c)
+    K.write_text(c.spark, f"{path}/a.txt", "abc")
+    K.write_text(c.spark, f"{path}/b/c.txt", "d")
+    return R.inventory(c.spark, path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "bytes", "sha256")
+
+
+query("k09_inventory", _inventory, "SELECT unnest(['a.txt', 'c.txt']) AS name, unnest([3, 1]) AS bytes, unnest([sha256('abc'), sha256('d')]) AS sha256", raw=True)
+
+
+def _validators(c):
+    found = R.check_columns(c.spark, {f"{c.dir}/part.parquet": ["p_partkey"], f"{c.dir}/nation.parquet": ["n_name", "missing_column"]})
+    return c.spark.createDataFrame([(m.split("lacks")[-1].strip(),) for m in found], "problem string")
+
+
+query("d13_validators", _validators, "SELECT 'columns: missing_column' AS problem", raw=True)
+query("d14_filtered_copy", lambda c: _copy(c), "SELECT node, kind FROM nodes WHERE node IN (1, 2, 3)")
+
+
+def _copy(c):
+    path = _folder(c)
+    K.write_atomic(c.nodes.where(F.col("node").isin(1, 2, 3)).select("node", "kind"), path)
+    return c.spark.read.parquet(path)

@@ -1 +1 @@
-"""See the README for what this part holds."""
+"""Readers, writers and caches."""

@@ -1 +1 @@
-"""See the README for what this part holds."""
+"""Structured Streaming counterparts of batch operators."""
