@@ -12,5 +12,6 @@ from pyspark.sql import functions as F
 
 def windowed_arrivals(events: DataFrame, time: str = "ts", group: str = "event_type", value: str = "value", width: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
     """Count and value sum for each window and group; works on batch and streaming frames."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     windows = events.withWatermark(time, lateness).groupBy(F.window(time, width), group)
     return windows.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), group, "n", "total")

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SF
 
@@ -23,7 +24,7 @@ def normal(table):
     columns = sorted(table.columns)
 
     def cell(v):
-        if v is None or v != v:
+        if v is None or (np.isscalar(v) or v is pd.NA or v is pd.NaT) and pd.isna(v):
             return ""
         if isinstance(v, bool | np.bool_):
             return str(bool(v))
