@@ -56,7 +56,7 @@ class TextModel:
 
     def likelihoods(self, text: str) -> list[float]:
         """Tempered log likelihoods, at most 0 and at least -MOST_NATS; all 0 for no text."""
-        if not text:
+        if not text or not self.langs:
             return [0.0] * len(self.langs)
         counts = np.bincount(_grams(text).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(counts)
