@@ -23,7 +23,7 @@ bonds AS (SELECT i, j, least(1.0, greatest(f_ij, f_ji)) AS f FROM edges),
 inc AS (SELECT i AS node, j AS neighbor, f FROM bonds UNION ALL SELECT j, i, f FROM bonds),
 directed AS (SELECT i AS receiver, j AS emitter, f_ij AS vf FROM edges UNION ALL SELECT j, i, f_ji FROM edges),
 nodes AS (SELECT p_partkey AS node,
-    CASE WHEN p_partkey % 17 = 0 THEN 'None' WHEN p_partkey % 13 = 0 THEN concat('dup', CAST(p_partkey % 5 AS VARCHAR)) WHEN p_partkey % 19 = 0 THEN NULL
+    CASE WHEN p_partkey % 17 = 0 THEN 'None' WHEN p_partkey % 13 = 0 THEN concat('dup', CAST(p_partkey // 39 AS VARCHAR)) WHEN p_partkey % 19 = 0 THEN NULL
       ELSE concat('S', CAST(p_partkey AS VARCHAR)) END AS source_id,
     CAST((p_partkey * 7919) % 10007 AS DOUBLE) AS x, CAST((p_partkey * 104729) % 10009 AS DOUBLE) AS y,
     CASE WHEN CAST(replace(p_brand, 'Brand#', '') AS INTEGER) % 2 = 0 THEN 'A' ELSE 'B' END AS grp,
@@ -97,7 +97,7 @@ class Context:
         text = p.cast("string")
         return self.table("part").select(
             p.alias("node"),
-            F.when(p % 17 == 0, "None").when(p % 13 == 0, F.concat(F.lit("dup"), (p % 5).cast("string"))).when(p % 19 == 0, None).otherwise(F.concat(F.lit("S"), text)).alias("source_id"),
+            F.when(p % 17 == 0, "None").when(p % 13 == 0, F.concat(F.lit("dup"), F.floor(p / 39).cast("string"))).when(p % 19 == 0, None).otherwise(F.concat(F.lit("S"), text)).alias("source_id"),
             ((p * 7919) % 10007).cast("double").alias("x"),
             ((p * 104729) % 10009).cast("double").alias("y"),
             F.when(F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit("")).cast("int") % 2 == 0, "A").otherwise("B").alias("grp"),

@@ -133,12 +133,12 @@ _DOSE2 = """SELECT m.graph_id, m.source_id, m.is_destroyed, coalesce(d.neighbors
 FROM matched m LEFT JOIN (SELECT r.graph_id, count(d.emitter) AS neighbors, count(e.graph_id) AS known_neighbors, count(*) FILTER (WHERE e.is_destroyed = 1) AS n_destroyed,
     sum(CASE WHEN e.is_destroyed = 1 THEN d.vf ELSE 0 END) AS dose_sum, max(CASE WHEN e.is_destroyed = 1 THEN d.vf ELSE 0 END) AS dose_max
   FROM matched r LEFT JOIN (SELECT i AS emitter, j AS receiver, f_ij AS vf FROM edges UNION ALL SELECT j, i, f_ji FROM edges) d ON r.graph_id = d.receiver LEFT JOIN matched e ON d.emitter = e.graph_id GROUP BY r.graph_id) d USING (graph_id)"""
-_MATCHED = "SELECT * FROM (WITH matched AS (SELECT m.node AS graph_id, a.source_id, a.is_destroyed FROM assessed a JOIN nodes m ON a.source_id = m.source_id) {})"
-query("d02_dose_by_source", lambda c: _rounded(X.dose_by_source(c.assessed.select("source_id", "is_destroyed"), c.nodes.select("node", "source_id"), c.edges), "dose_sum", "dose_max"), _MATCHED.format(_DOSE2))
+_MATCHED = "SELECT * FROM (WITH matched AS (SELECT m.node AS graph_id, a.source_id, a.is_destroyed FROM assessed a JOIN nodes m ON a.source_id = m.source_id AND m.source_id <> 'None') {})"
+query("d02_dose_by_source", lambda c: _rounded(X.dose_by_source(c.assessed.select("source_id", "is_destroyed"), c.nodes.where("source_id <> 'None'").select("node", "source_id"), c.edges), "dose_sum", "dose_max"), _MATCHED.format(_DOSE2))
 query(
     "j04_non_unique_map",
-    lambda c: c.assessed.select("source_id", "is_destroyed").join(c.nodes.select("source_id", F.col("node").alias("graph_id")), "source_id").groupBy("graph_id").agg(F.count("*").alias("n")),
-    "SELECT m.node AS graph_id, count(*) AS n FROM assessed a JOIN nodes m ON a.source_id = m.source_id GROUP BY 1",
+    lambda c: c.assessed.select("source_id", "is_destroyed").join(c.nodes.where("source_id <> 'None'").select("source_id", F.col("node").alias("graph_id")), "source_id").groupBy("graph_id").agg(F.count("*").alias("n")),
+    "SELECT m.node AS graph_id, count(*) AS n FROM assessed a JOIN nodes m ON a.source_id = m.source_id AND m.source_id <> 'None' GROUP BY 1",
 )
 query(
     "j05_crosswalk",
