@@ -11,9 +11,8 @@ rank names the seat. The plan has a few rows per length, whatever the number of
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,6 +27,17 @@ CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
+#: Cuts of a text whose ids a worker keeps, twice over, and the longest of them: some 100 MB.
+CACHED_WORDS = 1 << 18
+LONGEST_WORD = 32
+
+# The white space of the Unicode standard, and ASCII punctuation but the apostrophe of contractions.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_MARKS = r"!-&(-/:-@\[-`{-~"
+#: Letters and digits up to a mark or white space; else all up to white space; a run of white
+#: space but its last character, which goes with the next word if it is a space.
+_CUTS = re.compile(rf" ?[^\W_]++(?=[{_WHITE}{_MARKS}]|\Z)| ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
+_END = np.array([END], "<u4").tobytes()
 
 
 class Placement(NamedTuple):
@@ -98,34 +108,39 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return plan
 
 
-class _Encoder:
+class _Encoder(dict):
     """Token ids of the public byte-level vocabulary, as little-endian unsigned 32-bit words.
 
-    The ranks file holds the same merges as the JSON file and gives the same ids several times
-    faster; a text with the special token's own string goes to the JSON file's library.
+    All ids come from ``tokenizers``. It cuts a text into parts before it merges anything, and
+    parts never share a token, so a text is cut at places where the library surely cuts, and the
+    ids of a cut are kept: the dict maps cuts to their ids' bytes, in two generations of bounded
+    size. A text with the special token's own string is encoded whole.
     """
 
-    def __init__(self, name: str) -> None:
+    def __init__(self, name: str, most: int = CACHED_WORDS) -> None:
         import public_tokenizers
-        import tiktoken
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.full, self.most, self.older = Tokenizer.from_file(public_tokenizers.path(f"{name}.json")), most, {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.name, self.full = name, None
-        self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def __missing__(self, word: str) -> bytes:
+        raw = self.older.get(word)
+        if raw is None:
+            raw = self._whole(word)
+        if len(word) <= LONGEST_WORD:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[word] = raw
+        return raw
 
     def __call__(self, text: str) -> np.ndarray:
-        if SPECIAL in text:
-            if self.full is None:
-                import public_tokenizers
-                from tokenizers import Tokenizer
-
-                self.full = Tokenizer.from_file(public_tokenizers.path(f"{self.name}.json"))
-            ids = self.full.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(text)
-        ids.append(END)
-        return np.frombuffer(array("I", ids), "<u4")
+        raw = self._whole(text) if SPECIAL in text else b"".join(map(self.__getitem__, _CUTS.findall(text)))
+        return np.frombuffer(raw + _END, "<u4")
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -71,6 +71,25 @@ def test_ids_equal_the_json_vocabulary():
     assert encode(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
 
 
+PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+SMALL = packing._Encoder(packing.VOCABULARY, most=3)  # words leave the cache all the time
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(st.sampled_from("ab1 \n\t'\x1c\xa0\u2003.,;_sé½日"), max_size=25))
+def test_cuts_do_not_change_ids(text):
+    assert SMALL(text).tolist() == [*PLAIN.encode(text, add_special_tokens=False).ids, 2]
+    assert len(SMALL) <= 3
+
+
+def test_cuts_hold_for_all_kinds_of_characters():
+    encode = packing._Encoder(packing.VOCABULARY)
+    for code in [*range(0x3100), *range(0x3100, 0xD800, 37), *range(0xE000, 0x110000, 37)]:
+        c = chr(code)
+        text = f"a{c}b {c} 1{c} 2 .{c}!\n {c}  {c}{c}'{c} s{c}{c}  x \n{c}\n{c}, {c}; {c}a. "
+        assert encode(text).tolist() == [*PLAIN.encode(text, add_special_tokens=False).ids, 2], hex(code)
+
+
 def check(docs, rows, capacity=1024):
     encode = packing._Encoder(packing.VOCABULARY)
     own = {}
