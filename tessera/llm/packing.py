@@ -27,8 +27,8 @@ CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
-#: Cuts of a text whose ids a worker keeps, twice over, and the longest of them: some 100 MB.
-CACHED_WORDS = 1 << 18
+#: Cuts of a text whose ids a worker keeps, twice over, and the longest of them: some 200 MB.
+CACHED_WORDS = 1 << 19
 LONGEST_WORD = 32
 
 # The white space of the Unicode standard, and ASCII punctuation but the apostrophe of contractions.
