@@ -11,6 +11,7 @@ rank names the seat. The plan has a few rows per length, whatever the number of
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -143,6 +144,12 @@ class _Encoder(dict):
         return np.frombuffer(raw + _END, "<u4")
 
 
+@functools.cache
+def _encoder(vocabulary: str) -> _Encoder:
+    """One encoder for a worker process, whose words serve the tasks that follow."""
+    return _Encoder(vocabulary)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: the pieces of every row's token ids.
 
@@ -151,7 +158,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     """
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _Encoder(vocabulary)
+        encode = _encoder(vocabulary)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for n, text in enumerate(batch.column(1).to_pylist()):
