@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, packing, pii, quality, simhash
 from tessera.session import checkpoint_folder
 
+#: The workers that pack hold memory of the stages before, so they keep fewer words than a packing alone, and none for later stages.
+CACHED_WORDS = 1 << 16
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble does not reject."""
@@ -37,7 +40,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 1024 tokens."""
-    return packing.pack(docs).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(docs, cached_words=CACHED_WORDS, keep_encoder=False).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [

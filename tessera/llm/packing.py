@@ -145,23 +145,24 @@ class _Encoder(dict):
 
 
 @functools.cache
-def _encoder(vocabulary: str) -> _Encoder:
+def _encoder(vocabulary: str, most: int) -> _Encoder:
     """One encoder for a worker process, whose words serve the tasks that follow."""
-    return _Encoder(vocabulary)
+    return _Encoder(vocabulary, most)
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, cached_words: int = CACHED_WORDS, keep_encoder: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: the pieces of every row's token ids.
 
     A document's ids end with id 2; null and empty texts have that one id. Only documents of
-    more ids than ``capacity`` are cut: all pieces but the first are then full.
+    more ids than ``capacity`` are cut: all pieces but the first are then full. ``cached_words``
+    and ``keep_encoder`` (between the tasks of a worker) trade memory for time and change no result.
     """
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary)
+        encode = (_encoder if keep_encoder else _Encoder)(vocabulary, cached_words)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for n, text in enumerate(batch.column(1).to_pylist()):
+            for n, text in enumerate(x.as_py() for x in batch.column(1)):
                 ids = encode(text or "")
                 at, upto, k = 0, len(ids) % capacity or capacity, 0
                 while at < len(ids):
