@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, packing, pii, quality, simhash
+from tessera.llm import decontaminate, neardup, packing, pii, quality
 from tessera.session import checkpoint_folder
 
 #: The workers that pack hold memory of the stages before, so they keep fewer words than a packing alone, and none for later stages.
@@ -24,8 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_first(docs)
+    """One document of each group of near-duplicates: five-word shingles of similarity 0.8."""
+    return neardup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,157 @@
+"""One document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8.
+
+Two sets of similarity 0.8 differ in some ten of 64 similarity bits, and in up to twice as many,
+so no radius that bit blocks can search finds them all. Candidates therefore share a band of
+min-hashes: with 25 bands of 5 a pair of similarity 0.8 is met with probability 0.99995, and a
+closer one more surely. Every met pair is then checked on its whole sets of shingles.
+
+Texts of equal sets become one class, and all further work is on classes. Only classes that
+share a band with another one are sent with their shingles. A band's classes are held in parts
+of at most ``part_classes``; each class is sent to its own part and, asking, to those after it,
+which bounds the memory of a task whatever the skew.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.simhash import _LOWER, SEED
+from tessera.operators.components import star_components
+from tessera.session import durable
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 25, 5
+PART_CLASSES = 1024
+#: Classes whose keys may be broadcast to fetch their texts.
+BROADCAST_ROWS = 500_000
+
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (3, BANDS * ROWS), dtype=np.uint64)
+_XOR, _TIMES, _MIX = _DRAWN[0] * np.uint64(2), _DRAWN[1] * np.uint64(2) + np.uint64(1), (_DRAWN[2] * np.uint64(2) + np.uint64(1)).reshape(BANDS, ROWS)
+
+
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a shorter text is one shingle, a blank one none."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.empty(0, "<u8")
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - width + 1)
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), SEED) for i in range(n)), "<u8", n))
+
+
+def bands(own: np.ndarray) -> list[int]:
+    """One signed key for each band of min-hashes; none for an empty set."""
+    if not len(own):
+        return []
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(own), 4096):  # bounds memory on very long texts
+        np.minimum(least, ((own[at : at + 4096, None] ^ _XOR) * _TIMES).min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return (((rows ^ (rows >> np.uint64(29))) * _MIX).sum(axis=1, dtype=np.uint64)).view(np.int64).tolist()
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two sorted sets have so much Jaccard similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < similarity * len(b) - 1e-9:
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int(np.count_nonzero(b[at] == a))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+class _Part:
+    """Classes of one band with the groups that they form in it."""
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity = similarity
+        self.groups: list[list[tuple[int, np.ndarray]]] = []
+
+    def _met(self, own: np.ndarray) -> list[int]:
+        return [i for i, group in enumerate(self.groups) if any(similar(own, other, self.similarity) for _, other in group)]
+
+    def ask(self, key: int, own: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a class to the groups that hold a similar one."""
+        return [(key, self.groups[i][0][0]) for i in self._met(own)]
+
+    def add(self, key: int, own: np.ndarray) -> list[tuple[int, int]]:
+        met = self._met(own)
+        found = [(key, self.groups[i][0][0]) for i in met]
+        joined = [x for i in met for x in self.groups[i]] + [(key, own)]
+        self.groups = [g for i, g in enumerate(self.groups) if i not in set(met)] + [joined]
+        return found
+
+
+def _search(similarity: float):
+    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part = None, _Part(similarity)
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for band, bits, at, asks, key, raw in zip(*batch.columns, strict=True):
+                place = (band.as_py(), bits.as_py(), at.as_py())
+                if place != now:
+                    now, part = place, _Part(similarity)
+                own = np.frombuffer(raw.as_py(), "<u8")
+                out += part.ask(key.as_py(), own) if asks.as_py() else part.add(key.as_py(), own)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return per_partition
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t) for t in batch.column(3).to_pylist()]
+        keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["id", "row", "digest", "own", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["own", "raw"])
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a key of each row: hashes of its id (null ids, too) and of its text."""
+    return docs.withColumns({"__row": F.xxhash64(id_col), "__digest": F.xxhash64(F.col(text_col).cast("string"))})
+
+
+def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, part_classes: int = PART_CLASSES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``(__row, __digest)`` of one row of each group: the one of the least id, null ids last."""
+    keyed = _keyed(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.col("__digest").alias("digest"), F.col(text_col).cast("string").alias("text"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    signed = keyed.mapInArrow(_signatures, f"id {id_type}, row bigint, digest bigint, own bigint, bands array<bigint>")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "digest")).alias("first")
+    classes = durable(signed.groupBy("own").agg(first, F.any_value("bands").alias("bands")))
+    banded = classes.select("own", F.posexplode("bands").alias("band", "bits"))
+    sizes = banded.groupBy("band", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    placed = durable(banded.join(sizes, ["band", "bits"]).select("band", "bits", "own", F.ceil(F.col("n") / part_classes).cast("int").alias("parts")))
+    wanted = placed.select("own").distinct().join(classes.select("own", "first.row", "first.digest"), "own")
+    wanted = durable(wanted)
+    side = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    sets = keyed.join(side, ["row", "digest"]).select("own", "text").mapInArrow(_sets, "own bigint, raw binary").dropDuplicates(["own"])
+    at = F.pmod(F.xxhash64("own"), F.col("parts")).cast("int")
+    stops = placed.withColumn("at", at).select("band", "bits", "own", "at", F.explode(F.expr("sequence(at, parts - 1)")).alias("part"))
+    dealt = stops.join(sets, "own").select("band", "bits", "part", (F.col("part") != F.col("at")).alias("asks"), "own", "raw")
+    ordered = dealt.repartition("band", "bits", "part").sortWithinPartitions("band", "bits", "part", "asks", "own")
+    links = ordered.mapInArrow(_search(similarity), "a bigint, b bigint")
+    labels = star_components(links).withColumnsRenamed({"node": "own"})
+    grouped = classes.join(labels, "own", "left").groupBy(F.coalesce("component", "own").alias("component")).agg(F.min("first").alias("first"))
+    return grouped.select(F.col("first.row").alias("__row"), F.col("first.digest").alias("__digest"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of the least id.
+
+    Rows are told apart by id and text together, so a repeated id loses no other text and null
+    ids take part. Null, empty and blank texts are copies of each other. An empty table stays empty.
+    """
+    kept = _keyed(docs, id_col, text_col).join(firsts(docs, id_col, text_col, **params), ["__row", "__digest"], "left_semi")
+    return kept.dropDuplicates(["__row", "__digest"]).select(*docs.columns)
