@@ -1,8 +1,9 @@
 """Main text of web pages, with the template of each site removed.
 
 A page is parsed into elements, and every block element's subtree is hashed over its tags and
-its text. Spark counts for each host on how many pages a subtree occurs. A subtree that recurs
-on many pages of its host is the site's template and is deleted. The main text is then the text
+its text. Spark counts for each host on how many pages a subtree occurs; pages of equal main text
+count as one, so that copies of a page don't vote its body out. A subtree that recurs on many
+pages of its host is the site's template and is deleted. The main text is then the text
 of the blocks left in the article. What is boilerplate by its very element or name (menus,
 footers, forms, scripts, comment lists ...) goes on every page, also where a host has too few
 pages to count. Inside the article, plain paragraphs and headings are never taken for template:
@@ -232,14 +233,14 @@ def _candidates(main: Element, marked: bool, root: Element) -> Iterator[Element]
             stack.append((c, inside))
 
 
-def subtree_keys(page: str | None) -> set[int]:
-    """Distinct hashes of the page's block subtrees that may be template."""
+def subtree_keys(page: str | None) -> tuple[int, set[int]]:
+    """Hash of the page's main text, and distinct hashes of its block subtrees that may be template."""
     if not page:
-        return set()
+        return 0, set()
     root = parse(page)
     measure(root)
     main, marked = main_root(root)
-    return {e.key for e in _candidates(main, marked, root)}
+    return xxhash.xxh64_intdigest(_text(main, marked, set())), {e.key for e in _candidates(main, marked, root)}
 
 
 def main_text(page: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
@@ -249,7 +250,11 @@ def main_text(page: str | None, template: set[int] | frozenset[int] = frozenset(
     root = parse(page)
     measure(root)
     main, marked = main_root(root)
-    gone = {id(e) for e in _candidates(main, marked, root) if e.key in template} if template else set()
+    return _text(main, marked, {id(e) for e in _candidates(main, marked, root) if e.key in template} if template else set())
+
+
+def _text(main: Element, marked: bool, gone: set[int]) -> str:
+    """Text of the blocks of ``main`` without the elements in ``gone``."""
     blocks: list[str] = []
     words: list[str] = []
 
@@ -291,13 +296,15 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [[_signed(k) for k in subtree_keys(page)] for page in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["host", "keys"])
+            found = [subtree_keys(page) for page in batch.column(1).to_pylist()]
+            content = pa.array([_signed(c) for c, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), content, pa.array([[_signed(k) for k in keys] for _, keys in found], pa.list_(pa.int64()))], ["host", "content", "keys"])
 
     host, _ = host_and_path(F.col(url_col).cast("string"))
-    seen = pages.select(host.alias("host"), F.col(html_col).cast("string").alias("html")).where("host <> ''").mapInArrow(per_batch, "host string, keys array<bigint>")
-    # The null key counts the pages themselves, in the same pass.
-    counted = seen.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "keys")).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
+    seen = pages.select(host.alias("host"), F.col(html_col).cast("string").alias("html")).where("host <> ''").mapInArrow(per_batch, "host string, content bigint, keys array<bigint>")
+    # The null key counts the pages themselves, in the same pass; pages of equal content are one.
+    once = seen.select("host", "content", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "keys")).alias("key")).distinct()
+    counted = once.groupBy("host", "key").agg(F.count("*").alias("n"))
     often = durable(counted.where((F.col("n") >= min_pages) | F.col("key").isNull()))
     totals = often.where("key is null").select("host", F.col("n").alias("all"))
     kept = often.where("key is not null").join(totals, "host").where(F.col("n") >= min_share * F.col("all"))
@@ -308,7 +315,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     """``(id, url, text, n_chars)`` for every row of ``pages``.
 
     Null and empty html give an empty text. Pages without a host are only cleaned by element and
-    name. Repeated rows count as pages of their own. An empty table gives an empty result.
+    name. Rows of equal main text count as one page. An empty table gives an empty result.
     """
     found = durable(templates(pages, min_pages, min_share, url_col, html_col))
     n = found.agg(F.sum(F.size("keys") + 4)).first()[0] or 0

@@ -70,6 +70,17 @@ def test_copied_articles_keep_their_text(spark):
     assert {r["text"] for r in M.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {"T\nSame article everywhere"}
 
 
+def test_copies_do_not_vote_their_body_out(spark):
+    parts = "".join(f"<section><p>Part {k} of the text</p></section>" for k in range(3))
+    marked = [(i, f"http://h.com/{i}", f"<body><div>Box {i}</div><article>{parts}</article></body>") for i in range(12)]
+    other = [(100 + i, f"http://h.com/o{i}", f"<article><div>Site box</div><section><p>Own text {i}, longer than it</p></section></article>") for i in range(6)]
+    bare = [(200 + i, f"http://b.com/{i}", f"<body>{parts}</body>") for i in range(12)]
+    found = {r["id"]: r["text"] for r in M.extract(spark.createDataFrame([*marked, *other, *bare], SCHEMA)).collect()}
+    whole = "\n".join(f"Part {k} of the text" for k in range(3))
+    assert {found[i] for i in [*range(12), *range(200, 212)]} == {whole}
+    assert [found[100 + i] for i in range(6)] == [f"Own text {i}, longer than it" for i in range(6)]
+
+
 def test_edge_rows_and_foreign_columns(spark):
     rows = [(1, None, "<p>a</p>"), (2, "x", None), (None, "http://h/", ""), (3, "http://h/", "<p>b</p>"), (3, "http://h/", "<p>b</p>")]
     pages = spark.createDataFrame(rows, SCHEMA).withColumns({"host": F.lit(1), "keys": F.lit(2), "text": F.lit("t")})
