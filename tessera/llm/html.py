@@ -42,6 +42,11 @@ BLOCKS = frozenset(
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd figure figcaption table thead tbody tfoot tr td th caption".split())
 CELLS = frozenset(["td", "th"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: In an article these and all within them are prose, whatever their name; lists may be menus.
+NAMELESS = HEADINGS | frozenset("p blockquote pre figure figcaption table dl article".split())
+#: First words of a class that tells of a page's layout and not of the element ("no-sidebar").
+LAYOUT = frozenset("no not has have with without hide hides is".split())
 DROPPED = frozenset("head script style noscript template title nav menu footer aside form button input select textarea option svg canvas iframe object embed applet audio video map dialog noembed noframes xmp search fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist".split())
 NAMES = frozenset(
@@ -64,12 +69,12 @@ _NAME = re.compile(r"[a-z0-9]+")
 class Element:
     """An element with its children (elements and strings) in page order."""
 
-    __slots__ = ("tag", "attributes", "children", "parent", "key", "size")
+    __slots__ = ("tag", "attributes", "children", "parent", "key", "size", "shown")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None) -> None:
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Element | str] = []
-        self.key, self.size = 0, 0
+        self.key, self.size, self.shown = 0, 0, 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -154,16 +159,24 @@ def _implied_ends(at: Element, tag: str) -> Element:
     return up.parent if up.tag == "p" else at
 
 
-def _names(e: Element) -> set[str]:
-    words: set[str] = set()
+def _named(e: Element, inside: bool) -> bool:
+    """Whether class or id name boilerplate. In an article an id is often a heading's slug, so all its words must be names."""
     for a in ("class", "id"):
-        if v := e.attributes.get(a):
-            words.update(_NAME.findall(v.lower()))
-    return words
+        for token in e.attributes.get(a, "").lower().split():
+            words = _NAME.findall(token)
+            if not words or words[0] in LAYOUT:
+                continue
+            if NAMES.issuperset(words) or not (a == "id" and inside) and not NAMES.isdisjoint(words):
+                return True
+    return False
+
 
+def boilerplate(e: Element, inside: bool, whole: int | None = None) -> bool:
+    """Whether the element is none of the main text by itself; ``inside``: within an article.
 
-def boilerplate(e: Element, inside: bool) -> bool:
-    """Whether the element is none of the main text by itself; ``inside``: within an article."""
+    ``whole`` is the size of the shown text around it: what holds more than half of that is not
+    judged by name, nor are headings and an article's prose. None: names don't count.
+    """
     if e.tag in DROPPED or (e.tag == "header" and not inside):
         return True
     a = e.attributes
@@ -173,11 +186,13 @@ def boilerplate(e: Element, inside: bool) -> bool:
         return True
     if a.get("role", "").lower() in ROLES:
         return True
-    return bool(("class" in a or "id" in a) and NAMES & _names(e))
+    if whole is None or 2 * e.shown > whole or e.tag in (NAMELESS if inside else HEADINGS):
+        return False
+    return ("class" in a or "id" in a) and _named(e, inside)
 
 
 def measure(e: Element) -> None:
-    """Set the hash and the text size of every subtree."""
+    """Set the hash, the text size and the size of the text shown (without dropped elements) of every subtree."""
     stack: list[tuple[Element, bool]] = [(e, False)]
     while stack:
         x, done = stack.pop()
@@ -186,31 +201,39 @@ def measure(e: Element) -> None:
             if x.tag not in RAW:
                 stack.extend((c, False) for c in x.children if not isinstance(c, str))
             continue
-        digest, size = xxhash.xxh64(x.tag, seed=1), 0
+        digest, size, shown = xxhash.xxh64(x.tag, seed=1), 0, 0
         for c in x.children:
             if isinstance(c, str):
                 if t := " ".join(c.split()):
                     digest.update("\0t" + t)
                     size += len(t)
+                    shown += len(t)
             else:
                 digest.update(c.key.to_bytes(8, "little"))
                 size += c.size
-        x.key, x.size = digest.intdigest(), size
+                shown += c.shown
+        x.key, x.size, x.shown = digest.intdigest(), size, 0 if x.tag in DROPPED else shown
 
 
 def main_root(root: Element) -> tuple[Element, bool]:
-    """The element that holds the main text, and whether it is marked as such."""
-    best, rank = root, (0, 0)
-    stack = [root]
-    while stack:
-        e = stack.pop()
-        for c in e.children:
-            if isinstance(c, str) or boilerplate(c, False):
-                continue
-            stack.append(c)
-            marked = 3 if c.tag == "article" or c.attributes.get("itemprop") == "articleBody" else 2 if c.tag == "main" or c.attributes.get("role") == "main" else 0
-            if marked and c.size and (marked, c.size) > rank:
-                best, rank = c, (marked, c.size)
+    """The element that holds the main text, and whether it is marked as such.
+
+    A marked element in one named as boilerplate is taken only if there is no other.
+    """
+    for whole in (root.shown, None):
+        best, rank = root, (0, 0)
+        stack = [root]
+        while stack:
+            e = stack.pop()
+            for c in e.children:
+                if isinstance(c, str) or boilerplate(c, False, whole):
+                    continue
+                stack.append(c)
+                marked = 3 if c.tag == "article" or c.attributes.get("itemprop") == "articleBody" else 2 if c.tag == "main" or c.attributes.get("role") == "main" else 0
+                if marked and c.size and (marked, c.size) > rank:
+                    best, rank = c, (marked, c.size)
+        if rank[0]:
+            break
     return best, rank[0] > 0
 
 
@@ -263,9 +286,9 @@ def _text(main: Element, marked: bool, gone: set[int]) -> str:
             blocks.append(text)
         words.clear()
 
-    stack: list[tuple[Element | str, bool]] = [(main, False)]
+    stack: list[tuple[Element | str, bool, bool]] = [(main, False, False)]
     while stack:
-        x, closing = stack.pop()
+        x, closing, prose = stack.pop()
         if isinstance(x, str):
             words.append(x)
             continue
@@ -273,7 +296,7 @@ def _text(main: Element, marked: bool, gone: set[int]) -> str:
         if closing:
             flush() if block else words.append(" " if x.tag in CELLS else "")
             continue
-        if x is not main and (id(x) in gone or boilerplate(x, marked)):
+        if x is not main and (id(x) in gone or boilerplate(x, marked, None if prose else main.shown)):
             if block:
                 flush()
             continue
@@ -281,8 +304,9 @@ def _text(main: Element, marked: bool, gone: set[int]) -> str:
             flush()
         elif x.tag in CELLS or x.tag == "br":
             words.append(" ")
-        stack.append((x, True))
-        stack.extend((c, False) for c in reversed(x.children))
+        stack.append((x, True, prose))
+        prose = prose or (marked and x is not main and x.tag in NAMELESS)
+        stack.extend((c, False, prose) for c in reversed(x.children))
     flush()
     return "\n".join(blocks)
 

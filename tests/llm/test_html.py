@@ -30,6 +30,22 @@ def test_article_without_its_surroundings():
     assert M.main_text(page) == "Ti&tle\nOne two three\nFour bold x\na\nb\n1 2\n3"
 
 
+def test_names_do_not_drop_the_text():
+    cases = {
+        "<article class='post has-sidebar'><p>Text of the page</p></article>": "Text of the page",
+        "<div class='layout sidebar'><article><p>Text of the page</p></article></div>": "Text of the page",
+        "<div class='sidebar'>Short</div><div class='widget'><article><p>Text</p></article></div><div class=x>Other text, longer than all else</div>": "Text",
+        "<div class='layout sidebar'><p>Text without any mark</p></div><div class='sidebar'>Box</div>": "Text without any mark",
+        "<article><p>One, the longest of all of them</p><h2 id='related-work'>Related work</h2><p class='comment'>Two</p></article>": "One, the longest of all of them\nRelated work\nTwo",
+        "<article><p>One, the longest of all of them</p><section id='comments-in-python'><p>Three</p></section></article>": "One, the longest of all of them\nThree",
+        "<article><p>One, the longest of all of them</p><pre><code>x <span class='hljs-comment'># y</span></code></pre></article>": "One, the longest of all of them\nx # y",
+        "<article><p>One, the longest of all of them</p><div class='share-box'>S</div><ul class='social'><li>S</ul><div id='comments'>C</div></article>": "One, the longest of all of them",
+        "<div class='related'><article>A teaser of another page</article></div><article><p>The text itself, longer than the teaser</p></article>": "The text itself, longer than the teaser",
+    }
+    for page, want in cases.items():
+        assert M.main_text(page) == want, page
+
+
 def test_broken_pages():
     cases = {
         "plain < text & more": "plain < text & more", "<p>un<i>closed": "unclosed", "<div><p>a</div>b": "a\nb", '<a href="x>y">z</a> t<!-- c -- > d --> e <!-- open': "z t e", "</p></div>x": "x", "<h1>A<p>B</h1>C": "A\nB\nC",
