@@ -1,7 +1,7 @@
 """Personal data in texts: exact base kinds, and identifiers found by bootstrapped contexts.
 
-One pass finds the base entities with linear-time scanners and, beside them, the tokens that
-look like identifiers but are no base entity. Both carry their lexical patterns: the two words
+One pass finds the base entities with linear-time scanners and, beside them, the tokens and
+the runs of number tokens that look like identifiers but are no base entity. Both carry their lexical patterns: the two words
 before (``L``), and the word on each side (``B``). Patterns and instances form a bipartite
 graph. Spark scores it for a few rounds: a pattern's confidence in a kind is the score of its
 distinct instances over their number plus one, an instance's score is that of its best trusted
@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,11 @@ _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]\S*")
 _NUMBERS = re.compile(r"[+(]?[0-9][0-9().:/_+-]*")
 _QUAD = re.compile(r"[0-9]{1,3}([.:_-])[0-9]{1,3}\1[0-9]{1,3}\1[0-9]{1,3}")
-_OPEN, _CLOSE, _LONGEST = "([{<\"'", ".,;:!?)]}>\"'", 64
+_JOINT = re.compile(r"[ \t\u00a0().-]+")
+_SIZES = ((2, 13, 19), (3, 7, 15))
+_OPEN, _CLOSE = "([{<\"'", ".,;:!?)]}>\"'"
+#: A longer token is known by its hash.
+_NAMED = 64
 
 
 def luhn(digits: str) -> bool:
@@ -92,34 +97,86 @@ def _shapes(token: str) -> list[int]:
         return [0]
     if not _NUMBERS.fullmatch(token):
         return []
-    digits = sum(c.isdigit() for c in token)
+    digits = _digits(token)
     if _QUAD.fullmatch(token):
         return [1]
-    return [k for k, (lo, hi) in ((2, (13, 19)), (3, (7, 15))) if lo <= digits <= hi]
+    return [k for k, lo, hi in _SIZES if lo <= digits <= hi]
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """``(start, end, token)`` of identifier-like tokens that touch no base span."""
-    taken = sorted((s, e) for _, s, e in spans)
-    found, k, upto = [], 0, 0
+def _digits(token: str) -> int:
+    return len(_DIGIT.findall(token))
+
+
+def _tokens(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
+    """``(start, end, token)`` of the tokens with a digit or @ that touch no base span, without what encloses them."""
+    taken: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(e, taken[-1][1])
+        else:
+            taken.append([s, e])
+    k, upto = 0, 0
     for m in _MARK.finditer(text):
         start, end = m.span()
-        low = max(upto, start - _LONGEST)
-        while start > low and not text[start - 1].isspace():
+        while start > upto and not text[start - 1].isspace():
             start -= 1
         upto = end
         while start < end and text[start] in _OPEN:
             start += 1
         while end > start and text[end - 1] in _CLOSE:
             end -= 1
-        token = text[start:end]
-        if not 5 <= len(token) <= _LONGEST or ("@" not in token and sum(c.isdigit() for c in token) < 6):
-            continue
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if all(e <= start or s >= end for s, e in taken[k : k + 8]):
-            found.append((start, end, token))
-    return found
+        if start < end and (k == len(taken) or taken[k][0] >= end):
+            yield start, end, text[start:end]
+
+
+def _run(text: str, run: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, list[int]]]:
+    """Candidates of number tokens that stand in a row: those that fit alone, and the longest rows of the others."""
+    counts, alone = [_digits(t) for _, _, t in run], [_shapes(t) for _, _, t in run]
+    at = 0
+    for i, (start, end, token) in enumerate(run):
+        if alone[i]:
+            yield start, end, token, alone[i]
+            at = max(at, i + 1) if at == i else at
+        if i < at or alone[i]:
+            continue
+        ends: dict[int, int] = {}  # kind: last token of its longest row
+        total = 0
+        for j in range(i, len(run)):
+            total += counts[j]
+            if total > 19 or (ends and alone[j]):
+                break
+            ends |= {k: j for k, lo, hi in _SIZES if j > i and lo <= total <= hi}
+        if not ends:
+            if counts[i] >= 6:
+                yield start, end, token, []
+            at = i + 1
+            continue
+        at = max(ends.values()) + 1
+        value = text[start : run[at - 1][1]]
+        for j in sorted(set(ends.values())):
+            stop = run[j][1]
+            opened = start - (start > 0 and text[start - 1] == "(" and ")" in text[start:stop])
+            yield opened, stop, value, [k for k in sorted(ends) if ends[k] == j]
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, list[int]]]:
+    """``(start, end, value, kinds)`` of identifier-like tokens and rows of number tokens that touch no base span."""
+    found: list[tuple[int, int, str, list[int]]] = []
+    run: list[tuple[int, int, str]] = []
+    for start, end, token in _tokens(text, spans):
+        number = _NUMBERS.fullmatch(token)
+        if run and not (number and _JOINT.fullmatch(text, run[-1][1], start)):
+            found += _run(text, run)
+            run = []
+        if number:
+            run.append((start, end, token))
+        elif kinds := _shapes(token):
+            found.append((start, end, token, kinds))
+        elif "@" in token and len(token) >= 5 or _digits(token) >= 6:
+            found.append((start, end, token, []))
+    return found + list(_run(text, run))
 
 
 _SCANNED = "id {}, digest bigint, base array<struct<kind:int,s:int,e:int>>, seen array<struct<kind:int,s:int,e:int,value:string,patterns:array<string>>>"
@@ -128,8 +185,8 @@ _SCANNED = "id {}, digest bigint, base array<struct<kind:int,s:int,e:int>>, seen
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: base spans, and every instance with its patterns.
 
-    ``seen.kind`` is a base kind for seeds, 4 + kind for a token of a fitting shape and -1 for
-    an identifier-like token of no kind's shape. Null texts count as empty.
+    ``seen.kind`` is a base kind for seeds, 4 + kind for a token or row of a fitting shape and -1
+    for an identifier-like token of no kind's shape. Null texts count as empty.
     """
     schema = _SCANNED.format(docs.schema[id_col].dataType.simpleString())
     base_type = pa.list_(pa.struct([("kind", pa.int32()), ("s", pa.int32()), ("e", pa.int32())]))
@@ -143,9 +200,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 base.append([{"kind": k, "s": s, "e": e} for k, s, e in spans])
                 own = [{"kind": k, "s": s, "e": e, "value": text[s:e], "patterns": _patterns(text, s, e)} for k, s, e in spans]
                 if text and _MARK.search(text):
-                    for s, e, token in candidates(text, spans):
-                        p = _patterns(text, s, e)
-                        own += [{"kind": 4 + k, "s": s, "e": e, "value": token, "patterns": p} for k in _shapes(token)] or [{"kind": -1, "s": s, "e": e, "value": token, "patterns": p}]
+                    for s, e, value, kinds in candidates(text, spans):
+                        p, name = _patterns(text, s, e), value if len(value) <= _NAMED else xxhash.xxh3_128_hexdigest(value.encode("utf-8", "surrogatepass"))
+                        own += [{"kind": 4 + k if k >= 0 else k, "s": s, "e": e, "value": name, "patterns": p} for k in kinds or [-1]]
                 seen.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, base_type), pa.array(seen, seen_type)], ["id", "digest", "base", "seen"])
 

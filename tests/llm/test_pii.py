@@ -69,6 +69,23 @@ def test_contexts_discover_identifiers(spark):
     assert len(found[3]["spans"]) == 1
 
 
+def test_contexts_discover_spaced_short_and_long_identifiers(spark):
+    written = ["555 123 4567", "(555) 123-4567", "555 - 123 - 4567", "555.123 4567", "(030) 1234567"]
+    rows = [(i, f"Hello. My phone number: +1 (555) 000-{i:04d} thanks") for i in range(60)]
+    rows += [(100 + i, f"and my phone number: {w} thanks all") for i, w in enumerate(written)]
+    rows += [(200 + i, f"from ip address: 10.0.{i}.1 it came") for i in range(60)] + [(300, "from ip address: 10-0-0-1 it came")]
+    rows += [(400 + i, f"write mail to: user{i}@example.com now") for i in range(60)] + [(500, f"write mail to: {'n' * 80}@{'h' * 80} now")]
+    cards = [f"4111 1111 1111 {n:04d}" for n in range(1000)]
+    rows += [(600 + i, f"paid with card no: {c} today") for i, c in enumerate([c for c in cards if pii.luhn(c.replace(" ", ""))][:60])]
+    rows += [(700, "paid with card no: 4111 1111 1111 1112 today")]
+    text = dict(rows)
+    found = {r["id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = lambda i: [(k, text[i][s:e]) for k, s, e in found[i]]
+    assert [got(100 + i) for i in range(len(written))] == [[(3, w)] for w in written]
+    assert got(300) == [(1, "10-0-0-1")] and got(500) == [(0, f"{'n' * 80}@{'h' * 80}")]
+    assert got(700) == [(2, "4111 1111 1111 1112")]
+
+
 def test_few_seeds_discover_nothing(spark):
     assert all(r["spans"] == r["base"] for r in pii.find(spark.createDataFrame(phone_docs(4), SCHEMA)).collect())
 
@@ -97,6 +114,15 @@ def test_long_texts_stay_linear():
     assert time.time() - began < 20
 
 
+def test_long_rows_stay_linear():
+    import time
+
+    began = time.time()
+    for text in ("1x" * 200_000, "a1@" * 100_000, "12 " * 100_000, "(12) - " * 60_000, "1-1-1-1 " * 50_000, "9" + " " * 400_000 + "9"):
+        assert all(s < e for s, e, _, _ in pii.candidates(text, []))
+    assert time.time() - began < 20
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id int, text string, n_chars bigint")
     assert pii.find(docs).collect() == [] and pii.redact(docs).collect() == []
