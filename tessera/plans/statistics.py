@@ -24,7 +24,13 @@ from tessera.plans.relational import _r, _timed
 
 #: Rows of a sample that models take as arrays on the driver; a larger one is an error, never cut.
 MOST_ROWS = 2_000_000
-DRAWS = 40
+#: Draws of the reference's defaults: fits and regressions on resampled blocks, differences of pairs,
+#: predictive margins, dealt classes, and shuffles of outcomes.
+DRAWS = 200
+PAIR_DRAWS = 2000
+MARGIN_DRAWS = 2000
+CLASS_DRAWS = 9999
+SHUFFLES = 499
 
 
 def arrays(df: DataFrame) -> dict[str, np.ndarray]:
@@ -285,14 +291,14 @@ def _stacked(c):
 query("m14_stage_interaction", _stacked)
 
 
-def _margins(c):
+def _margins(c, n: int = MARGIN_DRAWS):
     a = model_arrays(c)
     names, x, _ = _design(a)
     fit = _logit(a)
     level = next(n for n in names if n.startswith("kind"))
     on, off = x.copy(), x.copy()
     on[:, names.index(level)], off[:, names.index(level)] = 1, 0
-    gap = M.margins_by_draws(fit, on, 200) - M.margins_by_draws(fit, off, 200)
+    gap = M.margins_by_draws(fit, on, n) - M.margins_by_draws(fit, off, n)
     return frame(c.spark, [{"term": level, "mean": gap.mean(), "lo": np.quantile(gap, 0.025), "hi": np.quantile(gap, 0.975), "share_positive": (gap > 0).mean()}], "term string, mean double, lo double, hi double, share_positive double")
 
 
@@ -442,7 +448,7 @@ def _rematched(c, threshold: float = 0.4):
 query("m23_rematched", lambda c: frame(c.spark, [{"eligible": len((r := _rematched(c))[0]["node"]), "pairs": len(r[1])}], "eligible bigint, pairs bigint"))
 
 
-def _direct(c, n: int = DRAWS):
+def _direct(c, n: int = PAIR_DRAWS):
     a = model_arrays(c)
     _, pairs = _matched(a)
     rows = np.array(pairs).ravel()
@@ -481,7 +487,7 @@ def _ratio(d: np.ndarray, g: np.ndarray) -> dict:
 _EFFECT = "first_stage double, down_contrast double, up_placebo double, directional_contrast double, local_ratio double"
 
 
-def _pair_bootstrap(c, n: int = DRAWS):
+def _pair_bootstrap(c, n: int = PAIR_DRAWS):
     d, g = _pair_differences(*_rematched(c))
     own = [np.flatnonzero(g == k) for k in sorted(set(g.tolist()))]
 
@@ -541,7 +547,7 @@ def _mechanism(c):
 query("m30_mechanism", _mechanism)
 
 
-def _isolation(c, n: int = DRAWS, apart: float = 150.0):
+def _isolation(c, n: int = PAIR_DRAWS, apart: float = 150.0):
     a, pairs = _rematched(c)
     t = np.array([p[0] for p in pairs], int)
     treated = np.flatnonzero(a["defended"] == 1)
@@ -577,7 +583,7 @@ def _class_table(c) -> DataFrame:
     return B.size_classes(rows).groupBy("grp", "size_class").agg(F.count("*").alias("n"), F.sum("is_destroyed").alias("k"))
 
 
-def _shuffle(c, n: int = 999):
+def _shuffle(c, n: int = CLASS_DRAWS):
     table = _class_table(c).orderBy("grp", "size_class").toPandas()  # a few classes for each group
     rows, pooled = [], 0
     for g, own in table.groupby("grp"):
@@ -612,25 +618,33 @@ query(
 )
 
 
-def _shared_fate(c, n: int = 49):
+def _cutoffs(c) -> list[float]:
+    """Bonds at the reference's 35 probabilities on the pooled curve; 35 even steps over all bonds if the curve doesn't span them."""
+    probabilities, fit = np.arange(0.05, 0.901, 0.025), _pooled_curve(c)
+    if fit.p_min < probabilities[0] and probabilities[-1] < fit.p_max:
+        return [float(fit.exposure_at(p)) for p in probabilities]
+    ends = c.bonds.agg(F.min("f").alias("lo"), F.max("f").alias("hi")).first()
+    return np.linspace(ends["lo"], ends["hi"], len(probabilities)).tolist()
+
+
+def _shared_fate(c, n: int = SHUFFLES):
     """Entropy within components at each cutoff, against shuffles of the outcome within groups."""
-    cutoffs = [0.06, 0.07, 0.08, 0.09, 0.1]
+    cutoffs = _cutoffs(c)
     swept = L.sweep(c.nodes, L.eeat_weights(c.bonds), cutoffs).join(c.assessed.select("node", "grp", "is_destroyed"), "node")
-    rows = arrays(swept.select("threshold", "component_id", "node", "grp", "is_destroyed").orderBy("threshold", "node"))
-    seen = {t: np.flatnonzero(rows["threshold"] == t) for t in cutoffs}
-    first = seen[cutoffs[0]]
-    outcome, strata = rows["is_destroyed"][first].astype(float), [np.flatnonzero(rows["grp"][first] == g) for g in ("A", "B")]
-    labels = {t: rows["component_id"][i] for t, i in seen.items()}
+    whole = swept.groupBy("node", "grp", "is_destroyed").agg(F.array_sort(F.collect_list(F.struct("threshold", "component_id")))["component_id"].alias("labels"))
+    rows = arrays(whole.orderBy("node"))
+    outcome, strata = rows["is_destroyed"].astype(float), [np.flatnonzero(rows["grp"] == g) for g in ("A", "B")]
+    labels = list(np.stack(rows["labels"]).T.copy())
 
     def one(rng):
         y = outcome.copy()
         for s in strata:
             y[s] = rng.permutation(y[s])
-        return {f"e{k}": M.entropy_by_label(labels[t], y) for k, t in enumerate(cutoffs)}
+        return {f"e{k}": M.entropy_by_label(own, y) for k, own in enumerate(labels)}
 
     names = [f"e{k}" for k in range(len(cutoffs))]
     null = draws(c, n, one, ", ".join(f"{k} double" for k in names)).agg(*[F.percentile(k, [0.025, 0.5, 0.975]).alias(k) for k in names]).first()
-    return frame(c.spark, [{"cutoff": t, "entropy": M.entropy_by_label(labels[t], outcome), "null_lo": null[k][0], "null_mid": null[k][1], "null_hi": null[k][2]} for k, t in zip(names, cutoffs, strict=True)], "cutoff double, entropy double, null_lo double, null_mid double, null_hi double")
+    return frame(c.spark, [{"cutoff": t, "entropy": M.entropy_by_label(own, outcome), "null_lo": null[k][0], "null_mid": null[k][1], "null_hi": null[k][2]} for k, t, own in zip(names, cutoffs, labels, strict=True)], "cutoff double, entropy double, null_lo double, null_mid double, null_hi double")
 
 
 query("m35_shared_fate", _shared_fate)
