@@ -6,7 +6,8 @@ min-hashes: with 25 bands of 5 a pair of similarity 0.8 is met with probability
 closer one more surely. Every met pair is then checked on its whole sets of shingles.
 
 Texts of equal sets become one class, and all further work is on classes. Only classes that
-share a band with another one are sent with their shingles. A band's classes are held in parts
+share a band with another one are sent with their shingles, and where the same classes share
+several bands they are compared once. A band's classes are held in parts
 of at most ``part_classes``; each class is sent to its own part and, asking, to those after it,
 which bounds the memory of a task whatever the skew.
 """
@@ -131,7 +132,8 @@ def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "digest")).alias("first")
     classes = durable(signed.groupBy("own").agg(first, F.any_value("bands").alias("bands")))
     banded = classes.select("own", F.posexplode("bands").alias("band", "bits"))
-    sizes = banded.groupBy("band", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    met = banded.groupBy("band", "bits").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("own")).alias("all"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("n > 1")
+    sizes = met.groupBy("n", "all", "lo", "hi").agg(F.min("band").alias("band"), F.min_by("bits", "band").alias("bits")).select("band", "bits", "n")
     placed = durable(banded.join(sizes, ["band", "bits"]).select("band", "bits", "own", F.ceil(F.col("n") / part_classes).cast("int").alias("parts")))
     wanted = placed.select("own").distinct().join(classes.select("own", "first.row", "first.digest"), "own")
     wanted = durable(wanted)
