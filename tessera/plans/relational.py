@@ -160,6 +160,7 @@ query(
     lambda c: c.nodes.where("node % 2 = 0").select("node", F.lit(1).alias("l")).join(c.assessed.select("node", F.lit(1).alias("r")), "node", "full").agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"), F.count("*").alias("n")),
     "SELECT count(*) FILTER (WHERE r IS NULL) AS only_left, count(*) FILTER (WHERE l IS NULL) AS only_right, count(*) AS n FROM (SELECT node, 1 AS l FROM nodes WHERE node % 2 = 0) FULL JOIN (SELECT node, 1 AS r FROM assessed) USING (node)",
 )
+query("j08_full_outer_all", lambda c: c.nodes.select("node", F.lit(1).alias("l")).join(c.assessed.select("node", F.lit(1).alias("r")), "node", "full").agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"), F.count("*").alias("n")))
 query("j09_checked_join", lambda c: J.checked_join(c.nodes.select("node"), c.assessed.select("node", "outcome"), ["node"], "left", "one_to_one"), "SELECT n.node, a.outcome FROM nodes n LEFT JOIN assessed a USING (node)")
 query(
     "j10_suffixes",
@@ -237,6 +238,15 @@ query(
     lambda c: J.within_distance(_points(c, "node < 150"), _points(c, "node < 150"), 1500.0).where("a <> b").join(c.nodes.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(c.nodes.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b").where("xb > xa").groupBy("a").agg(F.count("*").alias("facing")),
     "SELECT p.node AS a, count(*) AS facing FROM nodes p JOIN nodes q ON q.x > p.x AND q.node <> p.node AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= 1500 WHERE p.node < 150 AND q.node < 150 GROUP BY 1",
 )
+
+
+def _facing(c, where: str = "true"):
+    x = lambda k: c.nodes.select(F.col("node").alias(k), F.col("x").alias(f"x{k}"))
+    met = J.within_distance(_points(c, where), _points(c, where), 1500.0).where("a <> b")
+    return met.join(x("a"), "a").join(x("b"), "b").where("xb > xa").groupBy("a").agg(F.count("*").alias("facing"))
+
+
+query("j24_facing_points_all", _facing)
 query(
     "j26_top_pairs",
     lambda c: E.symmetrised(c.edges).where("receiver < 60").withColumn("rank", F.row_number().over(Window.partitionBy("receiver").orderBy(F.desc("vf"), "emitter"))).where("rank <= 2").join(c.nodes.select(F.col("node").alias("emitter"), "x", "y"), "emitter").select("receiver", "emitter", "rank", "x", "y"),
