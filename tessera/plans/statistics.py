@@ -435,9 +435,11 @@ query("j16_propensity_neighbors", lambda c: _pairs(c).agg(F.count("*").alias("pa
 
 
 def _side_arrays(c, threshold: float = 0.0):
-    side = X.directional(_timed(c)).select("node", "up_share", "down", "up", "down_escalation", "up_escalation")
+    timed, plain = _timed(c), F.col("defended") == 0
+    hurt = timed.groupBy("node").agg(*[F.avg(F.when(when & plain, F.col("any_damage"))).alias(k) for k, when in (("down_any_damage", F.col("dt") > 0), ("up_any_damage", F.col("dt") < 0))])
+    side = X.directional(timed).join(hurt, "node").select("node", "up_share", "down", "up", "down_escalation", "up_escalation", "down_any_damage", "up_any_damage")
     rows = sample(c).where("exposed = 1 and green is not null and year_built is not null and defended is not null").join(side, "node").where((F.col("up_share") >= threshold) & F.col("down").isNotNull() & F.col("up").isNotNull())
-    return arrays(rows.select("node", "grp", "block", "kind", "log_dose", "dose_sum", "green", F.col("year_built").cast("double").alias("year"), "defended", "is_destroyed", "any_damage", "f_total", "x", "y", "up_share", "down", "up", "down_escalation", "up_escalation").orderBy("node"))
+    return arrays(rows.select("node", "grp", "block", "kind", "log_dose", "dose_sum", "green", F.col("year_built").cast("double").alias("year"), "defended", "is_destroyed", "any_damage", "f_total", "x", "y", "up_share", "down", "up", "down_escalation", "up_escalation", "down_any_damage", "up_any_damage").orderBy("node"))
 
 
 def _rematched(c, threshold: float = 0.4):
@@ -519,7 +521,7 @@ query("m28_spillover", _spillover)
 def _stages(c):
     a, pairs = _rematched(c)
     rows = []
-    for name, down, up in (("destruction", "down", "up"), ("given damage", "down_escalation", "up_escalation")):
+    for name, down, up in (("any damage", "down_any_damage", "up_any_damage"), ("destruction", "down", "up"), ("given damage", "down_escalation", "up_escalation")):
         d, g = _pair_differences(a, pairs, down, up)
         if len(g):
             rows.append({"outcome": name, "pairs": len(g)} | _ratio(d, g))
@@ -618,6 +620,25 @@ query(
 )
 
 
+def _doubling_null(c, n: int = CLASS_DRAWS):
+    """Doubling bins with the shares that dealing each group's destroyed among its bins gives; the pool adds the groups' draws."""
+    rows = c.assessed.select("grp", "is_destroyed", B.doubling_bin(F.col("size")).alias("bin"))
+    table = rows.groupBy("grp", "bin").agg(F.count("*").alias("n"), F.sum("is_destroyed").alias("k")).orderBy("grp", "bin").toPandas()  # a few bins for each group
+    out, pooled = [], {}
+    for k, (g, own) in enumerate(table.groupby("grp")):
+        drawn = M.shuffle_null(own["n"].to_numpy(int), own["k"].sum(), n, seed=k)
+        out += [(g, b, m, hit, drawn[:, i]) for i, (b, m, hit) in enumerate(zip(own["bin"], own["n"], own["k"], strict=True))]
+        for i, b in enumerate(own["bin"]):
+            pooled[b] = pooled.get(b, 0) + drawn[:, i]
+    both = table.groupby("bin")[["n", "k"]].sum()
+    out += [("POOLED", b, both.loc[b, "n"], both.loc[b, "k"], pooled[b]) for b in both.index]
+    rows = [{"grp": g, "bin": int(b), "assessed": int(m), "destroyed": int(hit), "null_mean": (d / m).mean(), "null_lo": np.quantile(d / m, 0.025), "null_hi": np.quantile(d / m, 0.975)} for g, b, m, hit, d in out]
+    return frame(c.spark, rows, "grp string, bin int, assessed bigint, destroyed bigint, null_mean double, null_lo double, null_hi double")
+
+
+query("m34_doubling_null", _doubling_null)
+
+
 def _cutoffs(c) -> list[float]:
     """Bonds at the reference's 35 probabilities on the pooled curve; 35 even steps over all bonds if the curve doesn't span them."""
     probabilities, fit = np.arange(0.05, 0.901, 0.025), _pooled_curve(c)
@@ -715,6 +736,24 @@ def _samples(c):
 _EXPOSED = "(SELECT a.* FROM assessed a WHERE node IN (SELECT r.node FROM assessed r JOIN directed d ON d.receiver = r.node JOIN assessed s ON s.node = d.emitter AND s.grp = r.grp WHERE s.is_destroyed = 1 AND d.vf > 0))"
 _PLAIN = "coalesce(defended, 0) <> 1"
 _KNOWN = f"{_PLAIN} AND NOT (eaves IS NULL OR lower(trim(eaves)) IN ('', 'unknown', 'nan', 'none'))"
+
+
+def _sample_ladder(c):
+    """Midpoints of both groups and their ratio in each nested population; null where a curve has none."""
+    out = []
+    for name, df in construction_samples(sample(c)).items():
+        a, mid = arrays(df.select("node", "grp", "dose_sum", "is_destroyed").orderBy("node")), {}
+        for g in ("A", "B"):
+            x, y = a["dose_sum"][a["grp"] == g], a["is_destroyed"][a["grp"] == g].astype(float)
+            try:
+                mid[g] = C.fit_curve(x, y).midpoint(x.min() / 10, x.max() * 10)
+            except (RuntimeError, ValueError):
+                mid[g] = float("nan")
+        out.append({"sample": name, "n": len(a["node"]), "a": mid["A"], "b": mid["B"], "ratio": mid["B"] / mid["A"]})
+    return frame(c.spark, out, "sample string, n bigint, a double, b double, ratio double")
+
+
+query("m21_sample_ladder", _sample_ladder)
 query(
     "d07_construction_samples",
     _samples,
