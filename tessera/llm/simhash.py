@@ -215,12 +215,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each group: the one whose id is the component's.
+    """``docs`` with one row of each group: the one of the least id, null ids last.
 
-    Of several rows with that id one stays. A row with a null id can't be named as another's
-    copy, so all of those stay. The one join on ``doc_id`` also serves the removal of repeated ids.
+    Rows are told apart by id and text together, so a repeated id loses no unrelated text and
+    null ids take part. Of rows with equal id and text one stays.
     """
-    columns = docs.columns
-    first = near_duplicates(docs, **params).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("row"), F.xxhash64(F.col("text").cast("string")).alias("digest"))
+    found = near_duplicates(docs.select(key.alias("key"), "text"), id_col="key", **params).where("id <=> component_id")
+    first = found.select(F.col("id.row").alias("__row"), F.col("id.digest").alias("__digest")).distinct()
+    keyed = docs.withColumns({"__row": F.xxhash64("doc_id"), "__digest": F.xxhash64(F.col("text").cast("string"))})
+    return keyed.join(first, ["__row", "__digest"], "left_semi").dropDuplicates(["__row", "__digest"]).select(*docs.columns)
