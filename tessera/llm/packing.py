@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import durable
+from tessera.session import durable, small_batches
 
 CAPACITY = 1024
 END = 2
@@ -150,7 +150,7 @@ def _encoder(vocabulary: str, most: int) -> _Encoder:
     return _Encoder(vocabulary, most)
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, cached_words: int = CACHED_WORDS, keep_encoder: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, cached_words: int = CACHED_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: the pieces of every row's token ids.
 
     A document's ids end with id 2; null and empty texts have that one id. Only documents of
@@ -159,7 +159,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     """
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = (_encoder if keep_encoder else _Encoder)(vocabulary, cached_words)
+        encode = _encoder(vocabulary, cached_words)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for n, text in enumerate(x.as_py() for x in batch.column(1)):
@@ -176,6 +176,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(per_batch, f"id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import durable
+from tessera.session import durable, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern is trusted with so many distinct instances of score and so much confidence.
@@ -195,7 +195,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, seen = [], []
-            for text in batch.column(2).to_pylist():
+            for text in (t.as_py() for t in batch.column(2)):
                 spans = base_spans(text or "")
                 base.append([{"kind": k, "s": s, "e": e} for k, s, e in spans])
                 own = [{"kind": k, "s": s, "e": e, "value": text[s:e], "patterns": _patterns(text, s, e)} for k, s, e in spans]
@@ -206,6 +206,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 seen.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, base_type), pa.array(seen, seen_type)], ["id", "digest", "base", "seen"])
 
+    small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(per_batch, schema)
 
@@ -299,7 +300,7 @@ def redact(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **params) -> D
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, more in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
+            for text, more in ((a.as_py(), b.as_py()) for a, b in zip(batch.column(at), batch.column(len(columns)), strict=True)):
                 spans = base_spans(text) if text else []
                 spans += [(m["kind"], m["s"], m["e"]) for m in more or []]
                 texts.append(redacted(text, spans) if spans else text)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import durable
+from tessera.session import durable, small_batches
 
 #: The classifier learns from so many labelled rows at most, those first by the hash of their id.
 SAMPLE_ROWS = 20_000
@@ -68,9 +68,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([statistics(t) for t in batch.column(2).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
+            values = np.array([statistics(t.as_py()) for t in batch.column(2)], np.float64).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(STATISTICS)))], ["id", "digest", *STATISTICS])
 
+    small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, digest bigint, " + ", ".join(f"{s} double" for s in STATISTICS)
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(per_batch, schema)
@@ -192,27 +193,35 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(features: DataFrame, labels: DataFrame, target: str = "quality", sample_rows: int = SAMPLE_ROWS, **params) -> Model:
-    """A model from the labelled rows of ``features`` (as ``measured`` gives them) that are not held out.
+def sampled(labels: DataFrame, target: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``(doc_id, y)``: the ids to learn from, at most ``sample_rows`` in the order of their hash.
 
-    At most ``sample_rows`` labels are used, in the order of the hash of their id.
+    Held-out ids, null ids, labels other than 0 and 1 and ids with both labels are not learnt from.
     """
     usable = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    usable = usable.select("doc_id", F.col(target).cast("int").alias("y")).dropDuplicates(["doc_id"])
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = features.join(F.broadcast(sample), features["id"] == sample["doc_id"]).dropDuplicates(["doc_id"])
-    table = rows.select("y", *STATISTICS).toPandas()
+    agreed = usable.groupBy("doc_id").agg(F.min(F.col(target).cast("int")).alias("y"), F.max(F.col(target).cast("int")).alias("other")).where("y = other")
+    return agreed.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+
+
+def learn(features: DataFrame, sample: DataFrame, **params) -> Model:
+    """A model from the rows of ``features`` (as ``measured`` gives them) whose id is in ``sample``.
+
+    Of rows with one id, that of the least text hash is learnt from.
+    """
+    rows = features.join(F.broadcast(sample), features["id"] == sample["doc_id"])
+    each = rows.groupBy("doc_id").agg(F.min_by(F.struct("y", *STATISTICS), F.struct("digest", *STATISTICS)).alias("x")).select("x.*")
+    table = each.toPandas()  # at most as many rows as the sample
     return fit(table[list(STATISTICS)].to_numpy(float), table["y"].to_numpy(int), **params)
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **params) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, **params) -> DataFrame:
     """``(id, digest, held_out, score, predicted)`` for every row of ``docs``.
 
     Null and empty texts are scored by their all-zero statistics. Null ids are not held out and
     never learnt from. Repeated rows get equal scores. An empty table gives an empty result.
     """
     features = durable(measured(docs))
-    model = learn(features, labels, **params)
+    model = learn(features, sampled(labels, sample_rows=sample_rows), **params)
     return features.select("id", "digest", held_out("id").alias("held_out"), model.score().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -222,15 +231,14 @@ def query(spark, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **params) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, **params) -> DataFrame:
     """``docs`` without the rows that the classifier rejects.
 
-    The model is learnt from the labelled rows only, and the rows are then measured and judged
-    in one pass that carries them along, so no text is shuffled.
+    The model is learnt from the same sample as in ``scored``, and the rows are then measured and
+    judged in one pass that carries them along, so no text is shuffled.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id").distinct()
-    some = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * params.get("sample_rows", SAMPLE_ROWS))
-    model = learn(durable(measured(docs.join(F.broadcast(some), "doc_id", "left_semi"))), labels, **params)
+    sample = durable(sampled(labels, sample_rows=sample_rows))
+    model = learn(measured(docs.join(F.broadcast(sample), "doc_id", "left_semi")), sample, **params)
     columns = docs.columns
     at = columns.index("text")
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
@@ -238,7 +246,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([statistics(t) for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
+            values = np.array([statistics(t.as_py()) for t in batch.column(at)], np.float64).reshape(-1, len(STATISTICS))
             added = [pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(STATISTICS))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names)
 

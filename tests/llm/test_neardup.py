@@ -4,14 +4,14 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from tessera.llm import neardup
+from tessera.llm import simhash
 
 SF = "/root/testdata/sf0.01"
 
 
 def plain_groups(rows):
     """Least row of each row's group, by an index of all shingles."""
-    sets = [frozenset(neardup.shingles(t).tolist()) for _, t in rows]
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(i):
@@ -33,12 +33,12 @@ def plain_groups(rows):
     return [root(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("part_classes", [neardup.PART_CLASSES, 2])
+@pytest.mark.parametrize("part_classes", [simhash.PART_CLASSES, 2])
 def test_stage_keeps_one_of_each_group(spark, part_classes):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     want = sorted(rows[i][0] for i in set(plain_groups(rows)))
-    kept = corpus_pipeline.dedup_stage(spark, docs, SF) if part_classes > 2 else neardup.keep_one(docs, part_classes=2, broadcast_rows=0)
+    kept = corpus_pipeline.dedup_stage(spark, docs, SF) if part_classes > 2 else simhash.keep_one(docs, part_classes=2, broadcast_rows=0)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == want
 
 
@@ -55,4 +55,4 @@ def test_near_copies_beyond_four_bits_go(spark):
 
 
 def test_empty_table(spark):
-    assert neardup.keep_one(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+    assert simhash.keep_one(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []

@@ -1,9 +1,14 @@
+import re
+import shutil
 import zlib
 
 import corpus_pipeline
+import pytest
 from conftest import SF
+from pyspark.sql import functions as F
+from test_neardup import plain_groups
 
-from tessera.llm import decontaminate, packing, pii, quality, simhash
+from tessera.llm import packing, pii, quality
 
 
 def test_stages_have_effect_and_shape(spark):
@@ -19,23 +24,9 @@ def test_run_equals_the_plain_version(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     good = {r["doc_id"] for r in quality.query(spark, SF).collect() if r["predicted"] == 1}
     docs = {k: v for k, v in docs.items() if k in good}
-    words = sorted((k, simhash.fingerprint(v)) for k, v in docs.items())
-    up = {k: k for k in docs}
-
-    def root(k):
-        while up[k] != k:
-            k = up[k]
-        return k
-
-    for i, (a, x) in enumerate(words):
-        for b, y in words[:i]:
-            if (x ^ y).bit_count() <= 4:
-                p, q = root(a), root(b)
-                up[max(p, q)] = min(p, q)
-    docs = {k: v for k, v in docs.items() if root(k) == k}
+    rows = sorted(docs.items())
+    docs = {rows[i][0]: rows[i][1] for i in set(plain_groups(rows))}
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    import re
-
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {tuple(w[i : i + 10]) for w in map(split, items) if w for i in range(max(1, len(w) - 9))}
     sizes = {len(w) for w in windows}
@@ -54,4 +45,32 @@ def test_run_equals_the_plain_version(spark):
     for w in want:
         histogram[w[3]] = histogram.get(w[3], 0) + 1
     assert len({r["sequence_id"] for r in rows}) == max(x.sequence + x.bins for x in packing.best_fit_decreasing(histogram))
-    assert decontaminate.ORACLE_SQL
+
+
+@pytest.fixture
+def folder(tmp_path):
+    for t in ("labels", "benchmark"):
+        shutil.copy(f"{SF}/{t}.parquet", tmp_path)
+    return tmp_path
+
+
+def test_odd_rows_go_through_all_stages(spark, folder):
+    text = " ".join(f"Plain words of text {i}, as one reads them in any book." for i in range(40))
+    odd = [(None, None), (None, ""), (1, None), (7, text), (7, text), (7, f"{text} and far more beyond it " + "so that it is another one " * 50), (None, text), (900_001, "word " * 300_000)]
+    rows = spark.createDataFrame(odd, "doc_id bigint, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.length("text").cast("bigint")})
+    own = spark.read.parquet(f"{SF}/documents.parquet")
+    clash = {c: F.lit(c) for c in ("id", "row", "digest", "own", "score", "fp", "spans", "rid", "length", "key")}
+    docs = own.unionByName(rows.select(*[F.col(c).cast(own.schema[c].dataType) for c in own.columns])).withColumns(clash)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(folder))
+        assert docs.columns == [*own.columns, *clash]
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    whole = corpus_pipeline.run(spark, str(folder))
+    assert whole.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert whole.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_empty_documents(spark, folder):
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(folder)).collect() == []

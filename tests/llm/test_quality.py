@@ -60,7 +60,15 @@ def test_held_out_labels_are_not_learnt(spark):
     features = spark.createDataFrame([(i, 0, *[float(i % 7)] * len(Q.STATISTICS)) for i in range(400)], ["id", "digest", *Q.STATISTICS])
     labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
     flipped = labels.withColumn("quality", F.when(Q.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
-    assert Q.learn(features, labels) == Q.learn(features, flipped)
+    assert Q.learn(features, Q.sampled(labels)) == Q.learn(features, Q.sampled(flipped))
+
+
+def test_ids_with_both_labels_and_repeated_rows(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (3, 1), (3, 1), (4, 0), (None, 1), (5, None)], "doc_id bigint, quality int")
+    assert sorted(map(tuple, Q.sampled(labels).collect())) == [(k, y) for k, y in ((3, 1), (4, 0)) if zlib.crc32(str(k).encode()) % 4 != 2]
+    features = spark.createDataFrame([(i % 100, d, *[float(d + i)] * len(Q.STATISTICS)) for i in range(200) for d in (1, 2)], ["id", "digest", *Q.STATISTICS])
+    sample = Q.sampled(spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality")))
+    assert Q.learn(features, sample) == Q.learn(features.repartition(7).orderBy(F.desc("digest")), sample)
 
 
 def test_statistics_of_edge_texts():

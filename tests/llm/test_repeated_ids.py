@@ -1,11 +1,8 @@
-import pytest
+from tessera.llm import simhash
 
-from tessera.llm import neardup, simhash
 
-
-@pytest.mark.parametrize("keep", [simhash.keep_first, neardup.keep_one])
-def test_repeated_and_null_ids(spark, keep):
+def test_repeated_and_null_ids(spark):
     one, two, three = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
     rows = [(7, one, 1), (7, two, 2), (3, one, 3), (None, three, 4), (None, three, 5), (None, two, 6), (7, two, 7)]
-    kept = keep(spark.createDataFrame(rows, "doc_id bigint, text string, n int")).collect()
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, n int")).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(3, one), (7, two), (None, three)], key=str)

@@ -98,10 +98,10 @@ def test_nulls_ties_repeats_and_foreign_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, fp int").withColumn("component_id", F.lit("no"))
     found = [(r["id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()]
     assert sorted(found, key=str) == sorted([(None, None), (5, 3), (3, 3), (7, 7), (7, 7), (9, 7), (None, None)], key=str)
-    kept = [r["doc_id"] for r in simhash.keep_first(docs).collect()]
+    kept = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
     assert sorted(kept, key=str) == sorted([3, 7, None, None], key=str)
 
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
-    assert simhash.near_duplicates(docs).collect() == [] and simhash.keep_first(docs).collect() == []
+    assert simhash.near_duplicates(docs).collect() == [] and simhash.keep_one(docs).collect() == []
