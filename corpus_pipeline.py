@@ -11,10 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, neardup, packing, pii, quality
-from tessera.session import checkpoint_folder
+from tessera.llm import decontaminate, packing, pii, quality, simhash
+from tessera.session import checkpoint_folder, delete, durable
 
-#: The workers that pack hold memory of the stages before, so they keep fewer words than a packing alone, and none for later stages.
+#: The workers that pack hold memory of the stages before, so they keep fewer words than a packing alone.
 CACHED_WORDS = 1 << 16
 
 
@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles of similarity 0.8."""
-    return neardup.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 1024 tokens."""
-    return packing.pack(docs, cached_words=CACHED_WORDS, keep_encoder=False).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(docs, cached_words=CACHED_WORDS).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [
@@ -56,10 +56,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what a stage keeps is written to the shared folder for the next."""
+    """The rows of the last stage; what a stage keeps is written to the shared folder for the next.
+
+    A stage's rows are deleted once the next stage is written. The last stage's result is a
+    reliable checkpoint, so that nothing reads the folder any more when it goes.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    for n, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
-        docs = spark.read.parquet(f"{folder}/{n}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for n, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+            docs = spark.read.parquet(f"{folder}/{n}")
+            if n:
+                delete(spark, f"{folder}/{n - 1}")
+        return durable(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        delete(spark, folder)

@@ -44,3 +44,21 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_batches(spark: SparkSession, most: int = 2 << 20) -> None:
+    """Send at most ``most`` bytes (or a single row) to a Python worker at once, unless the session says less.
+
+    The default of 64 MB holds a batch of texts several times over: in the buffers of the
+    executor, in those of the worker, and as strings. No result hangs on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, f"{most}b")
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediates wherever it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
