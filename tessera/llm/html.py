@@ -1,13 +1,20 @@
 """Main text of web pages, with the template of each site removed.
 
-A page is parsed into elements, and every block element's subtree is hashed over its tags and
-its text. Spark counts for each host on how many pages a subtree occurs; pages of equal main text
-count as one, so that copies of a page don't vote its body out. A subtree that recurs on many
-pages of its host is the site's template and is deleted. The main text is then the text
-of the blocks left in the article. What is boilerplate by its very element or name (menus,
-footers, forms, scripts, comment lists ...) goes on every page, also where a host has too few
-pages to count. Inside the article, plain paragraphs and headings are never taken for template:
-copied articles and shared passages recur, too.
+A page is parsed into elements, and block subtrees are hashed twice: over their text, and over
+their shape (tags, classes and ids, without text; equal neighbours count as one). Spark counts
+for each host on how many pages a hash occurs; pages of equal main text count as one, so that
+copies of a page don't vote its body out. Then, on the pages of a host that was counted:
+
+* a subtree whose text recurs on many of its host's pages is template and goes, in the article
+  too. There, headings, lists, tables and whatever holds more than half of the text are spared, and
+  a paragraph goes only if its class or id names it a notice: articles share lines and passages;
+* a subtree whose shape recurs, whatever its text, goes if it is mostly links (outside an
+  article) or if its class or id names boilerplate. A name alone deletes nothing there.
+
+On hosts of too few pages names decide alone. What is none of the text by its very element or
+role (scripts, forms, menus, footers ...) goes on every page. No rule deletes what holds an
+article or more than half of the text. The text is that of all articles left, in page order,
+or of the page where none is marked.
 
 The recurring subtrees of a host are bounded: each stands on at least ``min_share`` of the
 host's pages, so there are at most (subtrees on a page) / ``min_share`` of them.
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.urls import host_and_path
-from tessera.session import durable
+from tessera.session import durable, small_batches
 
 #: A subtree is template from so many pages of a host, and such a share of the host's pages.
 MIN_PAGES = 4
@@ -44,7 +51,7 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd figure f
 CELLS = frozenset(["td", "th"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: In an article these and all within them are prose, whatever their name; lists may be menus.
-NAMELESS = HEADINGS | frozenset("p blockquote pre figure figcaption table dl article".split())
+NAMELESS = HEADINGS | frozenset("p blockquote pre figure figcaption table dl".split())
 #: First words of a class that tells of a page's layout and not of the element ("no-sidebar").
 LAYOUT = frozenset("no not has have with without hide hides is".split())
 DROPPED = frozenset("head script style noscript template title nav menu footer aside form button input select textarea option svg canvas iframe object embed applet audio video map dialog noembed noframes xmp search fieldset".split())
@@ -58,7 +65,8 @@ CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]), "tbody": frozenset(["thead", "tbody", "tr", "td", "th"]), "thead": frozenset(["thead", "tbody", "tr", "td", "th"]), "tfoot": frozenset(["thead", "tbody", "tr", "td", "th"]),
 }
-SCOPES = frozenset("ul ol dl table html body td th article section div main".split())
+#: An implied end does not reach beyond these.
+SCOPES = frozenset("ul ol dl table select".split())
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
@@ -67,14 +75,21 @@ _NAME = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    """An element with its children (elements and strings) in page order."""
+    """An element with its children (elements and strings) in page order.
 
-    __slots__ = ("tag", "attributes", "children", "parent", "key", "size", "shown")
+    ``block`` and ``scope`` are the nearest block and scope around its content; a scope counts
+    its open elements by tag. ``key`` and ``shape`` are the hashes, ``size`` counts the characters of
+    text, ``shown`` those outside boilerplate and ``linked`` those in links.
+    """
+
+    __slots__ = ("tag", "attributes", "children", "parent", "block", "scope", "open", "key", "shape", "size", "shown", "linked")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None) -> None:
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Element | str] = []
-        self.key, self.size, self.shown = 0, 0, 0
+        self.block = self if parent is None or tag in BLOCKS else parent.block
+        self.scope, self.open = (self, {}) if parent is None or tag in SCOPES else (parent.scope, None)
+        self.key = self.shape = self.size = self.shown = self.linked = 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -84,17 +99,66 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
+class _Stack:
+    """The open elements. Each step takes time in proportion to what it closes."""
+
+    def __init__(self) -> None:
+        self.root = self.at = Element("#root", {}, None)
+        self.count: dict[str, int] = {}
+
+    def start(self, child: Element) -> None:
+        inside = self.at.scope.open
+        inside[child.tag] = inside.get(child.tag, 0) + 1
+        self.count[child.tag] = self.count.get(child.tag, 0) + 1
+        self.at = child
+
+    def close(self, e: Element) -> None:
+        """End ``e`` and what is open in it."""
+        stop = e.parent
+        while self.at is not stop:
+            self.count[self.at.tag] -= 1
+            self.at.parent.scope.open[self.at.tag] -= 1
+            self.at = self.at.parent
+
+    def end(self, tag: str) -> bool:
+        """End the innermost open element of a tag; whether there was one."""
+        if not self.count.get(tag):
+            return False
+        e = self.at
+        while e.tag != tag:
+            e = e.parent
+        self.close(e)
+        return True
+
+    def imply(self, tag: str) -> None:
+        """The ends that a start tag implies: of what it can't stand in, within the scope, or of an open paragraph."""
+        ends = CLOSED_BY.get(tag)
+        if ends is None:
+            if self.at.block.tag == "p":
+                self.close(self.at.block)
+            return
+        scope = self.at.scope
+        left = sum(scope.open.get(t, 0) for t in ends)
+        e, outer = self.at, None
+        while left and e is not scope:
+            if e.tag in ends:
+                outer, left = e, left - 1
+            e = e.parent
+        if outer is not None:
+            self.close(outer)
+
+
 def parse(page: str) -> Element:
     """The element tree of a page. Unknown, unclosed and stray tags are forgiven; no page fails."""
-    root = at = Element("#root", {}, None)
-    pos, n, end = 0, 0, len(page)
+    stack = _Stack()
+    pos, end = 0, len(page)
     while pos < end:
         lt = page.find("<", pos)
         if lt < 0:
-            at.children.append(html.unescape(page[pos:]))
+            stack.at.children.append(html.unescape(page[pos:]))
             break
         if lt > pos:
-            at.children.append(html.unescape(page[pos:lt]))
+            stack.at.children.append(html.unescape(page[pos:lt]))
         if page.startswith("<!--", lt):
             close = page.find("-->", lt + 2)
             pos = end if close < 0 else close + 3
@@ -112,51 +176,27 @@ def parse(page: str) -> Element:
                     break
                 pos = close + 1
             else:
-                at.children.append("<")
+                stack.at.children.append("<")
                 pos = lt + 1
             continue
         pos, tag = m.end(), m[2].lower()
         if m[1]:
-            up = at
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                at = up.parent
-            elif tag == "p":
-                at.children.append(Element("p", {}, at))
+            if not stack.end(tag) and tag == "p":
+                stack.at.children.append(Element("p", {}, stack.at))
             continue
         if tag in BLOCKS or tag in CLOSED_BY:
-            at = _implied_ends(at, tag)
-        n += 1
-        child = Element(tag, _attributes(m[3]) if m[3].strip() else {}, at)
-        at.children.append(child)
+            stack.imply(tag)
+        child = Element(tag, _attributes(m[3]) if m[3].strip() else {}, stack.at)
+        stack.at.children.append(child)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, pos)
             stop = close.start() if close else end
             child.children.append(page[pos:stop])
             gt = page.find(">", stop) if close else -1
             pos = gt + 1 if gt >= 0 else end
-        elif tag not in VOID and not m[3].endswith("/"):
-            at = child
-        elif tag not in VOID and tag in BLOCKS:
-            at = child  # "/" means nothing on an HTML element
-    return root
-
-
-def _implied_ends(at: Element, tag: str) -> Element:
-    """Where an element goes after the ends that its start tag implies."""
-    ends = CLOSED_BY.get(tag)
-    up = at
-    if ends:
-        while up.parent is not None and up.tag not in ("ul", "ol", "dl", "table", "select"):
-            if up.tag in ends:
-                at = up.parent
-            up = up.parent
-        return at
-    # A block ends an open paragraph, with the inline elements left open in it.
-    while up.parent is not None and up.tag not in BLOCKS:
-        up = up.parent
-    return up.parent if up.tag == "p" else at
+        elif tag not in VOID and (tag in BLOCKS or not m[3].endswith("/")):  # "/" means nothing on an HTML block
+            stack.start(child)
+    return stack.root
 
 
 def _named(e: Element, inside: bool) -> bool:
@@ -171,12 +211,8 @@ def _named(e: Element, inside: bool) -> bool:
     return False
 
 
-def boilerplate(e: Element, inside: bool, whole: int | None = None) -> bool:
-    """Whether the element is none of the main text by itself; ``inside``: within an article.
-
-    ``whole`` is the size of the shown text around it: what holds more than half of that is not
-    judged by name, nor are headings and an article's prose. None: names don't count.
-    """
+def boilerplate(e: Element, inside: bool) -> bool:
+    """Whether the element is none of the main text by its tag, role or being hidden; ``inside``: within an article."""
     if e.tag in DROPPED or (e.tag == "header" and not inside):
         return True
     a = e.attributes
@@ -184,24 +220,23 @@ def boilerplate(e: Element, inside: bool, whole: int | None = None) -> bool:
         return False
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    if a.get("role", "").lower() in ROLES:
-        return True
-    if whole is None or 2 * e.shown > whole or e.tag in (NAMELESS if inside else HEADINGS):
-        return False
-    return ("class" in a or "id" in a) and _named(e, inside)
+    return a.get("role", "").lower() in ROLES
 
 
-def measure(e: Element) -> None:
-    """Set the hash, the text size and the size of the text shown (without dropped elements) of every subtree."""
-    stack: list[tuple[Element, bool]] = [(e, False)]
+def measure(root: Element) -> None:
+    """Set the hashes and text sizes of every subtree."""
+    stack: list[tuple[Element, bool, bool]] = [(root, False, False)]
     while stack:
-        x, done = stack.pop()
+        x, done, inside = stack.pop()
         if not done:
-            stack.append((x, True))
+            inside = inside or x.tag == "article"
+            stack.append((x, True, inside))
             if x.tag not in RAW:
-                stack.extend((c, False) for c in x.children if not isinstance(c, str))
+                stack.extend((c, False, inside) for c in x.children if not isinstance(c, str))
             continue
-        digest, size, shown = xxhash.xxh64(x.tag, seed=1), 0, 0
+        a = x.attributes
+        digest, size, shown, linked, last = xxhash.xxh64(x.tag, seed=1), 0, 0, 0, None
+        shape = xxhash.xxh64(f"{x.tag}\0{a.get('class', '')}\0{a.get('id', '')}" if a else x.tag, seed=2)
         for c in x.children:
             if isinstance(c, str):
                 if t := " ".join(c.split()):
@@ -212,72 +247,120 @@ def measure(e: Element) -> None:
                 digest.update(c.key.to_bytes(8, "little"))
                 size += c.size
                 shown += c.shown
-        x.key, x.size, x.shown = digest.intdigest(), size, 0 if x.tag in DROPPED else shown
+                linked += c.linked
+                if c.shape != last:
+                    shape.update(c.shape.to_bytes(8, "little"))
+                    last = c.shape
+        x.key, x.shape, x.size = digest.intdigest(), shape.intdigest(), size
+        x.shown = 0 if boilerplate(x, inside) else shown
+        x.linked = size if x.tag == "a" else linked
+
+
+def _spared(e: Element, inside: bool, whole: int) -> bool:
+    """What no name and no shape deletes: what holds more than half of the text, headings, an article's prose."""
+    return 2 * e.shown > whole or e.tag in (NAMELESS if inside else HEADINGS)
 
 
-def main_root(root: Element) -> tuple[Element, bool]:
-    """The element that holds the main text, and whether it is marked as such.
+def _suspect(e: Element, inside: bool, whole: int) -> bool:
+    """Whether the recurrence of its shape would make the element template."""
+    if _spared(e, inside, whole):
+        return False
+    a = e.attributes
+    return ("class" in a or "id" in a) and _named(e, inside) or not inside and e.tag in BLOCKS and 0 < e.size < 2 * e.linked
+
+
+def _votes(e: Element, inside: bool, whole: int) -> bool:
+    """Whether the recurrence of its text would make the element template."""
+    if e.tag not in BLOCKS or e.tag in ("html", "body", "main") or not e.size:
+        return False
+    if not inside:
+        return True
+    return 2 * e.size <= whole and (e.tag not in PROSE or e.tag == "p" and _named(e, inside))
 
-    A marked element in one named as boilerplate is taken only if there is no other.
+
+def _is_template(e: Element, inside: bool, whole: int, template: frozenset[int] | None) -> bool:
+    if template is None:  # a host that can't be counted
+        return _suspect(e, inside, whole) and _named(e, inside)
+    return e.key in template and _votes(e, inside, whole) or e.shape in template and _suspect(e, inside, whole)
+
+
+def main_elements(root: Element, template: frozenset[int] | None = None, marks: bool = True) -> tuple[list[Element], bool]:
+    """The elements that hold the main text in page order, and whether they are marked as such.
+
+    Marked elements within template or in what is named as boilerplate are taken only if there
+    are no others, and of several articles those that are mostly links are not.
     """
-    for whole in (root.shown, None):
-        best, rank = root, (0, 0)
+    for strict in (True, False) if marks else ():
+        articles, others = [], []
         stack = [root]
         while stack:
             e = stack.pop()
-            for c in e.children:
-                if isinstance(c, str) or boilerplate(c, False, whole):
+            if e is not root:
+                if e.tag == "article" or e.attributes.get("itemprop") == "articleBody":
+                    if e.shown and not (strict and _is_template(e, True, root.shown, template)):
+                        articles.append(e)
                     continue
-                stack.append(c)
-                marked = 3 if c.tag == "article" or c.attributes.get("itemprop") == "articleBody" else 2 if c.tag == "main" or c.attributes.get("role") == "main" else 0
-                if marked and c.size and (marked, c.size) > rank:
-                    best, rank = c, (marked, c.size)
-        if rank[0]:
-            break
-    return best, rank[0] > 0
-
-
-def _candidates(main: Element, marked: bool, root: Element) -> Iterator[Element]:
-    """Block elements whose recurrence on a host would make them template."""
-    holders = set()
-    up: Element | None = main
-    while up is not None:
-        holders.add(id(up))
-        up = up.parent
-    stack = [(root, False)]
+                if e.shown and (e.tag == "main" or e.attributes.get("role") == "main"):
+                    others.append(e)
+            stack.extend(c for c in reversed(e.children) if not isinstance(c, str) and c.shown and not boilerplate(c, False) and not (strict and _is_template(c, False, root.shown, template)))
+        if articles:
+            plain = [e for e in articles if 2 * e.linked <= e.size]
+            return plain or articles, True
+        if others:
+            return [max(others, key=lambda e: e.shown)], True
+    return [root], False
+
+
+def _each(mains: list[Element], marked: bool, root: Element) -> Iterator[tuple[Element, bool, int]]:
+    """Elements that may be template, with whether they lie in a marked main element and the text size around."""
+    holders, inner = set(), {id(e): e for e in mains if marked}
+    for e in mains:
+        up: Element | None = e
+        while up is not None and id(up) not in holders:
+            holders.add(id(up))
+            up = up.parent
+    stack: list[tuple[Element, Element | None]] = [(root, None)]
     while stack:
-        e, inside = stack.pop()
-        inside = inside or (marked and e is main)
+        e, around = stack.pop()
+        around = around or inner.get(id(e))
         for c in e.children:
             if isinstance(c, str) or c.tag in RAW or c.tag in DROPPED:
                 continue
-            if c.size and c.tag in BLOCKS and id(c) not in holders and c.tag not in ("html", "body") and not (inside and (c.tag in PROSE or 2 * c.size > main.size)):
-                yield c
-            stack.append((c, inside))
+            if id(c) not in holders:
+                yield c, around is not None, (around or root).shown
+            stack.append((c, around))
 
 
-def subtree_keys(page: str | None) -> tuple[int, set[int]]:
-    """Hash of the page's main text, and distinct hashes of its block subtrees that may be template."""
+def subtree_keys(page: str | None, marks: bool = True) -> tuple[int, set[int]]:
+    """Hash of the page's main text, and distinct hashes of its subtrees that may be template."""
     if not page:
         return 0, set()
     root = parse(page)
     measure(root)
-    main, marked = main_root(root)
-    return xxhash.xxh64_intdigest(_text(main, marked, set())), {e.key for e in _candidates(main, marked, root)}
+    mains, marked = main_elements(root, None, marks)
+    keys = set()
+    for e, inside, whole in _each(mains, marked, root):
+        if _votes(e, inside, whole):
+            keys.add(e.key)
+        if _suspect(e, inside, whole):
+            keys.add(e.shape)
+    return xxhash.xxh64_intdigest(_text(mains, marked, None)), keys
+
 
+def main_text(page: str | None, template: frozenset[int] | None = None, marks: bool = True) -> str:
+    """Text of the main blocks, white space made single, joined by a line break.
 
-def main_text(page: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
-    """Text of the main blocks, white space made single, joined by a line break."""
+    ``template`` is what recurs on the page's host; None where the host has too few pages to tell.
+    """
     if not page:
         return ""
     root = parse(page)
     measure(root)
-    main, marked = main_root(root)
-    return _text(main, marked, {id(e) for e in _candidates(main, marked, root) if e.key in template} if template else set())
+    return _text(*main_elements(root, template, marks), template)
 
 
-def _text(main: Element, marked: bool, gone: set[int]) -> str:
-    """Text of the blocks of ``main`` without the elements in ``gone``."""
+def _text(mains: list[Element], marked: bool, template: frozenset[int] | None) -> str:
+    """Text of the blocks of the main elements without boilerplate and template."""
     blocks: list[str] = []
     words: list[str] = []
 
@@ -286,28 +369,29 @@ def _text(main: Element, marked: bool, gone: set[int]) -> str:
             blocks.append(text)
         words.clear()
 
-    stack: list[tuple[Element | str, bool, bool]] = [(main, False, False)]
-    while stack:
-        x, closing, prose = stack.pop()
-        if isinstance(x, str):
-            words.append(x)
-            continue
-        block = x.tag in BLOCKS and x.tag not in CELLS
-        if closing:
-            flush() if block else words.append(" " if x.tag in CELLS else "")
-            continue
-        if x is not main and (id(x) in gone or boilerplate(x, marked, None if prose else main.shown)):
+    for main in mains:
+        stack: list[tuple[Element | str, bool, bool]] = [(main, False, False)]
+        while stack:
+            x, closing, prose = stack.pop()
+            if isinstance(x, str):
+                words.append(x)
+                continue
+            block = x.tag in BLOCKS and x.tag not in CELLS
+            if closing:
+                flush() if block else words.append(" " if x.tag in CELLS else "")
+                continue
+            if x is not main and (boilerplate(x, marked) or not prose and _is_template(x, marked, main.shown, template)):
+                if block:
+                    flush()
+                continue
             if block:
                 flush()
-            continue
-        if block:
-            flush()
-        elif x.tag in CELLS or x.tag == "br":
-            words.append(" ")
-        stack.append((x, True, prose))
-        prose = prose or (marked and x is not main and x.tag in NAMELESS)
-        stack.extend((c, False, prose) for c in reversed(x.children))
-    flush()
+            elif x.tag in CELLS or x.tag == "br":
+                words.append(" ")
+            stack.append((x, True, prose))
+            prose = prose or (marked and x is not main and x.tag in NAMELESS)
+            stack.extend((c, False, prose) for c in reversed(x.children))
+        flush()
     return "\n".join(blocks)
 
 
@@ -315,54 +399,55 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, keys)``: for each host the hashes of the subtrees that recur on its pages."""
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, marks: bool = True, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``(host, keys)`` for each host of ``min_pages`` pages: the hashes that recur on its pages."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [subtree_keys(page) for page in batch.column(1).to_pylist()]
+            found = [subtree_keys(page.as_py(), marks) for page in batch.column(1)]
             content = pa.array([_signed(c) for c, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), content, pa.array([[_signed(k) for k in keys] for _, keys in found], pa.list_(pa.int64()))], ["host", "content", "keys"])
 
+    small_batches(pages.sparkSession)
     host, _ = host_and_path(F.col(url_col).cast("string"))
     seen = pages.select(host.alias("host"), F.col(html_col).cast("string").alias("html")).where("host <> ''").mapInArrow(per_batch, "host string, content bigint, keys array<bigint>")
     # The null key counts the pages themselves, in the same pass; pages of equal content are one.
     once = seen.select("host", "content", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "keys")).alias("key")).distinct()
-    counted = once.groupBy("host", "key").agg(F.count("*").alias("n"))
-    often = durable(counted.where((F.col("n") >= min_pages) | F.col("key").isNull()))
+    often = durable(once.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
     totals = often.where("key is null").select("host", F.col("n").alias("all"))
-    kept = often.where("key is not null").join(totals, "host").where(F.col("n") >= min_share * F.col("all"))
+    kept = often.join(totals, "host").where((F.col("n") >= min_share * F.col("all")) | F.col("key").isNull())
     return kept.groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(id, url, text, n_chars)`` for every row of ``pages``.
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, marks: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``(id, url, text, n_chars, n_template)`` for every row of ``pages``.
 
-    Null and empty html give an empty text. Pages without a host are only cleaned by element and
-    name. Rows of equal main text count as one page. An empty table gives an empty result.
+    Null and empty html give an empty text. Pages without a host, and of hosts of fewer than
+    ``min_pages`` different pages, are cleaned by element and name. Rows of equal main text count as one page.
+    ``n_template`` counts the hashes that the page's host has as template, null if it wasn't counted.
+    Without ``marks`` no article element is looked for. An empty table gives an empty result.
     """
-    found = durable(templates(pages, min_pages, min_share, url_col, html_col))
+    found = durable(templates(pages, min_pages, min_share, marks=marks, url_col=url_col, html_col=html_col))
     n = found.agg(F.sum(F.size("keys") + 4)).first()[0] or 0
     host, _ = host_and_path(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    if n:
-        rows = rows.join(F.broadcast(found) if n <= BROADCAST_ROWS else found, "host", "left").select("id", "url", "html", "keys")
-    else:
-        rows = rows.select("id", "url", "html", F.lit(None).cast("array<bigint>").alias("keys"))
+    rows = rows.join(F.broadcast(found) if n <= BROADCAST_ROWS else found, "host", "left").select("id", "url", "html", "keys")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: dict[tuple, frozenset[int]] = {(): frozenset()}
-            texts = []
-            for page, keys in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                own = tuple(keys or ())
-                if own not in sets:
-                    sets[own] = frozenset(k & 0xFFFFFFFFFFFFFFFF for k in own)
-                texts.append(main_text(page, sets[own]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
+            sets: dict[bytes | None, frozenset[int] | None] = {None: None}
+            texts, sizes = [], []
+            for page, keys in zip(batch.column(2), batch.column(3), strict=True):
+                own = keys.values.to_numpy() if keys.is_valid else None
+                mark = None if own is None else own.tobytes()
+                if mark not in sets:
+                    sets[mark] = frozenset(k & 0xFFFFFFFFFFFFFFFF for k in own.tolist())
+                texts.append(main_text(page.as_py(), sets[mark], marks))
+                sizes.append(None if own is None else len(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes, pa.int64())], ["id", "url", "text", "n_chars", "n_template"])
 
     id_type = pages.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(per_batch, f"id {id_type}, url string, text string, n_chars bigint")
+    return rows.mapInArrow(per_batch, f"id {id_type}, url string, text string, n_chars bigint, n_template bigint")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

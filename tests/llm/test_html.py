@@ -56,6 +56,34 @@ def test_broken_pages():
     assert M.main_text(None) == ""
 
 
+def test_words_of_classes_above_and_in_an_article():
+    text = "<p>Text of the article itself, of some length</p>"
+    for page in (f'<div class="layout has-sidebar"><article>{text}</article></div>', f'<article class="post comments-open">{text}</article>', f'<article id="menu-guide">{text}</article>', f'<div id="sidebar"><div class="widget"><article>{text}</article></div></div>'):
+        assert M.main_text(page) == "Text of the article itself, of some length"
+    assert M.main_text(f'<article>{text}<section id="market-share"><p>Shares</p></section><p class="widget-free">Free</p></article>').endswith("\nShares\nFree")
+
+
+def test_all_articles_in_page_order():
+    assert M.main_text("<main><article><p>One</p></article><article><p>Two, longer</p></article></main><article>Three</article>") == "One\nTwo, longer\nThree"
+    assert M.main_text("<article><p>The text</p></article><article><a href=x>A teaser that is a link</a></article>") == "The text"
+    assert M.main_text("<article><script>" + "x = 1; " * 100 + "</script></article><article>Text</article>") == "Text"
+    assert M.main_text("<main><script>" + "x = 1; " * 100 + "</script></main><div role=main><p>Text</p></div>") == "Text"
+
+
+def test_time_is_linear_in_nesting():
+    import time
+
+    pages = ["<span>{}<li>", "<div></p></b>{}", "<b>{}<hr>", "<i>{}<td>", "<ul><span>{}</li></q>", "<a 'x>{}</a \">"]
+    for page in pages:
+        start, _, stop = page.partition("{}")
+        took = []
+        for n in (10_000, 100_000):
+            began = time.process_time()
+            M.main_text(start * n + stop * n + "x")
+            took.append(time.process_time() - began)
+        assert took[1] < 40 * max(took[0], 0.05), (page, took)
+
+
 def test_deep_and_long_pages():
     assert M.main_text("<div>" * 30_000 + "deep") == "deep"
     assert len(M.main_text("<p>word</p>" * 50_000)) == 5 * 50_000 - 1
@@ -70,7 +98,7 @@ SCHEMA = "page_id bigint, url string, html string"
 
 
 def test_recurring_subtrees_are_template(spark):
-    for n, want in ((9, "Text number 3 here"), (M.MIN_PAGES - 1, "Same box\nmore\nText number 2 here")):
+    for n, want in ((9, "Text number 3 here"), (M.MIN_PAGES, "Text number 3 here"), (M.MIN_PAGES - 1, "Same box\nmore\nText number 2 here")):
         found = {r["id"]: r["text"] for r in M.extract(spark.createDataFrame(site(n), SCHEMA)).collect()}
         assert found[min(3, n - 1)] == want
 
@@ -83,7 +111,7 @@ def test_another_host_keeps_the_same_text(spark):
 def test_copied_articles_keep_their_text(spark):
     page = "<body><div>Box of the site</div><article><h1>T</h1><p>Same article everywhere</p><div class=q>Also in it, on all pages</div></article></body>"
     rows = [(i, f"http://h.com/{i}", page) for i in range(12)]
-    assert {r["text"] for r in M.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {"T\nSame article everywhere"}
+    assert {r["text"] for r in M.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {"T\nSame article everywhere\nAlso in it, on all pages"}
 
 
 def test_copies_do_not_vote_their_body_out(spark):
@@ -97,6 +125,55 @@ def test_copies_do_not_vote_their_body_out(spark):
     assert [found[100 + i] for i in range(6)] == [f"Own text {i}, longer than it" for i in range(6)]
 
 
+def counted(pages, min_pages=M.MIN_PAGES, share=M.MIN_SHARE):
+    """Hashes that recur on each host, counted page by page."""
+    seen = {}
+    for _, url, page in pages:
+        host = url.split("/")[2]
+        content, keys = M.subtree_keys(page)
+        seen.setdefault(host, {}).setdefault(content, set()).update(keys)
+    out = {}
+    for host, by_content in seen.items():
+        if len(by_content) >= min_pages:
+            n = {}
+            for keys in by_content.values():
+                for k in keys:
+                    n[k] = n.get(k, 0) + 1
+            out[host] = {k for k, v in n.items() if v >= min_pages and v >= share * len(by_content)}
+    return out
+
+
+def test_templates_equal_a_plain_count(spark):
+    pages = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()] + site(9) + site(60, "g.com") + site(3, "k.com")
+    found = {r["host"]: {k & (2**64 - 1) for k in r["keys"]} for r in M.templates(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert found == counted(pages) and any(found.values())
+
+
+def test_notices_and_boxes_whose_text_differs(spark):
+    notice = "<p class=notice>Read all of our offers of this week</p>"
+    lists = "".join(f"<div class='teasers'><a href=x>Teaser number {i} of a list</a></div>" for i in range(2))
+    page = "<body><div class=promo-box>Buy number {0} of it</div>" + lists + "<article><h2>Summary</h2><p>Text number {0} of the article</p>{1}<div class='comments'>Reader {0} says</div></article></body>"
+    rows = [(i, f"http://h.com/{i}", page.format(i, notice if i % 2 else "")) for i in range(12)]
+    found = {r["id"]: (r["text"], r["n_template"]) for r in M.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(v == (f"Summary\nText number {k} of the article", found[0][1]) for k, v in found.items()) and found[0][1] >= 3
+    bare = [(i, u, h.replace("article", "div")) for i, u, h in rows]
+    found = {r["id"]: r["text"] for r in M.extract(spark.createDataFrame(bare, SCHEMA)).collect()}
+    assert all(v == f"Text number {k} of the div" for k, v in found.items()), found[3]
+
+
+def test_lines_that_articles_share_stay(spark):
+    page = "<body><nav>Menu</nav><article><h1>T</h1><p>A line that all articles have</p><p>Text number {0}</p></article></body>"
+    found = M.extract(spark.createDataFrame([(i, f"http://h.com/{i}", page.format(i)) for i in range(12)], SCHEMA)).collect()
+    assert all(r["text"] == f"T\nA line that all articles have\nText number {r['id']}" for r in found)
+
+
+def test_a_name_alone_deletes_nothing_on_a_counted_host(spark):
+    rows = [(i, f"http://h.com/{i}", f"<article><p>Text number {i} of the article, some words long</p></article>") for i in range(8)]
+    rows.append((8, "http://h.com/8", "<article><p>Text of an article on the trade in shares</p><div class='share notice'>Part of its text</div></article>"))
+    found = {r["id"]: r["text"] for r in M.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[8].endswith("\nPart of its text")
+
+
 def test_edge_rows_and_foreign_columns(spark):
     rows = [(1, None, "<p>a</p>"), (2, "x", None), (None, "http://h/", ""), (3, "http://h/", "<p>b</p>"), (3, "http://h/", "<p>b</p>")]
     pages = spark.createDataFrame(rows, SCHEMA).withColumns({"host": F.lit(1), "keys": F.lit(2), "text": F.lit("t")})
