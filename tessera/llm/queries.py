@@ -18,4 +18,5 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE_SQL,
+    "op9_embeddings": embeddings.ORACLE_SQL,
 }

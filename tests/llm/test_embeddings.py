@@ -68,12 +68,12 @@ def brute(rows):
     return sorted((rows[i][0], links[i], min(least[root(i)])) for i in range(n))
 
 
-@pytest.mark.parametrize("block", [7, 1024])
-def test_rows_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "fanout"), [(7, 16), (20, 3), (3, 2), (None, 16)])
+def test_rows_equal_brute_force(spark, block, fanout):
     x = clustered(150, 6, 9)
     rows = [(500 - i, v.tolist(), i % 3) for i, v in enumerate(x)]
     rows += [(1000 + i, x[3].tolist(), 0) for i in range(20)] + [(2000, None, 0), (2001, [], 0), (2002, [0.0] * 6, 0), (2003, [float("nan")] * 6, 0), (2004, [float("inf")] * 6, 0), (2005, [None] * 6, 0), (2006, x[3].tolist(), None), (2007, [1.0, 2.0], 0), (2008, [0.0, -0.0, 1.0, 0.0, 0.0, 0.0], 0), (2009, [-0.0, 0.0, 1.0, 0.0, 0.0, 0.0], 0), (2010, [1e30] * 6, 1), (2011, [1e-30] * 6, 1)]
-    found = E.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), block=block).collect()
+    found = E.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), block=block, fanout=fanout).collect()
     assert sorted((r["id"], r["n_links"], r["component_id"]) for r in found) == brute(rows)
     assert all(r["kept"] == (r["id"] == r["component_id"]) for r in found)
 
@@ -83,3 +83,24 @@ def test_repeats_null_ids_and_foreign_columns(spark):
     found = sorted(((r["id"], r["n_links"], r["component_id"], r["kept"]) for r in E.near_duplicates(v).collect()), key=str)
     assert found == sorted([(None, 2, 4, None), (4, 2, 4, True), (4, 2, 4, True), (None, 0, None, None)], key=str)
     assert E.near_duplicates(v.limit(0)).collect() == []
+
+
+def test_pairs_of_cells_follow_the_clusters(spark):
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(12, 16))
+    rows = [(int(i), (middles[i % 12] + 0.02 * rng.normal(size=16)).astype(np.float32).tolist(), 1) for i in range(1200)]
+    classes = spark.createDataFrame(rows, "cid bigint, embedding array<float>, label int")
+    placed, pairs = E.cells(classes, block=150)
+    n = placed.select("cell").distinct().count()
+    assert placed.count() == 1200 and placed.select("cid").distinct().count() == 1200
+    assert 8 <= n and pairs.count() < 0.4 * n * (n + 1) / 2
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+    from conftest import SF
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF}/embeddings.parquet')")
+    got = E.query(spark, SF).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT vec_id, n_links, component_id, kept FROM ({E.ORACLE_SQL})").fetchall())
