@@ -4,8 +4,10 @@ The text gives a log likelihood for each language, from character trigrams learn
 sample of labelled documents; it is tempered, since neighbouring trigrams are not independent.
 What markup declares and the suffix of the address give likelihoods estimated over all pages by
 grouped aggregation of the text posteriors. The prior of a host is the smoothed mix of its own
-pages with the prior of its registered domain, which is smoothed to that of its suffix, and that
-to the whole corpus. All four meet in one column expression per language.
+pages with those of its registered domain, which is smoothed to the whole corpus. Each piece of
+evidence counts once: the suffix is no level of the prior, and a page's own posterior is left
+out of every sum that judges it. Sums have a row for each key and language while they are made,
+so the number of languages is not bounded.
 """
 
 from __future__ import annotations
@@ -20,22 +22,20 @@ from pyspark.sql import functions as F
 
 from tessera.llm.html import main_text
 from tessera.llm.urls import host_and_path
-from tessera.session import durable
+from tessera.session import durable, small_batches
 
 #: Labelled documents that the text model learns from: those first by the hash of their id.
 SAMPLE_ROWS = 6_000
-#: Languages that the model tells apart: the most frequent in the sample.
-LANGUAGES = 64
 BUCKETS = 1 << 15
 #: Nats of text evidence per trigram that count, and at most in all.
 TEMPER = 0.2
 MOST_NATS = 12.0
-#: Pages of its parent that a host, a domain and a suffix are smoothed with.
+#: Pages of its parent that a host and a domain are smoothed with.
 SMOOTHING = 5.0
-#: Hosts that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Sums (keys times languages) that may be broadcast: some 100 MB.
+BROADCAST_SUMS = 4_000_000
 
-_HTML_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_HTML_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
 
 def _grams(text: str) -> np.ndarray:
@@ -74,31 +74,32 @@ def text_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
     if upto is None:
         return TextModel([])
     some = known.where(F.col("h") <= upto)
-    langs = [r["lang"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text in ((a.as_py(), b.as_py()) for a, b in zip(*batch.columns, strict=True)):
                 counts = np.bincount(_grams(text).astype(np.int64), minlength=BUCKETS)
                 table[lang] = table[lang] + counts if lang in table else counts
         for lang, counts in table.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["lang", "bucket", "n"])
 
-    counted = some.where(F.col("lang").isin(langs)).select("lang", "text").mapInArrow(per_batch, "lang string, bucket int, n bigint")
+    small_batches(docs.sparkSession)
+    counted = some.select("lang", "text").mapInArrow(per_batch, "lang string, bucket int, n bigint")
     return TextModel([tuple(r) for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()])
 
 
 def evidence(pages: DataFrame, model: TextModel, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Host, domain, suffix, declared language and text log likelihoods for each page."""
     context = pages.sparkSession.sparkContext
-    shared = context.broadcast(model)  # languages x 32,768 floats: 8 MB at most
+    small_batches(pages.sparkSession)
+    shared = context.broadcast(model)  # 128 KB for each language of the bounded sample
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             declared, text = [], []
-            for page in batch.column(3).to_pylist():
+            for page in (x.as_py() for x in batch.column(3)):
                 m = _HTML_LANG.search(page) if page else None
                 declared.append(m[1].lower() if m else None)
                 text.append(shared.value.likelihoods(main_text(page)))
@@ -112,11 +113,17 @@ def evidence(pages: DataFrame, model: TextModel, url_col: str = "url", html_col:
     return seen.select("*", F.element_at(parts, -1).alias("suffix"), F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".").alias("domain"))
 
 
-def _posterior(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    weights = [F.exp(x - top) for x in logs]
-    total = sum(weights[1:], weights[0])
-    return [w / total for w in weights]
+def _normal(logs: Column) -> Column:
+    """Probabilities in proportion to the exponentials of an array of logarithms."""
+    weights = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+    return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x))
+
+
+def _sums(soft: DataFrame, name: str, *keys: str) -> DataFrame:
+    """For each key an array ``name`` with the sum of the text posteriors of each language, and their total."""
+    long = soft.select(*keys, F.posexplode("soft").alias("at", "p")).groupBy(*keys, "at").agg(F.sum("p").alias("p"))
+    listed = long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("s"))  # as many as languages
+    return listed.select(*keys, F.transform("s", lambda x: x["p"]).alias(name), F.aggregate("s", F.lit(0.0), lambda a, x: a + x["p"]).alias(f"{name}_all"))
 
 
 def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", smoothing: float = SMOOTHING, **params) -> DataFrame:
@@ -127,44 +134,47 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     labelled document ``lang`` and ``confidence`` are null. Repeated rows count as pages of their own.
     """
     model = text_model(docs, **params)
-    k = range(len(model.langs))
     rows = durable(evidence(pages.withColumn("__id", F.col(id_col)), model, url_col, html_col))
     if not model.langs:
         none = F.lit(None).cast("string")
         return rows.select("id", "url", "host", "declared", none.alias("lang"), F.lit(None).cast("double").alias("confidence"), none.alias("text_lang"))
-    soft = rows.select("*", *[p.alias(f"p{i}") for i, p in zip(k, _posterior([F.col("text_log")[i] for i in k]), strict=True)])
-    sums = [F.sum(f"p{i}").alias(f"n{i}") for i in k]
-
-    # Priors, from the whole corpus down to the host; one row for each host in the end.
-    whole = soft.agg(*sums)
-    of_suffix, of_domain, of_host = (soft.groupBy(*key).agg(*sums) for key in (["suffix"], ["suffix", "domain"], ["suffix", "domain", "host"]))
-    total = sum((F.col(f"n{i}") for i in k), F.lit(0.0))
-    base = F.broadcast(whole.select(*[((F.col(f"n{i}") + 1) / (total + len(model.langs))).alias(f"q{i}") for i in k]))
-
-    def smoothed(counts: DataFrame, parent: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
-        joined = counts.join(parent, on) if on else counts.join(parent)
-        return joined.select(*keys, *[((F.col(f"n{i}") + smoothing * F.col(f"q{i}")) / (total + smoothing)).alias(f"q{i}") for i in k])
-
-    suffixes = durable(smoothed(of_suffix, base, [], ["suffix"]))
-    domains = smoothed(of_domain, suffixes, ["suffix"], ["suffix", "domain"])
-    hosts = smoothed(of_host, domains, ["suffix", "domain"], ["host"])
-    priors = durable(hosts.select("host", F.array(*[F.log(f"q{i}") for i in k]).alias("prior_log")))
-
-    def given(column: str, least: int) -> DataFrame:
-        """log P(value | language) over all pages, for the values that occur."""
-        counts = soft.where(F.col(column).isNotNull()).groupBy(column).agg(*sums)
-        values = durable(counts)
-        all_ = values.agg(F.count("*").alias("v"), *[F.sum(f"n{i}").alias(f"t{i}") for i in k])
-        logs = [F.log((F.col(f"n{i}") + 0.5) / (F.col(f"t{i}") + 0.5 * F.greatest("v", F.lit(least)))) for i in k]
-        return values.join(F.broadcast(all_)).select(column, F.array(*logs).alias(f"{column}_log"))
+    soft = rows.withColumn("soft", _normal(F.col("text_log")))
 
     def sized(df: DataFrame) -> DataFrame:
         df = durable(df)
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-    met = rows.join(sized(priors), "host", "left").join(sized(given("declared", 2)), "declared", "left").join(sized(given("suffix", 2)), "suffix", "left")
-    logs = [F.col("text_log")[i] + sum((F.coalesce(F.col(c)[i], F.lit(0.0)) for c in ("prior_log", "declared_log", "suffix_log")), F.lit(0.0)) for i in k]
-    ranked = met.withColumn("posterior", F.array(*_posterior(logs)))
+        return F.broadcast(df) if df.count() * len(model.langs) <= BROADCAST_SUMS else df
+
+    def every(of: DataFrame, name: str) -> list[Column]:
+        """The sums over all rows as constants: one number for each language on the driver."""
+        row = _sums(of.withColumn("one", F.lit(1)), "sums", "one").first()
+        found = row["sums"] if row else [0.0] * len(model.langs)
+        return [F.array(*map(F.lit, found)).alias(name), F.lit(sum(found)).alias(f"{name}_all")]
+
+    def values(name: str, key: str) -> DataFrame:
+        """Sums for each value, with those of all values and the number of values."""
+        known = soft.where(F.col(key).isNotNull())
+        own = durable(_sums(known, name, key))
+        return sized(own.select("*", every(known, f"{name}_sum")[0], F.lit(float(max(own.count(), 2))).alias(f"{name}_n")))
+
+    met = soft.select("*", *every(soft, "whole")).join(sized(_sums(soft, "in_domain", "domain")), "domain", "left").join(sized(_sums(soft, "in_host", "host")), "host", "left")
+    met = met.join(values("as_declared", "declared"), "declared", "left").join(values("in_suffix", "suffix"), "suffix", "left")
+
+    # Every sum without the page itself; the page is a row of mass one in each of its groups.
+    k = F.lit(float(len(model.langs)))
+    at = lambda column, i: F.get(F.col(column), i)
+    less = lambda column, i: F.greatest(at(column, i) - at("soft", i), F.lit(0.0))
+
+    def fused(i: Column) -> Column:
+        prior = (less("whole", i) + 1) / (F.col("whole_all") - 1 + k)
+        for level in ("in_domain", "in_host"):
+            prior = (less(level, i) + smoothing * prior) / (F.greatest(F.col(f"{level}_all") - 1, F.lit(0.0)) + smoothing)
+        logs = at("text_log", i) + F.log(prior)
+        for name in ("as_declared", "in_suffix"):
+            given = F.log((less(name, i) + 0.5) / (less(f"{name}_sum", i) + 0.5 * F.col(f"{name}_n")))
+            logs = logs + F.coalesce(given, F.lit(0.0))
+        return logs
+
+    ranked = met.withColumn("logs", F.transform(F.sequence(F.lit(0), F.lit(len(model.langs) - 1)), fused)).withColumn("posterior", _normal(F.col("logs")))
     names = F.array(*[F.lit(x) for x in model.langs])
     pick = lambda column: F.element_at(names, F.array_position(column, F.array_max(column)).cast("int"))
     return ranked.select("id", "url", "host", "declared", pick(F.col("posterior")).alias("lang"), F.array_max("posterior").alias("confidence"), F.when(F.array_min("text_log") < 0, pick(F.col("text_log"))).alias("text_lang"))

@@ -45,21 +45,32 @@ def test_posteriors_equal_brute_force(spark):
     domain = np.array([".".join(h.split(".")[-2:]) for h in host])
     declared = np.array(["fr" if "lang=fr" in h else "" for _, _, h in rows])
     k = soft.shape[1]
-    q0 = (soft.sum(axis=0) + 1) / (soft.sum() + k)
-    smooth = lambda n, q: (n + L.SMOOTHING * q) / (n.sum() + L.SMOOTHING)
-    given = lambda col, v, ok: (soft[col == v].sum(axis=0) + 0.5) / (soft[ok].sum(axis=0) + 0.5 * max(2, len(set(col[ok]))))
-    every = np.ones(len(rows), bool)
     for n in range(len(rows)):
-        q = q0
-        for level in (suffix, domain, host):
-            q = smooth(soft[level == level[n]].sum(axis=0), q)
-        p = np.exp(text[n]) * q * given(suffix, suffix[n], every)
+        rest = np.arange(len(rows)) != n  # all evidence but the page's own
+        own = lambda col, v: soft[(col == v) & rest].sum(axis=0)  # noqa: B023, E731
+        q = (soft[rest].sum(axis=0) + 1) / (rest.sum() + k)
+        for level in (domain, host):
+            q = (own(level, level[n]) + L.SMOOTHING * q) / (((level == level[n]) & rest).sum() + L.SMOOTHING)
+        p = np.exp(text[n]) * q * (own(suffix, suffix[n]) + 0.5) / (soft[rest].sum(axis=0) + 0.5 * max(2, len(set(suffix))))
         if declared[n]:
-            p = p * given(declared, "fr", declared == "fr")
+            p = p * (own(declared, "fr") + 0.5) / (own(declared, "fr") + 0.5 * 2)
         p /= p.sum()
         assert found[n]["lang"] == model.langs[p.argmax()] and abs(found[n]["confidence"] - p.max()) < 1e-6
 
 
+def test_more_languages_than_any_list(spark):
+    rng = np.random.default_rng(2)
+    words = [[f"{chr(0x4E00 + 40 * k + int(i))}{chr(0x4E00 + 40 * k + int(j))}" for i, j in rng.integers(0, 40, (30, 2))] for k in range(70)]
+    texts = spark.createDataFrame([(k * 3 + n, " ".join(rng.permutation(words[k])), f"l{k:02}") for k in range(70) for n in range(3)], "doc_id int, text string, lang string")
+    found = L.identify(pages(spark, [(k, f"http://h{k}.com/", page(" ".join(words[k]))) for k in range(70)]), texts).collect()
+    assert all(r["lang"] == f"l{r['id']:02}" for r in found)
+
+
+def test_only_the_language_attribute_declares(spark):
+    rows = [(1, "http://a.com/", "<html data-lang=fr lang='en-GB'><p>x"), (2, "http://a.com/", "<html xml:lang=fr data-lang=fr><p>x")]
+    assert {r["id"]: r["declared"] for r in L.identify(pages(spark, rows), docs(spark)).collect()} == {1: "en", 2: None}
+
+
 def test_all_pages(spark):
     found = L.query(spark, SF).collect()
     assert len(found) == 50 and all(r["lang"] == r["declared"] for r in found)
@@ -67,7 +78,7 @@ def test_all_pages(spark):
 
 def test_edge_rows_and_no_labels(spark):
     rows = [(1, None, None), (1, None, None), (None, "x", ""), (2, "http://h.com:80/", page(EN))]
-    odd = pages(spark, rows).withColumns({"lang": F.lit(1), "host": F.lit(2), "prior_log": F.lit(3), "id": F.lit(4)})
+    odd = pages(spark, rows).withColumns({"lang": F.lit(1), "host": F.lit(2), "soft": F.lit(3), "whole": F.lit(5), "domain": F.lit(6), "id": F.lit(4)})
     assert len(L.identify(odd, docs(spark)).collect()) == 4
     assert L.identify(odd.limit(0), docs(spark)).collect() == []
     assert {r["lang"] for r in L.identify(odd, docs(spark).limit(0)).collect()} == {None}
