@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality": quality.query,
     "op7_urls": urls.query,
     "op8_sharding": sharding.query,
+    "op7_urls": urls.ORACLE_SQL,
     "op9_embeddings": embeddings.query,
     "op10_packing": packing.query,
 }

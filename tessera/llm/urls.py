@@ -22,8 +22,6 @@ ROUNDS = 20
 SEED_SHARE = 0.5
 #: Share of distrust in trust and distrust from which a host is blocked.
 BLOCK_SHARE = 0.8
-#: Rounds between two checkpoints of the walk.
-CUT_EVERY = 4
 #: Blocked hosts that may be broadcast: at 100 bytes each, 50 MB.
 BROADCAST_ROWS = 500_000
 
@@ -59,25 +57,26 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def walk(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank for several walks at once.
+    """Personalised PageRank for a few walks at once.
 
     ``links`` is ``(walk, src, dst, n)`` and ``seeds`` is ``(walk, host, mass)`` with masses that
     sum to one in each walk. Returns ``(walk, host, mass)``. What reaches a host without links
-    returns to the seeds. A walk without seeds has no rows.
+    returns to the seeds. A walk without seeds has no rows. Each round is one join and one
+    grouped sum, cut by a checkpoint; the driver gets one number for each walk.
     """
     out = links.groupBy("walk", "src").agg(F.sum("n").alias("all"))
-    steps = durable(links.join(out, ["walk", "src"]).select("walk", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
+    steps = durable(links.join(out, ["walk", "src"]).select("walk", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all") * damping).alias("share")))
     if steps.isEmpty():
         return seeds
     now = seeds
-    for n in range(1, rounds + 1):
-        sent = now.join(steps, (now["walk"] == steps["walk"]) & (now["host"] == steps["src"])).select(now["walk"], F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        got = sent.groupBy("walk").agg(F.sum("mass").alias("moved"))  # one row for each walk
-        back = seeds.join(F.broadcast(got), "walk", "left").select("walk", "host", (F.col("mass") * (1 - F.coalesce("moved", F.lit(0.0)))).alias("mass"))
-        now = sent.unionByName(back).groupBy("walk", "host").agg(F.sum("mass").alias("mass"))
-        if n % CUT_EVERY == 0 or n == rounds:
-            now = durable(now)
-    return now
+    for _ in range(rounds):
+        sent = now.join(steps, ["walk", "host"]).groupBy("walk", F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("share")).alias("mass"))
+        sent = durable(sent)
+        back = F.lit(1.0)
+        for r in sent.groupBy("walk").agg(F.sum("mass").alias("moved")).collect():
+            back = F.when(F.col("walk") == r["walk"], F.lit(1.0 - r["moved"])).otherwise(back)
+        now = sent.unionByName(seeds.select("walk", "host", (F.col("mass") * back).alias("mass"))).groupBy("walk", "host").agg(F.sum("mass").alias("mass"))
+    return durable(now)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block_share: float = BLOCK_SHARE, **params) -> DataFrame:
@@ -108,3 +107,46 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str =
 def query(spark, sf_dir: str) -> DataFrame:
     """Verdicts on all pages."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("id", "page_id")
+
+
+def _oracle_sql() -> str:
+    """The rules, the links and the rounds of both walks, one common table for each round."""
+    host = lambda rest: f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+    cases = {"rule": "", "said": ""}
+    for verdict, rule in sorted(RULES, key=lambda r: -len(r[1])):
+        name, slash, path = rule.partition("/")
+        fits = f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash + path}') THEN "
+        cases["rule"] += fits + f"'{rule}' "
+        cases["said"] += fits + f"'{verdict}' "
+    rounds, last = [], "seeds"
+    for n in range(1, ROUNDS + 1):
+        rounds.append(f"sent{n} AS MATERIALIZED (SELECT walk, dst AS host, sum(mass * share) AS mass FROM {last} JOIN steps USING (walk, host) GROUP BY ALL)")
+        back = f"SELECT walk, host, mass * (1 - coalesce(moved, 0)) AS mass FROM seeds LEFT JOIN (SELECT walk, sum(mass) AS moved FROM sent{n} GROUP BY walk) USING (walk)"
+        rounds.append(f"walk{n} AS MATERIALIZED (SELECT walk, host, sum(mass) AS mass FROM (SELECT * FROM sent{n} UNION ALL {back}) GROUP BY ALL)")
+        last = f"walk{n}"
+    return rf"""
+WITH split AS (
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, html, {host("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+ruled AS MATERIALIZED (SELECT page_id, html, host, path, CASE {cases["rule"]}END AS rule, CASE {cases["said"]}END AS said FROM parts),
+hosts AS (
+  SELECT host, avg(CASE WHEN said = 'allow' THEN 1 ELSE 0 END) AS allowed, avg(CASE WHEN said = 'block' THEN 1 ELSE 0 END) AS blocked
+  FROM ruled WHERE host <> '' GROUP BY host),
+chosen AS (SELECT 'trust' AS walk, host FROM hosts WHERE allowed >= {SEED_SHARE} UNION ALL SELECT 'distrust', host FROM hosts WHERE blocked >= {SEED_SHARE}),
+seeds AS MATERIALIZED (SELECT walk, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY walk) AS mass FROM chosen),
+found AS (
+  SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*?\bhref\s*=\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1))) AS target FROM ruled),
+links AS (
+  SELECT src, dst, count(*) AS n FROM (SELECT src, {host("substr(target, strpos(target, '//') + 2)")} AS dst FROM found)
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+both_ways AS (SELECT 'trust' AS walk, src AS host, dst, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
+steps AS MATERIALIZED (SELECT walk, host, dst, n / sum(n) OVER (PARTITION BY walk, host) * {DAMPING} AS share FROM both_ways),
+{", ".join(rounds)},
+shares AS (
+  SELECT host, sum(CASE WHEN walk = 'trust' THEN mass ELSE 0 END) AS t, sum(CASE WHEN walk = 'distrust' THEN mass ELSE 0 END) AS d FROM {last} GROUP BY host)
+SELECT page_id, ruled.host AS host, path, rule, coalesce(said, CASE WHEN d > 0 AND d >= {BLOCK_SHARE} * (t + d) THEN 'block' END, 'allow') AS verdict
+FROM ruled LEFT JOIN shares ON shares.host = ruled.host
+"""
+
+
+ORACLE_SQL = _oracle_sql()

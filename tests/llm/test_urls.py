@@ -79,6 +79,34 @@ def test_walk_equals_matrix_iteration(spark):
     assert all(abs(got.get(f"h{i}", 0.0) - x[i]) < 1e-9 for i in range(n)) and abs(sum(got.values()) - 1) < 1e-9
 
 
+def duck(sql, rows):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])
+    con.register("pages", pages)
+    return sorted(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({sql})").fetchall())
+
+
+def test_linked_hosts_equal_the_sql(spark):
+    rng = np.random.default_rng(8)
+    hosts = [f"h{i}.{t}" for i, t in enumerate(["org", "com", "net"] * 10)]
+    bad = [h for h in hosts[:15] if h.endswith(".com")]
+    farms = [h for h in hosts[15:] if h.endswith(".net")]
+    others = [h for h in hosts if h not in farms]
+    rows = []
+    for i in range(150):
+        own = hosts[i % 30]
+        to = "".join(f"<a href='{p}{h}/x'>" for h, p in zip(rng.choice(bad if own in farms else others, 3), ["http://", "//", "HTTPS://"], strict=True))
+        rows.append((i, f"http://{own}{'/de/' if own in bad else rng.choice(['/fr/', '/x'])}?q", to))
+    rows += [(1000 + i, u, None) for i, u in enumerate(ODD)]
+    got = sorted(tuple(r[c] for c in ("id", "host", "path", "rule", "verdict")) for r in U.judge(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == duck(U.ORACLE_SQL, rows)
+    unruled = [r[4] for r in got if r[3] is None and r[1]]
+    assert {"allow", "block"} == set(unruled)
+
+
 def test_empty_table_and_native_plan(spark):
     pages = spark.createDataFrame([], SCHEMA)
     assert U.judge(pages).collect() == []
