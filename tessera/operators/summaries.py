@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import durable
+
 Z95 = 1.959963984540054
 
 
@@ -53,19 +55,32 @@ def smd(df: DataFrame, columns: list[str], arm: str) -> DataFrame:
     return long.groupBy("variable").agg(((one(F.avg) - none(F.avg)) / F.sqrt((one(F.var_samp) + none(F.var_samp)) / 2)).alias("smd"))
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation with average ranks for ties.
+def running_total(df: DataFrame, column: str, count: str) -> DataFrame:
+    """``df`` with ``upto``: the sum of ``count`` over all rows up to the row's ``column``, in its order.
 
-    Ranks come from counts per value, so ties are summed before the one ordered pass.
+    Rows are dealt by ranges, summed within each, and the ranges' totals are added up, so no task holds all.
     """
     from pyspark.sql import Window
 
-    def ranked(column: str, name: str) -> DataFrame:
-        counts = df.groupBy(column).agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return counts.select(column, (before - (F.col("n") - 1) / 2).alias(name))
+    dealt = durable(df.repartitionByRange(F.col(column)).withColumn("__range", F.spark_partition_id()))
+    totals = dealt.groupBy("__range").agg(F.sum(count).alias("__all"))  # one row for each range
+    before = F.sum("__all").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.broadcast(totals.select("__range", F.coalesce(before, F.lit(0)).alias("__ahead")))
+    within = F.sum(count).over(Window.partitionBy("__range").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.join(ahead, "__range").withColumn("upto", F.col("__ahead") + within).drop("__range", "__ahead")
+
+
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Rank correlation of the rows that have both values, with average ranks for ties.
 
+    Ranks come from counts per value, so ties are summed before the ordered pass.
+    """
     rows = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+
+    def ranked(column: str, name: str) -> DataFrame:
+        counts = rows.groupBy(column).agg(F.count("*").alias("n"))
+        return running_total(counts, column, "n").select(column, (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
+
     return rows.join(ranked(a, "__ra"), a).join(ranked(b, "__rb"), b).agg(F.corr("__ra", "__rb").alias("spearman"))
 
 

@@ -1,7 +1,8 @@
 """The analogue of the node, edge and attribute tables over the test tables, in Spark and in SQL.
 
 Parts are nodes; two parts are linked if an order holds both, and each sees the other with the
-share of its own orders that they share. All attributes are plain arithmetic on keys.
+share of its own orders that they share. All attributes are plain arithmetic on keys; the
+outcome of a node rises with what it shares with susceptible neighbours of its group.
 """
 
 from __future__ import annotations
@@ -13,13 +14,18 @@ from pyspark.sql import functions as F
 
 from tessera.session import durable
 
-SQL = """
-purchases AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
-buys AS (SELECT p, count(*) AS n FROM purchases GROUP BY p),
-shared AS (SELECT a.p AS i, b.p AS j, count(*) AS n FROM purchases a JOIN purchases b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2),
-edges AS (SELECT i, j, CAST(s.n AS DOUBLE) / a.n AS f_ij, CAST(s.n AS DOUBLE) / b.n AS f_ji, s.n >= 2 AS contact
+#: Share of a node's orders that it has in common with susceptible neighbours at which half of the nodes are destroyed or damaged.
+DESTROYED_AT, DAMAGED_AT = 0.85, 0.7
+#: Nodes up to this size are susceptible; a size is at most 50 and stands for a uniform draw.
+SUSCEPTIBLE, LARGEST = 25, 50
+
+SQL = f"""
+purchases AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+buys AS MATERIALIZED (SELECT p, count(*) AS n FROM purchases GROUP BY p),
+shared AS MATERIALIZED (SELECT a.p AS i, b.p AS j, count(*) AS n FROM purchases a JOIN purchases b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2),
+edges AS MATERIALIZED (SELECT i, j, CAST(s.n AS DOUBLE) / a.n AS f_ij, CAST(s.n AS DOUBLE) / b.n AS f_ji, s.n >= 2 AS contact
   FROM shared s JOIN buys a ON a.p = s.i JOIN buys b ON b.p = s.j),
-bonds AS (SELECT i, j, least(1.0, greatest(f_ij, f_ji)) AS f FROM edges),
+bonds AS MATERIALIZED (SELECT i, j, least(1.0, greatest(f_ij, f_ji)) AS f FROM edges),
 inc AS (SELECT i AS node, j AS neighbor, f FROM bonds UNION ALL SELECT j, i, f FROM bonds),
 directed AS (SELECT i AS receiver, j AS emitter, f_ij AS vf FROM edges UNION ALL SELECT j, i, f_ji FROM edges),
 nodes AS (SELECT p_partkey AS node,
@@ -35,8 +41,13 @@ nodes AS (SELECT p_partkey AS node,
     CASE p_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN ' Unknown ' WHEN 2 THEN NULL WHEN 3 THEN 'open' ELSE 'boxed' END AS eaves,
     (p_partkey % 10) < 3 AS is_interface
   FROM part),
-assessed AS (SELECT *, CASE WHEN size > 25 THEN 'destroyed' WHEN size > 10 THEN 'partial' ELSE 'no_damage' END AS outcome,
-    CASE WHEN size > 25 THEN 1 ELSE 0 END AS is_destroyed, CASE WHEN size > 10 THEN 1 ELSE 0 END AS any_damage FROM nodes WHERE node % 7 <> 0)
+pressure AS MATERIALIZED (SELECT r.node, CAST(sum(e.n) AS BIGINT) AS shared, max(e.own) AS own
+  FROM (SELECT s.i, s.j, s.n, a.n AS own FROM shared s JOIN buys a ON a.p = s.i UNION ALL SELECT s.j, s.i, s.n, b.n FROM shared s JOIN buys b ON b.p = s.j) e
+  JOIN nodes r ON r.node = e.i JOIN nodes t ON t.node = e.j AND t.grp = r.grp AND t.size <= {SUSCEPTIBLE} AND t.node % 7 <> 0 GROUP BY 1),
+assessed AS MATERIALIZED (SELECT *, CASE WHEN is_destroyed = 1 THEN 'destroyed' WHEN any_damage = 1 THEN 'partial' ELSE 'no_damage' END AS outcome
+  FROM (SELECT n.*, CASE WHEN shared > 0 AND size * (1 + power({DESTROYED_AT} * own / shared, 8)) < {LARGEST} THEN 1 ELSE 0 END AS is_destroyed,
+      CASE WHEN shared > 0 AND size * (1 + power({DAMAGED_AT} * own / shared, 8)) < {LARGEST} THEN 1 ELSE 0 END AS any_damage
+    FROM nodes n LEFT JOIN pressure p ON p.node = n.node WHERE n.node % 7 <> 0))
 """
 
 #: Components of the bonds of at least a threshold, for {tau}; needs WITH RECURSIVE.
@@ -55,10 +66,14 @@ def sql(body: str, links: str | None = None) -> str:
     return f"WITH RECURSIVE {SQL}, {both}, {COMPONENTS}\n{body}"
 
 
+def _edge_columns(links: DataFrame) -> DataFrame:
+    return links.select("i", "j", (F.col("n") / F.col("ni")).alias("f_ij"), (F.col("n") / F.col("nj")).alias("f_ji"), (F.col("n") >= 2).alias("contact"))
+
+
 class Context:
     """The fixture's DataFrames for one session and folder."""
 
-    _edges: dict[tuple[str, str], DataFrame] = {}
+    _kept: dict[tuple[str, str, str], DataFrame] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
@@ -66,7 +81,17 @@ class Context:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def build_edges(self) -> DataFrame:
+    def kept(self, name: str, build) -> DataFrame:
+        """A table that is built once for a session and folder and kept in the shared folder."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in self._kept:
+            for old in [k for k in self._kept if k[:2] != key[:2]]:
+                del self._kept[old]
+            self._kept[key] = durable(build())
+        return self._kept[key]
+
+    def build_links(self) -> DataFrame:
+        """Linked pairs with the orders that they share (n) and have (ni, nj)."""
         purchases = self.table("lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
         buys = purchases.groupBy("p").agg(F.count("*").alias("n"))
         # All parts of an order meet in one row, so pairs need no second shuffle of the purchases.
@@ -74,16 +99,14 @@ class Context:
         pairs = baskets.select("ps", F.posexplode("ps").alias("k", "i")).select("i", F.explode(F.expr("slice(ps, k + 2, size(ps))")).alias("j"))
         shared = pairs.groupBy("i", "j").agg(F.count("*").alias("n"))
         met = shared.join(buys.select(F.col("p").alias("i"), F.col("n").alias("ni")), "i").join(buys.select(F.col("p").alias("j"), F.col("n").alias("nj")), "j")
-        return met.select("i", "j", (F.col("n") / F.col("ni")).alias("f_ij"), (F.col("n") / F.col("nj")).alias("f_ji"), (F.col("n") >= 2).alias("contact"))
+        return met.select("i", "j", "n", "ni", "nj")
+
+    def build_edges(self) -> DataFrame:
+        return _edge_columns(self.build_links())
 
     @cached_property
     def edges(self) -> DataFrame:
-        """The edge list, built once for a session and folder and kept in the shared folder."""
-        key = (self.spark.sparkContext.applicationId, self.dir)
-        if key not in self._edges:
-            self._edges.clear()
-            self._edges[key] = durable(self.build_edges())
-        return self._edges[key]
+        return _edge_columns(self.kept("links", self.build_links))
 
     @cached_property
     def bonds(self) -> DataFrame:
@@ -112,16 +135,21 @@ class Context:
             ((p % 10) < 3).alias("is_interface"),
         )
 
+    def build_assessed(self) -> DataFrame:
+        links, nodes = self.kept("links", self.build_links), self.nodes
+        both = links.select(F.explode(F.array(F.struct("i", "j", "n", F.col("ni").alias("own")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "n", F.col("nj").alias("own")))).alias("e")).select("e.*")
+        source = nodes.where((F.col("size") <= SUSCEPTIBLE) & (F.col("node") % 7 != 0)).select(F.col("node").alias("j"), F.col("grp").alias("source_grp"))
+        groups = nodes.select(F.col("node").alias("i"), "grp")
+        pressure = both.join(source, "j").join(groups, "i").where("grp = source_grp").groupBy(F.col("i").alias("node")).agg(F.sum("n").alias("shared"), F.max("own").alias("own"))
+        met = nodes.where("node % 7 <> 0").join(pressure, "node", "left")
+        hit = lambda at: F.when((F.col("shared") > 0) & (F.col("size") * (1 + F.pow(at * F.col("own") / F.col("shared"), F.lit(8.0))) < LARGEST), 1).otherwise(0)
+        met = met.withColumns({"is_destroyed": hit(DESTROYED_AT), "any_damage": hit(DAMAGED_AT)}).drop("shared", "own")
+        outcome = F.when(F.col("is_destroyed") == 1, "destroyed").when(F.col("any_damage") == 1, "partial").otherwise("no_damage")
+        return met.withColumn("outcome", outcome).select(*nodes.columns, "outcome", "is_destroyed", "any_damage")
+
     @cached_property
     def assessed(self) -> DataFrame:
-        size = F.col("size")
-        return self.nodes.where("node % 7 <> 0").withColumns(
-            {
-                "outcome": F.when(size > 25, "destroyed").when(size > 10, "partial").otherwise("no_damage"),
-                "is_destroyed": (size > 25).cast("int"),
-                "any_damage": (size > 10).cast("int"),
-            }
-        )
+        return self.kept("assessed", self.build_assessed)
 
     @cached_property
     def zones(self) -> DataFrame:

@@ -66,7 +66,7 @@ query(
     _ALL,
     f"SELECT DISTINCT least(node, neighbor) AS i, greatest(node, neighbor) AS j FROM ({_TOP.format(inc='inc')}) WHERE rank <= 2 AND f >= 0.07",
 )
-_ANCHOR = "SELECT e.i, e.j FROM bonds e JOIN (SELECT node, max(f) AS m FROM inc GROUP BY node) a ON a.node = e.i JOIN (SELECT node, max(f) AS m FROM inc GROUP BY node) b ON b.node = e.j WHERE e.f >= 0.1 OR (e.f >= {floor!r} AND (a.m >= 0.1 {op} b.m >= 0.1))"
+_ANCHOR = "SELECT e.i, e.j FROM bonds e WHERE e.f >= 0.1 OR (e.f >= {floor!r} AND (e.i IN (SELECT node FROM inc WHERE f >= 0.1) {op} e.j IN (SELECT node FROM inc WHERE f >= 0.1)))"
 query("g10_anchored_either", lambda c: L.active(L.anchored_weights(c.bonds, 0.75), 0.1, 0.75).select("i", "j"), _ANCHOR.format(floor=0.75 * 0.1, op="OR"))
 query("g10_anchored_both", lambda c: L.active(L.anchored_weights(c.bonds, 0.75, both=True), 0.1, 0.75).select("i", "j"), _ANCHOR.format(floor=0.75 * 0.1, op="AND"))
 _RUN = "SELECT node, rank, f, total FROM (SELECT node, f, row_number() OVER w AS rank, sum(f) OVER (PARTITION BY node ORDER BY f DESC, neighbor ROWS UNBOUNDED PRECEDING) AS total FROM inc WINDOW w AS (PARTITION BY node ORDER BY f DESC, neighbor))"
@@ -238,28 +238,89 @@ query(
     "SELECT size, members, components, round(sum(members) OVER (ORDER BY size DESC ROWS UNBOUNDED PRECEDING) / sum(members) OVER (), 6) AS share_from_here FROM (SELECT component_size AS size, count(*) AS members, count(DISTINCT component_id) AS components FROM state GROUP BY 1)",
     _EEAT,
 )
+
+
+def _network_summary(c):
+    """The network in one row: counts, shares and spans of all components, the linked ones and those that span the interface."""
+    parts, nodes = summary(c), state(c)
+    spans = F.col("category") == "spanning"
+    of = lambda cond, value="size": F.coalesce(F.sum(F.when(cond, F.col(value))), F.lit(0))
+    row = parts.agg(
+        F.sum("size").alias("nodes"), F.count("*").alias("components"), F.max("size").alias("largest"), F.count_if(F.col("size") == 1).alias("isolated"), F.count_if(F.col("size") > 1).alias("connected"),
+        of(F.col("size") > 1).alias("connected_nodes"), _r(of(F.col("size") > 1) / F.sum("size")).alias("connected_share"), F.sum("interface_members").alias("interface"), F.count_if(spans).alias("spanning"), of(spans).alias("spanning_nodes"),
+        _r(of(spans) / F.sum("size")).alias("spanning_share"), F.max(F.when(spans, F.col("size"))).alias("largest_spanning"), _r(F.max(F.when(spans, F.col("diagonal"))), 4).alias("widest_spanning"),
+        F.count_if(F.col("size") >= 100).alias("of_100"), of(F.col("size") >= 100).alias("nodes_of_100"), F.count_if(F.col("size") >= 1000).alias("of_1000"), of(F.col("size") >= 1000).alias("nodes_of_1000"),
+    )
+    linked = nodes.agg(F.count_if((F.col("component_size") > 1) & F.col("is_interface")).alias("linked_interface"), _r(F.avg("component_size")).alias("mean_size"), F.median("component_size").alias("median_size")).first()
+    edges = c.bonds.agg(F.count("*").alias("candidate_pairs"), F.count_if(F.col("f") >= TAU).alias("active_bonds")).first()
+    return row.select("*", F.lit(edges["candidate_pairs"]).alias("candidate_pairs"), F.lit(edges["active_bonds"]).alias("active_bonds"), F.lit(TAU).alias("threshold"), *[F.lit(linked[k]).alias(k) for k in ("linked_interface", "mean_size", "median_size")])
+
+
 query(
     "a33_network_summary",
-    lambda c: state(c).agg(F.count("*").alias("nodes"), F.count_distinct("component_id").alias("components"), F.max("component_size").alias("largest"), F.count_if(F.col("component_size") == 1).alias("isolated"), F.count_if("is_interface").alias("interface"), F.count_if((F.col("component_size") > 1) & F.col("is_interface")).alias("linked_interface"), _r(F.avg("component_size")).alias("mean_size"), F.median("component_size").alias("median_size")),
-    f"SELECT count(*) AS nodes, count(DISTINCT component_id) AS components, max(component_size) AS largest, count(*) FILTER (WHERE component_size = 1) AS isolated, count(*) FILTER (WHERE is_interface) AS interface, count(*) FILTER (WHERE component_size > 1 AND is_interface) AS linked_interface, round(avg(component_size), 6) AS mean_size, median(component_size) AS median_size FROM {_NODES}",
+    _network_summary,
+    f"""SELECT CAST(sum(size) AS BIGINT) AS nodes, count(*) AS components, max(size) AS largest, count(*) FILTER (WHERE size = 1) AS isolated, count(*) FILTER (WHERE size > 1) AS connected,
+  CAST(coalesce(sum(size) FILTER (WHERE size > 1), 0) AS BIGINT) AS connected_nodes, round(coalesce(sum(size) FILTER (WHERE size > 1), 0) / sum(size), 6) AS connected_share, CAST(sum(interface_members) AS BIGINT) AS interface,
+  count(*) FILTER (WHERE category = 'spanning') AS spanning, CAST(coalesce(sum(size) FILTER (WHERE category = 'spanning'), 0) AS BIGINT) AS spanning_nodes, round(coalesce(sum(size) FILTER (WHERE category = 'spanning'), 0) / sum(size), 6) AS spanning_share,
+  max(size) FILTER (WHERE category = 'spanning') AS largest_spanning, round(max(diagonal) FILTER (WHERE category = 'spanning'), 4) AS widest_spanning, count(*) FILTER (WHERE size >= 100) AS of_100, CAST(coalesce(sum(size) FILTER (WHERE size >= 100), 0) AS BIGINT) AS nodes_of_100,
+  count(*) FILTER (WHERE size >= 1000) AS of_1000, CAST(coalesce(sum(size) FILTER (WHERE size >= 1000), 0) AS BIGINT) AS nodes_of_1000, any_value(candidate_pairs) AS candidate_pairs, any_value(active_bonds) AS active_bonds, CAST({TAU} AS DOUBLE) AS threshold,
+  any_value(linked_interface) AS linked_interface, any_value(mean_size) AS mean_size, any_value(median_size) AS median_size
+FROM ({_SUMMARY}), (SELECT count(*) AS candidate_pairs, count(*) FILTER (WHERE f >= {TAU}) AS active_bonds FROM bonds),
+  (SELECT count(*) FILTER (WHERE component_size > 1 AND is_interface) AS linked_interface, round(avg(component_size), 6) AS mean_size, median(component_size) AS median_size FROM {_NODES})""",
     _EEAT,
 )
 
+CELL = 1250
+
+
+def clusters(c):
+    """Components of the links within square cells of the plane, whose sizes vary far more than those of the whole graph."""
+    place = lambda k: c.nodes.select(F.col("node").alias(k), F.floor(F.col("x") / CELL).alias(f"p{k}"), F.floor(F.col("y") / CELL).alias(f"q{k}"))
+    links = c.bonds.join(place("i"), "i").join(place("j"), "j").where("pi = pj and qi = qj").select("i", "j")
+    return L.states(c.nodes, links)
+
+
+_CLUSTERS = f"SELECT e.i, e.j FROM bonds e JOIN nodes a ON a.node = e.i JOIN nodes b ON b.node = e.j WHERE floor(a.x / {CELL}) = floor(b.x / {CELL}) AND floor(a.y / {CELL}) = floor(b.y / {CELL})"
+
 
 def _members(c):
-    return c.nodes.select("node", "grp", F.col("size").alias("component_size"), (F.col("node") % 7 != 0).alias("assessed"))
+    return clusters(c).select("node", "grp", "component_size", (F.col("node") % 7 != 0).alias("assessed"))
 
 
 _Q6 = ", ".join(f"{i}.0 / 6" for i in range(1, 7))
 query(
     "w15_size_classes",
     lambda c: B.size_classes(_members(c)).select("node", "size_class"),
-    f"SELECT node, CASE WHEN size = 1 THEN 0 ELSE 1 + len(list_filter(u, lambda v: v < size)) END AS size_class FROM nodes JOIN (SELECT grp, list_sort(list_distinct(list_transform(quantile_cont(CAST(size AS DOUBLE), [{_Q6}]), lambda v: ceil(v)))) AS u FROM nodes WHERE node % 7 <> 0 AND size > 1 GROUP BY grp) USING (grp)",
+    f"SELECT node, CASE WHEN component_size = 1 THEN 0 ELSE 1 + len(list_filter(u, lambda v: v < component_size)) END AS size_class FROM {_NODES} JOIN (SELECT grp, list_sort(list_distinct(list_transform(quantile_cont(CAST(component_size AS DOUBLE), [{_Q6}]), lambda v: ceil(v)))) AS u FROM {_NODES} WHERE node % 7 <> 0 AND component_size > 1 GROUP BY grp) USING (grp)",
+    _CLUSTERS,
 )
 query(
     "a41_quartile_classes",
     lambda c: B.quartile_classes(_members(c)).groupBy("quartile").agg(F.count("*").alias("n")),
-    "SELECT 1 + len(list_filter(e, lambda v: v <= size)) AS quartile, count(*) AS n FROM nodes, (SELECT list_distinct(quantile_cont(size, [0.25, 0.5, 0.75])) AS e FROM nodes) GROUP BY 1",
+    "SELECT 1 + len(list_filter(e, lambda v: v <= component_size)) AS quartile, count(*) AS n FROM state, (SELECT list_distinct(quantile_cont(component_size, [0.25, 0.5, 0.75])) AS e FROM state) GROUP BY 1",
+    _CLUSTERS,
+)
+
+
+def _quartile_examples(c):
+    """For each member-weighted size quartile the component nearest to the quartile's median size, wholly inside the window; ties by id."""
+    members = B.quartile_classes(_members(c)).join(clusters(c).select("node", "component_id"), "node").join(c.nodes.select("node", "x", "y"), "node")
+    target = members.groupBy("quartile").agg(F.median("component_size").alias("target"))
+    inside = (F.col("x").between(500, 9500) & F.col("y").between(500, 9500)).cast("int")
+    parts = members.groupBy("quartile", "component_id").agg(F.first("component_size").alias("size"), F.min(inside).alias("inside")).where("inside = 1")
+    near = parts.join(F.broadcast(target), "quartile")  # four rows
+    return near.groupBy("quartile").agg(F.min(F.struct(F.abs(F.col("size") - F.col("target")).alias("gap"), "component_id", "size")).alias("e")).select("quartile", F.col("e.component_id").alias("example"), "e.size")
+
+
+query(
+    "g22_quartile_examples",
+    _quartile_examples,
+    """SELECT quartile, arg_min(component_id, struct_pack(gap := abs(size - target), id := component_id)) AS example, arg_min(size, struct_pack(gap := abs(size - target), id := component_id)) AS size
+FROM (SELECT quartile, component_id, any_value(component_size) AS size FROM (SELECT 1 + len(list_filter(e, lambda v: v <= component_size)) AS quartile, component_id, component_size, x, y FROM nodes JOIN state USING (node), (SELECT list_distinct(quantile_cont(component_size, [0.25, 0.5, 0.75])) AS e FROM state))
+  GROUP BY 1, 2 HAVING min(CASE WHEN x BETWEEN 500 AND 9500 AND y BETWEEN 500 AND 9500 THEN 1 ELSE 0 END) = 1)
+JOIN (SELECT quartile, median(component_size) AS target FROM (SELECT 1 + len(list_filter(e, lambda v: v <= component_size)) AS quartile, component_size FROM state, (SELECT list_distinct(quantile_cont(component_size, [0.25, 0.5, 0.75])) AS e FROM state)) GROUP BY 1) USING (quartile)
+GROUP BY quartile""",
+    _CLUSTERS,
 )
 query(
     "a45_interface_display",

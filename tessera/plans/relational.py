@@ -143,7 +143,7 @@ query(
 query(
     "j05_crosswalk",
     lambda c: _crosswalk(c),
-    "SELECT least(a.node * 2, b.node * 2) AS a, greatest(a.node * 2, b.node * 2) AS b, round(e.f, 6) AS f2, round(g.f, 6) AS f3 FROM bonds e JOIN nodes a ON a.node = e.i JOIN nodes b ON b.node = e.j JOIN bonds g ON g.i = least(a.node * 2, b.node * 2) AND g.j = greatest(a.node * 2, b.node * 2)",
+    "SELECT m.a, m.b, round(m.f, 6) AS f2, round(g.f, 6) AS f3 FROM (SELECT least(e.i, e.j) * 2 AS a, greatest(e.i, e.j) * 2 AS b, f FROM bonds e WHERE e.i IN (SELECT node FROM nodes) AND e.j IN (SELECT node FROM nodes)) m JOIN bonds g ON g.i = m.a AND g.j = m.b",
 )
 
 
@@ -157,10 +157,9 @@ query("j06_semi", lambda c: c.nodes.join(c.assessed.where("is_destroyed = 1"), "
 query("j07_anti", lambda c: c.nodes.join(c.assessed, "node", "left_anti").select("node"), "SELECT node FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM assessed a WHERE a.node = n.node)")
 query(
     "j08_full_outer",
-    lambda c: c.nodes.where("node % 2 = 0").select("node", F.lit(1).alias("l")).join(c.assessed.select("node", F.lit(1).alias("r")), "node", "full").agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"), F.count("*").alias("n")),
-    "SELECT count(*) FILTER (WHERE r IS NULL) AS only_left, count(*) FILTER (WHERE l IS NULL) AS only_right, count(*) AS n FROM (SELECT node, 1 AS l FROM nodes WHERE node % 2 = 0) FULL JOIN (SELECT node, 1 AS r FROM assessed) USING (node)",
+    lambda c: c.nodes.where("source_id is not null").select("node", F.lit(1).alias("l")).join(c.assessed.select("node", F.lit(1).alias("r")), "node", "full").agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"), F.count("*").alias("n")),
+    "SELECT count(*) FILTER (WHERE r IS NULL) AS only_left, count(*) FILTER (WHERE l IS NULL) AS only_right, count(*) AS n FROM (SELECT node, 1 AS l FROM nodes WHERE source_id IS NOT NULL) FULL JOIN (SELECT node, 1 AS r FROM assessed) USING (node)",
 )
-query("j08_full_outer_all", lambda c: c.nodes.select("node", F.lit(1).alias("l")).join(c.assessed.select("node", F.lit(1).alias("r")), "node", "full").agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"), F.count("*").alias("n")))
 query("j09_checked_join", lambda c: J.checked_join(c.nodes.select("node"), c.assessed.select("node", "outcome"), ["node"], "left", "one_to_one"), "SELECT n.node, a.outcome FROM nodes n LEFT JOIN assessed a USING (node)")
 query(
     "j10_suffixes",
@@ -233,24 +232,47 @@ query(
     lambda c: c.nodes.join(c.bonds.where("f >= 0.08").groupBy(F.col("i").alias("node")).agg(F.count("*").alias("n")), "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n")),
     "SELECT node, coalesce(n, 0) AS n FROM nodes LEFT JOIN (SELECT i AS node, count(*) AS n FROM bonds WHERE f >= 0.08 GROUP BY 1) USING (node)",
 )
+#: Walls that block the view, as x0, y0, x1, y1: upright or level.
+WALLS = ((3000.0, 2000.0, 3000.0, 7000.0), (5000.0, 5000.0, 9000.0, 5000.0))
+
+
+def _facing(c):
+    """For each node the nodes in range that face it as it faces them, and those of them in sight past all walls."""
+    angle = F.radians((F.col("node") * 37 % 360).cast("double"))
+    faces = lambda k: c.nodes.select(F.col("node").alias(k), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"), F.cos(angle).alias(f"u{k}"), F.sin(angle).alias(f"v{k}"))
+    met = J.within_distance(_points(c, "true"), _points(c, "true"), 1500.0).where("a <> b").select("a", "b").join(faces("a"), "a").join(faces("b"), "b")
+    met = met.where("(xb - xa) * ua + (yb - ya) * va > 0 and (xa - xb) * ub + (ya - yb) * vb > 0")
+    blocked = F.lit(False)
+    for x0, y0, x1, y1 in WALLS:
+        crossing = f"(xa - {x0}) * (xb - {x0}) < 0 and ya + (yb - ya) * ({x0} - xa) / (xb - xa) between {y0} and {y1}" if x0 == x1 else f"(ya - {y0}) * (yb - {y0}) < 0 and xa + (xb - xa) * ({y0} - ya) / (yb - ya) between {x0} and {x1}"
+        blocked = blocked | F.coalesce(F.expr(crossing), F.lit(False))
+    return met.groupBy("a").agg(F.count("*").alias("facing"), F.count_if(~blocked).alias("visible"))
+
+
+_W, _L = WALLS
 query(
     "j24_facing_points",
-    lambda c: J.within_distance(_points(c, "node < 150"), _points(c, "node < 150"), 1500.0).where("a <> b").join(c.nodes.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(c.nodes.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b").where("xb > xa").groupBy("a").agg(F.count("*").alias("facing")),
-    "SELECT p.node AS a, count(*) AS facing FROM nodes p JOIN nodes q ON q.x > p.x AND q.node <> p.node AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= 1500 WHERE p.node < 150 AND q.node < 150 GROUP BY 1",
+    _facing,
+    f"""SELECT a, count(*) AS facing, count(*) FILTER (WHERE NOT (((xa - {_W[0]}) * (xb - {_W[0]}) < 0 AND ya + (yb - ya) * ({_W[0]} - xa) / (CASE WHEN xb = xa THEN NULL ELSE xb - xa END) BETWEEN {_W[1]} AND {_W[3]}) IS TRUE
+  OR ((ya - {_L[1]}) * (yb - {_L[1]}) < 0 AND xa + (xb - xa) * ({_L[1]} - ya) / (CASE WHEN yb = ya THEN NULL ELSE yb - ya END) BETWEEN {_L[0]} AND {_L[2]}) IS TRUE)) AS visible
+FROM (SELECT p.node AS a, p.x AS xa, p.y AS ya, q.x AS xb, q.y AS yb, cos(radians(p.node * 37 % 360)) AS ua, sin(radians(p.node * 37 % 360)) AS va, cos(radians(q.node * 37 % 360)) AS ub, sin(radians(q.node * 37 % 360)) AS vb
+  FROM nodes p JOIN nodes q ON q.node <> p.node AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= 1500)
+WHERE (xb - xa) * ua + (yb - ya) * va > 0 AND (xa - xb) * ub + (ya - yb) * vb > 0 GROUP BY a""",
 )
 
 
-def _facing(c, where: str = "true"):
-    x = lambda k: c.nodes.select(F.col("node").alias(k), F.col("x").alias(f"x{k}"))
-    met = J.within_distance(_points(c, where), _points(c, where), 1500.0).where("a <> b")
-    return met.join(x("a"), "a").join(x("b"), "b").where("xb > xa").groupBy("a").agg(F.count("*").alias("facing"))
+def _top_pairs(c):
+    """The two strongest emitters of each receiver with the places of both ends; pairs without a stored place are left out."""
+    place = lambda k: c.nodes.where("source_id is not null").select(F.col("node").alias(k), F.col("x").alias(f"x_{k}"), F.col("y").alias(f"y_{k}"))
+    ranked = E.symmetrised(c.edges).withColumn("rank", F.row_number().over(Window.partitionBy("receiver").orderBy(F.desc("vf"), "emitter"))).where("rank <= 2")
+    return ranked.join(place("emitter"), "emitter").join(place("receiver"), "receiver").select("receiver", "emitter", "rank", "x_emitter", "y_emitter", "x_receiver", "y_receiver")
 
 
-query("j24_facing_points_all", _facing)
 query(
     "j26_top_pairs",
-    lambda c: E.symmetrised(c.edges).where("receiver < 60").withColumn("rank", F.row_number().over(Window.partitionBy("receiver").orderBy(F.desc("vf"), "emitter"))).where("rank <= 2").join(c.nodes.select(F.col("node").alias("emitter"), "x", "y"), "emitter").select("receiver", "emitter", "rank", "x", "y"),
-    "SELECT receiver, emitter, rank, x, y FROM (SELECT *, row_number() OVER (PARTITION BY receiver ORDER BY vf DESC, emitter) AS rank FROM directed WHERE receiver < 60) JOIN nodes ON node = emitter WHERE rank <= 2",
+    _top_pairs,
+    """SELECT receiver, emitter, rank, e.x AS x_emitter, e.y AS y_emitter, r.x AS x_receiver, r.y AS y_receiver FROM (SELECT *, row_number() OVER (PARTITION BY receiver ORDER BY vf DESC, emitter) AS rank FROM directed)
+  JOIN nodes e ON e.node = emitter AND e.source_id IS NOT NULL JOIN nodes r ON r.node = receiver AND r.source_id IS NOT NULL WHERE rank <= 2""",
 )
 
 # Aggregates.
@@ -294,8 +316,8 @@ query(
 )
 query(
     "a12_pooled",
-    lambda c: S.with_pooled(c.assessed, "grp", ["outcome"], [F.count("*").alias("n"), F.round(F.avg("price"), 4).alias("m")]),
-    "SELECT CASE WHEN grouping(assessed.grp) = 1 THEN 'POOLED' ELSE assessed.grp END AS grp, outcome, count(*) AS n, round(avg(price), 4) AS m FROM assessed GROUP BY GROUPING SETS ((assessed.grp, outcome), (outcome))",
+    lambda c: S.with_pooled(c.assessed, "grp", ["outcome"], [F.count("*").alias("n"), F.round(F.avg("price"), 8).alias("m")]),
+    "SELECT CASE WHEN grouping(assessed.grp) = 1 THEN 'POOLED' ELSE assessed.grp END AS grp, outcome, count(*) AS n, round(avg(price), 8) AS m FROM assessed GROUP BY GROUPING SETS ((assessed.grp, outcome), (outcome))",
 )
 query(
     "a13_shares_unstacked",

@@ -17,10 +17,13 @@ from tessera.functions import curves as C
 from tessera.functions import models as M
 from tessera.operators import binning as B
 from tessera.operators import exposure as X
+from tessera.operators import joins as J
 from tessera.operators import linkage as L
 from tessera.operators import summaries as S
 from tessera.plans.base import query
+from tessera.plans.graph import clusters
 from tessera.plans.relational import _r, _timed
+from tessera.session import durable
 
 #: Rows of a sample that models take as arrays on the driver; a larger one is an error, never cut.
 MOST_ROWS = 2_000_000
@@ -48,10 +51,14 @@ def frame(spark, rows: list[dict], schema: str) -> DataFrame:
 
 
 def sample(c) -> DataFrame:
-    """Assessed nodes with their exposure, sorted by node when collected."""
-    d = X.dose(c.assessed, c.edges).select("node", "dose_sum", "dose_max", "f_total", "exposed", "log_dose")
-    block = F.concat_ws(":", "grp", F.floor(F.col("x") / 1000).cast("string"), F.floor(F.col("y") / 1000).cast("string"))
-    return c.assessed.join(d, "node").withColumn("block", block)
+    """Assessed nodes with their exposure, kept for the session; sorted by node when collected."""
+
+    def build() -> DataFrame:
+        d = X.dose(c.assessed, c.edges).select("node", "dose_sum", "dose_max", "f_total", "exposed", "log_dose")
+        block = F.concat_ws(":", "grp", F.floor(F.col("x") / 1000).cast("string"), F.floor(F.col("y") / 1000).cast("string"))
+        return c.assessed.join(d, "node").withColumn("block", block)
+
+    return c.kept("sample", build)
 
 
 def model_arrays(c) -> dict[str, np.ndarray]:
@@ -80,12 +87,17 @@ def draws(c, n: int, per_draw: Callable[[np.random.Generator], dict], schema: st
     return c.spark.range(0, n, 1, max(1, min(n, 16))).mapInPandas(run, f"draw bigint, {schema}")
 
 
+def enough(df: DataFrame, n: int) -> DataFrame:
+    """The draws, kept for what follows; an error if fewer than max(20, 80 %) of ``n`` succeeded."""
+    df = durable(df)
+    if (got := df.count()) < max(20, int(0.8 * n)):
+        raise RuntimeError(f"only {got} of {n} draws converged")
+    return df
+
+
 def interval(df: DataFrame, value: str, n: int) -> DataFrame:
-    """2.5 % and 97.5 % points; an error if fewer than max(20, 80 %) of the draws are there."""
-    out = df.agg(F.count(value).alias("draws"), F.percentile(value, 0.025).alias("lo"), F.percentile(value, 0.975).alias("hi"))
-    if out.first()["draws"] < max(20, int(0.8 * n)):
-        raise RuntimeError("too few draws converged")
-    return out
+    """2.5 % and 97.5 % points; an error if too few of the draws are there."""
+    return enough(df.where(F.col(value).isNotNull()), n).agg(F.count(value).alias("draws"), F.percentile(value, 0.025).alias("lo"), F.percentile(value, 0.975).alias("hi"))
 
 
 def blocks_of(blocks: np.ndarray) -> list[np.ndarray]:
@@ -143,9 +155,10 @@ query(
 
 
 def _thresholds(c):
-    fit = _pooled_curve(c)
-    inside = [p for p in (0.25, 0.5, 0.75) if fit.p_min < p < fit.p_max]
-    return frame(c.spark, [{"p": p, "threshold": fit.exposure_at(p)} for p in inside], "p double, threshold double")
+    """The pooled curve and its exposure at probability one half; an error if it doesn't cross that."""
+    r = fits(c).where("grp = 'POOLED'").first().asDict()
+    threshold = C.Curve(*(r[k] for k in ("p_min", "p_max", "k", "hill", "asymmetry"))).exposure_at(0.5)
+    return frame(c.spark, [r | {"population": "pooled exposed", "threshold": threshold, "p": 0.5}], "population string, n bigint, p_min double, p_max double, k double, hill double, asymmetry double, f50 double, threshold double, p double")
 
 
 query("m04_threshold_table", _thresholds)
@@ -167,7 +180,17 @@ def _f50_draws(c, n: int = DRAWS) -> DataFrame:
     return draws(c, n, one, "a double, b double, ratio double")
 
 
-query("m05_block_bootstrap", lambda c: _f50_draws(c).agg(F.count("*").alias("converged"), F.percentile("ratio", 0.025).alias("lo"), F.percentile("ratio", 0.975).alias("hi")))
+def _f50_intervals(c, n: int = DRAWS) -> DataFrame:
+    """Midpoint of each group, and their ratio, with the interval of the resampled blocks."""
+    found = enough(_f50_draws(c, n), n)
+    at = {r["grp"]: r["f50"] for r in fits(c).collect()}
+    at["ratio"] = at["B"] / at["A"] if at["A"] and at["B"] else None
+    ends = found.unpivot(["draw"], ["a", "b", "ratio"], "of", "value").groupBy("of").agg(F.count("*").alias("converged"), F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"))
+    own = c.spark.createDataFrame([("a", "A", at["A"]), ("b", "B", at["B"]), ("ratio", "ratio", at["ratio"])], "of string, quantity string, estimate double")
+    return ends.join(F.broadcast(own), "of").select("quantity", "estimate", "lo", "hi", "converged")
+
+
+query("m05_block_bootstrap", _f50_intervals)
 
 
 def _peak(c):
@@ -200,16 +223,35 @@ def _smooth(c):
 query("m07_lowess", _smooth)
 
 
+def nearest_hit(c) -> DataFrame:
+    """``(node, nearest)``: distance of each assessed node to the nearest destroyed other node of its group."""
+
+    def build() -> DataFrame:
+        out = None
+        for g in ("A", "B"):
+            own = c.assessed.where(F.col("grp") == g)
+            points = own.select(F.col("node").alias("id"), "x", "y")
+            hit = own.where("is_destroyed = 1").select(F.col("node").alias("id"), "x", "y")
+            near = J.nearest_other(points, hit, 200.0).select(F.col("id").alias("node"), F.col("d").alias("nearest"))
+            out = near if out is None else out.unionByName(near)
+        return out
+
+    return c.kept("nearest", build)
+
+
 def _calibration(c) -> DataFrame:
-    rows = sample(c).where("exposed = 1").select(F.log("price").alias("lx"), F.col("log_dose").alias("ly"))
+    """Line of log dose on log distance to the nearest destroyed node."""
+    rows = sample(c).where("exposed = 1").join(nearest_hit(c).where("nearest > 0"), "node").select(F.log("nearest").alias("lx"), F.col("log_dose").alias("ly"))
     return rows.agg(F.regr_slope("ly", "lx").alias("slope"), F.regr_intercept("ly", "lx").alias("intercept"))
 
 
-def _equivalent(c):
-    # Exposure falls as distance grows, so interval ends swap.
-    cal = F.broadcast(_calibration(c))
-    back = lambda f: F.exp((F.log(f) - F.col("intercept")) / F.col("slope"))
-    return fits(c).select("grp", "f50").where("f50 is not null").join(cal).select("grp", back(F.col("f50")).alias("distance"), back(F.col("f50") * 1.1).alias("lo"), back(F.col("f50") * 0.9).alias("hi"))
+def _equivalent(c, n: int = DRAWS):
+    """Midpoints and their resampled ends as distances, by the log-log line of exposure on distance."""
+    cal = _calibration(c).first()
+    back = lambda f: F.exp((F.log(f) - F.lit(cal["intercept"])) / F.lit(cal["slope"]))
+    ends = _f50_intervals(c, n).where("quantity <> 'ratio'").select(F.col("quantity").alias("grp"), "estimate", back(F.col("estimate")).alias("distance"), back(F.col("lo")).alias("p"), back(F.col("hi")).alias("q"))
+    # Where exposure falls as distance grows, the ends swap.
+    return ends.select("grp", "estimate", "distance", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
 
 
 query("m08_distance_equivalence", _equivalent)
@@ -225,7 +267,8 @@ query("m09_monotone_inverse", _inverse_bins)
 
 
 def _joint(c, n: int = DRAWS):
-    a = arrays(sample(c).where("exposed = 1").select("node", "block", F.log("price").alias("lx"), "log_dose", "dose_sum", "is_destroyed").orderBy("node"))
+    near = nearest_hit(c).where("nearest > 0").select("node", F.log("nearest").alias("lx"))
+    a = arrays(sample(c).where("exposed = 1").join(near, "node").select("node", "block", "lx", "log_dose", "dose_sum", "is_destroyed").orderBy("node"))
     rows = blocks_of(a["block"])
 
     def one(rng):
@@ -235,7 +278,7 @@ def _joint(c, n: int = DRAWS):
         f50 = C.fit_curve(x, a["is_destroyed"][at]).midpoint(x.min() / 10, x.max() * 10)
         return {"distance": float(np.exp((np.log(f50) - intercept) / slope))}
 
-    return draws(c, n, one, "distance double").agg(F.count("*").alias("converged"), F.percentile("distance", [0.025, 0.5, 0.975]).alias("q"))
+    return enough(draws(c, n, one, "distance double"), n).agg(F.count("*").alias("converged"), F.percentile("distance", [0.025, 0.5, 0.975]).alias("q"))
 
 
 query("m10_joint_bootstrap", _joint)
@@ -357,7 +400,7 @@ def _stage_bootstrap(c, n: int = DRAWS):
         fit = _logit(part)
         return M.tolerance_ratio(fit, "green", "log_dose")["ratio"]
 
-    found = draws(c, n, lambda rng: {"log_ratio": float(np.log(ratio(resampled(rng, rows))))}, "log_ratio double")
+    found = enough(draws(c, n, lambda rng: {"log_ratio": float(np.log(ratio(resampled(rng, rows))))}, "log_ratio double"), n)
     side = F.least(F.avg((F.col("log_ratio") <= 0).cast("int")), F.avg((F.col("log_ratio") >= 0).cast("int")))
     return found.agg(F.count("*").alias("converged"), F.percentile("log_ratio", 0.025).alias("lo"), F.percentile("log_ratio", 0.975).alias("hi"), F.least(F.lit(1.0), F.greatest(2 * side, 1 / F.count("*"))).alias("p"))
 
@@ -431,7 +474,22 @@ def _pairs(c):
 
 
 query("m22_caliper_match", _pairs)
-query("j16_propensity_neighbors", lambda c: _pairs(c).agg(F.count("*").alias("pairs"), F.count_distinct("control").alias("controls")))
+
+
+def _neighbors(c, k: int = 30):
+    """The k controls of nearest score for each treated node of a group, ties by position: what the matching tries."""
+    a = model_arrays(c)
+    p = M.propensity(a, COVARIATES, a["defended"].astype(float), a["grp"])
+    score, rows = np.log(p / (1 - p)), []
+    for g in sorted(set(a["grp"].tolist())):
+        treated, controls = (np.flatnonzero((a["grp"] == g) & (a["defended"] == v)) for v in (1, 0))
+        for t in treated:
+            gap = np.abs(score[controls] - score[t])
+            rows += [{"treated": a["node"][t], "rank": n + 1, "control": a["node"][controls[j]], "gap": gap[j]} for n, j in enumerate(np.argsort(gap, kind="stable")[: min(k, len(controls))])]
+    return frame(c.spark, rows, "treated bigint, rank int, control bigint, gap double")
+
+
+query("j16_propensity_neighbors", _neighbors)
 
 
 def _side_arrays(c, threshold: float = 0.0):
@@ -471,12 +529,12 @@ query("m25_direct_effect", _direct)
 
 
 def _pair_differences(a: dict, pairs, down: str = "down", up: str = "up"):
-    """Complete pairs' differences in survival and neighbour outcomes, with their group."""
+    """Complete pairs' differences in survival and neighbour outcomes, their group, and which pairs are complete."""
     t, u = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
     whole = ~(np.isnan(a[down][t].astype(float)) | np.isnan(a[down][u].astype(float)) | np.isnan(a[up][t].astype(float)) | np.isnan(a[up][u].astype(float)))
     t, u = t[whole], u[whole]
     gap = lambda k: a[k][t].astype(float) - a[k][u].astype(float)
-    return np.stack([-gap("is_destroyed"), gap(down), gap(up)], axis=1), a["grp"][t]
+    return np.stack([-gap("is_destroyed"), gap(down), gap(up)], axis=1), a["grp"][t], whole
 
 
 def _ratio(d: np.ndarray, g: np.ndarray) -> dict:
@@ -490,14 +548,14 @@ _EFFECT = "first_stage double, down_contrast double, up_placebo double, directio
 
 
 def _pair_bootstrap(c, n: int = PAIR_DRAWS):
-    d, g = _pair_differences(*_rematched(c))
+    d, g, _ = _pair_differences(*_rematched(c))
     own = [np.flatnonzero(g == k) for k in sorted(set(g.tolist()))]
 
     def one(rng):
         at = np.concatenate([rng.choice(s, len(s)) for s in own])
         return {k: float(v) for k, v in _ratio(d[at], g[at]).items()}
 
-    found = draws(c, n, one, _EFFECT)
+    found = enough(draws(c, n, one, _EFFECT), n)
     return found.unpivot(["draw"], [x.split()[0] for x in _EFFECT.split(", ")], "quantity", "value").groupBy("quantity").agg(F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi"))
 
 
@@ -506,7 +564,7 @@ query("m27_pair_bootstrap", _pair_bootstrap)
 
 def _spillover(c):
     a, pairs = _rematched(c)
-    d, g = _pair_differences(a, pairs)
+    d, g, _ = _pair_differences(a, pairs)
     rows = np.array(pairs).ravel()
     t, y = a["defended"][rows].astype(float), 1 - a["is_destroyed"][rows].astype(float)
     fit = M.ols(np.c_[np.ones(len(y)), t], y, ["const", "defended"], robust=True)
@@ -522,7 +580,7 @@ def _stages(c):
     a, pairs = _rematched(c)
     rows = []
     for name, down, up in (("any damage", "down_any_damage", "up_any_damage"), ("destruction", "down", "up"), ("given damage", "down_escalation", "up_escalation")):
-        d, g = _pair_differences(a, pairs, down, up)
+        d, g, _ = _pair_differences(a, pairs, down, up)
         if len(g):
             rows.append({"outcome": name, "pairs": len(g)} | _ratio(d, g))
     return frame(c.spark, rows, f"outcome string, pairs bigint, {_EFFECT}")
@@ -554,11 +612,10 @@ def _isolation(c, n: int = PAIR_DRAWS, apart: float = 150.0):
     t = np.array([p[0] for p in pairs], int)
     treated = np.flatnonzero(a["defended"] == 1)
     near = np.array([np.sort(np.hypot(a["x"][treated] - a["x"][i], a["y"][treated] - a["y"][i]))[1] for i in t])
-    d, g = _pair_differences(a, pairs)
-    block = a["block"][t][: len(d)]
-    rows = blocks_of(block)
-    found = draws(c, n, lambda rng: {"v": float(_ratio(d[(k := resampled(rng, rows))], g[k])["directional_contrast"])}, "v double").agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi")).first()
-    lone = near[: len(d)] > apart
+    d, g, whole = _pair_differences(a, pairs)
+    rows = blocks_of(a["block"][t][whole])
+    found = interval(draws(c, n, lambda rng: {"v": float(_ratio(d[(k := resampled(rng, rows))], g[k])["directional_contrast"])}, "v double"), "v", n).first()
+    lone = near[whole] > apart
     return frame(c.spark, [{"lo": found["lo"], "hi": found["hi"], "isolated_pairs": int(lone.sum()), "isolated": d[lone, 1].mean() - d[lone, 2].mean() if lone.any() else float("nan"), "clustered": d[~lone, 1].mean() - d[~lone, 2].mean() if (~lone).any() else float("nan")}], "lo double, hi double, isolated_pairs bigint, isolated double, clustered double")
 
 
@@ -581,7 +638,7 @@ query("d15_arrival_clocks", lambda c: _grid(c).where("least = 0").select("band",
 
 # Nulls.
 def _class_table(c) -> DataFrame:
-    rows = c.assessed.select("grp", "is_destroyed", F.col("size").alias("component_size"), F.lit(True).alias("assessed"))
+    rows = clusters(c).select("node", "component_size").join(c.assessed.select("node", "grp", "is_destroyed"), "node").withColumn("assessed", F.lit(True))
     return B.size_classes(rows).groupBy("grp", "size_class").agg(F.count("*").alias("n"), F.sum("is_destroyed").alias("k"))
 
 
@@ -640,11 +697,11 @@ query("m34_doubling_null", _doubling_null)
 
 
 def _cutoffs(c) -> list[float]:
-    """Bonds at the reference's 35 probabilities on the pooled curve; 35 even steps over all bonds if the curve doesn't span them."""
+    """Bonds at 35 probabilities on the pooled curve; 35 even steps over all bonds if the curve doesn't span these, or they lie beyond the bonds."""
     probabilities, fit = np.arange(0.05, 0.901, 0.025), _pooled_curve(c)
-    if fit.p_min < probabilities[0] and probabilities[-1] < fit.p_max:
-        return [float(fit.exposure_at(p)) for p in probabilities]
     ends = c.bonds.agg(F.min("f").alias("lo"), F.max("f").alias("hi")).first()
+    if fit.p_min < probabilities[0] and probabilities[-1] < fit.p_max and fit.exposure_at(probabilities[-1]) <= ends["hi"]:
+        return [float(fit.exposure_at(p)) for p in probabilities]
     return np.linspace(ends["lo"], ends["hi"], len(probabilities)).tolist()
 
 
@@ -671,15 +728,36 @@ def _shared_fate(c, n: int = SHUFFLES):
 query("m35_shared_fate", _shared_fate)
 
 
+def _reverse(c) -> DataFrame:
+    """Exposure of assessed nodes in the other direction of the weights."""
+    swapped = c.edges.select("i", "j", F.col("f_ji").alias("f_ij"), F.col("f_ij").alias("f_ji"))
+    return c.kept("reverse", lambda: X.dose(c.assessed, swapped).select("node", F.col("dose_sum").alias("reverse_sum"), F.col("log_dose").alias("log_reverse")))
+
+
+def _mean_threshold(c):
+    """P50 of the direct exposure, that of the reverse exposure mapped back through matched bins, and their mean."""
+    rows = sample(c).where("exposed = 1").join(_reverse(c).where("reverse_sum > 0"), "node")
+    direct = _pooled_curve(c).exposure_at(0.5)
+    a = arrays(rows.select("node", "reverse_sum", "is_destroyed").orderBy("node"))
+    other = C.fit_curve(a["reverse_sum"], a["is_destroyed"]).exposure_at(0.5)
+    bins = arrays(B.quantile_bins(rows, "log_dose", 18).groupBy("bin").agg(F.avg("log_dose").alias("lx"), F.avg("log_reverse").alias("ly")).orderBy("lx"))
+    mapped = float(np.exp(-C.inverse_of_bins(-bins["lx"][::-1], bins["ly"][::-1], np.log(other))))  # the bins rise
+    if not np.isfinite(mapped):
+        raise ValueError("the other scale's midpoint lies outside the matched bins")
+    out = [("direct", direct), ("mapped", mapped), ("mean", (direct + mapped) / 2)]
+    return frame(c.spark, [{"definition": k, "threshold": v} for k, v in out], "definition string, threshold double")
+
+
 def _rescaled(c):
+    """The pooled curve with k scaled so that probability one half lies at the mean threshold."""
     fit = _pooled_curve(c)
-    mid = (fit.p_min + fit.p_max) / 2
-    new = fit.scaled_to(mid, 0.25)
-    return frame(c.spark, [{"k": fit.k, "k_scaled": new.k, "reached": new.exposure_at(mid)}], "k double, k_scaled double, reached double")
+    target = next(r["threshold"] for r in _mean_threshold(c).collect() if r["definition"] == "mean")
+    new = fit.scaled_to(0.5, target)
+    return frame(c.spark, [{"k": fit.k, "k_scaled": new.k, "target": target, "reached": new.exposure_at(0.5)}], "k double, k_scaled double, target double, reached double")
 
 
 query("m36_rescaled_curve", _rescaled)
-query("m37_mean_threshold", lambda c: fits(c).where("f50 is not null").agg(F.avg("f50").alias("threshold"), F.count("*").alias("n")))
+query("m37_mean_threshold", _mean_threshold)
 
 
 def _bands(c):
@@ -759,9 +837,25 @@ query(
     _samples,
     " UNION ALL ".join(f"SELECT '{n}' AS sample, count(*) AS n, CAST(sum(is_destroyed) AS BIGINT) AS destroyed FROM {_EXPOSED} WHERE {w}" for n, w in (("exposed", "true"), ("undefended", _PLAIN), ("known", _KNOWN), ("complete", f"{_KNOWN} AND green IS NOT NULL AND year_built IS NOT NULL"))),
 )
+
+
+def _nearest_and_exposure(c):
+    """Distance to the nearest destroyed node beside exposure: how they go together, and how well each tells the outcome."""
+    rows = sample(c).where("exposed = 1").join(nearest_hit(c), "node")
+    gap = lambda k: F.avg(F.when(F.col("is_destroyed") == 1, F.col(k))) - F.avg(F.when(F.col("is_destroyed") == 0, F.col(k)))
+    aggregates = [F.count("*").alias("n"), _r(F.avg("nearest"), 4).alias("nearest"), _r(F.avg("dose_sum"), 4).alias("dose"), _r(F.corr("nearest", "dose_sum"), 4).alias("r"), _r(gap("nearest"), 4).alias("nearest_gap"), _r(gap("dose_sum"), 4).alias("dose_gap")]
+    return S.with_pooled(rows.select("grp", "nearest", "dose_sum", "is_destroyed"), "grp", [], aggregates)
+
+
 query(
     "d03_nearest_and_exposure",
-    lambda c: sample(c).where("exposed = 1").agg(_r(F.corr(F.log("price"), F.col("log_dose")), 4).alias("r"), F.count("*").alias("n")),
+    _nearest_and_exposure,
+    """SELECT CASE WHEN grouping(grp) = 1 THEN 'POOLED' ELSE grp END AS grp, count(*) AS n, round(avg(nearest), 4) AS nearest, round(avg(dose), 4) AS dose, round(corr(nearest, dose), 4) AS r,
+  round(avg(nearest) FILTER (WHERE is_destroyed = 1) - avg(nearest) FILTER (WHERE is_destroyed = 0), 4) AS nearest_gap, round(avg(dose) FILTER (WHERE is_destroyed = 1) - avg(dose) FILTER (WHERE is_destroyed = 0), 4) AS dose_gap
+FROM (SELECT a.grp, a.is_destroyed, e.dose, h.nearest FROM assessed a
+  JOIN (SELECT r.node, sum(d.vf) AS dose FROM assessed r JOIN directed d ON d.receiver = r.node JOIN assessed s ON s.node = d.emitter AND s.grp = r.grp WHERE s.is_destroyed = 1 GROUP BY 1 HAVING sum(d.vf) > 0) e USING (node)
+  JOIN (SELECT p.node, min(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS nearest FROM assessed p JOIN assessed q ON q.grp = p.grp AND q.node <> p.node WHERE q.is_destroyed = 1 GROUP BY 1) h USING (node))
+GROUP BY GROUPING SETS ((grp), ())""",
 )
 query(
     "d06_timed_edges",
@@ -772,8 +866,6 @@ query(
 
 def _depth(c):
     """Share of affected neighbours by distance to the perimeter, in quantile bins."""
-    from tessera.operators import joins as J
-
     sides = ((500, 500, 6000, 500), (6000, 500, 6000, 6000), (6000, 6000, 500, 6000), (500, 6000, 500, 500))
     depth = F.least(*[J.segment_distance(F.col("x"), F.col("y"), *[F.lit(float(v)) for v in s]) for s in sides])
     rows = c.assessed.where("x between 500 and 6000 and y between 500 and 6000").withColumn("depth", depth)

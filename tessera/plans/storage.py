@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.operators import linkage as L
@@ -121,3 +123,76 @@ def _copy(c):
     path = _folder(c)
     K.write_atomic(c.nodes.where(F.col("node").isin(1, 2, 3)).select("node", "kind"), path)
     return c.spark.read.parquet(path)
+
+
+def _replaced(c):
+    """A folder written twice: the second writing is what is read, and nothing else is left beside it."""
+    path = _folder(c)
+    for grp in ("A", "B"):
+        K.write_atomic(c.nodes.where(F.col("grp") == grp).select("node", "grp"), path)
+    assert not any(K.exists(c.spark, path + end) for end in (".partial", ".old"))
+    return c.spark.read.parquet(path).groupBy("grp").agg(F.count("*").alias("n"))
+
+
+query("k02_replace", _replaced, "SELECT grp, count(*) AS n FROM nodes WHERE grp = 'B' GROUP BY grp")
+
+
+def _source_cache(c):
+    """A cache keyed by its source's files: used while they are the same, built anew when they change."""
+    path, source, built = _folder(c), _folder(c), []
+
+    def tables():
+        built.append(1)
+        return {"t": c.spark.read.parquet(source).groupBy("grp").agg(F.count("*").alias("n"))}
+
+    for grp in ("A", "A", "B"):  # the second round finds the first one's files
+        if len(built) < 1 or grp == "B":
+            K.write_atomic(c.nodes.where(F.col("grp") == grp).select("node", "grp"), source)
+        found = K.cached(c.spark, path, {"source": K.source_signature(c.spark, f"{source}/*.parquet")}, tables)["t"]
+    return found.withColumn("built", F.lit(len(built)))
+
+
+query("k04_source_cache", _source_cache, "SELECT grp, count(*) AS n, 2 AS built FROM nodes WHERE grp = 'B' GROUP BY grp")
+
+
+def _markdown(c):
+    from tessera.functions.models import markdown
+
+    rows = [r.asDict() for r in c.nodes.groupBy("grp").agg(F.count("*").alias("n")).orderBy("grp").collect()]  # one row for each group
+    return c.spark.createDataFrame([(markdown(rows),)], "text string")
+
+
+query("k11_markdown", _markdown, "SELECT concat('| grp | n |', chr(10), '|---|---|', chr(10), string_agg(concat('| ', grp, ' | ', n, ' |'), chr(10) ORDER BY grp)) AS text FROM (SELECT grp, count(*) AS n FROM nodes GROUP BY grp)")
+
+
+def _footer(c):
+    """Geometry column, encoding and reference system from a file's footer; the driver writes and reads the one file."""
+    import json
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = _folder(c).removeprefix("file:")
+    os.makedirs(folder)
+    meta = {"primary_column": "footprint", "columns": {"footprint": {"encoding": "WKB", "crs": {"name": "plane"}}}}
+    pq.write_table(pa.table({"footprint": pa.array([b""])}).replace_schema_metadata({"geo": json.dumps(meta)}), f"{folder}/g.parquet")
+    found = R.geo_metadata(f"{folder}/g.parquet")
+    return c.spark.createDataFrame([(found["primary_column"], found["encoding"], found["crs"]["name"])], "primary_column string, encoding string, crs string")
+
+
+query("s07_geo_footer", _footer, "SELECT 'footprint' AS primary_column, 'WKB' AS encoding, 'plane' AS crs", raw=True)
+
+
+def _wkb(c):
+    """Points stored as WKB, kept by id through a semi-join and decoded in column functions."""
+
+    def packed(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([struct.pack("<BIdd", 1, 1, a, b) for a, b in zip(x, y, strict=True)])
+
+    table = c.nodes.select("node", F.pandas_udf(packed, "binary")("x", "y").alias("wkb")).join(c.assessed.where("is_destroyed = 1"), "node", "left_semi")
+    x, y = R.point_from_wkb("wkb")
+    return table.select("node", x.alias("x"), y.alias("y"))
+
+
+query("s08_wkb_points", _wkb, "SELECT node, x, y FROM nodes WHERE node IN (SELECT node FROM assessed WHERE is_destroyed = 1)")

@@ -21,14 +21,24 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_atomic(df: DataFrame, path: str, compression: str = "zstd") -> None:
-    """Write Parquet beside the target and rename, so that readers see all of it or the old one."""
+    """Write Parquet beside the target, then put it in the target's place by two renames.
+
+    A reader finds the old files or all of the new ones, never a part; between the renames, for
+    a moment, it finds none. If the second rename fails the old files are put back.
+    """
     fs, target, make = _fs(df.sparkSession, path)
-    part = make(f"{path}.partial")
+    part, old = make(f"{path}.partial"), make(f"{path}.old")
     fs.delete(part, True)
     df.write.option("compression", compression).parquet(f"{path}.partial")
-    fs.delete(target, True)
+    fs.delete(old, True)
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(part, target):
+        if had:
+            fs.rename(old, target)
         raise OSError(f"could not rename to {path}")
+    fs.delete(old, True)
 
 
 def _text(spark: SparkSession, path: str) -> str | None:

@@ -103,15 +103,20 @@ def test_reweighting_gives_the_other_shares():
     assert w.tolist() == [0.5, 0.5, 3.0, 0.0]
 
 
-def test_block_bootstrap_needs_enough_draws():
-    blocks = np.repeat(np.arange(5), 2)
-    assert M.block_bootstrap(blocks, lambda at: float(at.mean()), 30).shape == (30,)
-
-    def fails(at):
-        raise ValueError
+def test_intervals_need_enough_draws(spark):
+    from tessera.plans import statistics as S
 
+    some = spark.range(30).selectExpr("id as draw", "if(id < 23, double(id), null) as v")
     with pytest.raises(RuntimeError):
-        M.block_bootstrap(blocks, fails, 30)
+        S.interval(some, "v", 30)
+    assert S.interval(some, "v", 28).first()["draws"] == 23
+
+
+def test_curve_equals_its_formula_and_never_overflows():
+    x = np.geomspace(1e-3, 1e3, 50)
+    got = C.Curve(0.1, 0.9, 0.5, 3.0, 2.0).at(x)
+    assert np.allclose(got, 0.1 + 0.8 / (1 + (0.5 / x) ** 3) ** 2)
+    assert np.isfinite(C.Curve(0.0, 1.0, 1.0, 20.0, 10.0).at([0.0, 1e-300, 1e300])).all()
 
 
 def test_markdown():

@@ -1,23 +1,28 @@
-"""The queries over all nodes against plain counts."""
+"""Joins over all nodes against plain counts."""
 
 import numpy as np
 from conftest import SF
 
-from tessera.plans import registry
+from tessera.plans import registry, relational
 from tessera.plans.fixtures import Context
 
 
 def test_facing_points_of_all_nodes(spark):
     nodes = Context(spark, SF).nodes.select("node", "x", "y").toPandas()
     x, y = nodes["x"].to_numpy(float), nodes["y"].to_numpy(float)
-    near = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2) <= 1500
-    want = dict(zip(nodes["node"].tolist(), (near & (x > x[:, None])).sum(axis=1).tolist(), strict=True))
-    got = {r["a"]: r["facing"] for r in registry.QUERIES["j24_facing_points_all"](spark, SF).collect()}
-    assert got == {k: v for k, v in want.items() if v} and max(got) >= 150
-
-
-def test_full_outer_of_all_nodes(spark):
-    c = Context(spark, SF)
-    nodes, assessed = ({r["node"] for r in t.select("node").collect()} for t in (c.nodes, c.assessed))
-    row = registry.QUERIES["j08_full_outer_all"](spark, SF).first()
-    assert (row["only_left"], row["only_right"], row["n"]) == (len(nodes - assessed), len(assessed - nodes), len(nodes | assessed))
+    angle = np.radians(nodes["node"].to_numpy() * 37 % 360)
+    dx, dy = x[None] - x[:, None], y[None] - y[:, None]
+    toward = dx * np.cos(angle)[:, None] + dy * np.sin(angle)[:, None] > 0
+    met = toward & toward.T & (np.hypot(dx, dy) <= 1500)
+    hidden = np.zeros_like(met)
+    with np.errstate(all="ignore"):
+        for x0, y0, x1, y1 in relational.WALLS:
+            if x0 == x1:
+                at = y[:, None] + dy * (x0 - x[:, None]) / dx
+                hidden |= ((x[:, None] - x0) * (x[None] - x0) < 0) & (at >= y0) & (at <= y1)
+            else:
+                at = x[:, None] + dx * (y0 - y[:, None]) / dy
+                hidden |= ((y[:, None] - y0) * (y[None] - y0) < 0) & (at >= x0) & (at <= x1)
+    want = {int(k): (int(m.sum()), int((m & ~h).sum())) for k, m, h in zip(nodes["node"], met, hidden, strict=True) if m.any()}
+    assert {r["a"]: (r["facing"], r["visible"]) for r in registry.QUERIES["j24_facing_points"](spark, SF).collect()} == want
+    assert any(a != b for a, b in want.values())
