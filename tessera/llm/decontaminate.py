@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.session import durable
 
 WINDOW = 10
-#: Grams or windows that may be broadcast: at 100 bytes each some 200 MB at most.
+#: Grams of windows and ids of their items that may be broadcast: at 100 bytes each some 200 MB at most.
 BROADCAST_ROWS = 2_000_000
 
 #: Runs of ASCII digits, ASCII letters and all characters beyond ASCII, before lower-casing.
@@ -70,9 +70,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
     The columns added replace input columns of the same names.
     """
     windows = durable(item_windows(items, window, item_id, item_text))
-    counts = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most ``window`` rows
-    lengths = sorted(counts)
-    small = sum(counts.values()) * window <= broadcast_rows
+    counts = windows.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("ids")).collect()  # at most ``window`` rows
+    lengths = sorted(r["len"] for r in counts)
+    small = sum(r["n"] * window + r["ids"] for r in counts) <= broadcast_rows
     sized = F.broadcast if small else lambda df: df
 
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]

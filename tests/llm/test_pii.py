@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+import pytest
 from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,6 +88,45 @@ def test_contexts_discover_spaced_short_and_long_identifiers(spark):
     assert got(700) == [(2, "4111 1111 1111 1112")]
 
 
+def plain_trusted(scanned, support, confidence, rounds):
+    """The scoring by plain loops over all instances and patterns."""
+    edges = {(p, i["value"], i["kind"] % 4 if i["kind"] >= 0 else -1, 0 <= i["kind"] < 4) for r in scanned for i in r["seen"] for p in i["patterns"]}
+    every = {}
+    for p, v, _, _ in edges:
+        every.setdefault(p, set()).add(v)
+    seeds = {(v, k): 1.0 for _, v, k, seed in edges if seed}
+    scores, trusted = dict(seeds), None
+    for _ in range(rounds):
+        held = {}
+        for p, v, k, _ in edges:
+            if (v, k) in scores:
+                held.setdefault((p, k), {})[v] = scores[v, k]
+        now = {key: sum(own.values()) / (len(every[key[0]]) + 1) for key, own in held.items() if len(own) >= support}
+        now = {key: c for key, c in now.items() if c >= confidence}
+        if not now:
+            return trusted
+        trusted, scores = now, dict(seeds)
+        for p, v, k, seed in edges:
+            if not seed and k >= 0 and (p, k) in now and (v, k) not in seeds:
+                scores[v, k] = max(scores.get((v, k), 0.0), now[p, k])
+    return trusted
+
+
+@pytest.mark.parametrize(("support", "confidence"), [(3, 0.5), (5, 0.7), (10, 0.8)])
+def test_scores_equal_plain_loops(spark, support, confidence):
+    rng = np.random.default_rng(support)
+    contexts = ["call me at {} now", "phone number: {} thanks", "mail to {} please", "your order {} is late", "from ip address: {} it", "the code {} of it"]
+    things = [lambda n: f"+1 (555) 000-{n:04d}", lambda n: f"555-123-{n:04d}", lambda n: f"u{n}@example.com", lambda n: f"10.0.{n % 200}.1", lambda n: f"10-0-{n % 200}-1", lambda n: f"{n}77777{n}"]
+    rows = [(i, " and ".join(contexts[int(c)].format(things[int(t)](int(rng.integers(0, 60)))) for c, t in zip(rng.choice(6, 3, p=[0.3, 0.3, 0.1, 0.1, 0.1, 0.1]), rng.choice(6, 3, p=[0.6, 0.1, 0.1, 0.1, 0.05, 0.05]), strict=True))) for i in range(400)]
+    scanned = pii.scan(spark.createDataFrame(rows, SCHEMA)).withColumn("rid", F.monotonically_increasing_id()).persist()
+    got = pii.trusted_patterns(scanned, support, confidence)
+    want = plain_trusted(scanned.collect(), support, confidence, pii.ROUNDS)
+    assert (got is None) == (want is None)
+    if want is not None:
+        found = {(r["pattern"], r["kind"]): r["confidence"] for r in got.collect()}
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_few_seeds_discover_nothing(spark):
     assert all(r["spans"] == r["base"] for r in pii.find(spark.createDataFrame(phone_docs(4), SCHEMA)).collect())
 

@@ -51,6 +51,33 @@ def test_fit_is_blind_to_row_order_and_sparse():
     assert len(Q.fit(x, y, penalty=0.05).rules) < len(Q.fit(x, y, penalty=0.0005).rules)
 
 
+def test_leaves_part_the_rows_and_paths_lead_to_all_nodes():
+    x, y = data()
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 20)[1:-1])) for c in x.T]
+    paths = []
+    leaves = Q._grow(x, cuts, y - y.mean(), np.full(len(y), 0.25), 3, 5, paths)
+    assert (sum(Q._holds(rule, x).astype(int) for rule, _ in leaves) == 1).all()
+    assert {rule for rule, _ in leaves} <= set(paths) and len(paths) == 2 * (len(leaves) - 1)
+    for rule, value in leaves:
+        own = Q._holds(rule, x)
+        assert np.isclose(value, (y - y.mean())[own].sum() / (0.25 * own.sum() + 1))
+    for rule in paths:  # a node's rows are those of the leaves below it
+        below = [r for r, _ in leaves if rule <= r]
+        assert (Q._holds(rule, x) == sum(Q._holds(r, x).astype(int) for r in below)).all()
+
+
+def test_lasso_meets_its_conditions():
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(400, 12))
+    y = (z[:, 0] - 2 * z[:, 1] + rng.normal(size=400) > 0).astype(float)
+    penalty = 0.03
+    w, b = Q._lasso_logistic(z, y, penalty, steps=4000)
+    slope = z.T @ (1 / (1 + np.exp(-(z @ w + b))) - y) / len(y)
+    assert abs((1 / (1 + np.exp(-(z @ w + b))) - y).mean()) < 1e-5
+    assert np.allclose(slope[w != 0], -penalty * np.sign(w[w != 0]), atol=1e-5) and (np.abs(slope[w == 0]) <= penalty + 1e-6).all()
+    assert 2 <= (w != 0).sum() < 12 and np.flatnonzero(w)[:2].tolist() == [0, 1]
+
+
 def test_one_class_gives_its_share():
     model = Q.fit(np.zeros((8, len(Q.STATISTICS))), np.ones(8))
     assert not model.rules and np.isclose(1 / (1 + np.exp(-model.bias)), 0.9)
