@@ -15,24 +15,28 @@ def _zero(c) -> F.Column:
 def dose(assessed: DataFrame, edges: DataFrame) -> DataFrame:
     """Dose of each assessed node from neighbours of its own group.
 
-    ``assessed`` has ``node, grp, outcome`` (destroyed, partial, no_damage). All nodes stay; the
-    group comparison is part of the join, so a neighbour of another group counts as a neighbour
-    but never as one of known outcome.
+    ``assessed`` has ``node, grp, outcome`` (destroyed, partial, no_damage). All nodes stay; a
+    neighbour of another group counts as a neighbour but never as one of known outcome. Edges
+    meet their emitters first and are summed by receiver, group and outcome, so only a few
+    rows of each receiver meet the receivers.
     """
-    met = assessed.alias("r").join(symmetrised(edges).alias("d"), F.col("r.node") == F.col("d.receiver"), "left")
-    source = assessed.select("node", "grp", "outcome").alias("s")
-    met = met.join(source, (F.col("d.emitter") == F.col("s.node")) & (F.col("r.grp") == F.col("s.grp")), "left")
-    vf, of = F.col("d.vf"), F.col("s.outcome")
-    total = lambda kind: _zero(F.sum(F.when(of == kind, vf)))
-    out = met.groupBy(F.col("r.node").alias("node")).agg(
+    source = assessed.select(F.col("node").alias("emitter"), F.col("grp").alias("source_grp"), "outcome", F.lit(True).alias("known"))
+    seen = symmetrised(edges).join(source, "emitter", "left").groupBy("receiver", "source_grp", "outcome", "known")
+    parts = seen.agg(F.sum("vf").alias("vf"), F.max("vf").alias("most"), F.count("emitter").alias("n"))
+    met = assessed.select("node", "grp").join(parts, F.col("node") == F.col("receiver"), "left")
+    own = F.col("known") & (F.col("grp") == F.col("source_grp"))
+    of = lambda kind: own & (F.col("outcome") == kind)
+    total = lambda kind: _zero(F.sum(F.when(of(kind), F.col("vf"))))
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    out = met.groupBy("node").agg(
         total("destroyed").alias("dose_sum"),
-        _zero(F.max(F.when(of == "destroyed", vf))).alias("dose_max"),
+        _zero(F.max(F.when(of("destroyed"), F.col("most")))).alias("dose_max"),
         total("partial").alias("f_partial"),
         total("no_damage").alias("f_none"),
-        _zero(F.sum(vf)).alias("f_total"),
-        F.count("d.emitter").alias("neighbors"),
-        F.count("s.node").alias("known_neighbors"),
-        F.count_distinct(F.when(of == "destroyed", F.col("d.emitter"))).alias("n_destroyed"),
+        _zero(F.sum("vf")).alias("f_total"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("neighbors"),
+        count(own).alias("known_neighbors"),
+        count(of("destroyed")).alias("n_destroyed"),
     )
     flags = {"exposed": (F.col("dose_sum") > 0).cast("int"), "log_dose": F.when(F.col("dose_sum") > 0, F.log("dose_sum"))}
     return out.withColumns(flags)
