@@ -98,6 +98,37 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
     return F.hypot(x - (x1 + t * dx), y - (y1 + t * dy))
 
 
+def _edges_of(ring: Column) -> Column:
+    """The edges of a closed ring as structs of their ends p and q."""
+    return F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+
+def polygon_distance(a: Column, b: Column) -> Column:
+    """Distance of two simple polygons, given as closed rings of struct(x, y); 0 where they touch or overlap."""
+
+    def to_edges(points: Column, ring: Column) -> Column:
+        near = F.transform(points, lambda v: F.array_min(F.transform(_edges_of(ring), lambda e: segment_distance(v["x"], v["y"], e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"]))))
+        return F.array_min(near)
+
+    side = lambda o, u, v: F.signum((u["x"] - o["x"]) * (v["y"] - o["y"]) - (u["y"] - o["y"]) * (v["x"] - o["x"]))
+    cross = lambda e, f: (side(e["p"], e["q"], f["p"]) * side(e["p"], e["q"], f["q"]) < 0) & (side(f["p"], f["q"], e["p"]) * side(f["p"], f["q"], e["q"]) < 0)
+    crossing = F.exists(_edges_of(a), lambda e: F.exists(_edges_of(b), lambda f: cross(e, f)))
+    within = F.exists(a, lambda v: inside(v["x"], v["y"], b)) | F.exists(b, lambda v: inside(v["x"], v["y"], a))
+    return F.when(crossing | within, 0.0).otherwise(F.least(to_edges(a, b), to_edges(b, a)))
+
+
+def within_polygon_distance(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
+    """Pairs of footprints (``id, x, y, ring``, the place lying in its ring) at most ``reach`` apart: ``(a, b, d)``.
+
+    Places that far apart that no two of the widest footprints could be near never meet; the
+    others are compared ring to ring.
+    """
+    span = lambda df: df.agg(F.max(F.array_max(F.transform("ring", lambda v: F.hypot(v["x"] - F.col("x"), v["y"] - F.col("y")))))).first()[0] or 0.0
+    met = within_distance(a, b, reach + span(a) + span(b)).select("a", "b")
+    met = met.join(a.select(F.col("id").alias("a"), F.col("ring").alias("ra")), "a").join(b.select(F.col("id").alias("b"), F.col("ring").alias("rb")), "b")
+    return met.select("a", "b", polygon_distance(F.col("ra"), F.col("rb")).alias("d")).where(F.col("d") <= reach)
+
+
 def zone_of(points: DataFrame, zones: DataFrame, reach: float, default: str = "Outside") -> DataFrame:
     """Class of the zone of highest priority that holds each point.
 

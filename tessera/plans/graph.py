@@ -164,6 +164,53 @@ query(
     _sweep_sql("SELECT CAST(t AS DOUBLE) AS threshold, count(DISTINCT component_id) AS components, max(component_size) AS largest, CAST(sum(component_id) AS BIGINT) AS checksum FROM sized GROUP BY t"),
     raw=True,
 )
+_CUMULATIVE_STEPS = [0.12, 0.14, 0.16, 0.2]
+
+
+def _rule_sweeps(c):
+    """Both top-2 rules over their thresholds: one spanning forest and one pass for each rule."""
+    out = None
+    for rule, weights, steps in (("pruned", L.top_n_pruned_weights(c.bonds, 2), _STEPS), ("cumulative", L.cumulative_top_n_weights(c.bonds, 2, 0.25), _CUMULATIVE_STEPS)):
+        one = L.sweep(c.nodes, weights, steps).groupBy("threshold").agg(F.count_distinct("component_id").alias("components"), F.max("component_size").alias("largest"), F.sum("component_id").alias("checksum")).withColumn("rule", F.lit(rule))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _rule_sweeps_sql() -> str:
+    from tessera.plans.fixtures import SQL
+
+    parts = [f"SELECT DISTINCT 'pruned' AS rule, {t} AS t, least(node, neighbor) AS i, greatest(node, neighbor) AS j FROM ({_TOP.format(inc='inc')}) WHERE rank <= 2 AND f >= {t}" for t in _STEPS]
+    parts += [f"SELECT 'cumulative', {t}, i, j FROM ({_cumulative(t, 0.25)})" for t in _CUMULATIVE_STEPS]
+    steps = [f"('pruned', {t})" for t in _STEPS] + [f"('cumulative', {t})" for t in _CUMULATIVE_STEPS]
+    return f"""WITH RECURSIVE {SQL}, th(rule, t) AS (VALUES {', '.join(steps)}), lk AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+sl AS MATERIALIZED (SELECT rule, t, i AS node, j AS neighbor FROM lk UNION ALL SELECT rule, t, j, i FROM lk),
+walk(rule, t, node, label) AS (SELECT rule, t, node, node FROM nodes, th UNION SELECT w.rule, w.t, l.neighbor, w.label FROM walk w JOIN sl l ON l.rule = w.rule AND l.t = w.t AND l.node = w.node),
+swept AS (SELECT rule, t, node, min(label) AS component_id FROM walk GROUP BY 1, 2, 3), sized AS (SELECT *, count(*) OVER (PARTITION BY rule, t, component_id) AS component_size FROM swept)
+SELECT rule, CAST(t AS DOUBLE) AS threshold, count(DISTINCT component_id) AS components, max(component_size) AS largest, CAST(sum(component_id) AS BIGINT) AS checksum FROM sized GROUP BY 1, 2"""
+
+
+query("g19_top_2_sweeps", _rule_sweeps, _rule_sweeps_sql(), raw=True)
+
+
+def _region(c):
+    """Components without an excluded set, with the flag of those near the screen's edge, by class."""
+    kept = c.nodes.where("grp = 'A' or size > 10")
+    found = L.states(kept, L.active(L.eeat_weights(E.induced(c.bonds, kept)), TAU))
+    edge = (F.col("x") < 300) | (F.col("x") > 9700) | (F.col("y") < 300) | (F.col("y") > 9700)
+    near = found.groupBy("component_id").agg(F.max(edge.cast("int")).alias("near_edge"))
+    parts = S.component_summary(found).join(near, "component_id")
+    return parts.groupBy("category").agg(F.count("*").alias("components"), F.sum("size").alias("members"), F.max("size").alias("largest"), F.sum("near_edge").alias("cut_by_the_edge"), F.lit(c.nodes.count() - kept.count()).alias("excluded"))
+
+
+query(
+    "g17_region_screen",
+    _region,
+    """SELECT category, count(*) AS components, CAST(sum(size) AS BIGINT) AS members, max(size) AS largest, CAST(sum(near_edge) AS BIGINT) AS cut_by_the_edge, (SELECT count(*) FROM nodes WHERE NOT (grp = 'A' OR size > 10)) AS excluded
+FROM (SELECT count(*) AS size, max(CASE WHEN x < 300 OR x > 9700 OR y < 300 OR y > 9700 THEN 1 ELSE 0 END) AS near_edge,
+    CASE WHEN count(*) = 1 THEN 'isolated' WHEN sum(CAST(is_interface AS INTEGER)) BETWEEN 1 AND count(*) - 1 THEN 'spanning' WHEN sum(CAST(is_interface AS INTEGER)) > 0 THEN 'interface' ELSE 'outside' END AS category
+  FROM nodes JOIN state USING (node) WHERE grp = 'A' OR size > 10 GROUP BY component_id) GROUP BY category""",
+    f"SELECT i, j FROM bonds WHERE f >= {TAU} AND i IN (SELECT node FROM nodes WHERE grp = 'A' OR size > 10) AND j IN (SELECT node FROM nodes WHERE grp = 'A' OR size > 10)",
+)
 
 
 def _spanning(c):

@@ -202,6 +202,26 @@ query(
     lambda c: _rounded(J.within_distance(_points(c, "true"), _points(c, "true"), 150.0).where("a < b"), "d"),
     "SELECT p.node AS a, q.node AS b, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 6) AS d FROM nodes p JOIN nodes q ON p.node < q.node AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= 150",
 )
+
+
+def footprints(c):
+    """Upright rectangles around the nodes' places, wider and higher with the size."""
+    w, h = F.col("size") + 5.0, F.col("size") / 2 + 5.0
+    corner = lambda i, j: F.struct((F.col("x") + i * w).alias("x"), (F.col("y") + j * h).alias("y"))
+    return c.nodes.select(F.col("node").alias("id"), "x", "y", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1)).alias("ring"))
+
+
+_GAP = "sqrt(greatest(0, abs(p.x - q.x) - p.size - q.size - 10) ** 2 + greatest(0, abs(p.y - q.y) - p.size / 2 - q.size / 2 - 10) ** 2)"
+query(
+    "j17_footprints",
+    lambda c: _rounded(J.within_polygon_distance(footprints(c), footprints(c), 60.0).where("a < b"), "d"),
+    f"SELECT p.node AS a, q.node AS b, round({_GAP}, 6) AS d FROM nodes p JOIN nodes q ON p.node < q.node AND {_GAP} <= 60",
+)
+query(
+    "j22_footprint_distance",
+    lambda c: c.bonds.where("f >= 0.06").join(footprints(c).select(F.col("id").alias("i"), F.col("ring").alias("ri")), "i").join(footprints(c).select(F.col("id").alias("j"), F.col("ring").alias("rj")), "j").select("i", "j", _r(J.polygon_distance(F.col("ri"), F.col("rj"))).alias("d")),
+    f"SELECT i, j, round({_GAP}, 6) AS d FROM bonds JOIN nodes p ON p.node = i JOIN nodes q ON q.node = j WHERE f >= 0.06",
+)
 query(
     "j18_zone_by_priority",
     lambda c: J.zone_of(_points(c, "true"), c.zones, 1000.0).select("id", "zone"),

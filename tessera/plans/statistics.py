@@ -457,6 +457,24 @@ def _ladder(c):
 query("m21_standardisation", _ladder)
 
 
+def _case_bootstrap(c, n: int = DRAWS):
+    """Intervals of the raw ratio, the swap factor and what is left, over rows drawn anew within each group."""
+    a = model_arrays(c)
+    cell = np.array([f"{k}|{d}" for k, d in zip(a["kind"].tolist(), np.digitize(a["year"], [1992, 2009]).tolist(), strict=True)])
+    own = [np.flatnonzero(a["grp"] == g) for g in ("A", "B")]
+
+    def one(rng):
+        at = np.concatenate([rng.choice(rows, len(rows)) for rows in own])
+        raw, factor = swap_factor({k: a[k][at] for k in ("grp", "dose_sum", "is_destroyed")}, cell[at])
+        return {"raw": raw, "factor": factor, "residual": raw / factor}
+
+    found = enough(draws(c, n, one, "raw double, factor double, residual double"), n)
+    return found.unpivot(["draw"], ["raw", "factor", "residual"], "quantity", "value").groupBy("quantity").agg(F.count("*").alias("converged"), F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.5).alias("mid"), F.percentile("value", 0.975).alias("hi"))
+
+
+query("m21_case_bootstrap", _case_bootstrap)
+
+
 # Matching and effects.
 COVARIATES = ["green", "year", "f_total", "log_dose"]
 
@@ -581,9 +599,11 @@ def _stages(c):
     rows = []
     for name, down, up in (("any damage", "down_any_damage", "up_any_damage"), ("destruction", "down", "up"), ("given damage", "down_escalation", "up_escalation")):
         d, g, _ = _pair_differences(a, pairs, down, up)
-        if len(g):
-            rows.append({"outcome": name, "pairs": len(g)} | _ratio(d, g))
-    return frame(c.spark, rows, f"outcome string, pairs bigint, {_EFFECT}")
+        for k in ("POOLED", *sorted(set(g.tolist()))):
+            at = np.ones(len(g), bool) if k == "POOLED" else g == k
+            if at.any():
+                rows.append({"outcome": name, "grp": k, "pairs": int(at.sum())} | _ratio(d[at], g[at]))
+    return frame(c.spark, rows, f"outcome string, grp string, pairs bigint, {_EFFECT}")
 
 
 query("m29_stage_table", _stages)
