@@ -4,8 +4,8 @@ Equal vectors of a label become one class first, so copies cost nothing further.
 levels of the tree span the cluster: while a label's cell holds more classes than a task takes,
 a bounded number of its classes become centres, every class goes to its nearest centre, and a
 grouped maximum gives the covering radii. Pairs of cells descend with them: a pair goes on to
-those children whose centres are within the threshold plus both radii. What no round splits is
-cut by hash, each part with the radius of the whole.
+those children whose centres are within the threshold plus both radii. Cells that one level more
+halves the radii of take it. What no round splits is cut by hash, each part with the radius of the whole.
 
 A surviving pair of cells is one group. In it each cell is indexed by a cover tree, whose
 nested levels have halving radii: centres of a level lie further apart than its radius, and each
@@ -18,6 +18,7 @@ of links of each class and spanning links, not all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -34,6 +35,9 @@ NUMBERS = 1 << 19
 #: Centres that a cell is split by, and rounds of splitting.
 FANOUT = 16
 ROUNDS = 4
+#: Classes from which a cell is tried at one level more, and how many the new cells must hold on average.
+REFINED = 64
+LEAST_CHILD = 24
 #: Rows of centres and of pairs of cells that may be broadcast: some 100 MB of 64 dimensions.
 BROADCAST_ROWS = 200_000
 #: Nodes of so few members, or so small a radius, are leaves.
@@ -243,41 +247,65 @@ def cells(classes: DataFrame, cosine: float = COSINE, block: int | None = None,
         far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) > reach + F.col("ra") + F.col("rb")
         return moved.where((F.col("p") == F.col("q")) | ~F.coalesce(far, F.lit(False))).select(F.col("p").alias("a"), F.col("q").alias("b"), "na", "nb", "ca", "cb", "ra", "rb")
 
-    for n in range(rounds):
-        counted = todo.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "cell")
-        done.append(counted.where("n <= most").select("cid", "cell"))
-        n_big = sizes.where("n > most").count()
-        if not n_big:
-            break
-        # Some 4 * fanout classes of each big cell by a hash of their id, and the first of these as centres.
-        some = counted.where("n > most").where(F.pmod(F.xxhash64("cid", F.lit(n)), F.col("n")) < 4 * fanout)
-        first = some.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("cid"), "cid"))).where(F.col("k") <= F.least(F.lit(fanout), F.ceil(F.col("n") / F.col("most")) + 1))
-        centres = durable(_units(first).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("k", "unit"))).alias("s")).select("cell", F.transform("s", lambda x: x["unit"]).alias("centres")))
-        small = n_big * fanout * fanout <= BROADCAST_ROWS
-        unsplit = counted.where("n > most").select("cid", "cell", "embedding").join(F.broadcast(centres) if small else centres, "cell", "left")
-        unsplit = unsplit.select("cid", "cell", "embedding", F.coalesce("centres", F.array(F.col("embedding").cast("array<double>"))).alias("centres"))
-        placed = durable(unsplit.mapInArrow(_nearest, f"cid bigint, cell bigint, embedding {vector}, k int, d double"))
+    def split(open_: DataFrame, cells_: int, most_centres, seed: int, apart: F.Column | None = None) -> tuple[DataFrame, DataFrame]:
+        """The classes of open cells with their nearest centre's cell, and those new cells with their radii.
+
+        Centres are the first of some 4 * fanout classes by a hash of their id; with ``apart``
+        only those of them that far from all earlier ones.
+        """
+        some = open_.where(F.pmod(F.xxhash64("cid", F.lit(seed)), F.col("n")) < 4 * fanout)
+        first = some.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("cid"), "cid"))).where(F.col("k") <= most_centres)
+        listed = _units(first.withColumn("apart", F.lit(0.0) if apart is None else apart)).groupBy("cell").agg(F.max("apart").alias("apart"), F.array_sort(F.collect_list(F.struct("k", "unit"))).alias("s"))
+        far = lambda u, v: 2 - 2 * F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) > F.col("apart") * F.col("apart")
+        empty = F.expr("cast(array() as array<array<double>>)")
+        net = F.aggregate("s", empty, lambda a, x: F.when(F.forall(a, lambda u: far(u, x["unit"])), F.concat(a, F.array(x["unit"]))).otherwise(a))
+        centres = durable(listed.select("cell", (F.transform("s", lambda x: x["unit"]) if apart is None else net).alias("centres")))
+        met = open_.select("cid", "cell", "embedding").join(F.broadcast(centres) if cells_ * fanout <= BROADCAST_ROWS else centres, "cell", "left")
+        met = met.select("cid", "cell", "embedding", F.coalesce("centres", F.array(F.col("embedding").cast("array<double>"))).alias("centres"))
+        placed = durable(met.mapInArrow(_nearest, f"cid bigint, cell bigint, embedding {vector}, k int, d double"))
         covered = placed.groupBy("cell", "k").agg(F.count("*").alias("n"), F.max("d").alias("radius"), F.max(F.size("embedding")).alias("dim"))
         children = covered.join(centres, "cell", "left").select(F.col("cell").alias("parent"), F.xxhash64("cell", "k").alias("cell"), "n", "dim", F.expr("try_element_at(centres, k + 1)").alias("centre"), F.when(F.col("centres").isNotNull(), F.col("radius") + 1e-6).alias("radius"))
-        children = durable(children)
+        return placed, durable(children)
+
+    def sized(cells_: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(cells_) if rows <= BROADCAST_ROWS else cells_
+
+    made, n_made = [], 0
+    for n in range(rounds + 1):
+        counted = todo.join(sized(sizes, sizes.count()), "cell")
+        done.append(counted.where("n <= most").select("cid", "cell", "embedding"))
+        n_big = sizes.where("n > most").count()
+        if not n_big or n == rounds:
+            break
+        placed, children = split(counted.where("n > most"), n_big, F.least(F.lit(fanout), F.ceil(F.col("n") / F.col("most")) + 1), n)
+        small = n_big * fanout <= BROADCAST_ROWS
         pairs = durable(settled(pairs, children))
         todo = placed.select("cid", F.xxhash64("cell", "k").alias("cell"), "embedding")
-        sizes = children.select("cell", "n", "dim").withColumn("most", most)
-    else:
-        counted = todo.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "cell")
-        done.append(counted.where("n <= most").select("cid", "cell"))
+        sizes = children.select("cell", "n", "dim", "radius").withColumn("most", most)
+        made.append(sizes.where("n <= most").select("cell", "n", "radius"))
+        n_made += n_big * fanout
+    out = reduce(DataFrame.unionByName, done)
+    if made:
+        # One level more where it halves the radii: clusters then get cells of their own, and far ones never meet.
+        known = durable(reduce(DataFrame.unionByName, made).where(F.col("n") >= REFINED))
+        placed, children = split(out.join(sized(known, n_made), "cell"), n_made, F.lit(8 * fanout), rounds, F.col("radius") / 2)
+        tight = children.groupBy(F.col("parent").alias("cell")).agg((F.sum(F.col("n") * F.col("radius")) / F.sum("n")).alias("mean"), F.count("*").alias("into"))
+        tight = tight.join(known, "cell").where((2 * F.col("mean") <= F.col("radius")) & (F.col("n") >= LEAST_CHILD * F.col("into"))).select("cell")
+        tight = durable(tight)
+        small = n_made * fanout <= BROADCAST_ROWS
+        pairs = durable(settled(pairs, children.join(tight.withColumnRenamed("cell", "parent"), "parent", "left_semi")))
+        finer = placed.join(sized(tight, n_made), "cell", "left_semi").select("cid", F.xxhash64("cell", "k").alias("cell"))
+        out = out.join(sized(tight, n_made), "cell", "left_anti").select("cid", "cell").unionByName(finer)
+    out = out.select("cid", "cell")
     # What is still too big: parts by hash, with the centre and the radius of the whole.
     parts = F.ceil(F.col("n") / F.col("most")).cast("int")
     whole = durable(sizes.where("n > most"))
-    small = whole.count() <= BROADCAST_ROWS
     if not whole.isEmpty():
-        last = todo.join(F.broadcast(whole) if small else whole, "cell")
-        done.append(last.select("cid", F.xxhash64("cell", F.lit("part"), F.pmod(F.xxhash64("cid"), parts).cast("bigint")).alias("cell")))
-        split = whole.select(F.col("cell").alias("parent"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("i")).select("parent", F.xxhash64("parent", F.lit("part"), F.col("i").cast("bigint")).alias("cell"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("array<double>").alias("centre"), F.lit(None).cast("double").alias("radius"))
-        pairs = durable(settled(pairs, split))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
+        small = whole.count() <= BROADCAST_ROWS
+        last = todo.join(sized(whole, whole.count()), "cell")
+        out = out.unionByName(last.select("cid", F.xxhash64("cell", F.lit("part"), F.pmod(F.xxhash64("cid"), parts).cast("bigint")).alias("cell")))
+        split_ = whole.select(F.col("cell").alias("parent"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("i")).select("parent", F.xxhash64("parent", F.lit("part"), F.col("i").cast("bigint")).alias("cell"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("array<double>").alias("centre"), F.lit(None).cast("double").alias("radius"))
+        pairs = durable(settled(pairs, split_))
     return durable(out), pairs.select("a", "b")
 
 
