@@ -732,17 +732,17 @@ def _shared_fate(c, n: int = SHUFFLES):
     whole = swept.groupBy("node", "grp", "is_destroyed").agg(F.array_sort(F.collect_list(F.struct("threshold", "component_id")))["component_id"].alias("labels"))
     rows = arrays(whole.orderBy("node"))
     outcome, strata = rows["is_destroyed"].astype(float), [np.flatnonzero(rows["grp"] == g) for g in ("A", "B")]
-    labels = list(np.stack(rows["labels"]).T.copy())
+    labels = [M.shared_groups(own) for own in np.stack(rows["labels"]).T]
 
     def one(rng):
         y = outcome.copy()
         for s in strata:
             y[s] = rng.permutation(y[s])
-        return {f"e{k}": M.entropy_by_label(own, y) for k, own in enumerate(labels)}
+        return {f"e{k}": M.entropy_of_groups(own, y) for k, own in enumerate(labels)}
 
     names = [f"e{k}" for k in range(len(cutoffs))]
     null = draws(c, n, one, ", ".join(f"{k} double" for k in names)).agg(*[F.percentile(k, [0.025, 0.5, 0.975]).alias(k) for k in names]).first()
-    return frame(c.spark, [{"cutoff": t, "entropy": M.entropy_by_label(own, outcome), "null_lo": null[k][0], "null_mid": null[k][1], "null_hi": null[k][2]} for k, t, own in zip(names, cutoffs, labels, strict=True)], "cutoff double, entropy double, null_lo double, null_mid double, null_hi double")
+    return frame(c.spark, [{"cutoff": t, "entropy": M.entropy_of_groups(own, outcome), "null_lo": null[k][0], "null_mid": null[k][1], "null_hi": null[k][2]} for k, t, own in zip(names, cutoffs, labels, strict=True)], "cutoff double, entropy double, null_lo double, null_mid double, null_hi double")
 
 
 query("m35_shared_fate", _shared_fate)
