@@ -895,4 +895,11 @@ def _depth(c):
     return binned.groupBy("bin").agg(F.count("*").alias("n"), _r(F.avg("depth"), 4).alias("depth"), _r(F.avg("share"), 4).alias("share"))
 
 
-query("d10_depth_profile", _depth)
+query(
+    "d10_depth_profile",
+    _depth,
+    """SELECT bin, count(*) AS n, round(avg(depth), 4) AS depth, round(avg(share), 4) AS share FROM (SELECT depth, share, greatest(len(list_filter(e, lambda v: v < depth)) - 1, 0) AS bin
+  FROM (WITH inner_nodes AS (SELECT node, x, y, is_destroyed, least(x - 500, 6000 - x, y - 500, 6000 - y) AS depth FROM assessed WHERE x BETWEEN 500 AND 6000 AND y BETWEEN 500 AND 6000),
+      met AS (SELECT p.node, any_value(p.depth) AS depth, avg(q.is_destroyed) AS share FROM inner_nodes p JOIN inner_nodes q ON q.node <> p.node AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= 800 GROUP BY 1)
+    SELECT depth, share, list_sort(list_distinct((SELECT quantile_cont(depth, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) FROM met))) AS e FROM met)) GROUP BY 1""",
+)
