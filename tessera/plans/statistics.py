@@ -627,7 +627,8 @@ def _mechanism(c):
 query("m30_mechanism", _mechanism)
 
 
-def _isolation(c, n: int = PAIR_DRAWS, apart: float = 150.0):
+def _isolation(c, n: int = PAIR_DRAWS, apart: float | None = None):
+    """Pairs whose treated node has no other within ``apart`` (by default the median distance, as the fixture's scale is arbitrary) beside the rest."""
     a, pairs = _rematched(c)
     t = np.array([p[0] for p in pairs], int)
     treated = np.flatnonzero(a["defended"] == 1)
@@ -635,7 +636,7 @@ def _isolation(c, n: int = PAIR_DRAWS, apart: float = 150.0):
     d, g, whole = _pair_differences(a, pairs)
     rows = blocks_of(a["block"][t][whole])
     found = interval(draws(c, n, lambda rng: {"v": float(_ratio(d[(k := resampled(rng, rows))], g[k])["directional_contrast"])}, "v double"), "v", n).first()
-    lone = near[whole] > apart
+    lone = near[whole] > (np.median(near[whole]) if apart is None else apart)
     return frame(c.spark, [{"lo": found["lo"], "hi": found["hi"], "isolated_pairs": int(lone.sum()), "isolated": d[lone, 1].mean() - d[lone, 2].mean() if lone.any() else float("nan"), "clustered": d[~lone, 1].mean() - d[~lone, 2].mean() if (~lone).any() else float("nan")}], "lo double, hi double, isolated_pairs bigint, isolated double, clustered double")
 
 
