@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, embeddings, html, language, packing, pii, quality, sharding, simhash, urls
+from tessera.llm import chat, decontaminate, divergence, embeddings, html, language, packing, pii, quality, sharding, simhash, urls
 
 QUERIES = {
     "op1_html": html.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_embeddings": embeddings.query,
     "op10_packing": packing.query,
     "op11_chat": chat.query,
+    "op12_divergence": divergence.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op7_urls": urls.ORACLE_SQL,
     "op9_embeddings": embeddings.ORACLE_SQL,
     "op11_chat": chat.ORACLE_SQL,
+    "op12_divergence": divergence.ORACLE_SQL,
 }
