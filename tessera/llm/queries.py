@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, divergence, embeddings, html, language, packing, pii, quality, sharding, simhash, urls
+from tessera.llm import chat, decontaminate, divergence, embeddings, fim, html, language, packing, pii, quality, sharding, simhash, urls
 
 QUERIES = {
     "op1_html": html.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.query,
     "op11_chat": chat.query,
     "op12_divergence": divergence.query,
+    "op13_fim": fim.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE_SQL,
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_embeddings": embeddings.ORACLE_SQL,
     "op11_chat": chat.ORACLE_SQL,
     "op12_divergence": divergence.ORACLE_SQL,
+    "op13_fim": fim.ORACLE_SQL,
 }
