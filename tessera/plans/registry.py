@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import graph, relational, statistics, storage
+from tessera.plans import geometry, graph, relational, statistics, storage
 from tessera.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "graph", "relational", "statistics", "storage"]
+__all__ = ["ORACLE_SQL", "QUERIES", "geometry", "graph", "relational", "statistics", "storage"]
