@@ -11,10 +11,13 @@ copies of a page don't vote its body out. Then, on the pages of a host that was
 * a subtree whose shape recurs, whatever its text, goes if it is mostly links (outside an
   article) or if its class or id names boilerplate. A name alone deletes nothing there.
 
-On hosts of too few pages names decide alone. What is none of the text by its very element or
-role (scripts, forms, menus, footers ...) goes on every page. No rule deletes what holds an
-article or more than half of the text. The text is that of all articles left, in page order,
-or of the page where none is marked.
+On hosts of too few pages names decide alone. What is none of the text by its very element,
+role or being hidden (scripts, forms, menus, footers, noscript, ``display:none`` ...) and
+containers of reader comments by their class or id go on every page. But what only surrounds the
+text stays: an element that holds all articles of the page (a form or a sidebar around them) or,
+menus and footers aside, more than half of its text outside links. The text is that of all
+articles left, with what else a ``main`` element around them says, in page order, or of the page
+where none is marked.
 
 The recurring subtrees of a host are bounded: each stands on at least ``min_share`` of the
 host's pages, so there are at most (subtrees on a page) / ``min_share`` of them.
@@ -54,6 +57,13 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 NAMELESS = HEADINGS | frozenset("p blockquote pre figure figcaption table dl".split())
 #: First words of a class that tells of a page's layout and not of the element ("no-sidebar").
 LAYOUT = frozenset("no not has have with without hide hides is".split())
+#: Whole names of what holds readers' comments, and words that may stand beside them.
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+AROUND = frozenset("list area section thread threads wrap wrapper container box block form reader readers user users post article page entry view".split())
+#: Elements whose content never is text of the page, and those that only surround links and imprints.
+NEVER = frozenset("head script style noscript template title button input select textarea option svg canvas iframe object embed applet audio video map noembed noframes xmp".split())
+LINKING = frozenset("nav menu footer".split())
+LINKING_ROLES = frozenset("navigation contentinfo menu menubar toolbar tablist".split())
 DROPPED = frozenset("head script style noscript template title nav menu footer aside form button input select textarea option svg canvas iframe object embed applet audio video map dialog noembed noframes xmp search fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist".split())
 NAMES = frozenset(
@@ -79,17 +89,20 @@ class Element:
 
     ``block`` and ``scope`` are the nearest block and scope around its content; a scope counts
     its open elements by tag. ``key`` and ``shape`` are the hashes, ``size`` counts the characters of
-    text, ``shown`` those outside boilerplate and ``linked`` those in links.
+    text, ``shown`` those outside boilerplate, ``linked`` those in links and ``prose`` those in
+    neither links nor what never is text. ``articles`` counts those inside, ``seen`` those of them
+    outside other boilerplate; ``kept`` says that the element only surrounds the text.
     """
 
-    __slots__ = ("tag", "attributes", "children", "parent", "block", "scope", "open", "key", "shape", "size", "shown", "linked")
+    __slots__ = ("tag", "attributes", "children", "parent", "block", "scope", "open", "key", "shape", "size", "shown", "linked", "prose", "articles", "seen", "kept")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None) -> None:
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Element | str] = []
         self.block = self if parent is None or tag in BLOCKS else parent.block
         self.scope, self.open = (self, {}) if parent is None or tag in SCOPES else (parent.scope, None)
-        self.key = self.shape = self.size = self.shown = self.linked = 0
+        self.key = self.shape = self.size = self.shown = self.linked = self.prose = self.articles = self.seen = 0
+        self.kept = False
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -211,8 +224,22 @@ def _named(e: Element, inside: bool) -> bool:
     return False
 
 
+def _comments(e: Element) -> bool:
+    """Whether class or id say that a block holds readers' comments, and nothing else."""
+    if e.tag not in BLOCKS or e.tag in NAMELESS or e.tag in HEADINGS:
+        return False
+    for a in ("class", "id"):
+        for token in e.attributes.get(a, "").lower().split():
+            words = _NAME.findall(token)
+            if not COMMENTS.isdisjoint(words) and words[0] not in LAYOUT and all(w in COMMENTS or w in AROUND for w in words):
+                return True
+    return False
+
+
 def boilerplate(e: Element, inside: bool) -> bool:
-    """Whether the element is none of the main text by its tag, role or being hidden; ``inside``: within an article."""
+    """Whether the element is none of the main text by its tag, role, being hidden or holding comments; ``inside``: within an article."""
+    if e.kept:
+        return False
     if e.tag in DROPPED or (e.tag == "header" and not inside):
         return True
     a = e.attributes
@@ -220,12 +247,24 @@ def boilerplate(e: Element, inside: bool) -> bool:
         return False
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    return a.get("role", "").lower() in ROLES
+    return a.get("role", "").lower() in ROLES or _comments(e)
+
+
+def _is_article(e: Element) -> bool:
+    return e.tag == "article" or e.attributes.get("itemprop") == "articleBody"
 
 
 def measure(root: Element) -> None:
     """Set the hashes and text sizes of every subtree."""
+    around = _sizes(root)
+    if _keep(root, around):
+        _show(root)
+
+
+def _sizes(root: Element) -> list[Element]:
+    """Set the hashes and sizes; the boilerplate that might surround the text."""
     stack: list[tuple[Element, bool, bool]] = [(root, False, False)]
+    around = []
     while stack:
         x, done, inside = stack.pop()
         if not done:
@@ -235,7 +274,7 @@ def measure(root: Element) -> None:
                 stack.extend((c, False, inside) for c in x.children if not isinstance(c, str))
             continue
         a = x.attributes
-        digest, size, shown, linked, last = xxhash.xxh64(x.tag, seed=1), 0, 0, 0, None
+        digest, size, shown, linked, prose, articles, seen, last = xxhash.xxh64(x.tag, seed=1), 0, 0, 0, 0, 0, 0, None
         shape = xxhash.xxh64(f"{x.tag}\0{a.get('class', '')}\0{a.get('id', '')}" if a else x.tag, seed=2)
         for c in x.children:
             if isinstance(c, str):
@@ -243,17 +282,59 @@ def measure(root: Element) -> None:
                     digest.update("\0t" + t)
                     size += len(t)
                     shown += len(t)
+                    prose += len(t)
             else:
                 digest.update(c.key.to_bytes(8, "little"))
                 size += c.size
                 shown += c.shown
                 linked += c.linked
+                prose += c.prose
+                articles += c.articles
+                seen += c.seen if c.shown else 0
                 if c.shape != last:
                     shape.update(c.shape.to_bytes(8, "little"))
                     last = c.shape
         x.key, x.shape, x.size = digest.intdigest(), shape.intdigest(), size
-        x.shown = 0 if boilerplate(x, inside) else shown
+        dropped = boilerplate(x, inside)
+        x.shown = 0 if dropped else shown
         x.linked = size if x.tag == "a" else linked
+        x.prose = 0 if x.tag == "a" or x.tag in NEVER else prose
+        own = prose > 0 and _is_article(x) and not _comments(x)
+        x.articles, x.seen = articles + own, seen + (own and shown > 0)
+        if dropped and x.tag not in NEVER and x.prose:
+            around.append(x)
+    return around
+
+
+def _keep(root: Element, around: list[Element]) -> bool:
+    """Say which boilerplate only surrounds the text; whether any does."""
+    for e in around:
+        if e.tag not in LINKING and e.attributes.get("role", "").lower() not in LINKING_ROLES:
+            e.kept = e.prose == root.prose if _comments(e) else 2 * e.prose > root.prose
+    if not root.seen and not any(e.kept and e.seen for e in around):  # all articles lie in boilerplate: open what holds them, no deeper than it takes
+        stack = [root]
+        while stack:
+            e = stack.pop()
+            if boilerplate(e, False) and e.tag not in NEVER:
+                e.kept = True
+                if e.seen:
+                    continue
+            stack.extend(c for c in e.children if not isinstance(c, str) and c.articles)
+    return any(e.kept for e in around)
+
+
+def _show(root: Element) -> None:
+    """Set the shown sizes anew."""
+    stack: list[tuple[Element, bool, bool]] = [(root, False, False)]
+    while stack:
+        x, done, inside = stack.pop()
+        if not done:
+            inside = inside or x.tag == "article"
+            stack.append((x, True, inside))
+            if x.tag not in RAW:
+                stack.extend((c, False, inside) for c in x.children if not isinstance(c, str))
+            continue
+        x.shown = 0 if boilerplate(x, inside) else sum(len(" ".join(c.split())) if isinstance(c, str) else c.shown for c in x.children)
 
 
 def _spared(e: Element, inside: bool, whole: int) -> bool:
@@ -296,7 +377,7 @@ def main_elements(root: Element, template: frozenset[int] | None = None, marks:
         while stack:
             e = stack.pop()
             if e is not root:
-                if e.tag == "article" or e.attributes.get("itemprop") == "articleBody":
+                if _is_article(e):
                     if e.shown and not (strict and _is_template(e, True, root.shown, template)):
                         articles.append(e)
                     continue
@@ -324,7 +405,7 @@ def _each(mains: list[Element], marked: bool, root: Element) -> Iterator[tuple[E
         e, around = stack.pop()
         around = around or inner.get(id(e))
         for c in e.children:
-            if isinstance(c, str) or c.tag in RAW or c.tag in DROPPED:
+            if isinstance(c, str) or c.tag in RAW or c.tag in DROPPED and not c.kept:
                 continue
             if id(c) not in holders:
                 yield c, around is not None, (around or root).shown
@@ -369,10 +450,12 @@ def _text(mains: list[Element], marked: bool, template: frozenset[int] | None) -
             blocks.append(text)
         words.clear()
 
-    for main in mains:
-        stack: list[tuple[Element | str, bool, bool]] = [(main, False, False)]
+    chosen = {id(e) for e in mains} if marked else set()
+    for main in _regions(mains) if marked else mains:
+        # Within a main element the text around its articles is like any other text of the page.
+        stack: list[tuple[Element | str, bool, bool, bool, int]] = [(main, False, False, id(main) in chosen, main.shown)]
         while stack:
-            x, closing, prose = stack.pop()
+            x, closing, prose, inside, whole = stack.pop()
             if isinstance(x, str):
                 words.append(x)
                 continue
@@ -380,7 +463,10 @@ def _text(mains: list[Element], marked: bool, template: frozenset[int] | None) -
             if closing:
                 flush() if block else words.append(" " if x.tag in CELLS else "")
                 continue
-            if x is not main and (boilerplate(x, marked) or not prose and _is_template(x, marked, main.shown, template)):
+            enters = not inside and id(x) in chosen
+            if enters:
+                inside, whole = True, x.shown
+            elif x is not main and (boilerplate(x, inside) or marked and not inside and _is_article(x) or not prose and not _holds(x, chosen, inside) and _is_template(x, inside, whole, template)):
                 if block:
                     flush()
                 continue
@@ -388,13 +474,29 @@ def _text(mains: list[Element], marked: bool, template: frozenset[int] | None) -
                 flush()
             elif x.tag in CELLS or x.tag == "br":
                 words.append(" ")
-            stack.append((x, True, prose))
-            prose = prose or (marked and x is not main and x.tag in NAMELESS)
-            stack.extend((c, False, prose) for c in reversed(x.children))
+            stack.append((x, True, prose, inside, whole))
+            prose = prose or (inside and x is not main and not enters and x.tag in NAMELESS)
+            stack.extend((c, False, prose, inside, whole) for c in reversed(x.children))
         flush()
     return "\n".join(blocks)
 
 
+def _holds(e: Element, chosen: set[int], inside: bool) -> bool:
+    """Whether an element around the text's articles holds one of them."""
+    return not inside and bool(chosen) and e.articles > 0
+
+
+def _regions(mains: list[Element]) -> list[Element]:
+    """The articles, or the main element around them instead."""
+    out: dict[int, Element] = {}
+    for e in mains:
+        up = e.parent
+        while up is not None and up.tag != "main" and up.attributes.get("role") != "main":
+            up = up.parent
+        out.setdefault(id(up or e), up or e)
+    return list(out.values())
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 

@@ -180,3 +180,43 @@ def test_edge_rows_and_foreign_columns(spark):
     found = sorted(((r["id"], r["text"], r["n_chars"]) for r in M.extract(pages).collect()), key=str)
     assert found == sorted([(1, "a", 1), (2, "", 0), (None, "", 0), (3, "b", 1), (3, "b", 1)], key=str)
     assert M.extract(pages.limit(0)).collect() == []
+
+
+ARTICLE = "<article><h1>T</h1><p>The text of the page, some words long</p></article>"
+BODY = "T\nThe text of the page, some words long"
+
+
+def test_what_only_surrounds_the_text_stays():
+    for tag in ("form", "aside", "fieldset", "dialog", "search", "div hidden", "div role=search", "div role=dialog", "section aria-hidden=true", "div style='display: none'", "nav", "footer", "header"):
+        name = tag.split()[0]
+        assert M.main_text(f"<body><nav><a href=/>Home</a></nav><{tag}>{ARTICLE}</{name}><footer>Imprint</footer></body>") == BODY, tag
+        assert M.main_text(f"<body><{tag}><div><{tag}>{ARTICLE}</{name}></div></{name}></body>") == BODY, tag
+        if name not in ("nav", "footer"):
+            assert M.main_text(f"<body><{tag}><p>A text without any mark that is most of the page</p></{name}><div>Box</div></body>").startswith("A text without any mark"), tag
+    form = f"<form><input value=x><header>Site</header><nav><a href=/>Home</a></nav>{ARTICLE}<aside><article>A teaser in a sidebar</article></aside><button>Send</button><footer>Imprint</footer></form>"
+    assert M.main_text(f"<body>{form}</body>") == BODY
+    assert M.main_text(f"<body>{ARTICLE}<aside><article>A teaser in a sidebar</article></aside><form><article>Another</article></form></body>") == BODY
+    assert M.main_text("<article><form><p>All of the text stands in a form</p></form></article>") == "All of the text stands in a form"
+
+
+def test_main_gives_its_own_text_beside_its_articles():
+    assert M.main_text(f"<main><h1>Before</h1><p>Lead</p>{ARTICLE}<p>After</p><nav>Menu</nav><article><a href=x>A teaser that is a link</a></article></main><p>Outside</p>") == f"Before\nLead\n{BODY}\nAfter"
+    assert M.main_text(f"<div role=main><p>Lead</p><div>{ARTICLE}</div><div>{ARTICLE}</div></div>{ARTICLE}") == f"Lead\n{BODY}\n{BODY}\n{BODY}"
+
+
+def test_main_without_template_in_spark(spark):
+    page = "<body><main><p>Lead number {0}</p><div class=x><p>Box of the site</p></div><article><p>Text number {0}, some words long</p></article></main></body>"
+    found = M.extract(spark.createDataFrame([(i, f"http://h.com/{i}", page.format(i)) for i in range(12)], SCHEMA)).collect()
+    assert all(r["text"] == f"Lead number {r['id']}\nText number {r['id']}, some words long" for r in found)
+
+
+def test_reader_comments_go_on_every_host(spark):
+    said = "<article class=comment><p>A reader says much more than the article itself, in very many words indeed</p></article>"
+    boxes = [f"<div id=comments>{said}</div>", f"<section class='post comments-area'>{said}</section>", f"<ol class=comment-list><li class=comment>{said}</li></ol>", f"<aside class='reader-comments'>{said}</aside>", said]
+    rows = [(i, f"http://h.com/{i}", f"<body>{ARTICLE.replace('some', str(i))}</body>") for i in range(40)]
+    rows += [(100 + i, "http://h.com/c", f"<body>{ARTICLE}{box}</body>") for i, box in enumerate(boxes)] + [(200 + i, "http://h.com/d", f"<body>{ARTICLE.replace('</article>', box + '</article>')}</body>") for i, box in enumerate(boxes)]
+    found = {r["id"]: r["text"] for r in M.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {v for k, v in found.items() if k >= 100} == {BODY}
+    assert M.main_text("<body><div class=comments><p>A page of comments alone</p></div></body>") == "A page of comments alone"
+    assert M.main_text(f"<body>{ARTICLE}<div class='comments-policy'>x</div></body>") == BODY
+    assert M.main_text("<article><p>Text</p><div class='comment-syntax'>How to comment</div></article>", frozenset()) == "Text\nHow to comment"
