@@ -36,18 +36,28 @@ def merged(segments: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def near_pairs(segments: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of segments whose boxes meet, by a sweep over x, in blocks. Segments start at their least x, in order."""
-    x0, x1 = segments[:, 0], segments[:, 2]
+    """Pairs of segments whose boxes meet, in blocks: a sweep over x in each of some bands of y."""
     y0, y1 = np.minimum(segments[:, 1], segments[:, 3]), np.maximum(segments[:, 1], segments[:, 3])
-    later = np.searchsorted(x0, x1, side="right") - np.arange(len(x0)) - 1
+    if not len(segments):
+        return
+    height = int(y1.max()) // max(1, min(256, int(len(segments) ** 0.5) // 4)) + 1
+    low, high = y0 // height, y1 // height
+    owner = np.repeat(np.arange(len(segments)), high - low + 1)
+    band = low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+    left, right = segments[owner, 0], segments[owner, 2]
+    wide = int(segments[:, 2].max()) + 1
+    order = np.argsort(band * wide + left, kind="stable")
+    owner, band, left, right = owner[order], band[order], left[order], right[order]
+    later = np.searchsorted(band * wide + left, band * wide + right, side="right") - np.arange(len(owner)) - 1
     ends = np.cumsum(later)
     first = 0
-    while first < len(x0):
+    while first < len(owner):
         last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, side="right")))
         counts = later[first:last]
-        i = np.repeat(np.arange(first, last), counts)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
-        meets = (y0[i] <= y1[j]) & (y0[j] <= y1[i])
+        a = np.repeat(np.arange(first, last), counts)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts)
+        i, j = owner[a], owner[b]
+        meets = (y0[i] <= y1[j]) & (y0[j] <= y1[i]) & (band[a] == np.maximum(low[i], low[j]))  # each pair in the first band of both
         yield i[meets], j[meets]
         first = last
 
@@ -114,9 +124,59 @@ def arranged(segments: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tu
 def sides(s: np.ndarray, w: np.ndarray, corner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Winding numbers right and left of each arranged segment, one for each weight.
 
+    A segment has its weight more on its left than on its right, so around a point one segment's
+    sides tell those of all others. One segment of each connected part is looked up by a walk
+    (``_walked``), and what it tells is handed on along the segments.
+    """
+    n = len(s)
+    points = np.concatenate([s[:, :2], s[:, 2:]])
+    ids, vertex = np.unique(points[:, 0] * (LARGEST + 1) + points[:, 1], return_inverse=True)
+    dx, dy = s[:, 2] - s[:, 0], s[:, 3] - s[:, 1]
+    angle = np.arctan2(np.concatenate([dy, -dy]), np.concatenate([dx, -dx]))
+    at_right = (points[:, 0] % 2 == 0) & (points[:, 0] > 0)
+    angle[at_right] %= 2 * np.pi  # so that one begins to turn outside of the tile
+    order = np.lexsort((angle, vertex))
+    outward = np.concatenate([w, -w])
+    turned = np.cumsum(outward[order], axis=0) - outward[order]
+    starts = np.searchsorted(vertex[order], np.arange(len(ids)))
+    offset = np.empty_like(outward)
+    offset[order] = turned - turned[starts][vertex[order]]
+    # Right of what leaves a vertex: the vertex's own number plus the offset.
+    step = offset[:n] + w - offset[n:]
+    base = np.zeros((len(ids), w.shape[1]), np.int64)
+    part = np.full(len(ids), -1, np.int64)
+    links = [[] for _ in range(len(ids))]
+    for u, v, d in zip(vertex[:n].tolist(), vertex[n:].tolist(), step.tolist(), strict=True):
+        links[u].append((v, d, 1))
+        links[v].append((u, d, -1))
+    seeds = []
+    values = base.tolist()
+    parts = part.tolist()
+    for k, u in enumerate(vertex[:n].tolist()):
+        if parts[u] >= 0:
+            continue
+        parts[u] = len(seeds)
+        seeds.append(k)
+        todo = [u]
+        while todo:
+            a = todo.pop()
+            own = values[a]
+            for b, d, sign in links[a]:
+                if parts[b] < 0:
+                    parts[b] = parts[u]
+                    values[b] = [x + sign * y for x, y in zip(own, d, strict=True)]
+                    todo.append(b)
+    base, part = np.array(values, np.int64), np.array(parts, np.int64)
+    relative = base[vertex[:n]] + offset[:n]
+    right = relative + (_walked(s, w, corner, np.array(seeds)) - relative[seeds])[part[vertex[:n]]]
+    return right, right + w
+
+
+def _walked(s: np.ndarray, w: np.ndarray, corner: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Winding numbers right of the segments ``asked``.
+
     From the tile's corner, whose numbers are ``corner``, one walks along the lower border and
-    then up to the right of the segment's middle, and counts what one crosses. A segment has its
-    weight more on its left than on its right.
+    then up to the right of the segment's middle, and counts what one crosses.
     """
     up = s[:, 3] > s[:, 1]
     low = np.where(up, s[:, 1], s[:, 3]) == 0
@@ -124,18 +184,18 @@ def sides(s: np.ndarray, w: np.ndarray, corner: np.ndarray) -> tuple[np.ndarray,
     crossed = np.where(up[low, None], -w[low], w[low])  # walking to the right, against what goes up
     order = np.argsort(at, kind="stable")
     at, crossed = at[order], np.concatenate([np.zeros((1, w.shape[1]), np.int64), np.cumsum(crossed[order], axis=0)])
-    mx, my = s[:, 0] + s[:, 2], s[:, 1] + s[:, 3]  # twice the middle
+    mx, my = s[asked, 0] + s[asked, 2], s[asked, 1] + s[asked, 3]  # twice the middle
     below = corner + crossed[np.searchsorted(2 * at, mx, side="right")]
     flat = np.flatnonzero(s[:, 0] != s[:, 2])
     t, tw = s[flat], w[flat]
     step = max(1, BLOCK // max(1, len(flat)))
-    for first in range(0, len(s), step):
+    for first in range(0, len(asked), step):
         x, y = mx[first : first + step, None], my[first : first + step, None]
         covers = (2 * t[None, :, 0] <= x) & (x < 2 * t[None, :, 2])
         under = covers & (_cross(2 * t[None, :, 0], 2 * t[None, :, 1], 2 * t[None, :, 2], 2 * t[None, :, 3], x, y) > 0)
         below[first : first + step] += under.astype(np.int64) @ tw
-    # What goes right lies below its left side; what goes up has that walk's end on its right.
-    return below, below + w
+    # What goes right lies below its left side; what goes up has the walk's end on its right.
+    return below
 
 
 def boundary(segments: np.ndarray, weights: np.ndarray, corner: np.ndarray, keep) -> np.ndarray:

@@ -296,18 +296,18 @@ def shortfall(reach: float, quad: int = 16) -> float:
     return reach * (1 - float(np.cos(np.pi / (4 * quad))))
 
 
-def dilate(layer: Layer, reach: float, quad: int = 16) -> Layer:
-    """All points at most ``reach`` from the layer (see ``shortfall``)."""
+def dilate(layer: Layer, reach: float, quad: int = 16, cell: float | None = None) -> Layer:
+    """All points at most ``reach`` from the layer (see ``shortfall``), on tiles of ``cell`` (the layer's own if None)."""
     edges = layer.edges()
-    return overlay(edges.unionByName(capsules(edges, reach, quad)), None, "union", layer.size * layer.unit / 2, layer.unit) if reach > 0 else layer
+    return overlay(edges.unionByName(capsules(edges, reach, quad)), None, "union", cell or layer.size * layer.unit / 2, layer.unit) if reach > 0 else layer
 
 
-def erode(layer: Layer, reach: float, quad: int = 16) -> Layer:
+def erode(layer: Layer, reach: float, quad: int = 16, cell: float | None = None) -> Layer:
     """All points of the layer more than ``reach`` from its border."""
     edges = layer.edges()
-    return overlay(edges, capsules(edges, reach, quad), "difference", layer.size * layer.unit / 2, layer.unit) if reach > 0 else layer
+    return overlay(edges, capsules(edges, reach, quad), "difference", cell or layer.size * layer.unit / 2, layer.unit) if reach > 0 else layer
 
 
-def opening(layer: Layer, reach: float, quad: int = 16) -> Layer:
+def opening(layer: Layer, reach: float, quad: int = 16, cell: float | None = None) -> Layer:
     """Erosion and then dilation: the layer without what is narrower than twice ``reach``."""
-    return dilate(erode(layer, reach, quad), reach, quad)
+    return dilate(erode(layer, reach, quad, cell), reach, quad, cell)

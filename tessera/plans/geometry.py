@@ -74,6 +74,8 @@ UNION ALL SELECT 'difference', node FROM held WHERE a AND NOT b UNION ALL SELECT
 
 _REACHES = (0.0, 100.0, 300.0)
 _ZONE = 60.5
+#: Tiles for round shapes around every edge, of which many overlap.
+_NARROW = 250.0
 #: Nodes at a distance from a buffer's true border within which its round corners may decide either way.
 _SLACK = 0.5
 
@@ -100,7 +102,7 @@ def _expanded(c) -> DataFrame:
     labels = state(c).select(F.col("node").alias("id"), "component_id").join(far, "id", "left")
     out = []
     for reach in _REACHES:
-        held = P.dilate(zone, reach).holds(places).join(labels, "id")
+        held = P.dilate(zone, reach, cell=_NARROW).holds(places).join(labels, "id")
         sure = F.col("inside") & (F.col("d") <= reach - (_SLACK if reach else 0))
         out.append(held.agg(F.lit(reach).alias("buffer"), F.count_if(sure).alias("inside"), F.count_if(~F.col("inside") & (F.coalesce("d", F.lit(1e9)) > reach + _SLACK)).alias("outside"), F.count_distinct(F.when(sure, F.col("component_id"))).alias("components")))
     return _stack(out)
@@ -121,13 +123,12 @@ def _expanded_areas(c) -> DataFrame:
     """Areas of the grown Interface zones within a county, and of what is left when narrow parts are opened away."""
     county = P.ring_segments(c.zones.where("zone = 'Influence'"))
     zone = _interface(c)
-    rows = [P.overlay(P.dilate(zone, reach).edges(), county, "intersection", CELL).measure().select(F.lit("grown").alias("kind"), F.lit(reach).alias("reach"), "area", "length") for reach in _REACHES]
+    rows = [P.overlay(P.dilate(zone, reach, cell=_NARROW).edges(), county, "intersection", CELL).measure().select(F.lit("grown").alias("kind"), F.lit(reach).alias("reach"), "area", "length") for reach in _REACHES]
     rows.append(P.opening(P.overlay(zone.edges(), county, "intersection", CELL), 55.0).measure().select(F.lit("opened").alias("kind"), F.lit(55.0).alias("reach"), "area", "length"))
     return _stack(rows)
 
 
 query("g20_expanded_areas", _expanded_areas)
-query("f10_layer_rings", lambda c: _interface(c).rings().select(F.round("area", 2).alias("area"), (F.col("area") < 0).alias("hole")))
 
 #: Where the plane of the fixture lies in UTM zone 11.
 _EAST, _NORTH = 380_000, 3_760_000
@@ -173,3 +174,38 @@ def _wkb_areas(c) -> DataFrame:
 
 
 query("s08_wkb_shapes", _wkb_areas, "SELECT node, 2 AS rings, CAST(81 * 81 - 20 * 20 AS DOUBLE) AS area FROM nodes WHERE node % 4 <> 3")
+
+
+def _hulls(c) -> DataFrame:
+    """Convex hulls of the places of each of 97 groups of nodes, with their measures."""
+    from tessera.operators import shapes as S
+
+    rings = S.convex_hulls(c.nodes.withColumn("part", F.col("node") % 97), "part").where("size(ring) > 3")
+    center = S.centroid(F.col("ring"))
+    return rings.select("part", (F.size("ring") - 1).alias("corners"), F.round(P.ring_area(F.col("ring")), 3).alias("area"), F.round(S.length(F.col("ring")), 3).alias("length"), F.round(center["x"], 3).alias("cx"), F.round(center["y"], 3).alias("cy"))
+
+
+query(
+    "f10_hulls",
+    _hulls,
+    """,
+pts AS (SELECT DISTINCT node % 97 AS part, x, y FROM nodes),
+steps AS (SELECT a.part, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM pts a JOIN pts b ON a.part = b.part AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM pts c WHERE c.part = a.part AND ((b.x - a.x) * (c.y - a.y) < (b.y - a.y) * (c.x - a.x)
+    OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) > 0)))),
+sums AS (SELECT part, count(*) AS corners, sum(x1 * y2 - x2 * y1) / 2 AS area, sum(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2)) AS length,
+  sum((x1 + x2) * (x1 * y2 - x2 * y1)) / 6 AS mx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) / 6 AS my FROM steps GROUP BY part HAVING count(*) > 2)
+SELECT part, corners, round(area, 3) AS area, round(length, 3) AS length, round(mx / area, 3) AS cx, round(my / area, 3) AS cy FROM sums""",
+)
+
+
+def _outlines(c) -> DataFrame:
+    """Outlines of the dissolved Interface squares, simplified, each with a point inside it."""
+    from tessera.operators import shapes as S
+
+    rings = _interface(c).rings().where("area > 0").select("ring", "area")
+    thin = rings.select("ring", "area", S.simplify(F.col("ring"), 30.0).alias("thin"), S.inner_point(F.array("ring")).alias("p"))
+    return thin.select(F.round("area", 2).alias("area"), F.size("ring").alias("points"), F.size("thin").alias("left"), F.round(P.ring_area(F.col("thin")), 2).alias("thin_area"), F.round(F.col("p.x"), 3).alias("x"), F.round(F.col("p.y"), 3).alias("y"))
+
+
+query("f10_outlines", _outlines)

@@ -177,3 +177,13 @@ def test_arranged_segments_meet_in_ends_alone(rows):
 def test_ring_area(spark):
     df = spark.createDataFrame([([{"x": 1e7, "y": 1e7}, {"x": 1e7 + 2, "y": 1e7}, {"x": 1e7 + 2, "y": 1e7 + 1}, {"x": 1e7, "y": 1e7}],)], "ring array<struct<x:double,y:double>>")
     assert df.select(L.ring_area(F.col("ring"))).first()[0] == 1.0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=3, max_size=6), min_size=1, max_size=6))
+def test_sides_handed_on_are_those_walked_to(rings):
+    s = np.array([[*a, *b] for r in rings for a, b in zip(r, r[1:] + r[:1], strict=True)], np.int64) * 2 + 1
+    got, w = A.arranged(s, np.ones((len(s), 1), np.int64))
+    if len(got):
+        right, left = A.sides(got, w, np.zeros(1, np.int64))
+        assert (right == A._walked(got, w, np.zeros(1, np.int64), np.arange(len(got)))).all() and (left == right + w).all()
