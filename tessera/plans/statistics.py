@@ -19,6 +19,7 @@ from tessera.operators import binning as B
 from tessera.operators import exposure as X
 from tessera.operators import joins as J
 from tessera.operators import linkage as L
+from tessera.operators import regression as R
 from tessera.operators import summaries as S
 from tessera.plans.base import query
 from tessera.plans.graph import clusters
@@ -284,26 +285,31 @@ def _joint(c, n: int = DRAWS):
 query("m10_joint_bootstrap", _joint)
 
 
-# Regressions.
-def _design(a: dict, outcome: str = "is_destroyed", interaction: bool = False):
-    levels = sorted(set(a["kind"].tolist()))
-    numeric = {"log_dose": a["log_dose"], "green": a["green"], "decade": (a["year"] - np.median(a["year"])) / 10}
-    names, x = M.design(numeric, {"kind": (a["kind"], levels), "grp": (a["grp"], ["A", "B"])}, [("log_dose", "kind")] if interaction else None)
-    return names, x, a[outcome].astype(float)
+# Regressions. Their rows stay on the cluster; sums of the models' sizes come to the driver.
+def model_rows(c) -> DataFrame:
+    return sample(c).where("exposed = 1 and green is not null and year_built is not null and defended is not null")
 
 
-def _logit(a: dict, outcome: str = "is_destroyed", interaction: bool = False) -> M.Fit:
-    names, x, y = _design(a, outcome, interaction)
-    return M.logit(x, y, names, a["block"])
+def _model_terms(c, interaction: bool = False) -> dict:
+    """Terms of the outcome models, in order; the first level of a category is the reference."""
+    rows = model_rows(c)
+    levels = [r["kind"] for r in rows.select("kind").distinct().orderBy("kind").collect()]  # one for each term
+    middle = rows.agg(F.median(F.col("year_built").cast("double"))).first()[0]  # of at most as many values as years
+    kinds = R.categories("kind", levels)
+    terms = {"const": F.lit(1.0), "log_dose": F.col("log_dose"), "green": F.col("green"), "decade": (F.col("year_built") - middle) / 10} | kinds | R.categories("grp", ["A", "B"])
+    return terms | ({f"log_dose:{k}": F.col("log_dose") * v for k, v in kinds.items()} if interaction else {})
+
+
+def _model(c, outcome: str = "is_destroyed", interaction: bool = False) -> R.Design:
+    return R.design(model_rows(c), _model_terms(c, interaction), F.col(outcome), F.col("block"))
 
 
 _TERMS = "term string, coef double, se double, z double, p double, lo double, hi double, odds_ratio double"
-query("m11_clustered_logit", lambda c: frame(c.spark, _logit(model_arrays(c)).table(), _TERMS))
+query("m11_clustered_logit", lambda c: frame(c.spark, R.logit(_model(c)).table(), _TERMS))
 
 
 def _tables(c):
-    a = model_arrays(c)
-    fit = _logit(a)
+    fit = R.logit(_model(c))
     stat, p = fit.wald([n for n in fit.names if n.startswith("kind")])
     return frame(c.spark, [fit.fit_statistics() | {"wald": stat, "wald_p": p}], "n bigint, loglik double, aic double, mcfadden double, wald double, wald_p double")
 
@@ -312,7 +318,7 @@ query("m12_model_tables", _tables)
 
 
 def _tolerance(c):
-    fit = _logit(model_arrays(c))
+    fit = R.logit(_model(c))
     return frame(c.spark, [{"term": t} | M.tolerance_ratio(fit, t, "log_dose") for t in fit.names if t not in ("const", "log_dose")], "term string, ratio double, lo double, hi double, p double")
 
 
@@ -321,27 +327,21 @@ query("m13_tolerance_ratio", _tolerance)
 
 def _stacked(c):
     """Both stages in one model, with every coefficient allowed to differ by stage."""
-    a = model_arrays(c)
-    hurt = a["any_damage"] == 1
-    names, x, _ = _design(a)
-    stage = np.r_[np.zeros(len(x)), np.ones(hurt.sum())]
-    rows = np.r_[x, x[hurt]]
-    y = np.r_[a["any_damage"], a["is_destroyed"][hurt]].astype(float)
-    fit = M.logit(np.c_[rows, rows * stage[:, None]], y, [*names, *[f"stage:{n}" for n in names]], np.r_[a["block"], a["block"][hurt]])
-    return frame(c.spark, fit.table(), _TERMS)
+    terms = _model_terms(c)
+    stages = F.array(F.struct(F.lit(0.0).alias("stage"), F.col("any_damage").alias("hit")), F.struct(F.lit(1.0).alias("stage"), F.when(F.col("any_damage") == 1, F.col("is_destroyed")).alias("hit")))
+    rows = model_rows(c).select("*", F.explode(stages).alias("s")).where("s.hit is not null")
+    both = terms | {f"stage:{n}": t * F.col("s.stage") for n, t in terms.items()}
+    return frame(c.spark, R.logit(R.design(rows, both, F.col("s.hit"), F.col("block"))).table(), _TERMS)
 
 
 query("m14_stage_interaction", _stacked)
 
 
 def _margins(c, n: int = MARGIN_DRAWS):
-    a = model_arrays(c)
-    names, x, _ = _design(a)
-    fit = _logit(a)
-    level = next(n for n in names if n.startswith("kind"))
-    on, off = x.copy(), x.copy()
-    on[:, names.index(level)], off[:, names.index(level)] = 1, 0
-    gap = M.margins_by_draws(fit, on, n) - M.margins_by_draws(fit, off, n)
+    model = _model(c)
+    fit = R.logit(model)
+    level = next(n for n in fit.names if n.startswith("kind"))
+    gap = R.margins_by_draws(model, fit, R.set_to(fit.at(level), 1), n) - R.margins_by_draws(model, fit, R.set_to(fit.at(level), 0), n)
     return frame(c.spark, [{"term": level, "mean": gap.mean(), "lo": np.quantile(gap, 0.025), "hi": np.quantile(gap, 0.975), "share_positive": (gap > 0).mean()}], "term string, mean double, lo double, hi double, share_positive double")
 
 
@@ -349,16 +349,11 @@ query("m15_predictive_margins", _margins)
 
 
 def _effects(c):
-    a = model_arrays(c)
-    names, x, _ = _design(a)
-    fit, rows = _logit(a), []
-    for n in names[1:]:
-        low, high = x.copy(), x.copy()
-        if set(np.unique(x[:, names.index(n)]).tolist()) <= {0.0, 1.0}:
-            low[:, names.index(n)], high[:, names.index(n)] = 0, 1
-        else:
-            high[:, names.index(n)] += x[:, names.index(n)].std()
-        effect, se = M.marginal_effect(fit, low, high)
+    model = _model(c)
+    fit, stats, rows = R.logit(model), model.describe(), []
+    for k, n in enumerate(fit.names[1:], 1):
+        changes = (R.set_to(k, 0), R.set_to(k, 1)) if stats["binary"][k] else (R.add_to(k, 0.0), R.add_to(k, stats["std"][k]))
+        effect, se = R.marginal_effect(model, fit, *changes)
         rows.append({"term": n, "effect": effect, "se": se, "p": M.normal_two_sided(effect / se)})
     return frame(c.spark, rows, "term string, effect double, se double, p double")
 
@@ -367,7 +362,7 @@ query("m16_marginal_effects", _effects)
 
 
 def _slopes(c):
-    fit = _logit(model_arrays(c), interaction=True)
+    fit = R.logit(_model(c, interaction=True))
     rows = []
     for n in [k for k in fit.names if k.startswith("kind[")]:
         slope, se = fit.combination({"log_dose": 1.0, f"log_dose:{n}": 1.0})
@@ -379,11 +374,15 @@ query("m17_exposure_slopes", _slopes)
 
 
 def _mediation(c):
-    a = model_arrays(c)
-    keep = ["const", "decade"]
-    names, x, y = _design(a)
-    out = M.mediation(x[:, [names.index(k) for k in keep]], keep, y, "decade", a["log_dose"], a["block"])
-    if not np.isclose(out["loglik_total"], out["loglik_direct"]) or not np.isclose(out["total"], out["direct"] + out["indirect"], atol=1e-6):
+    """Effect of age in all, directly, and through exposure, with what age doesn't tell of exposure held in both models."""
+    terms = {k: v for k, v in _model_terms(c).items() if k in ("const", "decade")}
+    line = R.ols(R.design(model_rows(c), terms, F.col("log_dose"), F.col("block")))
+    left = F.col("log_dose") - sum((float(b) * t for b, t in zip(line.beta, terms.values(), strict=True)), F.lit(0.0))
+    both = {**terms, "residual": left, "mediator": F.col("log_dose")}
+    model = R.design(model_rows(c), both, F.col("is_destroyed"), F.col("block"))
+    total, direct = R.logit(model.only([*terms, "residual"])), R.logit(model.only([*terms, "mediator"]))
+    out = {"total": total.beta[total.at("decade")], "direct": direct.beta[direct.at("decade")], "indirect": direct.beta[-1] * line.beta[line.at("decade")]}
+    if not np.isclose(total.loglik, direct.loglik) or not np.isclose(out["total"], out["direct"] + out["indirect"], atol=1e-6):
         raise AssertionError("the decomposition does not add up")
     return frame(c.spark, [out], "total double, direct double, indirect double")
 
@@ -391,6 +390,19 @@ def _mediation(c):
 query("m18_mediation", _mediation)
 
 
+# Resampled regressions on the arrays of a sample.
+def _design(a: dict, outcome: str = "is_destroyed"):
+    levels = sorted(set(a["kind"].tolist()))
+    numeric = {"log_dose": a["log_dose"], "green": a["green"], "decade": (a["year"] - np.median(a["year"])) / 10}
+    names, x = M.design(numeric, {"kind": (a["kind"], levels), "grp": (a["grp"], ["A", "B"])})
+    return names, x, a[outcome].astype(float)
+
+
+def _logit(a: dict, outcome: str = "is_destroyed") -> M.Fit:
+    names, x, y = _design(a, outcome)
+    return M.logit(x, y, names, a["block"])
+
+
 def _stage_bootstrap(c, n: int = DRAWS):
     a = model_arrays(c)
     rows = blocks_of(a["block"])
@@ -782,12 +794,13 @@ query("m37_mean_threshold", _mean_threshold)
 
 
 def _bands(c):
-    a = model_arrays(c)
-    names, x, _ = _design(a)
-    grid = np.linspace(a["log_dose"].min(), a["log_dose"].max(), 80)
-    rows = np.tile(x.mean(axis=0), (80, 1))
-    rows[:, names.index("log_dose")] = grid
-    band = M.curve_band(_logit(a), rows)
+    model = _model(c)
+    fit, stats = R.logit(model), model.describe()
+    k = fit.at("log_dose")
+    grid = np.linspace(stats["min"][k], stats["max"][k], 80)
+    rows = np.tile(stats["mean"], (80, 1))
+    rows[:, k] = grid
+    band = M.curve_band(fit, rows)
     return frame(c.spark, [{"log_dose": g, "p": b[0], "lo": b[1], "hi": b[2]} for g, b in zip(grid, band, strict=True)], "log_dose double, p double, lo double, hi double")
 
 
@@ -795,11 +808,9 @@ query("m38_probability_bands", _bands)
 
 
 def _with_without(c):
-    a = model_arrays(c)
-    names, x, y = _design(a)
-    without = [i for i, n in enumerate(names) if n != "log_dose"]
-    full, part = M.logit(x, y, names, a["block"]), M.logit(x[:, without], y, [names[i] for i in without], a["block"])
-    line = M.ols(np.c_[np.ones(len(y)), a["green"]], a["log_dose"], ["const", "green"], a["block"])
+    model = _model(c)
+    full, part = R.logit(model), R.logit(model.only([n for n in model.names if n != "log_dose"]))
+    line = R.ols(R.design(model_rows(c), {"const": F.lit(1.0), "green": F.col("green")}, F.col("log_dose"), F.col("block")))
     return frame(c.spark, [{"odds_with": float(np.exp(full.beta[full.at("green")])), "odds_without": float(np.exp(part.beta[part.at("green")])), "slope": line.beta[1], "slope_se": line.se[1]}], "odds_with double, odds_without double, slope double, slope_se double")
 
 
@@ -807,8 +818,7 @@ query("m39_with_and_without_exposure", _with_without)
 
 
 def _rendered(c):
-    a = model_arrays(c)
-    rows = [{"term": r["term"], "model": m, "text": f"{r['coef']:.2f}{M.stars(r['p'])} ({100 * (np.exp(r['coef'] * np.log(1.1)) - 1):.0f}%)"} for m in ("is_destroyed", "any_damage") for r in _logit(a, m).table()]
+    rows = [{"term": r["term"], "model": m, "text": f"{r['coef']:.2f}{M.stars(r['p'])} ({100 * (np.exp(r['coef'] * np.log(1.1)) - 1):.0f}%)"} for m in ("is_destroyed", "any_damage") for r in R.logit(_model(c, m)).table()]
     return frame(c.spark, rows, "term string, model string, text string").groupBy("term").pivot("model", ["is_destroyed", "any_damage"]).agg(F.first("text"))
 
 
