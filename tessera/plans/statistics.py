@@ -20,6 +20,7 @@ from tessera.operators import exposure as X
 from tessera.operators import joins as J
 from tessera.operators import linkage as L
 from tessera.operators import regression as R
+from tessera.operators import resampling as Z
 from tessera.operators import summaries as S
 from tessera.plans.base import query
 from tessera.plans.graph import clusters
@@ -115,22 +116,28 @@ _FIT = "grp string, n bigint, p_min double, p_max double, k double, hill double,
 
 
 def _fit(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("node")
-    x, y = part["dose_sum"].to_numpy(float), part["is_destroyed"].to_numpy(float)
-    fit = C.fit_curve(x, y)
-    _, low, high = C.start_and_bounds(x, y)
+    part = part.sort_values("bin")
+    fit = Z.fit_bins(part)
+    x = np.exp(part["lx"].to_numpy(float) / part["n"].to_numpy(float))
+    _, low, high = C.start_and_bounds(x, part["hits"].to_numpy(float) / part["n"].to_numpy(float))
     try:
         f50 = fit.midpoint(x.min() / 10, x.max() * 10)
     except ValueError:
         f50 = None
     p50 = fit.exposure_at(0.5) if fit.p_min < 0.5 < fit.p_max else None
-    brier, loss = C.scores(fit, x, y)
+    brier, loss = Z.bin_scores(fit, part)
     edge = bool(np.any(np.isclose(fit, low)) or np.any(np.isclose(fit, high)))
-    return pd.DataFrame([[part["grp"].iloc[0], len(x), *fit, f50, p50, brier, loss, edge]], columns=[x.split()[0] for x in _FIT.split(", ")])
+    return pd.DataFrame([[part["grp"].iloc[0], int(part["n"].sum()), *fit, f50, p50, brier, loss, edge]], columns=[x.split()[0] for x in _FIT.split(", ")])
+
+
+def _dose_bins(rows: DataFrame) -> DataFrame:
+    """Bins of dose by group and for all together, with hits of both outcomes: a bounded table."""
+    own = Z.exposure_bins(rows, ["grp"], "dose_sum", {"hits": F.col("is_destroyed"), "damaged": F.col("any_damage")})
+    return with_pooled(own).groupBy("grp", "bin").agg(*[F.sum(k).alias(k) for k in ("n", "lx", "hits", "damaged")])
 
 
 def fits(c) -> DataFrame:
-    return with_pooled(sample(c).where("exposed = 1").select("node", "grp", "dose_sum", "is_destroyed")).groupBy("grp").applyInPandas(_fit, _FIT)
+    return _dose_bins(sample(c).where("exposed = 1")).groupBy("grp").applyInPandas(_fit, _FIT)
 
 
 def _pooled_curve(c) -> C.Curve:
@@ -166,19 +173,22 @@ query("m04_threshold_table", _thresholds)
 
 
 def _f50_draws(c, n: int = DRAWS) -> DataFrame:
-    a = arrays(sample(c).where("exposed = 1").select("node", "grp", "block", "dose_sum", "is_destroyed").orderBy("node"))
-    groups = {g: np.flatnonzero(a["grp"] == g) for g in ("A", "B")}
-    rows = {g: [own[i] for i in blocks_of(a["block"][own])] for g, own in groups.items()}
+    """Midpoints of both groups on blocks drawn within each; a draw of which a fit fails is left out."""
+    rows = sample(c).where("exposed = 1")
+    table = durable(Z.exposure_bins(rows, ["grp", "block"], "dose_sum", {"hits": F.col("is_destroyed")}, Z.DRAW_BINS))
+    bins = Z.drawn(table, Z.block_counts(table.select("grp", "block").distinct(), n), ["bin"], ["n", "lx", "hits"])
 
-    def one(rng):
+    def one(part: pd.DataFrame) -> pd.DataFrame:
         out = {}
-        for g in ("A", "B"):
-            at = resampled(rng, rows[g])
-            x = a["dose_sum"][at]
-            out[g] = C.fit_curve(x, a["is_destroyed"][at]).midpoint(x.min() / 10, x.max() * 10)
-        return {"a": out["A"], "b": out["B"], "ratio": out["B"] / out["A"]}
+        for g, own in part.groupby("grp"):
+            x = np.exp(own["lx"].to_numpy(float) / own["n"].to_numpy(float))
+            try:
+                out[g] = Z.fit_bins(own).midpoint(x.min() / 10, x.max() * 10)
+            except (ValueError, RuntimeError, np.linalg.LinAlgError):
+                return pd.DataFrame({"draw": [], "a": [], "b": [], "ratio": []})
+        return pd.DataFrame([[part["draw"].iloc[0], out["A"], out["B"], out["B"] / out["A"]]], columns=["draw", "a", "b", "ratio"])
 
-    return draws(c, n, one, "a double, b double, ratio double")
+    return bins.groupBy("draw").applyInPandas(one, "draw int, a double, b double, ratio double")
 
 
 def _f50_intervals(c, n: int = DRAWS) -> DataFrame:
@@ -195,14 +205,11 @@ query("m05_block_bootstrap", _f50_intervals)
 
 
 def _peak(c):
-    rows = with_pooled(sample(c).where("exposed = 1").select("node", "grp", "dose_sum", "is_destroyed", "any_damage"))
-
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("node")
-        gap, at = C.peak_difference(C.fit_curve(part["dose_sum"], part["any_damage"]), C.fit_curve(part["dose_sum"], part["is_destroyed"]))
+        gap, at = C.peak_difference(Z.fit_bins(part, "damaged"), Z.fit_bins(part))
         return pd.DataFrame([[part["grp"].iloc[0], gap, at]], columns=["grp", "peak", "exposure"])
 
-    return rows.groupBy("grp").applyInPandas(one, "grp string, peak double, exposure double")
+    return _dose_bins(sample(c).where("exposed = 1")).groupBy("grp").applyInPandas(one, "grp string, peak double, exposure double")
 
 
 query("m06_partial_peak", _peak)
@@ -268,18 +275,28 @@ query("m09_monotone_inverse", _inverse_bins)
 
 
 def _joint(c, n: int = DRAWS):
-    near = nearest_hit(c).where("nearest > 0").select("node", F.log("nearest").alias("lx"))
-    a = arrays(sample(c).where("exposed = 1").join(near, "node").select("node", "block", "lx", "log_dose", "dose_sum", "is_destroyed").orderBy("node"))
-    rows = blocks_of(a["block"])
+    """Midpoint as a distance, with line and curve fitted on the same drawn blocks."""
+    near = nearest_hit(c).where("nearest > 0").select("node", F.log("nearest").alias("far"))
+    rows = sample(c).where("exposed = 1").join(near, "node").withColumn("grp", F.lit("all"))
+    u, v = F.col("far"), F.col("log_dose")
+    moments = rows.groupBy("grp", "block").agg(F.count("*").alias("m"), F.sum(u).alias("u"), F.sum(v).alias("v"), F.sum(u * u).alias("uu"), F.sum(u * v).alias("uv"))
+    table = durable(Z.exposure_bins(rows, ["grp", "block"], "dose_sum", {"hits": F.col("is_destroyed")}, Z.DRAW_BINS))
+    counts = durable(Z.block_counts(durable(moments).select("grp", "block"), n))
+    line = Z.drawn(moments, counts, [], ["m", "u", "v", "uu", "uv"])
+    slope = (F.col("m") * F.col("uv") - F.col("u") * F.col("v")) / (F.col("m") * F.col("uu") - F.col("u") * F.col("u"))
+    lines = line.select("draw", slope.alias("slope"), ((F.col("v") - slope * F.col("u")) / F.col("m")).alias("intercept"))
 
-    def one(rng):
-        at = resampled(rng, rows)
-        slope, intercept = np.polyfit(a["lx"][at], a["log_dose"][at], 1)
-        x = a["dose_sum"][at]
-        f50 = C.fit_curve(x, a["is_destroyed"][at]).midpoint(x.min() / 10, x.max() * 10)
-        return {"distance": float(np.exp((np.log(f50) - intercept) / slope))}
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        x = np.exp(part["lx"].to_numpy(float) / part["n"].to_numpy(float))
+        try:
+            found = [[part["draw"].iloc[0], Z.fit_bins(part).midpoint(x.min() / 10, x.max() * 10)]]
+        except (ValueError, RuntimeError, np.linalg.LinAlgError):
+            found = []
+        return pd.DataFrame(found, columns=["draw", "f50"])
 
-    return enough(draws(c, n, one, "distance double"), n).agg(F.count("*").alias("converged"), F.percentile("distance", [0.025, 0.5, 0.975]).alias("q"))
+    curves = Z.drawn(table, counts, ["bin"], ["n", "lx", "hits"]).groupBy("draw").applyInPandas(one, "draw int, f50 double")
+    found = curves.join(lines, "draw").select("draw", F.exp((F.log("f50") - F.col("intercept")) / F.col("slope")).alias("distance"))
+    return enough(found, n).agg(F.count("*").alias("converged"), F.percentile("distance", [0.025, 0.5, 0.975]).alias("q"))
 
 
 query("m10_joint_bootstrap", _joint)
@@ -851,14 +868,9 @@ def _sample_ladder(c):
     """Midpoints of both groups and their ratio in each nested population; null where a curve has none."""
     out = []
     for name, df in construction_samples(sample(c)).items():
-        a, mid = arrays(df.select("node", "grp", "dose_sum", "is_destroyed").orderBy("node")), {}
-        for g in ("A", "B"):
-            x, y = a["dose_sum"][a["grp"] == g], a["is_destroyed"][a["grp"] == g].astype(float)
-            try:
-                mid[g] = C.fit_curve(x, y).midpoint(x.min() / 10, x.max() * 10)
-            except (RuntimeError, ValueError):
-                mid[g] = float("nan")
-        out.append({"sample": name, "n": len(a["node"]), "a": mid["A"], "b": mid["B"], "ratio": mid["B"] / mid["A"]})
+        found = {r["grp"]: r for r in _dose_bins(df).groupBy("grp").applyInPandas(_fit, _FIT).collect()}  # one for each group
+        mid = {g: found[g]["f50"] if g in found and found[g]["f50"] is not None else float("nan") for g in ("A", "B")}
+        out.append({"sample": name, "n": df.count(), "a": mid["A"], "b": mid["B"], "ratio": mid["B"] / mid["A"]})
     return frame(c.spark, out, "sample string, n bigint, a double, b double, ratio double")
 
 
