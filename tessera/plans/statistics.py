@@ -155,10 +155,16 @@ def exposure_at(p, p_min, p_max, k, hill, asymmetry):
     return k / F.pow(ratio, 1 / hill)
 
 
+def _inverse(c) -> DataFrame:
+    """The exposure at which a curve gives the share destroyed of each kind and size; null outside its asymptotes."""
+    shares = c.assessed.groupBy("kind", "size").agg(F.avg("is_destroyed").alias("p"))
+    return shares.select("kind", "size", _r(exposure_at(F.col("p"), F.lit(0.05), F.lit(0.95), F.lit(0.2), F.lit(1.5), F.lit(0.8))).alias("x"))
+
+
 query(
     "m03_inverse_curve",
-    lambda c: c.spark.range(1, 10).select((F.col("id") / 10).alias("p")).select("p", _r(exposure_at(F.col("p"), F.lit(0.05), F.lit(0.95), F.lit(0.2), F.lit(1.5), F.lit(0.8))).alias("x")),
-    "SELECT i / 10.0 AS p, round(CASE WHEN i / 10.0 > 0.05 AND i / 10.0 < 0.95 THEN 0.2 / (((0.9) / (i / 10.0 - 0.05)) ** (1 / 0.8) - 1) ** (1 / 1.5) END, 6) AS x FROM range(1, 10) t(i)",
+    _inverse,
+    "SELECT kind, size, round(CASE WHEN p > 0.05 AND p < 0.95 THEN 0.2 / (((0.9) / (p - 0.05)) ** (1 / 0.8) - 1) ** (1 / 1.5) END, 6) AS x FROM (SELECT kind, size, avg(is_destroyed) AS p FROM assessed GROUP BY 1, 2)",
 )
 
 

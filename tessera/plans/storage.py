@@ -63,12 +63,16 @@ query("s10_csv_scan", lambda c: _csv(c).groupBy("grp").agg(F.sum("size").alias("
 
 
 def _manifest(c):
+    """A run's manifest, with the number of tiles that its nodes lie in."""
+    import json
+
     path = f"{_folder(c)}/manifest.json"
-    K.write_text(c.spark, path, '{\n"model": "m", "tile_count": 3,\n"config": {"max_distance_m": 100.0, "tile_size_m": 500}}')
+    tiles = c.nodes.select(F.floor(F.col("x") / 500), F.floor(F.col("y") / 500)).distinct().count()
+    K.write_text(c.spark, path, json.dumps({"model": "m", "tile_count": tiles, "config": {"max_distance_m": 100.0, "tile_size_m": 500}}, indent=1))
     return R.manifest(c.spark, path).select("model", "tile_count", F.col("config.max_distance_m").alias("reach"))
 
 
-query("s11_manifest", _manifest, "SELECT 'm' AS model, CAST(3 AS BIGINT) AS tile_count, CAST(100.0 AS DOUBLE) AS reach", raw=True)
+query("s11_manifest", _manifest, "SELECT 'm' AS model, count(*) AS tile_count, CAST(100.0 AS DOUBLE) AS reach FROM (SELECT DISTINCT floor(x / 500), floor(y / 500) FROM nodes)")
 
 
 def _bundle(c):
@@ -101,13 +105,14 @@ query("k07_session_table", _view, "SELECT count(*) AS n FROM nodes WHERE grp = '
 
 
 def _inventory(c):
+    """Sizes and checksums of the summaries written for each group."""
     path = _folder(c)
-    K.write_text(c.spark, f"{path}/a.txt", "abc")
-    K.write_text(c.spark, f"{path}/b/c.txt", "d")
-    return R.inventory(c.spark, path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "bytes", "sha256")
+    for r in c.nodes.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect():  # one row for each group
+        K.write_text(c.spark, f"{path}/{r['grp']}/summary.txt", f"{r['grp']},{r['n']},{r['s']}")
+    return R.inventory(c.spark, path).select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("grp"), "bytes", "sha256")
 
 
-query("k09_inventory", _inventory, "SELECT unnest(['a.txt', 'c.txt']) AS name, unnest([3, 1]) AS bytes, unnest([sha256('abc'), sha256('d')]) AS sha256", raw=True)
+query("k09_inventory", _inventory, "SELECT grp, CAST(length(t) AS BIGINT) AS bytes, sha256(t) AS sha256 FROM (SELECT grp, concat(grp, ',', count(*), ',', sum(size)) AS t FROM nodes GROUP BY grp)")
 
 
 def _validators(c):
