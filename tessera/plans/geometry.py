@@ -209,3 +209,22 @@ def _outlines(c) -> DataFrame:
 
 
 query("f10_outlines", _outlines)
+
+
+def _shapefile(c) -> DataFrame:
+    """Squares written as shapefiles, one a task, and read again within a box: how many, and their area."""
+    import uuid
+
+    from tessera.session import checkpoint_folder
+    from tessera.sources import shapefile as S
+    from tessera.sources import wkb as W
+
+    c.spark.dataSource.register(S.Shapefile)
+    folder = f"{checkpoint_folder(c.spark)}/{uuid.uuid4().hex}"
+    rows = c.nodes.select("node", "grp", F.array(P.closed_ring(_square(40.5))).alias("rings"))
+    S.write(rows, folder).agg(F.sum("n")).collect()
+    read = c.spark.read.format("shapefile").schema("node bigint, grp string, wkb binary").option("box", "2000,2000,6000,6000").load(folder)
+    return W.ring_table(read, "wkb", "node", "grp").groupBy("grp").agg(F.count("*").alias("n"), F.round(F.sum(F.abs(P.ring_area(F.col("ring")))), 2).alias("area"))
+
+
+query("s09_shapefile", _shapefile, "SELECT grp, count(*) AS n, round(count(*) * 81.0 * 81.0, 2) AS area FROM nodes WHERE x BETWEEN 2000 - 40.5 AND 6000 + 40.5 AND y BETWEEN 2000 - 40.5 AND 6000 + 40.5 GROUP BY grp")
