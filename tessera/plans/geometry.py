@@ -228,3 +228,35 @@ def _shapefile(c) -> DataFrame:
 
 
 query("s09_shapefile", _shapefile, "SELECT grp, count(*) AS n, round(count(*) * 81.0 * 81.0, 2) AS area FROM nodes WHERE x BETWEEN 2000 - 40.5 AND 6000 + 40.5 AND y BETWEEN 2000 - 40.5 AND 6000 + 40.5 GROUP BY grp")
+
+
+_FOOT = 30.25
+
+
+def _sight(c) -> DataFrame:
+    """Strong bonds whose two nodes see each other over all other buildings, from just above their own roofs."""
+    from tessera.operators import rays as V
+
+    eye = lambda p: V.point(F.col(f"{p}.x"), F.col(f"{p}.y"), F.col(f"{p}.size") + 1.37)
+    a, b = c.nodes.alias("a"), c.nodes.alias("b")
+    pairs = c.bonds.where("f >= 0.07").join(a, F.col("i") == F.col("a.node")).join(b, F.col("j") == F.col("b.node"))
+    rays = pairs.select(F.struct("i", "j").alias("id"), eye("a").alias("start"), eye("b").alias("end"))
+    x, y, z = F.col("x"), F.col("y"), F.col("size").cast("double")
+    walls = c.nodes.select(F.explode(V.box_triangles(x - _FOOT, y - _FOOT, F.lit(0.0), x + _FOOT, y + _FOOT, z)).alias("t")).select("t.*")
+    return V.visible(rays, walls, 100.0).select("id.i", "id.j")
+
+
+query(
+    "j24_visible_pairs",
+    _sight,
+    f""",
+pairs AS MATERIALIZED (SELECT i, j, a.x AS ax, a.y AS ay, a.size + 1.37 AS az, b.x - a.x AS dx, b.y - a.y AS dy, b.size - a.size AS dz
+  FROM bonds JOIN nodes a ON a.node = i JOIN nodes b ON b.node = j WHERE f >= 0.07),
+spans AS (SELECT i, j, n.node,
+    CASE WHEN dx <> 0 THEN least((n.x - {_FOOT} - ax) / dx, (n.x + {_FOOT} - ax) / dx) WHEN abs(n.x - ax) < {_FOOT} THEN 0 ELSE 2 END AS x0, CASE WHEN dx <> 0 THEN greatest((n.x - {_FOOT} - ax) / dx, (n.x + {_FOOT} - ax) / dx) ELSE 1 END AS x1,
+    CASE WHEN dy <> 0 THEN least((n.y - {_FOOT} - ay) / dy, (n.y + {_FOOT} - ay) / dy) WHEN abs(n.y - ay) < {_FOOT} THEN 0 ELSE 2 END AS y0, CASE WHEN dy <> 0 THEN greatest((n.y - {_FOOT} - ay) / dy, (n.y + {_FOOT} - ay) / dy) ELSE 1 END AS y1,
+    CASE WHEN dz <> 0 THEN least(-az / dz, (n.size - az) / dz) WHEN az < n.size THEN 0 ELSE 2 END AS z0, CASE WHEN dz <> 0 THEN greatest(-az / dz, (n.size - az) / dz) ELSE 1 END AS z1
+  FROM pairs CROSS JOIN nodes n),
+hit AS (SELECT DISTINCT i, j FROM spans WHERE greatest(0, x0, y0, z0) < least(1, x1, y1, z1))
+SELECT i, j FROM pairs ANTI JOIN hit USING (i, j)""",
+)
