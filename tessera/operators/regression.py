@@ -219,3 +219,59 @@ def margins_by_draws(d: Design, fit: Fit, change: Callable[[np.ndarray], np.ndar
 
     s = d.sum(part)
     return s[:-1] / s[-1]
+
+
+def logit_draws(d: Design, counts: DataFrame, draws: int, steps: int = 60) -> np.ndarray:
+    """Coefficients for each draw of whole clusters: ``counts`` says ``(draw, block, times)`` for the clusters ``block``.
+
+    All draws step together, a pass each: a row adds to the sums of every draw that took its
+    cluster, as often as it was taken. What comes to the driver are sums of the size of a model
+    for each draw. Rows of a null cluster are in no draw. A draw that took no rows has
+    coefficients of 0.
+    """
+    p, columns = len(d.names), d.columns
+    lists = counts.groupBy("block").agg(F.collect_list("draw").alias("draws"), F.collect_list(F.col("times").cast("double")).alias("times"))
+    rows = durable(d.rows.join(lists, F.col("cluster") == F.col("block")).select(*columns, "y", "draws", "times"))
+
+    def look(betas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log likelihood, gradient and Hessian of each draw at its coefficients."""
+
+        def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((1 + p + p * p, draws))
+            for batch in batches:
+                for first in range(0, batch.num_rows, 1024):
+                    part = batch.slice(first, 1024)
+                    x, y = _matrix(part, columns), _matrix(part, ["y"])
+                    taken, weight = part.column("draws"), np.zeros((len(x), draws))
+                    owner = np.repeat(np.arange(len(x)), taken.value_lengths().to_numpy())
+                    weight[owner, taken.flatten().to_numpy()] = part.column("times").flatten().to_numpy()
+                    z = x @ betas.T
+                    q = _expit(z)
+                    total[0] += (weight * (y * z - np.logaddexp(0, z))).sum(axis=0)
+                    total[1 : p + 1] += x.T @ (weight * (y - q))
+                    total[p + 1 :] += (x[:, :, None] * x[:, None, :]).reshape(len(x), -1).T @ (weight * q * (1 - q))
+            flat = total.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], ["at", "v"])
+
+        out = np.zeros((1 + p + p * p) * draws)
+        for r in rows.mapInArrow(per_task, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+            out[r["at"]] = r["v"]
+        out = out.reshape(1 + p + p * p, draws)
+        return out[0], out[1 : p + 1].T, out[p + 1 :].T.reshape(draws, p, p)
+
+    betas, size = np.zeros((draws, p)), np.ones(draws)
+    now, gradient, hessian = look(betas)
+    going = np.ones(draws, bool)
+    for _ in range(steps):
+        step = np.stack([np.linalg.lstsq(h, g, rcond=None)[0] for h, g in zip(hessian, gradient, strict=True)])
+        trial = betas + np.where(going, size, 0.0)[:, None] * step
+        new = look(trial)
+        gain = new[0] - now
+        better = going & (gain >= -1e-12 * (1 + np.abs(now)))
+        betas[better], now = trial[better], np.where(better, new[0], now)
+        gradient, hessian = np.where(better[:, None], new[1], gradient), np.where(better[:, None, None], new[2], hessian)
+        size = np.where(better, 1.0, size / 2)
+        going &= ~(better & (np.abs(gain) < 1e-12 * (1 + np.abs(now)))) & (size > 1e-6)
+        if not going.any():
+            break
+    return betas

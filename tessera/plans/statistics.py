@@ -413,29 +413,13 @@ def _mediation(c):
 query("m18_mediation", _mediation)
 
 
-# Resampled regressions on the arrays of a sample.
-def _design(a: dict, outcome: str = "is_destroyed"):
-    levels = sorted(set(a["kind"].tolist()))
-    numeric = {"log_dose": a["log_dose"], "green": a["green"], "decade": (a["year"] - np.median(a["year"])) / 10}
-    names, x = M.design(numeric, {"kind": (a["kind"], levels), "grp": (a["grp"], ["A", "B"])})
-    return names, x, a[outcome].astype(float)
-
-
-def _logit(a: dict, outcome: str = "is_destroyed") -> M.Fit:
-    names, x, y = _design(a, outcome)
-    return M.logit(x, y, names, a["block"])
-
-
 def _stage_bootstrap(c, n: int = DRAWS):
-    a = model_arrays(c)
-    rows = blocks_of(a["block"])
-
-    def ratio(at):
-        part = {k: v[at] for k, v in a.items()}
-        fit = _logit(part)
-        return M.tolerance_ratio(fit, "green", "log_dose")["ratio"]
-
-    found = enough(draws(c, n, lambda rng: {"log_ratio": float(np.log(ratio(resampled(rng, rows))))}, "log_ratio double"), n)
+    """Interval of the tolerance ratio over drawn blocks; all draws' regressions step together."""
+    model = _model(c)
+    blocks = model.rows.select(F.lit("all").alias("grp"), F.col("cluster").alias("block")).distinct()
+    betas = R.logit_draws(model, durable(Z.block_counts(blocks, n).drop("grp")), n)
+    ratios = -betas[:, model.at("green")] / np.where(betas[:, model.at("log_dose")] == 0, np.nan, betas[:, model.at("log_dose")])
+    found = enough(c.spark.createDataFrame([(float(v),) for v in ratios[np.isfinite(ratios)]], "log_ratio double"), n)
     side = F.least(F.avg((F.col("log_ratio") <= 0).cast("int")), F.avg((F.col("log_ratio") >= 0).cast("int")))
     return found.agg(F.count("*").alias("converged"), F.percentile("log_ratio", 0.025).alias("lo"), F.percentile("log_ratio", 0.975).alias("hi"), F.least(F.lit(1.0), F.greatest(2 * side, 1 / F.count("*"))).alias("p"))
 
@@ -545,11 +529,16 @@ def _neighbors(c, k: int = 30):
 query("j16_propensity_neighbors", _neighbors)
 
 
-def _side_arrays(c, threshold: float = 0.0):
+def _side_rows(c, threshold: float = 0.0) -> DataFrame:
+    """Rows of the outcome models with what their neighbours went through before and after them."""
     timed, plain = _timed(c), F.col("defended") == 0
     hurt = timed.groupBy("node").agg(*[F.avg(F.when(when & plain, F.col("any_damage"))).alias(k) for k, when in (("down_any_damage", F.col("dt") > 0), ("up_any_damage", F.col("dt") < 0))])
     side = X.directional(timed).join(hurt, "node").select("node", "up_share", "down", "up", "down_escalation", "up_escalation", "down_any_damage", "up_any_damage")
-    rows = sample(c).where("exposed = 1 and green is not null and year_built is not null and defended is not null").join(side, "node").where((F.col("up_share") >= threshold) & F.col("down").isNotNull() & F.col("up").isNotNull())
+    return model_rows(c).join(side, "node").where((F.col("up_share") >= threshold) & F.col("down").isNotNull() & F.col("up").isNotNull())
+
+
+def _side_arrays(c, threshold: float = 0.0):
+    rows = _side_rows(c, threshold)
     return arrays(rows.select("node", "grp", "block", "kind", "log_dose", "dose_sum", "green", F.col("year_built").cast("double").alias("year"), "defended", "is_destroyed", "any_damage", "f_total", "x", "y", "up_share", "down", "up", "down_escalation", "up_escalation", "down_any_damage", "up_any_damage").orderBy("node"))
 
 
@@ -645,18 +634,17 @@ query("m29_stage_table", _stages)
 
 
 def _mechanism(c):
-    a = _side_arrays(c)
-    z = lambda v: (v - v.mean()) / v.std(ddof=1)
-    names, x = M.design({k: z(a[k].astype(float)) for k in ("up_share", "f_total", "green")}, {"grp": (a["grp"], ["A", "B"])})
-    rows = []
+    rows, names = durable(_side_rows(c)), ("up_share", "f_total", "green")
+    r = rows.agg(*[f(F.col(k)).alias(f"{n}_{k}") for k in names for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    terms = {"const": F.lit(1.0)} | {k: (F.col(k) - r[f"m_{k}"]) / r[f"s_{k}"] for k in names} | R.categories("grp", ["A", "B"])
+    out = []
     for outcome in ("is_destroyed", "any_damage"):
-        fit = M.logit(x, a[outcome].astype(float), names, a["block"])
-        for n in names[1:4]:
-            high = x.copy()
-            high[:, names.index(n)] += 1
-            effect, se = M.marginal_effect(fit, x, high)
-            rows.append({"outcome": outcome, "term": n, "effect_per_sd": effect, "se": se})
-    return frame(c.spark, rows, "outcome string, term string, effect_per_sd double, se double")
+        model = R.design(rows, terms, F.col(outcome), F.col("block"))
+        fit = R.logit(model)
+        for k in (1, 2, 3):
+            effect, se = R.marginal_effect(model, fit, R.add_to(k, 0.0), R.add_to(k, 1.0))
+            out.append({"outcome": outcome, "term": fit.names[k], "effect_per_sd": effect, "se": se})
+    return frame(c.spark, out, "outcome string, term string, effect_per_sd double, se double")
 
 
 query("m30_mechanism", _mechanism)
@@ -794,8 +782,7 @@ def _mean_threshold(c):
     """P50 of the direct exposure, that of the reverse exposure mapped back through matched bins, and their mean."""
     rows = sample(c).where("exposed = 1").join(_reverse(c).where("reverse_sum > 0"), "node")
     direct = _pooled_curve(c).exposure_at(0.5)
-    a = arrays(rows.select("node", "reverse_sum", "is_destroyed").orderBy("node"))
-    other = C.fit_curve(a["reverse_sum"], a["is_destroyed"]).exposure_at(0.5)
+    other = Z.fit_bins(Z.exposure_bins(rows, [], "reverse_sum", {"hits": F.col("is_destroyed")}).toPandas()).exposure_at(0.5)  # of at most BINS rows
     bins = arrays(B.quantile_bins(rows, "log_dose", 18).groupBy("bin").agg(F.avg("log_dose").alias("lx"), F.avg("log_reverse").alias("ly")).orderBy("lx"))
     mapped = float(np.exp(-C.inverse_of_bins(-bins["lx"][::-1], bins["ly"][::-1], np.log(other))))  # the bins rise
     if not np.isfinite(mapped):
