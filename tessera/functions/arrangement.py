@@ -91,17 +91,50 @@ def _cuts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(which), np.concatenate(points)) if which else (np.zeros(0, np.int64), np.zeros((0, 2), np.int64))
 
 
+def _routed(s: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All grid points that segments pass so near that they are rounded to them: of ``points`` and of all ends."""
+    found = np.concatenate([points, s[:, :2], s[:, 2:]])
+    found = np.unique(found[(found % 2 == 1).all(axis=1)], axis=0)
+    y0, y1 = np.minimum(s[:, 1], s[:, 3]) - 1, np.maximum(s[:, 1], s[:, 3]) + 1
+    height, wide = int(y1.max()) // max(1, min(256, int(len(s) ** 0.5) // 4)) + 1, int(s[:, 2].max()) + 3
+    place = (found[:, 1] // height) * wide + found[:, 0]
+    order = np.argsort(place, kind="stable")
+    found, place = found[order], place[order]
+    low, high = np.maximum(y0, 0) // height, y1 // height
+    owner = np.repeat(np.arange(len(s)), high - low + 1)
+    band = low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+    begin = np.searchsorted(place, band * wide + np.maximum(s[owner, 0] - 1, 0))
+    counts = np.searchsorted(place, band * wide + s[owner, 2] + 1, side="right") - begin
+    ends, first, which, cuts = np.cumsum(counts), 0, [], []
+    while first < len(owner):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK, side="right")))
+        n = counts[first:last]
+        k = np.repeat(owner[first:last], n)
+        at = np.repeat(begin[first:last], n) + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = found[at].T
+        line = s[k]
+        hit = (y >= y0[k]) & (y <= y1[k]) & (np.abs(_cross(*line.T, x, y)) < np.abs(line[:, 2] - line[:, 0]) + np.abs(line[:, 3] - line[:, 1]))
+        hit &= ~(((x == line[:, 0]) & (y == line[:, 1])) | ((x == line[:, 2]) & (y == line[:, 3])))
+        which.append(k[hit])
+        cuts.append(found[at[hit]])
+        first = last
+    return np.concatenate(which), np.concatenate(cuts)
+
+
 def arranged(segments: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """The same weighted chains as segments that meet in their ends alone.
 
-    Crossings are rounded to the grid, which bends a segment by less than a unit and may make it
-    cross others, so cutting goes on until nothing crosses.
+    Crossings are rounded to the grid, and each segment is led through all the rounded points that
+    it passes within the rounding (snap rounding), so that bending it makes no new crossings. What
+    ties of rounding leave is cut in further rounds.
     """
     s, w = merged(segments, weights)
     for _ in range(rounds):
         k, points = _cuts(s)
         if not len(k):
             return s, w
+        more, near = _routed(s, points)
+        k, points = np.concatenate([k, more]), np.concatenate([points, near])
         along = (points[:, 0] - s[k, 0]) * (s[k, 2] - s[k, 0]) + (points[:, 1] - s[k, 1]) * (s[k, 3] - s[k, 1])
         order = np.lexsort((points[:, 1], points[:, 0], along, k))
         k, points = k[order], points[order]
