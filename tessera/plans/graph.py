@@ -81,11 +81,22 @@ def _close(c, reach: float):
     return J.within_distance(_points(c), _points(c), reach).where("a < b").select(F.col("a").alias("i"), F.col("b").alias("j"), "d")
 
 
-query("g12_distance_components", lambda c: _labels(L.states(c.nodes, _close(c, 150.0))), _ALL, _CLOSE.format(150))
+def _near_components(c, reach: float):
+    return J.distance_components(_points(c), reach)
+
+
+def _separation(c, reach: float):
+    """Mean distance of linked nodes in a component, on average over the components; sums by node before components are met."""
+    sums = _close(c, reach).groupBy("i").agg(F.sum("d").alias("s"), F.count("d").alias("k"))
+    met = sums.hint("merge").join(_near_components(c, reach).select(F.col("id").alias("i"), "component_id"), "i")
+    return met.groupBy("component_id").agg((F.sum("s") / F.sum("k")).alias("m")).agg(_r(F.avg("m")).alias("separation"), F.count("*").alias("n"))
+
+
+query("g12_distance_components", lambda c: _near_components(c, 150.0).select(F.col("id").alias("node"), "component_id", "component_size"), _ALL, _CLOSE.format(150))
 query("g13_inverse_square", lambda c: _close(c, 150.0).where("d > 0").select("i", "j", _r(F.least(F.lit(1.0), F.pow(30 / F.col("d"), F.lit(2)))).alias("f")), "SELECT p.node AS i, q.node AS j, round(least(1.0, 900 / ((p.x - q.x) ** 2 + (p.y - q.y) ** 2)), 6) AS f FROM nodes p JOIN nodes q ON p.node < q.node AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= 150 AND (p.x <> q.x OR p.y <> q.y)")
 query(
     "g14_mean_separation",
-    lambda c: L.states(c.nodes, _close(c, 150.0)).select("node", "component_id").join(_close(c, 150.0).select(F.col("i").alias("node"), "d"), "node").groupBy("component_id").agg(F.avg("d").alias("m")).agg(_r(F.avg("m")).alias("separation"), F.count("*").alias("n")),
+    lambda c: _separation(c, 150.0),
     f"SELECT round(avg(m), 6) AS separation, count(*) AS n FROM (SELECT component_id, avg(d) AS m FROM state JOIN (SELECT p.node, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS d FROM nodes p JOIN nodes q ON p.node < q.node AND sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= 150) USING (node) GROUP BY 1)",
     _CLOSE.format(150),
 )
