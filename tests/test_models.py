@@ -87,6 +87,32 @@ def test_matching_is_one_to_one_within_the_caliper():
     assert M.greedy_caliper_match(score, treated, group, 0.5) == [(0, 2)]
 
 
+def test_nearest_scores_are_those_of_a_stable_sort():
+    """Without a look at all values for each row asked for."""
+    rng = np.random.default_rng(3)
+    for values, asked in (
+        (rng.integers(0, 9, 400).astype(float), rng.integers(-3, 12, 60) / 2),
+        (rng.normal(size=500), rng.normal(size=60)),
+        (np.r_[1e-17 * rng.integers(0, 50, 200), 3.0], np.array([1.0, 2.0, -5.0, 0.0])),
+        (np.array([1.0, 0.0]), np.array([0.5])),
+    ):
+        for s, (near, gap) in zip(asked, M.nearest_scores(values, asked, 30), strict=True):
+            d = np.abs(values - s)
+            want = np.argsort(d, kind="stable")[:30]
+            assert near.tolist() == want.tolist() and gap.tolist() == d[want].tolist()
+    looked = 0
+
+    class Counted(np.ndarray):
+        def __sub__(self, other):
+            nonlocal looked
+            looked += self.size
+            return np.asarray(self) - other
+
+    score = rng.normal(size=4000).view(Counted)
+    M.greedy_caliper_match(score, np.arange(4000) % 4 // 3, np.array(["A"] * 4000), 0.2)
+    assert looked < 4000 * 30
+
+
 def test_shuffle_null_keeps_totals():
     null = M.shuffle_null(np.array([5, 3, 2]), 4, 200, 1)
     assert (null.sum(axis=1) == 4).all() and (null <= [5, 3, 2]).all()
