@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import durable
+
 _AXES = "xyz"
+#: Cells of a walk after which segments that are blocked by then go no further.
+STOPS = (2, 16)
 
 
 def point(x, y, z) -> Column:
@@ -39,8 +43,8 @@ def meets(start: Column, end: Column, a: Column, b: Column, c: Column) -> Column
     return (size > 0) & (u >= 0) & (v >= 0) & (u + v <= size) & (t > 0) & (t < size)
 
 
-def _walk(segments: DataFrame, cell: float) -> DataFrame:
-    """``segments`` with a row for each cell that they run through, in the order of the walk."""
+def _walk(segments: DataFrame, cell: float, first: int = 0, last: int | None = None) -> DataFrame:
+    """``segments`` with a row for each cell that they run through, from the ``first`` of the walk up to the ``last``."""
     start, end = F.col("start"), F.col("end")
 
     def planes(k: str) -> Column:
@@ -50,15 +54,16 @@ def _walk(segments: DataFrame, cell: float) -> DataFrame:
 
     turns = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), *[planes(k) for k in _AXES]))
     stretches = segments.select("id", "start", "end", turns.alias("turns"))
-    middles = stretches.select("id", "start", "end", F.explode(F.zip_with(F.slice("turns", F.lit(1), F.size("turns") - 1), F.slice("turns", F.lit(2), F.size("turns") - 1), lambda a, b: (a + b) / 2)).alias("m"))
+    middle = F.transform(F.zip_with(F.slice("turns", F.lit(1), F.size("turns") - 1), F.slice("turns", F.lit(2), F.size("turns") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: (s["a"] + s["b"]) / 2)
+    middles = stretches.select("id", "start", "end", F.explode(F.slice(middle, first + 1, 1 << 30 if last is None else last - first)).alias("m"))
     return middles.select("id", "start", "end", *[F.floor((start[k] + (end[k] - start[k]) * F.col("m")) / cell).alias(f"c{k}") for k in _AXES]).distinct()
 
 
-def blocked(segments: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
-    """``(id)`` of the segments ``(id, start, end)`` that meet a triangle ``(a, b, c)``; points are structs of x, y, z.
+def _clear(segments: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
+    """The segments with known ends that meet no triangle.
 
-    ``cell`` is the side of a grid cell: of the order of the triangles' size, and small enough for
-    the densest place. Segments and triangles with null or not-a-number coordinates meet nothing.
+    They walk a part of their cells at a time, and those that are blocked there end; where
+    triangles are dense, few get beyond the first part.
     """
     real = lambda p: F.coalesce(F.col(p)["x"] + F.col(p)["y"] + F.col(p)["z"], F.lit(float("nan")))
     known = lambda df, *ps: df.where(~F.isnan(sum((real(p) for p in ps), F.lit(0.0))))
@@ -66,16 +71,28 @@ def blocked(segments: DataFrame, triangles: DataFrame, cell: float) -> DataFrame
     span = lambda k: F.explode(F.sequence(F.floor((F.least(*[F.col(p)[k] for p in "abc"]) - margin) / cell), F.floor((F.greatest(*[F.col(p)[k] for p in "abc"]) + margin) / cell))).alias(f"c{k}")
     dealt = known(triangles, *"abc").select("a", "b", "c", span("x"))
     dealt = dealt.select("*", span("y")).select("*", span("z"))
-    met = _walk(known(segments, "start", "end"), cell).join(dealt, [f"c{k}" for k in _AXES])
-    return met.where(meets(*[F.col(p) for p in ("start", "end", "a", "b", "c")])).select("id").distinct()
+    left = durable(known(segments, "start", "end"))
+    for first, last in zip((0, *STOPS), (*STOPS, None), strict=True):
+        met = _walk(left, cell, first, last).hint("merge").join(dealt, [f"c{k}" for k in _AXES])
+        hit = met.where(meets(*[F.col(p) for p in ("start", "end", "a", "b", "c")])).select("id").distinct()
+        left = durable(left.hint("merge").join(hit, "id", "left_anti"))
+    return left
+
+
+def blocked(segments: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
+    """``(id)`` of the segments ``(id, start, end)`` that meet a triangle ``(a, b, c)``; points are structs of x, y, z.
+
+    ``cell`` is the side of a grid cell: of the order of the triangles' size, and small enough for
+    the densest place. Segments and triangles with null or not-a-number coordinates meet nothing.
+    """
+    ends = sum((F.col(p)[k] for p in ("start", "end") for k in _AXES), F.lit(0.0))
+    known = segments.where(ends.isNotNull() & ~F.isnan(ends))
+    return known.select("id").distinct().hint("merge").join(_clear(segments, triangles, cell), "id", "left_anti")
 
 
 def visible(segments: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
     """The segments that meet no triangle; those with unknown ends are not visible."""
-    ends = [F.col(p)[k] for p in ("start", "end") for k in _AXES]
-    total = sum(ends, F.lit(0.0))
-    known = segments.where(total.isNotNull() & ~F.isnan(total))
-    return known.join(blocked(segments, triangles, cell), "id", "left_anti")
+    return _clear(segments, triangles, cell)
 
 
 def box_triangles(x0: Column, y0: Column, z0: Column, x1: Column, y1: Column, z1: Column) -> Column:

@@ -66,3 +66,13 @@ def test_box(spark):
             a, b = sorted((-s[k] / (t[k] - s[k]), (m - s[k]) / (t[k] - s[k])))
             near, far = max(near, a), min(far, b)
         assert (i in got) == (near < far and not (inside(s) and inside(t)))
+
+
+def test_parts_of_a_walk_make_the_whole(spark):
+    """Blocked segments stop after a part, so the parts must hold each cell of the walk."""
+    row = ((0.5, 0.5, 0.5), (39.0, 17.0, 4.0))
+    kind = "struct<x:double,y:double,z:double>"
+    segment = spark.createDataFrame([(1, *row)], f"id int, start {kind}, end {kind}")
+    cells = lambda *part: {tuple(r) for r in V._walk(segment, 1.0, *part).select("cx", "cy", "cz").collect()}
+    parts = [cells(0, 2), cells(2, 16), cells(16, None)]
+    assert set().union(*parts) == cells() and len(cells()) > 50 and len(parts[0]) <= 2
