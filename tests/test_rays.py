@@ -73,6 +73,6 @@ def test_parts_of_a_walk_make_the_whole(spark):
     row = ((0.5, 0.5, 0.5), (39.0, 17.0, 4.0))
     kind = "struct<x:double,y:double,z:double>"
     segment = spark.createDataFrame([(1, *row)], f"id int, start {kind}, end {kind}")
-    cells = lambda *part: {tuple(r) for r in V._walk(segment, 1.0, *part).select("cx", "cy", "cz").collect()}
+    cells = lambda *part: {tuple(r) for r in R._walk(segment, 1.0, *part).select("cx", "cy", "cz").collect()}
     parts = [cells(0, 2), cells(2, 16), cells(16, None)]
     assert set().union(*parts) == cells() and len(cells()) > 50 and len(parts[0]) <= 2
