@@ -9,6 +9,7 @@ below 2^53.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 
@@ -16,6 +17,10 @@ import numpy as np
 BLOCK = 1 << 20
 #: Largest tile, so that products of differences are exact.
 LARGEST = 1 << 24
+#: Segments that are arranged at once; fewer where at least ``DEEP`` areas lie over each other, since small parts there lie wholly inside.
+MOST, MOST_DEEP, DEEP = 128, 16, 8
+#: Shortest side of a part that is divided further.
+SHORTEST = 64
 
 
 def _cross(ax, ay, bx, by, px, py):
@@ -242,6 +247,72 @@ def boundary(segments: np.ndarray, weights: np.ndarray, corner: np.ndarray, keep
     return np.concatenate([forth, back[:, [2, 3, 0, 1]]])
 
 
+def _undecided(s: np.ndarray, w: np.ndarray, corner: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray]:
+    """The segments that can change what ``keep`` says within a part of a tile; none if it says the same throughout.
+
+    A walk crosses a segment once, so no winding number is further from the corner's than the sum
+    of the weights. ``keep`` asks of each number only whether it is positive.
+    """
+    reach = np.abs(w).sum(axis=0)
+    inside, outside = corner - reach > 0, corner + reach <= 0
+    kept = keep(np.array(list(product(*[(1,) if i else (0,) if o else (0, 1) for i, o in zip(inside, outside, strict=True)]))))
+    if kept.all() or not kept.any():
+        return s[:0], w[:0]
+    w = np.where(inside | outside, 0, w)
+    used = (w != 0).any(axis=1)
+    return s[used], w[used]
+
+
+def _halves(s: np.ndarray, w: np.ndarray, at: int, width: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Segments before and after ``at`` of their first coordinate, cut there, and what a walk along the border to ``at`` crosses.
+
+    ``width`` is the extent of the second coordinate. What crosses the border away from it counts
+    positive.
+    """
+    back = s[:, 0] > s[:, 2]
+    s, w = np.where(back[:, None], s[:, [2, 3, 0, 1]], s), np.where(back[:, None], -w, w)
+    before, after = s[:, 2] < at, s[:, 0] > at
+    across = ~(before | after)
+    t, tw = s[across], w[across]
+    v = np.clip(_odd(t[:, 1] + (t[:, 3] - t[:, 1]) * ((at - t[:, 0]) / (t[:, 2] - t[:, 0]))), 1, width - 1)
+    line = np.full(len(t), at)
+    first = np.concatenate([s[before], np.stack([t[:, 0], t[:, 1], line, v], axis=1)]), np.concatenate([w[before], tw])
+    second = np.concatenate([s[after], np.stack([line, v, t[:, 2], t[:, 3]], axis=1)]) - np.array([at, 0, at, 0]), np.concatenate([w[after], tw])
+    return first, second, first[1][first[0][:, 1] == 0].sum(axis=0) - first[1][first[0][:, 3] == 0].sum(axis=0)
+
+
+def divided(segments: np.ndarray, weights: np.ndarray, corner: np.ndarray, size: int, keep) -> np.ndarray:
+    """``boundary`` of a tile of side ``size``, which is halved until its parts hold few segments.
+
+    A part that lies wholly inside or outside is done without looking for crossings, so where
+    areas lie thickly over each other the work grows with the segments and not with their
+    crossings. Lines between parts have even coordinates, and no point but cuts lies on them.
+    """
+    found, todo = [], [(*merged(segments, weights), np.asarray(corner), 0, 0, size, size)]
+    while todo:
+        s, w, corner, x, y, wide, high = todo.pop()
+        s, w = _undecided(s, w, corner, keep)
+        if len(s) <= (MOST if corner.max() < DEEP else MOST_DEEP) or max(wide, high) < SHORTEST:
+            if len(s):
+                found.append(boundary(s, w, corner, keep) + np.array([x, y, x, y]))
+        elif wide >= high:
+            at = wide // 4 * 2
+            left, right, crossed = _halves(s, w, at, high)
+            todo += [(*left, corner, x, y, at, high), (*right, corner - crossed, x + at, y, wide - at, high)]
+        else:
+            at, turn = high // 4 * 2, [1, 0, 3, 2]
+            (low, lw), (top, tw), crossed = _halves(s[:, turn], w, at, wide)
+            todo += [(low[:, turn], lw, corner, x, y, wide, at), (top[:, turn], tw, corner + crossed, x, y + at, wide, high - at)]
+    return np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+
+
+def straightened(path: np.ndarray) -> np.ndarray:
+    """The path without inner points that only the division of its tile made, where they lie on a straight line."""
+    a, p, b = path[:-2], path[1:-1], path[2:]
+    made = (p % 2 == 0).any(axis=1) & (_cross(*a.T, *b.T, *p.T) == 0)
+    return path[np.r_[True, ~made, True]] if len(path) > 2 else path
+
+
 def chains(segments: np.ndarray, size: int) -> list[np.ndarray]:
     """Directed segments joined into paths between the tile's borders, and into rings that don't reach them.
 
@@ -254,7 +325,7 @@ def chains(segments: np.ndarray, size: int) -> list[np.ndarray]:
     for n, (x, y) in enumerate(segments[:, :2].tolist()):
         starts.setdefault((x, y), []).append(n)
     angle = np.arctan2(segments[:, 3] - segments[:, 1], segments[:, 2] - segments[:, 0])
-    border = (segments[:, 2:] % 2 == 0).any(axis=1)
+    border = ((segments[:, 2:] == 0) | (segments[:, 2:] == size)).any(axis=1)
     following = np.full(len(segments), -1, np.int64)
     for n, (x, y) in enumerate(segments[:, 2:].tolist()):
         if not border[n]:

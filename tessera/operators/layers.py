@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.arrangement import LARGEST, boundary, chains
+from tessera.functions.arrangement import LARGEST, chains, divided, straightened
 from tessera.operators.components import connected_components
 from tessera.session import durable
 
@@ -135,8 +135,8 @@ def _overlay_tile(size: int, rule: str):
         tx, ty = (k.as_py() for k in key)
         values = lambda names: np.stack([rows[c].to_numpy() for c in names], axis=1)
         origin = np.array([tx * size - 1, ty * size - 1] * 2, np.int64)
-        found = boundary(values(["x1", "y1", "x2", "y2"]) - origin, values(["wa", "wb"]), values(["ca", "cb"])[0], keep)
-        paths = [path + origin[:2] for path in chains(found, size)]
+        found = divided(values(["x1", "y1", "x2", "y2"]) - origin, values(["wa", "wb"]), values(["ca", "cb"])[0], size, keep)
+        paths = [straightened(path) + origin[:2] for path in chains(found, size)]
         return pa.table({"tx": pa.array([tx] * len(paths), pa.int64()), "ty": pa.array([ty] * len(paths), pa.int64()), "path": _path_array(paths)})
 
     return overlay

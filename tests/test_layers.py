@@ -204,3 +204,50 @@ def test_crowded_grids_come_to_an_end(size):
         got, w = A.arranged(s, np.ones((len(s), 1), np.int64))
         assert not len(A._cuts(got)[0])
         assert (A.sides(got, w, np.zeros(1, np.int64))[0] == A._walked(got, w, np.zeros(1, np.int64), np.arange(len(got)))).all()
+
+
+def squares_in_a_tile(n, half, size, seed, slant):
+    """Directed sides of squares that lie within a tile, on odd coordinates."""
+    rng = np.random.default_rng(seed)
+    middle = rng.integers(int(1.5 * half) // 2, (size - int(1.5 * half)) // 2, (n, 2)) * 2 + 1
+    angle = rng.uniform(0, np.pi / 2, n) * slant + np.pi / 4
+    corners = [middle + 2 * np.round(half / np.sqrt(2) * np.stack([np.cos(angle + k * np.pi / 2), np.sin(angle + k * np.pi / 2)], axis=1)).astype(np.int64) for k in range(4)]
+    return np.concatenate([np.concatenate([corners[k], corners[(k + 1) % 4]], axis=1) for k in range(4)])
+
+
+def shoelace(s):
+    return float((s[:, 0].astype(float) * s[:, 3] - s[:, 2].astype(float) * s[:, 1]).sum() / 2)
+
+
+@pytest.mark.parametrize("slant", [False, True])
+@pytest.mark.parametrize("rule", list(L.RULES))
+def test_divided_tile_equals_the_whole_one(rule, slant):
+    size = 2 * 800_000
+    a, b = squares_in_a_tile(150, 80_000, size, 1, slant), squares_in_a_tile(60, 120_000, size, 2, slant)
+    s, w = np.concatenate([a, b]), np.repeat(np.eye(2, dtype=np.int64), [len(a), len(b)], axis=0)
+    corner = np.zeros(2, np.int64)
+    whole, parts = A.boundary(s, w, corner, L.RULES[rule]), A.divided(s, w, corner, size, L.RULES[rule])
+    length = np.hypot(*(whole[:, 2:] - whole[:, :2]).T).sum()
+    assert abs(shoelace(parts) - shoelace(whole)) <= slant * length  # cuts at slanted lines are rounded, others are exact
+    paths = [A.straightened(p) for p in A.chains(parts, size)]
+    assert all((p[0] == p[-1]).all() for p in paths)
+    if not slant:
+        assert len(paths) == len(A.chains(whole, size))
+
+
+def test_squares_lying_thickly_are_not_compared_in_pairs(monkeypatch):
+    size, met, near = 2 * 800_000, [0], A.near_pairs
+
+    def counted(segments):
+        for i, j in near(segments):
+            met[0] += len(i)
+            yield i, j
+
+    monkeypatch.setattr(A, "near_pairs", counted)
+    compared = []
+    for n in (1500, 6000):
+        s, met[0] = squares_in_a_tile(n, 80_000, size, 3, False), 0
+        w = np.repeat(np.array([[1, 0]]), len(s), axis=0)
+        A.divided(s, w, np.zeros(2, np.int64), size, L.RULES["union"])
+        compared.append(met[0] / n)
+    assert max(compared) < 500 and compared[1] < 2 * compared[0]  # all pairs: more than 2,000 and 8,000 a square
