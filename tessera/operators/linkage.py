@@ -116,9 +116,11 @@ def _labels_at(thresholds: list[float]):
 def sweep(nodes: DataFrame, weights: DataFrame, thresholds: list[float], small: int = SMALL) -> DataFrame:
     """``(node, component_id, component_size, threshold)`` at each threshold, from one spanning forest.
 
-    A small forest is passed once, from heavy to light, in one bounded task; a larger one is
-    labelled anew for each of the stated thresholds.
+    A small forest is passed once, from heavy to light, in one bounded task. With a larger one
+    thresholds are gone through from high to low: the edges between two of them join components
+    of the higher one, so each edge is looked at once, however many thresholds there are.
     """
+    weights = weights.where(F.col("w") >= min(float(t) for t in thresholds)) if thresholds else weights  # lighter edges join nothing
     forest = durable(maximum_spanning_forest(weights, small))
     if forest.count() <= small:
         labels = durable(forest.coalesce(1).mapInArrow(_labels_at([float(t) for t in thresholds]), "threshold double, node bigint, component bigint"))
@@ -126,10 +128,19 @@ def sweep(nodes: DataFrame, weights: DataFrame, thresholds: list[float], small:
         met = nodes.select("node").join(steps).join(labels, ["threshold", "node"], "left").withColumn("component_id", F.coalesce("component", "node"))
         sizes = met.groupBy("threshold", "component_id").agg(F.count("*").alias("component_size"))
         return met.join(sizes, ["threshold", "component_id"]).select("node", "component_id", "component_size", "threshold")
+    ids = nodes.select("node").distinct()
+    inside = durable(forest.join(ids.select(F.col("node").alias("i")), "i", "left_semi").join(ids.select(F.col("node").alias("j")), "j", "left_semi").select("i", "j", "w"))
+    now, above, found = ids.withColumn("component_id", F.col("node")), None, {}
+    for t in sorted({float(t) for t in thresholds}, reverse=True):
+        band = inside.where(F.col("w") >= t) if above is None else inside.where((F.col("w") >= t) & (F.col("w") < above))
+        end = lambda k, name: now.select(F.col("node").alias(k), F.col("component_id").alias(name))  # noqa: E731, B023
+        merged = star_components(band.join(end("i", "a"), "i").join(end("j", "b"), "j").select("a", "b"), "a", "b", small).withColumnRenamed("node", "component_id")
+        now = durable(now.join(merged, "component_id", "left").select("node", F.coalesce("component", "component_id").alias("component_id")))
+        sizes = now.groupBy("component_id").agg(F.count("*").alias("component_size"))
+        found[t], above = nodes.select("node").join(now, "node").join(sizes, "component_id").select("node", "component_id", "component_size", F.lit(t).alias("threshold")), t
     parts = None
     for t in thresholds:
-        own = states(nodes.select("node"), forest.where(F.col("w") >= t)).withColumn("threshold", F.lit(float(t)))
-        parts = own if parts is None else parts.unionByName(own)
+        parts = found[float(t)] if parts is None else parts.unionByName(found[float(t)])
     return parts
 
 

@@ -238,7 +238,7 @@ query(
 )
 query(
     "a34_nested_labels",
-    lambda c: L.sweep(c.nodes, L.eeat_weights(c.bonds), [0.08]).select("node", F.col("component_id").alias("coarse")).join(L.sweep(c.nodes, L.eeat_weights(c.bonds), [0.1]).select("node", F.col("component_id").alias("fine")), "node").groupBy("fine").agg(F.count_distinct("coarse").alias("k")).agg(F.count_if(F.col("k") > 1).alias("split"), F.count("*").alias("fine")),
+    lambda c: L.sweep(c.nodes, L.eeat_weights(c.bonds), [0.08, 0.1]).groupBy("node").agg(*[F.max(F.when(F.col("threshold") == t, F.col("component_id"))).alias(k) for k, t in (("coarse", 0.08), ("fine", 0.1))]).groupBy("fine").agg(F.count_distinct("coarse").alias("k")).agg(F.count_if(F.col("k") > 1).alias("split"), F.count("*").alias("fine")),
     _sweep_sql("SELECT count(*) FILTER (WHERE k > 1) AS split, count(*) AS fine FROM (SELECT f.component_id, count(DISTINCT c.component_id) AS k FROM sized f JOIN sized c USING (node) WHERE f.t = 0.1 AND c.t = 0.08 GROUP BY 1)"),
     raw=True,
 )

@@ -2,6 +2,7 @@
 
 import numpy as np
 from conftest import SF
+from pyspark.sql import functions as F
 
 from tessera.plans import registry, relational
 from tessera.plans.fixtures import Context
@@ -26,3 +27,25 @@ def test_facing_points_of_all_nodes(spark):
     want = {int(k): (int(m.sum()), int((m & ~h).sum())) for k, m, h in zip(nodes["node"], met, hidden, strict=True) if m.any()}
     assert {r["a"]: (r["facing"], r["visible"]) for r in registry.QUERIES["j24_facing_points"](spark, SF).collect()} == want
     assert any(a != b for a, b in want.values())
+
+
+def test_sweep_looks_at_an_edge_once_for_all_thresholds(spark, monkeypatch):
+    from tessera.operators import components as C
+    from tessera.operators import linkage as L
+
+    rng, seen, real = np.random.default_rng(3), [], C.star_components
+
+    def counted(edges, *rest):
+        seen.append(edges.count())
+        return real(edges, *rest)
+
+    rows = [(int(i), int(rng.integers(0, i)), float(rng.integers(1, 10)) / 10) for i in range(1, 60)]  # a tree
+    weights = spark.createDataFrame(rows, "i long, j long, w double")
+    nodes, steps = spark.range(62).select(F.col("id").alias("node")), [0.2, 0.5, 0.3, 0.4, 0.8]
+    expected = sorted(L.sweep(nodes, weights, steps).collect())
+    monkeypatch.setattr(L, "maximum_spanning_forest", lambda w, small: w)
+    monkeypatch.setattr(L, "star_components", counted)
+    monkeypatch.setattr(C, "star_components", counted)
+    found = L.sweep(nodes, weights, steps, 5)
+    assert sorted(found.select("node", "component_id", "component_size", "threshold").collect()) == expected
+    assert sum(seen) == sum(r[2] >= 0.2 for r in rows)
