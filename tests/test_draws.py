@@ -1,8 +1,14 @@
 """The registered resampling queries take the reference's numbers of draws and cutoffs."""
 
+import numpy as np
+import pandas as pd
+import pytest
 from conftest import SF
 
+from tessera.functions import models as M
 from tessera.plans import registry, statistics
+from tessera.plans import statistics as T
+from tessera.plans.fixtures import Context
 
 
 def test_counts(spark):
@@ -49,3 +55,44 @@ def test_spearman_ranks_complete_rows(spark):
     rows = [(float(i * 7 % 23), None if i % 5 == 2 else float(i * i % 11)) for i in range(60)] + [(None, 1.0)] * 9
     want = pd.DataFrame(rows, columns=["a", "b"]).dropna().corr("spearman").iloc[0, 1]
     assert abs(spearman(spark.createDataFrame(rows, "a double, b double"), "a", "b").first()[0] - want) < 1e-12
+
+
+def test_fates_dealt_by_parts_are_those_of_shuffled_rows():
+    """Mean and spread of the entropy over two parts, dealt apart, beside shuffles of all rows."""
+    rng = np.random.default_rng(0)
+    component, group = np.arange(80) ** 2 % 79 % 12, rng.integers(0, 2, 80)
+    component[:10] = np.arange(100, 110)  # nodes by themselves
+    hits = [int((group == g).sum()) // 3 for g in (0, 1)]
+    labels = M.shared_groups(component)
+    shuffled = []
+    for _ in range(4000):
+        y = np.zeros(80)
+        for g in (0, 1):
+            y[rng.permutation(np.flatnonzero(group == g))[: hits[g]]] = 1
+        shuffled.append(M.entropy_of_groups(labels, y))
+    members = np.array([[(group[component == k] == g).sum() for g in (0, 1)] for k in range(12)])
+    parts = [members[:5], members[5:]]
+    sizes = np.array([p.sum(axis=0) for p in parts] + [[(group[:10] == g).sum() for g in (0, 1)]])
+    sums = sum(T.deal_fates(pd.DataFrame(p), sizes, k, hits, 4000, [0, 1]) for k, p in enumerate(parts))
+    dealt = sums / members.sum()
+    assert dealt.mean() == pytest.approx(np.mean(shuffled), abs=4e-3)
+    assert np.quantile(dealt, [0.025, 0.975]) == pytest.approx(np.quantile(shuffled, [0.025, 0.975]), abs=0.015)
+
+
+def test_isolation_compares_no_pairs_of_treated_nodes(spark, monkeypatch):
+    c = Context(spark, "/root/testdata/sf0.01")
+    a, pairs = T._rematched(c)
+    treated = np.flatnonzero(a["defended"] == 1)
+    near = np.array([np.sort(np.hypot(a["x"][treated] - a["x"][t], a["y"][treated] - a["y"][t]))[1] for t, _ in pairs])
+    d, _, whole = T._pair_differences(a, pairs)
+    lone = near[whole] > np.median(near[whole])
+
+    real = np.hypot
+
+    def forbidden(*sides):
+        assert not any(map(np.ndim, sides)), "distances of all treated nodes on the driver"
+        return real(*sides)
+
+    monkeypatch.setattr(np, "hypot", forbidden)
+    row = T._isolation(c, 50).first()
+    assert row["isolated_pairs"] == lone.sum() and row["isolated"] == pytest.approx((d[lone, 1] - d[lone, 2]).mean())
