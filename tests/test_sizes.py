@@ -3,12 +3,14 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from tessera import session
 from tessera.operators import exposure as X
+from tessera.plans import statistics as T
 from tessera.plans.fixtures import SQL, Context
 
 
@@ -35,6 +37,18 @@ def test_assessed_and_links_equal_sql_on_odd_lines_and_assessed_needs_no_pairs(s
     assert sorted(map(tuple, c.edges.collect())) == sorted(want)
 
 
+def test_case_bootstrap_takes_no_rows_as_arrays(spark, monkeypatch):
+    c = Context(spark, "/root/testdata/sf0.01")
+    a = T.model_arrays(c)
+    cell = np.array([f"{k}|{d}" for k, d in zip(a["kind"].tolist(), np.digitize(a["year"], [1992, 2009]).tolist(), strict=True)])
+    bins = T._case_bins(c)
+    assert bins["n"].sum() == len(cell) and len(set(bins["cell"].tolist())) == len(set(cell.tolist()))
+    assert T.swap_of_bins(bins, bins["n"].astype(float)) == pytest.approx(T.swap_factor(a, cell), rel=1e-3)
+    monkeypatch.setattr(T, "MOST_ROWS", 100)
+    found = {r["quantity"]: r for r in T._case_bootstrap(c, 40).collect()}
+    assert set(found) == {"raw", "factor", "residual"} and all(r["lo"] < r["mid"] < r["hi"] for r in found.values())
+
+
 def operators(df):
     return [line.strip(" +-:*()0123456789") for line in df._jdf.queryExecution().executedPlan().toString().split("\n")]
 
