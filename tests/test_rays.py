@@ -76,3 +76,31 @@ def test_parts_of_a_walk_make_the_whole(spark):
     cells = lambda *part: {tuple(r) for r in R._walk(segment, 1.0, *part).select("cx", "cy", "cz").collect()}
     parts = [cells(0, 2), cells(2, 16), cells(16, None)]
     assert set().union(*parts) == cells() and len(cells()) > 50 and len(parts[0]) <= 2
+
+
+def test_boxes_whole_and_on_borders(spark):
+    """Slabs on plain numbers; segments wholly inside a box, along its face and upright ones; boxes reach over several cells."""
+    rng = np.random.default_rng(9)
+    low = rng.integers(-20, 20, (50, 3)).astype(float)
+    boxes = [(r[0], r[0] + w[0], r[1], r[1] + w[1], r[2], r[2] + w[2]) for r, w in zip(low.tolist(), rng.integers(2, 11, (50, 3)).astype(float).tolist(), strict=True)]
+    segments = [*(rng.uniform(-28, 28, (150, 2, 3))).tolist(), *rng.integers(-28, 28, (150, 2, 3)).astype(float).tolist()]
+    middle = [(a + b) / 2 for a, b in zip(boxes[0][::2], boxes[0][1::2], strict=True)]
+    segments += [(middle, [v + 0.25 for v in middle]), (middle, middle), ([-90.0, 0.0, 0.0], [90.0, 0.0, 0.0])]
+    segments += [([boxes[1][0], -90.0, 0.5], [boxes[1][0], 90.0, 0.5]), ([1.0, 2.0, -50.0], [1.0, 2.0, 50.0])]
+
+    def through(s, t, box):
+        near, far = 0.0, 1.0
+        for k in range(3):
+            if t[k] != s[k]:
+                a, b = sorted((v - s[k]) / (t[k] - s[k]) for v in box[2 * k : 2 * k + 2])
+                near, far = max(near, a), min(far, b)
+            elif not box[2 * k] < s[k] < box[2 * k + 1]:
+                return False
+        return near < far
+
+    want = {i for i, (s, t) in enumerate(segments) if not any(through(s, t, b) for b in boxes)}
+    assert 20 < len(want) < len(segments) - 20 and not {300, 301} & want
+    rays, _ = frames(spark, [*segments, ((0, None, 0), (8, 0, 0))], [])
+    walls = spark.createDataFrame([*boxes, (None, *boxes[0][1:])], ", ".join(f"{k}{e} double" for k in "xyz" for e in (0, 1)))
+    for cell in (3.0, 7.5):
+        assert {r["id"] for r in R.past_boxes(rays, walls, cell).collect()} == want
