@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from tessera.session import durable
 
 #: Edges that one task may finish, some 20 MB; beyond it the rounds run.
 SMALL = 250_000
-#: Edges that a task reduces at once.
-CHUNK = 500_000
+#: Edges that a task reduces on arrays at once, some 350 MB of memory; a forest of so many is finished in one task.
+CHUNK = 2_000_000
 
 
 class Union:
@@ -50,26 +51,55 @@ class Union:
         return True
 
 
+def forest_of(i: np.ndarray, j: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the edges of a spanning forest, the heaviest one if there are weights; ties by the pair, then by position.
+
+    Boruvka rounds on arrays: every component picks the first of its edges, which is the forest
+    that taking edges one by one in their order gives.
+    """
+    order = np.arange(len(i)) if w is None else np.lexsort((j, i, -w))
+    ids, at = np.unique(np.concatenate([i[order], j[order]]), return_inverse=True)
+    a, b, live, kept = at[: len(i)], at[len(i) :], np.arange(len(i)), []
+    while True:
+        apart = a != b
+        a, b, live = a[apart], b[apart], live[apart]
+        if not len(live):
+            break
+        back, best = np.arange(len(live))[::-1], []
+        for end in (a, b):  # of a repeated index the last value stays, so the first edge
+            first = np.full(len(ids), len(live))
+            first[end[::-1]] = back
+            best.append(first)
+        best = np.minimum(*best)
+        picking = np.flatnonzero(best < len(live))
+        edge = best[picking]
+        up = np.arange(len(ids))
+        up[picking] = np.where(a[edge] == picking, b[edge], a[edge])
+        root = picking[(up[up[picking]] == picking) & (picking < up[picking])]  # two that picked one edge
+        up[root] = root
+        kept.append(live[np.unique(edge)])
+        while not np.array_equal(above := up[up], up):
+            up = above
+        a, b = up[a], up[b]
+    return order[np.sort(np.concatenate(kept))] if kept else order[:0]
+
+
 def _forests(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """A spanning forest of each chunk of edges, of the heaviest ones if there is a third column."""
 
-    def reduced(rows: list[tuple]) -> pa.RecordBatch:
-        if len(names) > 2:
-            rows.sort(key=lambda r: (-r[2], r[0], r[1]))
-        sets = Union()
-        kept = [r for r in rows if sets.join(r[0], r[1])]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], t) for i, t in enumerate(types)], names)
+    def reduced(rows: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        kept = forest_of(*[c.to_numpy() for c in table.columns[:3]])
+        return table.take(pa.array(kept)).combine_chunks().to_batches()
 
-    rows: list[tuple] = []
-    names, types = [], []
+    rows: list[pa.RecordBatch] = []
     for batch in batches:
-        names, types = batch.schema.names, batch.schema.types
-        rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        if len(rows) >= chunk:
-            yield reduced(rows)
+        rows.append(batch)
+        if sum(len(r) for r in rows) >= chunk:
+            yield from reduced(rows)
             rows = []
     if rows:
-        yield reduced(rows)
+        yield from reduced(rows)
 
 
 def reduce_to_forest(edges: DataFrame) -> DataFrame:

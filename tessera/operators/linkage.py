@@ -6,11 +6,12 @@ active sets are nested. The weight is computed once; a threshold is then a filte
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.components import SMALL, Union, connected_components, reduce_to_forest, star_components
+from tessera.operators.components import CHUNK, SMALL, connected_components, reduce_to_forest, star_components
 from tessera.operators.edges import incidence, ranked_incidence, strongest_incident
 from tessera.session import durable
 
@@ -70,15 +71,21 @@ def states(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return connected_components(nodes, links, "node", "i", "j")
 
 
-def maximum_spanning_forest(weights: DataFrame, small: int = SMALL, max_rounds: int = 40) -> DataFrame:
+def maximum_spanning_forest(weights: DataFrame, small: int = CHUNK, max_rounds: int = 40) -> DataFrame:
     """``(i, j, w)``: a spanning forest of the heaviest edges.
 
-    Tasks reduce their own edges first. A small rest is finished in one bounded task; a larger one
-    by Boruvka rounds: every component picks its heaviest outgoing edge (ties by the pair), the
+    Tasks reduce their own edges first, and what they leave is dealt to fewer tasks while that
+    still drops a third. A small rest is finished in one bounded task; a larger one by Boruvka rounds: every component picks its heaviest outgoing edge (ties by the pair), the
     picks join the forest and components are merged.
     """
     reduced = durable(reduce_to_forest(weights.select("i", "j", F.col("w").cast("double").alias("w")).where("i <> j and w is not null")))
-    if reduced.count() <= small:
+    n = reduced.count()
+    while n > small > 0:
+        merged = durable(reduce_to_forest(reduced.repartition(-(-n // small))))
+        before, n, reduced = n, merged.count(), merged
+        if 3 * n > 2 * before:
+            break
+    if n <= small:
         return durable(reduce_to_forest(reduced.coalesce(1)))
     live = reduced.select("i", "j", "w", F.col("i").alias("ci"), F.col("j").alias("cj"))
     forest = reduced.limit(0)
@@ -90,7 +97,7 @@ def maximum_spanning_forest(weights: DataFrame, small: int = SMALL, max_rounds:
         picks = sides.groupBy("c").agg(F.max("o").alias("o")).select(F.col("o.w").alias("w"), (-F.col("o.a")).alias("i"), (-F.col("o.b")).alias("j")).distinct()
         picks = durable(picks.join(live.select("i", "j", "ci", "cj").distinct(), ["i", "j"]))
         forest = durable(forest.unionByName(picks.select("i", "j", "w")))
-        merged = star_components(picks, "ci", "cj", small)
+        merged = star_components(picks, "ci", "cj", min(small, SMALL))
         for c in ("ci", "cj"):
             live = live.join(merged.withColumnsRenamed({"node": c, "component": f"{c}_new"}), c, "left").withColumn(c, F.coalesce(f"{c}_new", c)).drop(f"{c}_new")
         live = durable(live.where("ci <> cj"))
@@ -101,19 +108,32 @@ def _labels_at(thresholds: list[float]):
     steps = sorted(thresholds, reverse=True)
 
     def per_task(batches):
-        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: -r[2])
-        sets, at = Union(), 0
+        rows = [b for b in batches if len(b)]
+        if not rows:
+            return
+        i, j, w = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in rows]) for k in range(3))
+        ids, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        ends, up, seen, above = (at[: len(i)], at[len(i) :]), np.arange(len(ids)), np.zeros(len(ids), bool), None
         for t in steps:
-            while at < len(rows) and rows[at][2] >= t:
-                sets.join(rows[at][0], rows[at][1])
-                at += 1
-            nodes = list(sets.up)
-            yield pa.RecordBatch.from_arrays([pa.array([t] * len(nodes), pa.float64()), pa.array(nodes, pa.int64()), pa.array([sets.find(n) for n in nodes], pa.int64())], ["threshold", "node", "component"])
+            band = w >= t if above is None else (w >= t) & (w < above)
+            a, b = (e[band] for e in ends)
+            seen[a] = seen[b] = True
+            while len(a):
+                a, b = up[a], up[b]
+                apart = a != b
+                a, b = a[apart], b[apart]
+                up[np.maximum(a, b)] = np.minimum(a, b)  # down only, so the least id ends as the root
+                while not np.array_equal(further := up[up], up):
+                    up = further
+            own, above = np.flatnonzero(seen), t
+            for first in range(0, len(own), 1 << 16):
+                part = own[first : first + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), t)), pa.array(ids[part].astype(np.int64)), pa.array(ids[up[part]].astype(np.int64))], ["threshold", "node", "component"])
 
     return per_task
 
 
-def sweep(nodes: DataFrame, weights: DataFrame, thresholds: list[float], small: int = SMALL) -> DataFrame:
+def sweep(nodes: DataFrame, weights: DataFrame, thresholds: list[float], small: int = CHUNK) -> DataFrame:
     """``(node, component_id, component_size, threshold)`` at each threshold, from one spanning forest.
 
     A small forest is passed once, from heavy to light, in one bounded task. With a larger one
@@ -134,7 +154,7 @@ def sweep(nodes: DataFrame, weights: DataFrame, thresholds: list[float], small:
     for t in sorted({float(t) for t in thresholds}, reverse=True):
         band = inside.where(F.col("w") >= t) if above is None else inside.where((F.col("w") >= t) & (F.col("w") < above))
         end = lambda k, name: now.select(F.col("node").alias(k), F.col("component_id").alias(name))  # noqa: E731, B023
-        merged = star_components(band.join(end("i", "a"), "i").join(end("j", "b"), "j").select("a", "b"), "a", "b", small).withColumnRenamed("node", "component_id")
+        merged = star_components(band.join(end("i", "a"), "i").join(end("j", "b"), "j").select("a", "b"), "a", "b", min(small, SMALL)).withColumnRenamed("node", "component_id")
         now = durable(now.join(merged, "component_id", "left").select("node", F.coalesce("component", "component_id").alias("component_id")))
         sizes = now.groupBy("component_id").agg(F.count("*").alias("component_size"))
         found[t], above = nodes.select("node").join(now, "node").join(sizes, "component_id").select("node", "component_id", "component_size", F.lit(t).alias("threshold")), t

@@ -49,3 +49,17 @@ def test_sweep_looks_at_an_edge_once_for_all_thresholds(spark, monkeypatch):
     found = L.sweep(nodes, weights, steps, 5)
     assert sorted(found.select("node", "component_id", "component_size", "threshold").collect()) == expected
     assert sum(seen) == sum(r[2] >= 0.2 for r in rows)
+
+
+def test_forest_on_arrays_is_that_of_edges_in_order():
+    """Ties, repeated edges and self loops; a large chunk is reduced at once, which edge by edge took too long."""
+    from tessera.operators import components as C
+
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        n = int(rng.integers(0, 60))
+        i, j, w = rng.integers(0, 25, n), rng.integers(0, 25, n), rng.integers(1, 5, n) / 4
+        for weights in (None, w):
+            order = range(n) if weights is None else sorted(range(n), key=lambda r: (-w[r], i[r], j[r]))
+            sets = C.Union()
+            assert C.forest_of(i, j, weights).tolist() == [r for r in order if sets.join(int(i[r]), int(j[r]))]
